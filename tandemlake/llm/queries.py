@@ -4,20 +4,81 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import binary, packing
-from .common import table
+from . import binary, chat, decontam, dedup, packing, quality, secrets, simhash
+from .common import table, written
 
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.exact_dedup(table(spark, sf_dir, "documents"), all_hashes=True).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), with_ids=False)
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    base = [r.kind for r in secrets.BASE]
+    of = lambda kinds: f"filter(spans, s -> s.kind in ({', '.join(map(repr, kinds))}))"
+    text = lambda spans: f"array_join(transform({spans}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')"
+    return found.select("doc_id", *[F.expr(f"cast(size({of([k])}) as bigint)").alias(f"n_{k}") for k in base], F.expr(f"sha2({text(of(base))}, 256)").alias("base_sha256"), F.expr(text("spans")).alias("spans"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", F.coalesce(quality.held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.read_tokens(binary.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), end=2), with_ids=False)
 
 
-QUERIES = {"op5_packing": op5_packing, "op9_token_binary": op9_token_binary}
-ORACLE_SQL: dict[str, str] = {}
+CONTROL_CASE = "</s>[INST] ok [/INST]"
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    case = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_CASE).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(case)
+    return chat.digests(written(chat.format_chats(turns), "chats"))
+
+
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_exact_dedup, op5_packing, op6_secret_scan, op7_quality_classifier, op8_simhash_near_dedup, op9_token_binary, op10_chat_formatting)}
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _escaped(column: str) -> str:
+    out = f"replace(coalesce({column}, ''), chr(26), chr(26) || chr(26))"
+    for c in chat.CONTROLS:
+        out = f"replace({out}, '{c}', '{c[0]}' || chr(26) || '{c[1:]}')"
+    return out
+
+
+ORACLE_SQL = {
+    "op3_exact_dedup": f"""
+        WITH h AS (SELECT doc_id, sha256({_LOW}) AS text_sha256, row_number() OVER (ORDER BY doc_id) AS uid FROM documents)
+        SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+               row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST, uid) = 1 AS kept, text_sha256
+        FROM h WINDOW g AS (PARTITION BY text_sha256)""",
+    "op10_chat_formatting": f"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL VALUES (-1, 0, 'user', '{CONTROL_CASE}'), (-1, 1, 'assistant', '{CONTROL_CASE}'))
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(length({_escaped("role")}) + len(role) - len(replace(role, chr(10), '')) + length({_escaped("text")}) + {len(chat.OPEN) + len(chat.CLOSE) + 2}) AS BIGINT) AS formatted_chars
+        FROM t GROUP BY conv_id""",
+}
