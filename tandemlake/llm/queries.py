@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, chat, decontam, dedup, packing, quality, secrets, simhash
+from . import binary, chat, decontam, dedup, html, packing, quality, secrets, simhash
 from .common import table, written
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -16,6 +16,10 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(table(spark, sf_dir, "documents"), all_hashes=True).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
@@ -55,7 +59,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(written(chat.format_chats(turns), "chats"))
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_exact_dedup, op5_packing, op6_secret_scan, op7_quality_classifier, op8_simhash_near_dedup, op9_token_binary, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_html_extraction, op3_exact_dedup, op5_packing, op6_secret_scan, op7_quality_classifier, op8_simhash_near_dedup, op9_token_binary, op10_chat_formatting)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
