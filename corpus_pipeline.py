@@ -1,19 +1,43 @@
-"""The corpus pipeline: its stages, each a function (spark, docs, sf_dir) -> DataFrame."""
+"""The corpus pipeline: its stages, each a function (spark, docs, sf_dir) -> DataFrame.
+
+Every stage takes all rows that the one before it kept. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tandemlake.llm import packing
+from tandemlake.llm import decontam, dedup, packing, quality, simhash
 from tandemlake.llm.common import table, written
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that the quality classifier rejects."""
+    return quality.kept(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts: that of the largest doc_id."""
+    return dedup.without_copies(docs)
+
+
+def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: that of the smallest doc_id."""
+    return simhash.representatives(docs)
+
+
+def unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that hold a benchmark item."""
+    return decontam.uncontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Boundary records of the packed sequences."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
-STAGES = [("packing", packed)]
+STAGES = [("quality classifier", good), ("exact dedup", distinct), ("near dedup", unlike), ("decontamination", unleaked), ("packing", packed)]
 ORACLE_SQL = None
 
 
