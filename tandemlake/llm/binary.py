@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, empty_if_null, map_batches, scratch
+from .common import cut, ids_and_text, map_batches, scratch
 from .tokens import encoder
 
 BLOCK, LANE, MAGIC = 1 << 16, 64, b"TOKBITS1"
@@ -133,7 +133,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int, where: str | None =
     """
     spark = docs.sparkSession
     where = where or scratch(spark, "tokens")
-    ordered = docs.select("doc_id", empty_if_null("text")).withColumn("_tie", F.xxhash64("text")).repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("_tie")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "_tie").drop("_tie")
+    ordered = ids_and_text(docs).withColumn("_tie", F.xxhash64("text")).repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("_tie")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "_tie").drop("_tie")
 
     def shards(batches):
         task, enc, writer = TaskContext.get(), encoder(tokenizer), None

@@ -92,7 +92,7 @@ def format_chats(turns: DataFrame, trained: str = "assistant") -> DataFrame:
     text; null turns come first. Other columns are ignored. No rows give no rows.
     """
     keys = ["conv_id", "turn", "role", "text"]
-    rows = turns.select(*keys).repartitionByRange(*[F.col(k).asc_nulls_first() for k in keys[:3]]).sortWithinPartitions(*[F.col(k).asc_nulls_first() for k in keys])
+    rows = turns.select(*[F.col(k).cast(t).alias(k) for k, t in zip(keys, ("bigint", "bigint", "string", "string"), strict=True)]).repartitionByRange(*[F.col(k).asc_nulls_first() for k in keys[:3]]).sortWithinPartitions(*[F.col(k).asc_nulls_first() for k in keys])
 
     def formatted(batches):
         chunk = TaskContext.get().partitionId() << 32

@@ -8,7 +8,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel  # noqa: F401  (kept for callers that persist)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,4 +69,17 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def empty_if_null(name: str):
-    return F.coalesce(F.col(name), F.lit("")).alias(name)
+    return F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name)
+
+
+def ids_and_text(docs: DataFrame) -> DataFrame:
+    """doc_id (bigint) and text (never null), whatever else the table holds."""
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), empty_if_null("text"))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

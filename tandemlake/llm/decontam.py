@@ -19,8 +19,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import empty_if_null, map_batches
+from .common import empty_if_null, ids_and_text, map_batches
 
 WINDOW, LEAST, SLOTS, BLOCK_BYTES = 5, 0.8, 0.9, 8 << 20
 KNOWN = 1 << 20
@@ -37,7 +38,7 @@ _ends = (".", "!", "?", ":", ";")
 
 
 def kinds(token: str) -> list[tuple[str, str]]:
-    """A token's template words (word or "", value), context aside. Most tokens have one, one of punctuation none."""
+    """A token's template words (mark, value): "#" a number, "u" a unit, "n" a capitalised word, "" any other in lower case."""
     core = _outer.sub("", token)
     if not core:
         return []
@@ -49,11 +50,7 @@ def kinds(token: str) -> list[tuple[str, str]]:
     low = core.lower()
     if low in NUMBERS:
         return [("#", low)]
-    if low in UNITS:
-        return [("u?" + low, low)]
-    if core[0].isupper() and core[1:].islower():
-        return [("n?" + low, core)]
-    return [(low, low)]
+    return [("u" if low in UNITS else "n" if core[0].isupper() and core[1:].islower() else "", low)]
 
 
 class Memo(dict):
@@ -71,32 +68,30 @@ class Memo(dict):
 
 
 class Words:
-    """Codes of template words: those of the benchmark block have their own; any other word is 0 and ends a match."""
+    """Codes of template words: those of the benchmark block have their own; any other word is 0 and ends a match.
 
-    def __init__(self, vocabulary: dict[str, int], grow: bool = False):
-        self.vocabulary, self.grow, self.seen = vocabulary, grow, Memo(self.entry)
+    A name is a word that the block has capitalised in mid-sentence and never in lower case, in whatever case it is
+    met, and any other capitalised word that the block lacks.
+    """
 
-    def code(self, word: str) -> int:
-        if self.grow:
-            return self.vocabulary.setdefault(word, len(self.vocabulary) + 4)
-        return self.vocabulary.get(word, 0)
+    def __init__(self, vocabulary: dict[str, int], names: frozenset[str] = frozenset(), grow: bool = False):
+        self.vocabulary, self.names, self.grow, self.seen = vocabulary, names, grow, Memo(self.entry)
 
     def entry(self, token: str) -> int:
-        """Packed: code in mid-sentence + 1 (0: not one word), code at a sentence's start, unit after a number?, ends a sentence?"""
+        """Packed: code + 1 (0: not one word), and whether it is a unit if after a number."""
         parts = kinds(token)
-        ends = token.endswith(_ends) or token.rstrip("\"')]}").endswith(_ends)
-        mid = start = -1
-        unit = False
-        if len(parts) == 1:
-            word, _ = parts[0]
-            if word == "#":
-                mid = start = NUM
-            elif word[:2] == "n?":
-                mid, start = NAME, self.code(word[2:])
-            else:
-                unit = word[:2] == "u?"
-                mid = start = self.code(word[2:] if unit else word)
-        return (mid + 1) << 32 | (start + 1) << 2 | unit << 1 | ends
+        if len(parts) != 1:
+            return 0
+        mark, low = parts[0]
+        if mark == "#":
+            code = NUM
+        elif low in self.names:
+            code = NAME
+        elif self.grow:
+            code = self.vocabulary.setdefault(low, len(self.vocabulary) + 4)
+        else:
+            code = self.vocabulary.get(low, NAME if mark == "n" else 0)
+        return (code + 1) << 1 | (mark == "u")
 
     def template(self, text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """Codes of the text's template words, each one's token, and the tokens."""
@@ -105,18 +100,13 @@ class Words:
         if not n:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), tokens
         packed = np.fromiter(map(self.seen.__getitem__, tokens), np.int64, n)
-        begins = np.concatenate([[1], packed[:-1] & 1]).astype(bool)
-        if "\n" in text:  # a line end begins a sentence too
-            lines = np.cumsum([len(x.split()) for x in text.split("\n")])[:-1]
-            begins[lines[lines < n]] = True
-        codes = np.where(begins, packed >> 2 & (1 << 30) - 1, packed >> 32) - 1
-        codes[1:][(packed[1:] & 2 > 0) & (codes[:-1] == NUM)] = UNIT
-        where = np.arange(n)
+        codes, where = (packed >> 1) - 1, np.arange(n)
+        codes[1:][(packed[1:] & 1 > 0) & (codes[:-1] == NUM)] = UNIT
         odd = np.nonzero(codes == -1)[0]
         if len(odd):
             parts, places, last = [], [], 0
             for i in odd.tolist():
-                inner = [NUM if w == "#" else UNIT for w, _ in kinds(tokens[i])]
+                inner = [NUM if mark == "#" else UNIT for mark, _ in kinds(tokens[i])]
                 parts += [codes[last:i], np.array(inner, np.int64)]
                 places += [where[last:i], np.full(len(inner), i)]
                 last = i + 1
@@ -124,6 +114,22 @@ class Words:
         return codes, where, tokens
 
 
+def names_in(texts: list[str]) -> frozenset[str]:
+    """Words that are capitalised in mid-sentence and nowhere in lower case."""
+    capital, lower = set(), set()
+    for text in texts:
+        for line in text.split("\n"):
+            begins = True
+            for token in line.split():
+                for mark, low in kinds(token):
+                    if mark == "":
+                        lower.add(low)
+                    elif mark == "n" and not begins:
+                        capital.add(low)
+                begins = token.rstrip("\"')]}").endswith(_ends)
+    return frozenset(capital - lower)
+
+
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -156,7 +162,8 @@ class Block:
 
     def __init__(self, items: list[tuple[int | None, str]], window: int, least: float):
         self.vocabulary: dict[str, int] = {}
-        words = Words(self.vocabulary, grow=True)
+        self.names = names_in([t for _, t in items])
+        words = Words(self.vocabulary, self.names, grow=True)
         self.items: list[Item] = []
         self.window, self.least = window, least
         short: dict[int, list[int]] = defaultdict(list)
@@ -259,14 +266,13 @@ def values(codes: np.ndarray, where: np.ndarray, tokens: list[str]) -> list[str]
         if c == 0 or c > UNIT:
             out.append("")
             continue
-        parts = kinds(tokens[w])
-        out.append(next((v for k, v in parts if (k == "#") == (c == NUM)), parts[0][1] if parts else "").lower())
+        out.append(next((v for mark, v in kinds(tokens[w]) if (mark == "#") == (c == NUM)), "").lower())
     return out
 
 
 def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES):
     """The benchmark's items, in blocks of at most `most` bytes of text (or one item); only one is on the driver at a time."""
-    rows = benchmark.select("item_id", empty_if_null("text")).orderBy("item_id", "text")
+    rows = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), empty_if_null("text")).orderBy("item_id", "text")
     block, size = [], 0
     for r in rows.toLocalIterator():
         if block and size + len(r.text) > most:
@@ -293,7 +299,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, l
 
         def scan(batches, sent=sent):
             block = Block(sent.value, window, least)
-            words = Words(block.vocabulary)
+            words = Words(block.vocabulary, block.names)
             for b in batches:
                 rows = []
                 for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
@@ -301,7 +307,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, l
                 cols = list(zip(*rows, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "item_id", "share", "first", "last"])
 
-        got = map_batches(docs.select("doc_id", empty_if_null("text")), scan, schema)
+        got = map_batches(ids_and_text(docs), scan, schema)
         out = got if out is None else out.unionByName(got)
     return out if out is not None else spark.createDataFrame([], schema)
 
@@ -313,7 +319,7 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
         def clean(batches, sent=sent):
             block = Block(sent.value, window, least)
-            words = Words(block.vocabulary)
+            words = Words(block.vocabulary, block.names)
             for b in batches:
                 yield b.filter(pa.array([not block.matches(*words.template(t or "")) for t in b.column("text").to_pylist()], pa.bool_()))
 

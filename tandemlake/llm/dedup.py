@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, cut, empty_if_null, map_batches, utf8
+from .common import LOWER, UPPER, cut, fresh, ids_and_text, map_batches, utf8
 
 PREFIX, BITS = 64, 1 << 24
 
@@ -40,7 +40,7 @@ def survivors(docs: DataFrame, prefix: int, bits: int) -> np.ndarray:
 
 def hashes(docs: DataFrame, prefix: int = PREFIX, bits: int = BITS, all_rows: bool = False) -> DataFrame:
     """uid (of the row), doc_id, survived, sha (binary; null for rows that didn't survive, unless all_rows)."""
-    rows = docs.select("doc_id", empty_if_null("text"))
+    rows = ids_and_text(docs)
     bitmap = rows.sparkSession.sparkContext.broadcast(survivors(rows, prefix, bits))
     keyed = rows.withColumn("bit", F.pmod(F.xxhash64(F.octet_length("text"), F.xxhash64(lowered(F.substring("text", 1, prefix)))), F.lit(bits)))
 
@@ -82,7 +82,8 @@ def exact_dedup(docs: DataFrame, prefix: int = PREFIX, bits: int = BITS, all_has
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows with equal doc_id and equal text, one."""
-    key = lambda doc, sha: F.concat_ws(":", F.coalesce(doc.cast("string"), F.lit("null")), sha)
-    gone = exact_dedup(docs).where("not kept and not doc_id <=> keep_id").select(key(F.col("doc_id"), F.lower(F.hex("sha"))).alias("_key")).distinct()
-    keyed = docs.withColumn("_key", key(docs["doc_id"], F.sha2(lowered(F.coalesce("text", F.lit(""))).cast("binary"), 256)))
-    return keyed.join(gone, "_key", "left_anti").dropDuplicates(["_key"]).drop("_key")
+    name = fresh(docs, "_key")
+    key = lambda doc, sha: F.concat_ws(":", F.coalesce(doc.cast("string"), F.lit("null")), sha).alias(name)
+    gone = exact_dedup(docs).where("not kept and not doc_id <=> keep_id").select(key(F.col("doc_id"), F.lower(F.hex("sha")))).distinct()
+    keyed = docs.select("*", key(docs["doc_id"], F.sha2(lowered(F.coalesce(docs["text"], F.lit(""))).cast("binary"), 256)))
+    return keyed.join(gone, name, "left_anti").dropDuplicates([name]).select(*docs.columns)

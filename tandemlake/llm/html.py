@@ -17,6 +17,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import empty_if_null, map_batches
 from .html_pages import NAMES, OPEN, SHUT, pages
@@ -305,4 +306,4 @@ def extract(pages_: DataFrame, model: Field | None = None) -> DataFrame:
             text = [model.text(h) if h else "" for h in b.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return map_batches(pages_.select("page_id", "url", empty_if_null("html")), run, "page_id bigint, url string, text string, n_chars bigint")
+    return map_batches(pages_.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), empty_if_null("html")), run, "page_id bigint, url string, text string, n_chars bigint")

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import empty_if_null, map_batches, written
+from .common import ids_and_text, map_batches, written
 from .tokens import encoder
 
 LENGTH, SEPARATOR = 1024, 0
@@ -40,7 +40,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = SEPAR
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.full(b.num_rows, part, np.int32)), pa.array(at + limits[:-1]), pa.array(np.full(b.num_rows, ids.itemsize, np.int32)), raw.cast(pa.binary())], ["doc_id", "part", "at", "width", "ids"])
             at += int(limits[-1])
 
-    rows = written(map_batches(docs.select("doc_id", empty_if_null("text")), encoded, "doc_id bigint, part int, at bigint, width int, ids binary"), "packed")
+    rows = written(map_batches(ids_and_text(docs), encoded, "doc_id bigint, part int, at bigint, width int, ids binary"), "packed")
     totals = rows.groupBy("part").agg(F.max(F.col("at") + F.expr("octet_length(ids) div width")).alias("n")).orderBy("part").collect()  # one row a partition
     bases = dict(zip((r.part for r in totals), np.concatenate([[0], np.cumsum([r.n for r in totals], dtype=np.int64)]).tolist(), strict=False))
 

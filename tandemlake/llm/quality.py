@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import empty_if_null, map_batches, utf8
+from .common import ids_and_text, map_batches, utf8
 
 PASSAGE = 4096  # bytes
 #: Training takes at most so many labelled documents of each class, and so many passages, evenly spread, of each of those.
@@ -148,10 +148,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     Labels other than 0 and 1, and null ids, are ignored; a doc_id labelled twice has its larger label. Of documents
     with the same doc_id each is a training row. Without labels, or with one class alone, the model is constant.
     """
-    known = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", "quality").where(~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    known = labels.where("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     order = [F.xxhash64("doc_id"), "doc_id"]
     chosen = known.where("quality = 0").orderBy(*order).limit(per_class).unionByName(known.where("quality = 1").orderBy(*order).limit(per_class))
-    texts = docs.select("doc_id", empty_if_null("text")).join(F.broadcast(chosen), "doc_id")  # 2 x per_class rows of two numbers
+    texts = ids_and_text(docs).join(F.broadcast(chosen), "doc_id")  # 2 x per_class rows of two numbers
 
     def bags(batches):
         for b in batches:
@@ -183,7 +183,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(_scores(model, b.column("text")))], ["doc_id", "score"])
 
-    return map_batches(docs.select("doc_id", empty_if_null("text")), run, "doc_id bigint, score double")
+    return map_batches(ids_and_text(docs), run, "doc_id bigint, score double")
 
 
 def kept(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, chat, decontam, dedup, html, packing, quality, secrets, simhash
-from .common import table, written
+from . import binary, chat, decontam, dedup, html, packing, quality, secrets, simhash, warc
+from .common import scratch, table, written
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -24,6 +24,15 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(table(spark, sf_dir, "documents"), all_hashes=True).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
+def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC files, a replica with a bit flipped in some records, and the audit's finding for each record."""
+    one, other = scratch(spark, "warc"), scratch(spark, "warc-replica")
+    index = warc.write_warc(table(spark, sf_dir, "pages"), one)
+    warc.copied(index, one, other, F.col("page_id") % 97 == 5)
+    bad = warc.audit(index, one, other).withColumn("damaged", F.lit(True))
+    return index.join(bad, ["shard", "seq"], "left").select("page_id", "n_bytes", F.lower(F.hex("record_sha256")).alias("record_sha256"), F.coalesce("damaged", F.lit(False)).alias("damaged"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), with_ids=False)
 
@@ -59,7 +68,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(written(chat.format_chats(turns), "chats"))
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_html_extraction, op3_exact_dedup, op5_packing, op6_secret_scan, op7_quality_classifier, op8_simhash_near_dedup, op9_token_binary, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_html_extraction, op3_exact_dedup, op4_warc_fixity, op5_packing, op6_secret_scan, op7_quality_classifier, op8_simhash_near_dedup, op9_token_binary, op10_chat_formatting)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -77,6 +86,11 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST, uid) = 1 AS kept, text_sha256
         FROM h WINDOW g AS (PARTITION BY text_sha256)""",
+    "op4_warc_fixity": """
+        WITH r AS (SELECT page_id, encode('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '') || '>' || chr(13) || chr(10)
+               || 'WARC-Target-URI: ' || replace(replace(coalesce(url, ''), chr(13), ''), chr(10), '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+               || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10)) AS raw FROM pages)
+        SELECT page_id, octet_length(raw) AS n_bytes, sha256(raw) AS record_sha256, coalesce(page_id % 97 = 5, false) AS damaged FROM r""",
     "op10_chat_formatting": f"""
         WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                    UNION ALL VALUES (-1, 0, 'user', '{CONTROL_CASE}'), (-1, 1, 'assistant', '{CONTROL_CASE}'))

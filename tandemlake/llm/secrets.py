@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import empty_if_null, map_batches, utf8
+from .common import ids_and_text, map_batches, utf8
 
 #: Strings that a node's exact set may have before it is turned into a query, and characters of a class that count as single ones.
 MOST, FEW = 64, 8
@@ -216,7 +216,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             rows = [[{"kind": kinds[k], "start": a, "end": z} for a, k, z in spans] for spans in find_in(b.column("text"), plan)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(rows, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))], ["doc_id", "spans"])
 
-    return map_batches(docs.select("doc_id", empty_if_null("text")), scan, "doc_id bigint, spans array<struct<kind:string,start:bigint,end:bigint>>")
+    return map_batches(ids_and_text(docs), scan, "doc_id bigint, spans array<struct<kind:string,start:bigint,end:bigint>>")
 
 
 def as_text(spans: list[tuple[str, int, int]]) -> str:

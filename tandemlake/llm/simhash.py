@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, empty_if_null, map_batches, utf8
+from .common import cut, fresh, ids_and_text, map_batches, utf8
 from .components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE, seed: int = SEED) -> Dat
             fp = np.fromiter((fingerprint(raw[x:y], words, seed) for x, y in zip(at, at[1:], strict=False)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return cut(map_batches(docs.select("doc_id", empty_if_null("text")), f, "doc_id bigint, fp bigint"))
+    return cut(map_batches(ids_and_text(docs), f, "doc_id bigint, fp bigint"))
 
 
 def masks(radius: int = RADIUS) -> list[int]:
@@ -71,7 +71,8 @@ def joined(g: np.ndarray, flips: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links that join what is linked in one bucket: each member of g (distinct, sorted) that isn't the first of its part, with that first."""
     n = len(g)
     if n <= 64:
-        i, j = np.nonzero(np.triu(np.bitwise_count(g[:, None] ^ g[None, :]) <= RADIUS, 1))
+        u = g.view(np.uint64)  # of signed numbers numpy counts the absolute value's bits
+        i, j = np.nonzero(np.triu(np.bitwise_count(u[:, None] ^ u[None, :]) <= RADIUS, 1))
     else:
         z = (g[:, None] ^ flips[None, :]).ravel()
         order = np.argsort(z, kind="stable")
@@ -151,6 +152,6 @@ def representatives(docs: DataFrame) -> DataFrame:
 
     Rows without any doc_id whose component has none either all stay: nothing tells which of them another stage knows.
     """
-    gone = near_duplicates(docs).where("doc_id <> component_id or (doc_id is null and component_id is not null)").select("doc_id").distinct()
-    named = docs.join(gone.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    return named
+    key = fresh(docs, "_id")
+    gone = near_duplicates(docs).where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone[key]), "left_anti")
