@@ -43,7 +43,7 @@ def _stems() -> dict[str, set[str]]:
         for name in names:
             for w in name.split("-"):
                 out.setdefault(w, set()).add(kind)
-    for w in ("site", "page", "bar", "list", "box", "section", "right", "column", "top", "bottom", "body", "main", "read", "more", "user", "reader", "us", "up", "slot", "tag", "posts", "post", "links", "text", "copy", "meta", "x"):
+    for w in ("site", "page", "bar", "list", "box", "section", "right", "column", "top", "bottom", "body", "main", "read", "more", "user", "reader", "us", "up", "slot", "tag", "posts", "post", "links", "link", "text", "copy", "meta", "x"):
         out.pop(w, None)
     return out | {"post": {"content"}, "main": {"content"}, "text": {"content"}}
 
@@ -170,8 +170,10 @@ def path_features(path: tuple[tuple[str, frozenset[str]], ...]) -> frozenset[str
     out = {f"tag:{t}" for t in tags if t not in ("html", "body", "div", "span")}
     inside = "none"
     for tag, kinds in path:  # the innermost element that tells decides what the block is inside of
-        if tag in ("html", "body") or "content" in kinds and len(kinds) > 1:
-            kinds = kinds & {"hidden"}  # names of whole pages and of "content-sidebar" say nothing of the block
+        if tag in ("html", "body") or {"content"} < kinds <= {"content", "header", "side"}:
+            kinds = kinds & {"hidden"}  # names of whole pages, "content-sidebar" and "post-header" say nothing of the block
+        elif len(kinds) > 1:
+            kinds = kinds - {"content"}  # "post-comments" has comments
         out |= {f"kind:{k}" for k in kinds}
         if tag in APART or kinds - {"content"}:
             inside = "other"

@@ -11,15 +11,15 @@ import random
 
 # Container names of public page designs, by what they hold.
 NAMES = {
-    "nav": ["nav", "navbar", "menu", "main-menu", "navigation", "topnav", "breadcrumbs", "breadcrumb", "site-nav", "pagination", "pager", "toc-menu"],
+    "nav": ["nav", "navbar", "menu", "main-menu", "navigation", "topnav", "breadcrumbs", "breadcrumb", "site-nav", "pagination", "pager", "toc-menu", "skip-link"],
     "header": ["header", "site-header", "masthead", "page-header", "topbar", "top-bar", "branding", "logo"],
-    "footer": ["footer", "site-footer", "page-footer", "colophon", "copyright", "bottom", "legal"],
-    "side": ["sidebar", "side", "aside", "widget", "rail", "right-column", "related", "related-posts", "recommended", "trending", "popular", "read-more", "tags", "tag-list", "author-box", "meta-links"],
+    "footer": ["footer", "site-footer", "page-footer", "colophon", "copyright", "bottom", "legal", "contentinfo"],
+    "side": ["sidebar", "side", "aside", "widget", "rail", "right-column", "related", "related-posts", "recommended", "trending", "popular", "read-more", "tags", "tag-list", "author-box", "meta-links", "complementary"],
     "notice": ["notice", "cookie-banner", "cookie-notice", "cookies", "consent", "gdpr", "alert", "popup", "modal", "overlay", "paywall", "disclaimer", "announcement", "warning-bar", "toast"],
-    "ad": ["ad", "ads", "advert", "advertisement", "ad-slot", "adbox", "banner-ad", "sponsor", "sponsored", "promo", "promotion", "adsense", "banner"],
+    "ad": ["ad", "ads", "advert", "advertisement", "ad-slot", "adbox", "banner-ad", "sponsor", "sponsored", "promo", "promotion", "adsense", "adsbygoogle", "banner"],
     "form": ["newsletter", "subscribe", "signup", "sign-up", "login", "search", "search-form", "contact-form", "form", "survey", "poll"],
     "share": ["share", "social", "share-bar", "social-links", "follow-us", "toolbar"],
-    "comments": ["comments", "comment-list", "comment", "comment-section", "respond", "discussion", "disqus", "replies", "reader-comments", "user-comments", "feedback", "reactions"],
+    "comments": ["comments", "comment-list", "comment", "comment-section", "respond", "discussion", "disqus", "replies", "reader-comments", "user-comments", "feedback", "reactions", "thread", "responses"],
     "content": ["content", "article", "post", "entry", "entry-content", "post-body", "article-body", "story", "story-body", "main", "main-content", "text", "body-copy", "page-content", "blog-post"],
 }
 NEUTRAL = ["container", "wrapper", "row", "col", "inner", "section", "block", "grid", "box", "layout", "page", "left", "wide", "x1", "u-flex"]

@@ -460,6 +460,24 @@ AROUND = [
 ]
 
 
+SHORT = "<h1>The title</h1><p>First part of it, long enough for a paragraph.</p><p>Ti.</p><ul><li>one</li><li>two</li></ul>"
+PLACES = [
+    '<a class="skip-link" href="#c">Skip to content</a><div id="content">{}</div>',
+    "{}",
+    '<div role="banner">Site</div><div role="main">{}</div><div role="complementary"><p>Other things to see, friends.</p></div><div role="contentinfo">A firm</div>',
+    '<article>{}<div class="ad">Buy it.</div></article><section class="reader-comments"><article class="comment"><p>I like this a lot, and say so at length.</p></article></section>',
+    '<div class="content-sidebar-wrap"><main class="content"><article class="post entry">{}</article></main><aside class="sidebar"><h3>Find</h3></aside></div>',
+    '<div class="post">{}</div><div class="post-comments"><h3>Comments</h3><p>Ann: I agree with every word of this, all of it.</p></div>',
+    '<table><tr><td class="menu"><a href=x>A</a><br><a href=y>B</a></td><td class="content">{}</td></tr></table><div id="footer">bye</div>',
+    "<article>{}<section class='comments'><p>Bob: well said.</p></section><footer>Filed under x</footer></article>",
+]
+
+
+@pytest.mark.parametrize("place", PLACES)
+def test_articles_in_many_places(place):
+    assert html.trained().text(f"<html><body>{place.format(SHORT)}</body></html>") == "The title First part of it, long enough for a paragraph. Ti. one two"
+
+
 @pytest.mark.parametrize("around", AROUND)
 def test_article_of_a_page(around):
     assert html.trained().text(f"<html><body>{around.format(ARTICLE)}</body></html>") == "Title here First é part. Second part"
