@@ -69,6 +69,7 @@ def exact_dedup(docs: DataFrame, prefix: int = PREFIX, bits: int = BITS, all_has
     h = hashes(docs, prefix, bits, all_hashes)
     own = F.struct(F.col("doc_id"), F.col("uid"))
     groups = h.where("survived").groupBy("sha").agg(F.max(own).alias("best"), F.count("*").alias("group_size")).where("group_size > 1")
+    groups = cut(groups)  # so that the join stands on exchanges of its own, whose large partitions Spark splits
     found = h.where("survived").join(groups, "sha", "left")
     alone = h.where("not survived").withColumns({"best": F.lit(None).cast("struct<doc_id:bigint,uid:bigint>"), "group_size": F.lit(None).cast("bigint")})
     return found.unionByName(alone).select(
