@@ -632,6 +632,16 @@ def build_kmer_db(spark, sf):
 SQL["build_kmer_db"] = SQL["class_map_join"]
 
 
+@query
+def build_kmer_db_documents(spark, sf):
+    """A database of all documents, a class a source: distinct canonical 21-mers of each."""
+    got = K.kmers(by_source(spark, sf).select("seq_id", "seq"), 21).where("kmer <> 0").distinct()
+    return got.groupBy(F.col("seq_id").alias("class")).agg(F.count("*").alias("n"), F.sum("kmer").alias("total"))
+
+
+SQL["build_kmer_db_documents"] = f"WITH dna AS ({CTE['dna']}), km AS ({_kmers_sql(21)}) SELECT file AS class, count(DISTINCT kmer) AS n, sum(DISTINCT kmer)::BIGINT AS total FROM km JOIN dna USING (seq_id) WHERE kmer <> 0 GROUP BY file"
+
+
 @query
 def kmer_db_files(spark, sf):
     """The database's files, decoded again: class, subtype and size."""
