@@ -7,7 +7,7 @@ built-in expressions; other sizes, and whole genomes, are hashed in numpy, all p
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -66,10 +66,16 @@ def canonical(seq: bytes, k: int) -> np.ndarray:
     return out
 
 
-def kmers(seqs: DataFrame, k: int, sketched: bool = False) -> DataFrame:
+def reverse_only(seq: bytes, k: int) -> np.ndarray:
+    """Hashes of the k-mers' reverse complements alone, by position; ambiguous bases are hashed as they stand."""
+    return murmur3(_complement[np.frombuffer(seq.upper(), np.uint8)[::-1]], k)[::-1].view(np.int32)
+
+
+def kmers(seqs: DataFrame, k: int, sketched: bool = False, values_of: Callable[[bytes, int], np.ndarray] = canonical) -> DataFrame:
     """seq_id, pos, kmer for seqs(seq_id, seq[, pos0]); pos0 is where the row's piece begins in its sequence.
 
     sketched keeps the values that sketch() does, before they leave the worker. A null sequence has no k-mers.
+    values_of: canonical, or reverse_only.
     """
     kind = seqs.schema["seq_id"].dataType.simpleString()
     rows = seqs.select("seq_id", "pos0" if "pos0" in seqs.columns else F.lit(0).cast("bigint").alias("pos0"), F.col("seq").cast("binary").alias("seq")).where("seq is not null")
@@ -77,7 +83,7 @@ def kmers(seqs: DataFrame, k: int, sketched: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, (pos0, seq) in enumerate(zip(b.column("pos0").to_pylist(), b.column("seq").to_pylist(), strict=True)):
-                values = canonical(seq, k)
+                values = values_of(seq, k)
                 at = np.arange(len(values))
                 if sketched:
                     at = np.nonzero((values & 3 == 0) & (values != 0))[0]
@@ -103,6 +109,17 @@ def forward_kmers(seqs: DataFrame, k: int) -> DataFrame:
     return at.select("seq_id", F.col("pos").cast("bigint").alias("pos"), F.substring("seq", F.col("pos") + 1, k).cast("string").alias("kmer"))
 
 
+def record_kmers(seqs: DataFrame, seq_id: str, k: int) -> DataFrame:
+    """All k-mers of one record."""
+    return kmers(seqs.where(F.col("seq_id") == seq_id), k)
+
+
+def without_ambiguous(kmers: DataFrame, k: int) -> DataFrame:
+    """Without 0 and without the hashes of k equal ambiguous bases, which stand in lists hashed without the rule for them."""
+    runs = [int(min(murmur3(np.full(k, b, np.uint8), k).view(np.int32)[0], reverse_only(bytes([b]) * k, k)[0])) for b in AMBIGUOUS.encode()]
+    return kmers.where(~F.col("kmer").isin(0, *runs))
+
+
 def sketch(kmers: DataFrame) -> DataFrame:
     """A quarter of the values, the same ones everywhere, without 0."""
     return kmers.where("kmer % 4 = 0 and kmer <> 0")

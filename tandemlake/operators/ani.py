@@ -92,6 +92,14 @@ def cross_band(plain: DataFrame, wide: DataFrame, k: int) -> DataFrame:
     return both.join(own, ["seq_id", "band", "i"], "left_semi").join(before, ["seq_id", "band", "j"], "left_semi").select("seq_id", "band", "i", "j", score(F.col("share"), k).alias("score"))
 
 
+def matrix(cells: DataFrame, seq_id, band: int, windows: int) -> np.ndarray:
+    """One band's whole matrix, for a plot: 100 on the diagonal, 0 where there is no cell. windows^2 numbers reach the driver."""
+    out = np.eye(windows) * 100
+    for r in cells.where((F.col("seq_id") == seq_id) & (F.col("band") == band)).select("i", "j", "score").collect():
+        out[r.i, r.j] = out[r.j, r.i] = r.score
+    return out
+
+
 def window_sets(kmers: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
     b = banded(kmers, p)
     return tumbling(b, p), hopping(b, p)

@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-UNKNOWN = "Unknown"
+UNKNOWN, MOST = "Unknown", 65535
 
 
 def overlaps(queries: DataFrame, db: DataFrame) -> DataFrame:
     """query_id, class, overlap, pct, rank for queries(query_id, kmer) and db(class, kmer): every class, those that share none too.
 
-    Ties rank by class name. Class names are few and are paired with the queries; k-mers are joined.
+    Ties rank by class name. A database has at most MOST classes, as its file format does; their names are listed once.
     """
     q, d = queries.select("query_id", "kmer").distinct(), db.select("class", "kmer").distinct()
     sizes = q.groupBy("query_id").agg(F.count("*").alias("n"))
     shared = q.join(d, "kmer").groupBy("query_id", "class").agg(F.count("*").alias("overlap"))
-    names = d.agg(F.array_sort(F.collect_set("class")).alias("names"))
-    every = sizes.join(F.broadcast(names)).select("query_id", "n", F.explode("names").alias("class"))
+    names = sorted(r["class"] for r in d.select("class").distinct().limit(MOST + 1).collect())
+    if len(names) > MOST:
+        raise ValueError(f"a database has at most {MOST} classes")
+    every = sizes.select("query_id", "n", F.explode(F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")).alias("class"))
     got = every.join(shared, ["query_id", "class"], "left").select("query_id", "class", F.coalesce("overlap", F.lit(0)).cast("bigint").alias("overlap"), "n")
     w = Window.partitionBy("query_id").orderBy(F.desc("overlap"), "class")
     return got.select("query_id", "class", "overlap", (F.col("overlap") * 100.0 / F.col("n").cast("double")).alias("pct"), F.row_number().over(w).alias("rank"))

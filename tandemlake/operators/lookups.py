@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kmers import kmers
@@ -16,8 +16,8 @@ def missing_chroms(bed: DataFrame, names: DataFrame) -> DataFrame:
 
 def first_source(regions: DataFrame, seqs: DataFrame, order: str) -> DataFrame:
     """Each region with the first sequence, by `order`, of its chrom."""
-    first = seqs.withColumn("_r", F.row_number().over(Window.partitionBy("seq_id").orderBy(order))).where("_r = 1").drop("_r")
-    return regions.join(first, regions["chrom"] == first["seq_id"])
+    first = seqs.select("seq_id", order).groupBy("seq_id").agg(F.min(order).alias(order))
+    return regions.join(first, regions["chrom"] == first["seq_id"]).join(seqs, ["seq_id", order])
 
 
 def region_kmers(regions: DataFrame, seqs: DataFrame, k: int, order: str = "file") -> DataFrame:

@@ -39,6 +39,15 @@ def attached_cells(cells: DataFrame) -> DataFrame:
     return row.join(col, [*GROUP, "i", "j"], "left_semi")
 
 
+def off_diagonal_spans(cells: DataFrame, window: int, band: int) -> DataFrame:
+    """seq_id, band, row_start, start, end, cnt: in bases, each row's unbroken runs of cells that aren't joined to the diagonal."""
+    w = Window.partitionBy(*GROUP, "i").orderBy("j")
+    runs = detached_cells(cells).withColumn("run", F.col("j") - F.row_number().over(w))
+    base = F.col("band") * F.lit(band).cast("bigint")
+    got = runs.groupBy(*GROUP, "i", "run").agg(F.min("j").alias("a"), F.max("j").alias("z"), F.count("*").alias("cnt"))
+    return got.select(*GROUP, (base + F.col("i") * window).alias("row_start"), (base + F.col("a") * window).alias("start"), (base + (F.col("z") + 1) * window).alias("end"), "cnt")
+
+
 def detached_cells(cells: DataFrame) -> DataFrame:
     """The other cells."""
     return cells.select(*GROUP, "i", "j").join(attached_cells(cells), [*GROUP, "i", "j"], "left_anti")

@@ -233,6 +233,23 @@ def ambiguous_kmer_filter(spark, sf):
 SQL["ambiguous_kmer_filter"] = f"WITH dna AS ({CTE['dnan']}), km AS ({_kmers_sql(P.k)}) SELECT seq_id, count(*) AS n, count(*) FILTER (kmer = 0) AS n_ambiguous, count(DISTINCT kmer) FILTER (kmer <> 0) AS n_distinct FROM km GROUP BY seq_id"
 
 
+@query
+def reverse_kmer_hash(spark, sf):
+    return _sums(K.kmers(dna(spark, sf), P.k, values_of=K.reverse_only))
+
+
+_RC = f"(SELECT seq_id, translate(reverse(w), 'ACTG', 'TGAC') AS r FROM ({_FWD}))"
+SQL["reverse_kmer_hash"] = f"WITH dna AS ({CTE['dna']}), km AS ({_murmur(_RC, 'r', P.k, 'kmer')}) {_SUMS}"
+
+
+@query
+def kmers_without_ambiguous(spark, sf):
+    return _sums(K.without_ambiguous(K.kmers(dna(spark, sf, WITH_N), P.k), P.k))
+
+
+SQL["kmers_without_ambiguous"] = f"WITH dna AS ({CTE['dnan']}), km AS (SELECT * FROM ({_kmers_sql(P.k)}) WHERE kmer <> 0) {_SUMS}"
+
+
 @query
 def kmer_sketch_mod4(spark, sf):
     return K.sketch(hashes(spark, sf)).groupBy("seq_id").agg(F.count("*").alias("n"), F.countDistinct("kmer").alias("n_distinct"))
@@ -346,6 +363,14 @@ SQL["diagonal_attached_cells"] = _with("attached", "SELECT * FROM attached")
 SQL["off_diagonal_cells"] = _with("attached", "SELECT seq_id, band, i, j FROM cells ANTI JOIN attached USING (seq_id, band, i, j)")
 
 
+@query
+def off_diagonal_spans(spark, sf):
+    return spans.off_diagonal_spans(scored(spark, sf), P.window, P.band)
+
+
+SQL["off_diagonal_spans"] = _with("attached", f'SELECT seq_id, band, band * {BAND} + i * {W} AS row_start, band * {BAND} + min(j) * {W} AS start, band * {BAND} + (max(j) + 1) * {W} AS "end", count(*) AS cnt FROM (SELECT *, j - row_number() OVER (PARTITION BY seq_id, band, i ORDER BY j) AS run FROM cells ANTI JOIN attached USING (seq_id, band, i, j)) GROUP BY seq_id, band, i, run')
+
+
 # --- intervals -------------------------------------------------------------------------------------------------
 
 
@@ -635,7 +660,7 @@ SQL["build_kmer_db"] = SQL["class_map_join"]
 @query
 def build_kmer_db_documents(spark, sf):
     """A database of all documents, a class a source: distinct canonical 21-mers of each."""
-    got = K.kmers(by_source(spark, sf).select("seq_id", "seq"), 21).where("kmer <> 0").distinct()
+    got = K.kmers(by_source(spark, sf).select("seq_id", "seq"), 21).where("kmer <> 0").select("seq_id", "kmer").distinct()
     return got.groupBy(F.col("seq_id").alias("class")).agg(F.count("*").alias("n"), F.sum("kmer").alias("total"))
 
 

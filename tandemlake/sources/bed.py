@@ -34,10 +34,11 @@ def normalised(bed: DataFrame) -> DataFrame:
     return bed.select("chrom", "start", "end", "name" if "name" in bed.columns else F.col("chrom").alias("name"))
 
 
-def placed(rows: DataFrame) -> DataFrame:
-    """Intervals of records named chrom:lo-hi in the chrom's coordinates."""
-    lo = F.coalesce(region(F.col("seq_id").cast("string"))["lo"], F.lit(0))
-    return rows.withColumns({"start": F.col("start") + lo, "end": F.col("end") + lo})
+def placed(rows: DataFrame, compat: bool = False) -> DataFrame:
+    """Intervals of records named chrom:lo-hi in the chrom's coordinates. compat ends them a base earlier."""
+    lo = region(F.col("seq_id").cast("string"))["lo"]
+    shift = F.when(lo.isNotNull(), lo - int(compat)).otherwise(0)
+    return rows.withColumns({"start": F.col("start") + F.coalesce(lo, F.lit(0)), "end": F.col("end") + shift})
 
 
 def annotation(rows: DataFrame, chrom: str = "seq_id", rgb: str = "0,0,0") -> DataFrame:

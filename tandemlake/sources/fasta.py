@@ -40,9 +40,9 @@ def selected(seqs: DataFrame, ids: list[str]) -> DataFrame:
     return best.select("file", F.col("asked").alias("seq_id"), seq.alias("seq")).withColumn("seq_len", F.length("seq").cast("bigint"))
 
 
-def region(seq, start, end):
-    """Bases start to end (0-based, end exclusive) of a sequence column; null where start is beyond end."""
-    low = F.greatest(start, F.lit(0))
+def region(seq, start, end, compat: bool = False):
+    """Bases start to end (0-based, end exclusive) of a sequence column; null where start is beyond end. compat never reads base 0."""
+    low = F.greatest(start, F.lit(int(compat)))
     return F.when(low <= end, F.substring(seq.cast("binary"), (low + 1).cast("int"), (end - low).cast("int")).cast("string"))
 
 

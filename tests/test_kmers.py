@@ -53,6 +53,13 @@ def test_builtin_and_numpy_agree(spark):
     assert rows(K.kmers(seqs, 5, sketched=True)) == rows(K.sketch(whole))
 
 
+def test_reverse_only_and_ambiguous(spark):
+    assert [K.reverse_only(w, 21)[0] for w in (b"ACGTACGTACGTACGTACGTA", b"CCATTCCATTCCATTCCATTC")] == [-1728247930, -433094032]
+    seqs = spark.createDataFrame([("a", "NNNNACGT"), ("b", "TT")], "seq_id string, seq string")
+    forward = K.kmers(seqs, 4, values_of=lambda s, k: K.murmur3(np.frombuffer(s, np.uint8), k).view(np.int32))
+    assert len(rows(K.without_ambiguous(forward, 4))) == 4 and len(rows(K.record_kmers(seqs, "a", 4))) == 5
+
+
 def test_forward_and_reverse(spark):
     seqs = spark.createDataFrame([("a", "acgT")], "seq_id string, seq string")
     assert rows(K.forward_kmers(seqs, 3)) == [("a", 0, "ACG"), ("a", 1, "CGT")]

@@ -93,6 +93,13 @@ def test_attached(spark):
     assert [(r.i, r.j) for r in spans.detached_cells(c).collect()] == [(0, 3)]
 
 
+def test_off_diagonal_spans_and_matrix(spark):
+    c = cells(spark, [(0, 1), (0, 3), (0, 4), (2, 5)])
+    assert [(r.row_start, r.start, r.end, r.cnt) for r in spans.off_diagonal_spans(c, 10, 100).orderBy("row_start").collect()] == [(0, 30, 50, 2), (20, 50, 60, 1)]
+    m = ani.matrix(c, "s", 0, 6)
+    assert m[3, 0] == 90 and m[2, 2] == 100 and (m == m.T).all()
+
+
 def ivs(spark, pairs):
     return spark.createDataFrame([("s", a, z) for a, z in pairs], "seq_id string, start bigint, end bigint")
 

@@ -89,6 +89,9 @@ def test_region_slice(spark):
 
     df = spark.createDataFrame([("ACGTA", 0, 2), ("ACGTA", 3, 99), ("ACGTA", 4, 2)], "s string, a bigint, z bigint")
     assert [r[0] for r in df.select(fasta.region(F.col("s"), F.col("a"), F.col("z"))).collect()] == ["AC", "TA", None]
+    assert df.select(fasta.region(F.col("s"), F.lit(0), F.lit(5), compat=True)).first()[0] == "CGTA"
+    named = spark.createDataFrame([("chrY:50-3000", 0, 100)], "seq_id string, start bigint, end bigint")
+    assert tuple(bed.placed(named, compat=True).first())[1:] == (50, 149)
 
 
 def test_bed(spark, tmp_path):
