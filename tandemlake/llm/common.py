@@ -19,12 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (local mode)."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset in local mode."""
+    context = spark.sparkContext
+    given = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not given:
-        given = f"file://{tempfile.gettempdir()}/checkpoints/tandemlake-{spark.sparkContext.applicationId}"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(given)
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        given = f"file://{tempfile.gettempdir()}/checkpoints/tandemlake-{context.applicationId}"
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(given)
     return given.rstrip("/")
 
 
