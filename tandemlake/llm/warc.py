@@ -46,14 +46,12 @@ def name_of(shard: int) -> str:
 def write_warc(pages: DataFrame, where: str) -> DataFrame:
     """Writes all pages and returns the index, a row for each record, by shard and seq.
 
-    Null urls and html are empty. Repeated and null page_ids have records each. Records are ordered by page_id (null
-    first), url and a hash of the html, and cut into files of like size wherever that falls, among equal rows too.
-    Other columns are ignored; no rows give no files. A task writes a file under a name of its own and then moves it
-    into place, so one that runs again does no harm.
+    Null urls and html are empty. Repeated and null page_ids have records each. A partition of pages becomes a file, its
+    records in the order read, so nothing is shuffled and no key can crowd a file. Other columns are ignored; no rows
+    give no files. A task writes a file under a name of its own and then moves it into place, so one that runs again
+    does no harm.
     """
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), empty_if_null("url"), empty_if_null("html"))
-    order = [F.col("page_id").asc_nulls_first(), F.col("url"), F.col("_hash"), F.col("_row")]
-    ordered = rows.withColumns({"_hash": F.xxhash64("html"), "_row": F.monotonically_increasing_id()}).repartitionByRange(*order).sortWithinPartitions(*order).drop("_hash", "_row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = pfs.FileSystem.from_uri(where)
@@ -76,7 +74,7 @@ def write_warc(pages: DataFrame, where: str) -> DataFrame:
             out.close()
             fs.move(mine, f"{folder}/{name_of(shard)}")
 
-    return cut(map_batches(ordered, run, INDEX))
+    return cut(map_batches(rows, run, INDEX))
 
 
 def read_warc(index: DataFrame, where: str) -> DataFrame:

@@ -528,10 +528,7 @@ PAGES = [(i, f"http://x/{i}", f"<p>page {i} é</p>" * (i % 7)) for i in range(70
 def archive(spark, tmp_path_factory):
     one, other = (f"file://{tmp_path_factory.mktemp('w')}/{n}" for n in ("one", "other"))
     pages = spark.createDataFrame([(*p, 1) for p in PAGES], "page_id bigint, url string, html string, shard int")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several files
-    index = warc.write_warc(pages, one)
-    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    return index, one, other
+    return warc.write_warc(pages.repartition(5), one), one, other  # several files
 
 
 def test_warc_round_trip(archive):
