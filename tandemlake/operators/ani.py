@@ -40,38 +40,70 @@ def cells(plain: DataFrame, wide: DataFrame, k: int) -> DataFrame:
     return best.select(*GROUP, "i", "j", score(F.col("share"), k).alias("score"))
 
 
+def _scores(plain: tuple[np.ndarray, np.ndarray], wide: tuple[np.ndarray, np.ndarray], k: int, windows: int, columns: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """i, j, score of one band from the distinct (window, k-mer number) pairs of its plain and wide windows."""
+    n = np.bincount(plain[0], minlength=windows).astype(np.float64)
+    held = np.intersect1d(plain[1], wide[1])  # other k-mers meet nothing
+    c = np.zeros((windows, windows))
+    sides = []
+    for win, code in (plain, wide):
+        at = np.searchsorted(held, code)
+        at[at == len(held)] = 0
+        keep = held[at] == code if len(held) else np.zeros(len(code), bool)
+        order = np.argsort(at[keep], kind="stable")
+        sides.append((win[keep][order], at[keep][order]))
+    for x in range(0, len(held), columns):
+        a, b = np.zeros((2, windows, columns), np.float32)
+        for m, (win, at) in zip((a, b), sides, strict=True):
+            lo, hi = np.searchsorted(at, (x, x + columns))
+            m[win[lo:hi], at[lo:hi] - x] = 1
+        c += a @ b.T
+    share = np.divide(c, n[:, None], out=np.zeros_like(c), where=n[:, None] > 0)
+    share = np.where((n[:, None] > 0) & (n[None, :] > 0), np.maximum(share, share.T), 0)
+    i, j = np.nonzero(np.triu(share, 1))
+    return i, j, share[i, j] ** (1 / k) * 100
+
+
+def _by_band(rows: DataFrame, pairs, k: int, windows: int, columns: int) -> DataFrame:
+    """Cells of each band's rows; pairs(table) gives _scores' first two arguments."""
+    kind = rows.schema["seq_id"].dataType.simpleString()
+
+    def run(table: pa.Table) -> pa.Table:
+        i, j, score_ = _scores(*pairs(table), k, windows, columns)
+        first = [table.column(g).slice(0, 1).combine_chunks().take(pa.array(np.zeros(len(i), np.int64))) for g in GROUP]
+        return pa.table([*first, pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(score_)], names=[*GROUP, "i", "j", "score"])
+
+    return rows.groupBy(*GROUP).applyInArrow(run, f"seq_id {kind}, band bigint, i int, j int, score double")
+
+
 def dense_cells(plain: DataFrame, wide: DataFrame, k: int, windows: int, columns: int = 4096) -> DataFrame:
     """The same cells by matrix products in each band.
 
     A band's k-mers are bounded by its length; its windows are `windows`; `columns` k-mers are multiplied at a time.
     So a k-mer that all windows share costs one column, not a row for each two of them.
     """
-    kind = plain.schema["seq_id"].dataType.simpleString()
     rows = plain.select(*GROUP, "win", "kmer", F.lit(False).alias("wide")).unionByName(wide.select(*GROUP, "win", "kmer", F.lit(True).alias("wide")))
 
-    def run(table: pa.Table) -> pa.Table:
-        win, kmer, wide_ = (table.column(c).to_numpy() for c in ("win", "kmer", "wide"))
-        _, code = np.unique(kmer, return_inverse=True)
-        n = np.bincount(win[~wide_], minlength=windows).astype(np.float64)
-        shared = np.bincount(code) > 1
-        order = np.argsort(code, kind="stable")
-        order = order[shared[code[order]]]
-        win, code, wide_ = win[order], code[order], wide_[order]
-        c = np.zeros((windows, windows))
-        limits = np.searchsorted(code, np.arange(0, len(shared) + columns, columns))
-        for a, z in zip(limits[:-1], limits[1:], strict=True):
-            if a < z:
-                col, x, y = code[a:z] - code[a] // columns * columns, *np.zeros((2, windows, columns), np.float32)
-                x[win[a:z][~wide_[a:z]], col[~wide_[a:z]]] = 1
-                y[win[a:z][wide_[a:z]], col[wide_[a:z]]] = 1
-                c += x @ y.T
-        share = np.divide(c, n[:, None], out=np.zeros_like(c), where=n[:, None] > 0)
-        share = np.where((n[:, None] > 0) & (n[None, :] > 0), np.maximum(share, share.T), 0)
-        i, j = np.nonzero(np.triu(share, 1))
-        first = [table.column(g).slice(0, 1).combine_chunks().take(pa.array(np.zeros(len(i), np.int64))) for g in GROUP]
-        return pa.table([*first, pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(share[i, j] ** (1 / k) * 100)], names=[*GROUP, "i", "j", "score"])
+    def pairs(table: pa.Table):
+        win, kmer, of_wide = (table.column(c).to_numpy() for c in ("win", "kmer", "wide"))
+        return (win[~of_wide], kmer[~of_wide]), (win[of_wide], kmer[of_wide])
 
-    return rows.groupBy(*GROUP).applyInArrow(run, f"seq_id {kind}, band bigint, i int, j int, score double")
+    return _by_band(rows, pairs, k, windows, columns)
+
+
+def band_cells(banded_: DataFrame, p: Params, columns: int = 4096) -> DataFrame:
+    """The same cells straight from banded positions: the windows are made where the products are, so k-mers are shuffled once."""
+
+    def pairs(table: pa.Table):
+        local, kmer = table.column("local").to_numpy(), table.column("kmer").to_numpy()
+        own = local < p.band
+        first = np.maximum(0, (local - p.interval) // p.window)
+        count = np.minimum(p.windows - 1, (local + p.interval) // p.window) - first + 1
+        wide = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        distinct = lambda win, value: tuple(np.unique(np.stack([win, value]).astype(np.int64), axis=1))
+        return distinct(local[own] // p.window, kmer[own]), distinct(wide, np.repeat(kmer, count))
+
+    return _by_band(banded_.select(*GROUP, "local", "kmer"), pairs, p.k, p.windows, columns)
 
 
 def cross_band(plain: DataFrame, wide: DataFrame, k: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kmers import chunked, kmers
-from ..operators import ani, boundaries, classify, intervals, periodicity, spans
+from ..operators import ani, boundaries, classify, intervals, periodicity, spans, windows
 from ..sources.fasta import region
 from .params import Params
 
@@ -14,8 +14,7 @@ from .params import Params
 def raw_spans(seqs: DataFrame, p: Params) -> DataFrame:
     """seq_id, start, end: runs of similar windows, freed of conflicts within a band and between bands."""
     sketched = kmers(chunked(seqs, p.k - 1), p.k, sketched=True)
-    plain, wide = ani.window_sets(sketched, p)
-    cells = ani.dense_cells(plain, wide, p.k, p.windows).where(F.col("score") >= p.identity)
+    cells = ani.band_cells(windows.banded(sketched, p), p).where(F.col("score") >= p.identity)
     found = spans.diagonal_spans(cells, p.window, p.band, p.tolerance)
     clear = intervals.without_conflicts(found, ["seq_id", "band"], p.window, ("first_row",))
     once = intervals.without_repeats(clear.withColumnRenamed("band", "_band"), ["seq_id"], ("_band",))

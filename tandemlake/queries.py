@@ -313,12 +313,17 @@ def ani_matrix_dense(spark, sf):
     return _rounded(ani.dense_cells(plain, wide, P.k, P.windows))
 
 
+@query
+def ani_matrix_banded(spark, sf):
+    return _rounded(ani.band_cells(windows.banded(K.kmers(dna(spark, sf), P.k, sketched=True), P), P))
+
+
 @query
 def ani_matrix_threshold(spark, sf):
     return _rounded(scored(spark, sf))
 
 
-SQL["ani_matrix"] = SQL["ani_matrix_dense"] = _with("allcells", _ROUNDED.format("allcells"))
+SQL["ani_matrix"] = SQL["ani_matrix_dense"] = SQL["ani_matrix_banded"] = _with("allcells", _ROUNDED.format("allcells"))
 SQL["ani_matrix_threshold"] = _with("cells", _ROUNDED.format("cells"))
 
 

@@ -45,6 +45,16 @@ def test_dense_equals_join(spark):
     assert a == rows(ani.dense_cells(plain, wide, 5, 7, columns=8).selectExpr("i", "j", "round(score, 6)")) and a
 
 
+def test_band_cells_equal_the_join(spark):
+    r = random.Random(2)
+    p = Params(k=4, window=10, band=60)
+    k = spark.createDataFrame([(s, i, r.choice((4, 8, 12, 16, 400 + i))) for s in "ab" for i in range(150)], "seq_id string, pos bigint, kmer int")
+    plain, wide = ani.window_sets(k, p)
+    view = lambda df: rows(df.selectExpr("seq_id", "band", "i", "j", "round(score, 6)"))
+    want = view(ani.cells(plain, wide, 4))
+    assert want and view(ani.band_cells(windows.banded(k, p), p)) == want == view(ani.dense_cells(plain, wide, 4, p.windows, columns=3))
+
+
 def test_cross_band_needs_later_windows(spark):
     plain = spark.createDataFrame([("s", 0, 1, 7), ("s", 1, 0, 7), ("s", 1, 2, 9), ("s", 0, 0, 9)], "seq_id string, band bigint, win int, kmer int")
     assert [(r.band, r.i, r.j) for r in ani.cross_band(plain, plain, 3).collect()] == [(1, 0, 1)]
