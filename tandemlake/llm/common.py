@@ -52,7 +52,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of few rows and bytes, so that a Python worker's memory has a bound whatever the rows hold."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
