@@ -9,12 +9,10 @@ text is read.
 
 from __future__ import annotations
 
-import hashlib
 import re
 import re._constants as sre
 import re._parser as parser
-from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
@@ -38,7 +36,6 @@ class Rule:
     least: int = 0
     #: The same spans as pattern and least, found faster.
     fast: str = ""
-    compiled: re.Pattern = field(init=False, compare=False, default=None)
 
     def spans(self, text: str) -> list[tuple[int, int]]:
         found = re.compile(self.fast or self.pattern, self.flags | re.ASCII).finditer(text)
@@ -186,16 +183,15 @@ def planned(rules: tuple[Rule, ...]) -> list[tuple[Rule, tuple]]:
     return [(r, trigrams_of(r.pattern, r.flags | re.ASCII)) for r in rules]
 
 
-def find_in(texts: pa.Array, plan: list[tuple[Rule, tuple]], text_of: Callable[[int], str] | None = None) -> list[list[tuple[int, int, int]]]:
+def find_in(texts: pa.Array, plan: list[tuple[Rule, tuple]]) -> list[list[tuple[int, int, int]]]:
     """For each row its spans (start, rule's place, end), in that order."""
     data, at = utf8(texts)
     index = Segment(data, at, set().union(*(grams_in(q) for _, q in plan)))
     raw, limits = data.tobytes(), at.tolist()
-    text_of = text_of or (lambda i: raw[limits[i] : limits[i + 1]].decode())
     out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(limits) - 1)]
     for k, (rule, query) in enumerate(plan):
         for i in index.rows(query).tolist():
-            if found := rule.spans(text_of(i)):
+            if found := rule.spans(raw[limits[i] : limits[i + 1]].decode()):
                 out[i] += [(a, k, z) for a, z in found]
     for spans in out:
         spans.sort()
@@ -217,11 +213,3 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(rows, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))], ["doc_id", "spans"])
 
     return map_batches(ids_and_text(docs), scan, "doc_id bigint, spans array<struct<kind:string,start:bigint,end:bigint>>")
-
-
-def as_text(spans: list[tuple[str, int, int]]) -> str:
-    return ",".join(f"{k}:{a}:{z}" for k, a, z in spans)
-
-
-def digest(spans: list[tuple[str, int, int]]) -> str:
-    return hashlib.sha256(as_text(spans).encode()).hexdigest()
