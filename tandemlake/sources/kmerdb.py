@@ -13,7 +13,6 @@ import struct
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def encode(k: int, sets: dict[str, np.ndarray]) -> bytes:
