@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ids_and_text, map_batches, scratch
+from .common import cut, ids_and_text, map_batches, scratch, settle
 from .tokens import encoder
 
 BLOCK, LANE, MAGIC = 1 << 16, 64, b"TOKBITS1"
@@ -151,7 +151,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int, where: str | None =
         if writer is not None:
             n, size = writer.close()
             stream.close()
-            fs.move(mine, name)
+            settle(fs, mine, name)
             yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([f"{where}/shard-{task.partitionId():06d}.tok"]), pa.array([n]), pa.array([size])], ["shard", "path", "n_docs", "n_tokens"])
 
     files = sorted(cut(map_batches(ordered, shards, "shard int, path string, n_docs bigint, n_tokens bigint")).collect())  # one row a file

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pfs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +50,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle(fs: pfs.FileSystem, mine: str, name: str) -> None:
+    """Moves a whole file into place. Where a store doesn't replace files, one that another attempt put there stays: its bytes are the same."""
+    try:
+        fs.move(mine, name)
+    except OSError:
+        if fs.get_file_info(name).type != pfs.FileType.File:
+            raise
+        fs.delete_file(mine)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of few rows and bytes, so that a Python worker's memory has a bound whatever the rows hold."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, empty_if_null, map_batches
+from .common import cut, empty_if_null, map_batches, settle
 
 FAN = 16
 INDEX = "shard bigint, seq bigint, page_id bigint, offset bigint, length bigint, n_bytes bigint, record_sha256 binary"
@@ -72,7 +72,7 @@ def write_warc(pages: DataFrame, where: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 6 else pa.int64()) for i, c in enumerate(cols)], [c.split()[0] for c in INDEX.split(", ")])
         if out is not None:
             out.close()
-            fs.move(mine, f"{folder}/{name_of(shard)}")
+            settle(fs, mine, f"{folder}/{name_of(shard)}")
 
     return cut(map_batches(rows, run, INDEX))
 
@@ -213,7 +213,7 @@ def copied(index: DataFrame, one: str, other: str, damaged: Column) -> None:
         def close():
             if out is not None:
                 out.close()
-                fs.move(f"{to}/{name_of(now)}.attempt-{attempt}", f"{to}/{name_of(now)}")
+                settle(fs, f"{to}/{name_of(now)}.attempt-{attempt}", f"{to}/{name_of(now)}")
 
         for b in batches:
             for shard, at, offset, stored in zip(b.column("shard").to_pylist(), b.column("at").to_pylist(), b.column("offset").to_pylist(), ranges(b, one), strict=True):
