@@ -1,8 +1,9 @@
 """Benchmark decontamination by template canonicalisation.
 
-A text becomes a sequence of template words: numbers, names and units are typed placeholders, all else is lower-case
-without outer punctuation. Windows of WINDOW template words of the benchmark are a hash table; documents' windows are
-joined to it. An item whose windows a document holds to a share of `least`, along one stretch of the document, is a
+A text becomes a sequence of template words: numbers and units are typed placeholders, a capitalised word is a name's
+placeholder or itself, all else is lower-case without outer punctuation. So two words match if they are equal but for
+case, or both capitalised, whatever else the benchmark or the document holds. Windows of WINDOW template words of the
+benchmark, in all their readings, are a hash table; documents' windows are joined to it. An item whose windows a document holds to a share of `least`, along one stretch of the document, is a
 candidate, and its slots are then checked: each placeholder value of the item must stand for one value of the document
 throughout. So a question with other numbers or names is found, and a text that merely has the same shape isn't.
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import empty_if_null, ids_and_text, map_batches
 
 WINDOW, LEAST, SLOTS, BLOCK_BYTES = 5, 0.8, 0.9, 8 << 20
-KNOWN = 1 << 20
+KNOWN, STEP = 1 << 20, 1 << 16
 
 # Words that are numbers, and words and signs that are units after a number.
 NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half".split())
@@ -67,51 +68,54 @@ class Memo(dict):
         return entry
 
 
+WORD, NAME_ONLY, EITHER = 0, 1, 2  # how a template word is read: as itself, as a name's placeholder, as both
+
+
 class Words:
-    """Codes of template words: those of the benchmark block have their own; any other word is 0 and ends a match.
+    """Codes of template words: those of the benchmark block have their own; any other word is 0.
 
-    A name is a word that the block has capitalised in mid-sentence and never in lower case, in whatever case it is
-    met, and any other capitalised word that the block lacks.
+    A capitalised word is read as a name's placeholder too. `names` are words that the block has as names alone: in a
+    text that has them capitalised the placeholder suffices to match them.
     """
 
     def __init__(self, vocabulary: dict[str, int], names: frozenset[str] = frozenset(), grow: bool = False):
         self.vocabulary, self.names, self.grow, self.seen = vocabulary, names, grow, Memo(self.entry)
 
     def entry(self, token: str) -> int:
-        """Packed: code + 1 (0: not one word), and whether it is a unit if after a number."""
+        """Packed: code + 1 (0: not one word), how it is read, and whether it is a unit if after a number."""
         parts = kinds(token)
         if len(parts) != 1:
             return 0
         mark, low = parts[0]
         if mark == "#":
             code = NUM
-        elif low in self.names:
-            code = NAME
         elif self.grow:
             code = self.vocabulary.setdefault(low, len(self.vocabulary) + 4)
         else:
-            code = self.vocabulary.get(low, NAME if mark == "n" else 0)
-        return (code + 1) << 1 | (mark == "u")
+            code = self.vocabulary.get(low, 0)
+        how = WORD if mark != "n" else NAME_ONLY if code == 0 or low in self.names else EITHER
+        return (code + 1) << 3 | how << 1 | (mark == "u")
 
-    def template(self, text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """Codes of the text's template words, each one's token, and the tokens."""
+    def template(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """Codes of the text's template words, how each is read, each one's token, and the tokens."""
         tokens = text.split()
         n = len(tokens)
         if not n:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), tokens
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), tokens
         packed = np.fromiter(map(self.seen.__getitem__, tokens), np.int64, n)
-        codes, where = (packed >> 1) - 1, np.arange(n)
+        codes, how, where = (packed >> 3) - 1, packed >> 1 & 3, np.arange(n)
         codes[1:][(packed[1:] & 1 > 0) & (codes[:-1] == NUM)] = UNIT
         odd = np.nonzero(codes == -1)[0]
         if len(odd):
-            parts, places, last = [], [], 0
+            parts, ways, places, last = [], [], [], 0
             for i in odd.tolist():
                 inner = [NUM if mark == "#" else UNIT for mark, _ in kinds(tokens[i])]
                 parts += [codes[last:i], np.array(inner, np.int64)]
+                ways += [how[last:i], np.zeros(len(inner), np.int64)]
                 places += [where[last:i], np.full(len(inner), i)]
                 last = i + 1
-            codes, where = np.concatenate([*parts, codes[last:]]), np.concatenate([*places, where[last:]])
-        return codes, where, tokens
+            codes, how, where = (np.concatenate([*x, y[last:]]) for x, y in ((parts, codes), (ways, how), (places, where)))
+        return codes, how, where, tokens
 
 
 def names_in(texts: list[str]) -> frozenset[str]:
@@ -133,57 +137,92 @@ def names_in(texts: list[str]) -> frozenset[str]:
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def mixed(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    h = (h ^ c.astype(np.uint64)) * MIX
+    return h ^ h >> np.uint64(29)
+
+
 def windows(codes: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each window of `size` codes; 0 where the window has a word that the block lacks."""
-    n = len(codes) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    c = codes.astype(np.uint64)
+    """A hash of each window of `size` codes."""
+    n = max(0, len(codes) - size + 1)
     h = np.zeros(n, np.uint64)
     for i in range(size):
-        h = (h ^ c[i : i + n]) * MIX
-        h ^= h >> np.uint64(29)
-    gone = np.concatenate([[0], np.cumsum(codes == 0)])
-    h[gone[size:] != gone[:-size]] = 0
+        h = mixed(h, codes[i : i + n])
     return h
 
 
+def readings(codes: np.ndarray, how: np.ndarray, size: int, first: int = 0, last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Place and hash of every reading of the windows that begin at first to last - 1; those with a word that the block lacks have none."""
+    main = np.where(how == WORD, codes, NAME)
+    last = max(first, len(codes) - size + 1) if last is None else last
+    gone = np.concatenate([[0], np.cumsum(main[first : last + size - 1] == 0)])
+    at = first + np.nonzero(gone[size:] == gone[: len(gone) - size])[0] if last > first else np.zeros(0, np.int64)
+    h = np.zeros(len(at), np.uint64)
+    for i in range(size):
+        c = main[at + i]
+        both = np.nonzero(how[at + i] == EITHER)[0]
+        if len(both):
+            c = np.concatenate([c, codes[at[both] + i]])
+            at, h = np.concatenate([at, at[both]]), np.concatenate([h, h[both]])
+        h = mixed(h, c)
+    return at, h
+
+
 @dataclass
 class Item:
+    """An item's template: `named` are its own names' places (capitalised in mid-sentence, nowhere in lower case)."""
+
     item_id: int | None
     codes: np.ndarray
+    how: np.ndarray
+    named: np.ndarray
     values: list[str]
     hashes: np.ndarray
     size: int
 
+    def readings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Its distinct windows' hashes and first places, and the hash of each reading, in order, with the window that it is of."""
+        distinct, place, own = np.unique(self.hashes, return_index=True, return_inverse=True)
+        at, h = readings(self.codes, self.how, self.size)
+        of = own[at]
+        order = np.lexsort((of, h))
+        h, of = h[order], of[order]
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])])
+        return distinct, place, h[new], of[new]
+
 
 class Block:
     """The window table of a block of benchmark items."""
 
     def __init__(self, items: list[tuple[int | None, str]], window: int, least: float):
         self.vocabulary: dict[str, int] = {}
-        self.names = names_in([t for _, t in items])
-        words = Words(self.vocabulary, self.names, grow=True)
+        words = Words(self.vocabulary, grow=True)
         self.items: list[Item] = []
         self.window, self.least = window, least
         short: dict[int, list[int]] = defaultdict(list)
+        plain: set[int] = set()  # codes that some item has as words alone
         for item_id, text in items:
-            codes, where, tokens = words.template(text)
+            codes, how, where, tokens = words.template(text)
             if not len(codes):
                 continue  # nothing to look for
+            named = np.isin(codes, [self.vocabulary[w] for w in names_in([text]) if w in self.vocabulary])
+            how = np.where(named, EITHER, how)
+            plain.update(codes[how == WORD].tolist())
             size = min(window, len(codes))
-            self.items.append(Item(item_id, codes, values(codes, where, tokens), windows(codes, size), size))
+            self.items.append(Item(item_id, codes, how, named, values(codes, how, where, tokens), windows(np.where(named, NAME, codes), size), size))
             short[size].append(len(self.items) - 1)
+        self.names = frozenset(w for w, c in self.vocabulary.items() if c not in plain)
         self.tables = {size: self._table(members) for size, members in short.items()}
 
     def _table(self, members: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes in order, their limits, and items: of each item the rarest windows, one of which must be in a text that holds its share."""
+        """Hashes in order, their limits, and items: of each item the rarest windows' readings, one of which must be in a text that holds its share."""
         distinct = {k: np.unique(self.items[k].hashes) for k in members}
         all_hashes, counts = np.unique(np.concatenate(list(distinct.values())), return_counts=True)
         h, k = [], []
         for m, own in distinct.items():
-            own = own[np.lexsort((own, counts[np.searchsorted(all_hashes, own)]))]
-            keep = own[: len(own) - int(np.ceil(self.least * len(own))) + 1]
+            rarest = np.lexsort((own, counts[np.searchsorted(all_hashes, own)]))[: len(own) - int(np.ceil(self.least * len(own))) + 1]
+            _, _, read, of = self.items[m].readings()
+            keep = np.unique(read[np.isin(of, rarest)])
             h.append(keep)
             k.append(np.full(len(keep), m))
         h, k = np.concatenate(h), np.concatenate(k)
@@ -192,29 +231,40 @@ class Block:
         keys, first = np.unique(h, return_index=True)
         return keys, np.append(first, len(h)), k
 
-    def matches(self, codes: np.ndarray, where: np.ndarray, tokens: list[str]) -> list[tuple[int | None, float, int, int]]:
+    def matches(self, codes: np.ndarray, how: np.ndarray, where: np.ndarray, tokens: list[str]) -> list[tuple[int | None, float, int, int]]:
         """(item_id, share, first token, last token + 1) of each item that the text holds."""
         out = []
         for size, (keys, limits, members) in self.tables.items():
-            hashes = windows(codes, size)
-            if not len(hashes):
-                continue
-            at = np.searchsorted(keys, hashes)
-            at[at == len(keys)] = 0
-            hit = np.unique(at[(keys[at] == hashes) & (hashes != 0)])
+            last, hit = len(codes) - size + 1, np.zeros(0, np.int64)
+            for i in range(0, last, STEP):
+                _, hashes = readings(codes, how, size, i, min(i + STEP, last))
+                at = np.searchsorted(keys, hashes)
+                at[at == len(keys)] = 0
+                hit = np.union1d(hit, at[keys[at] == hashes])
             if not len(hit):
                 continue
             for k in np.unique(np.concatenate([members[limits[i] : limits[i + 1]] for i in hit.tolist()])).tolist():
-                if (found := self._verified(self.items[k], hashes, codes, where, tokens)) is not None:
+                if (found := self._verified(self.items[k], codes, how, where, tokens)) is not None:
                     out.append((self.items[k].item_id, *found))
         return out
 
-    def _verified(self, item: Item, hashes: np.ndarray, codes, where, tokens):
-        distinct, place = np.unique(item.hashes, return_index=True)
-        i = np.searchsorted(distinct, hashes)
-        i[i == len(distinct)] = 0
-        p = np.nonzero(distinct[i] == hashes)[0]
-        which = i[p]
+    def _verified(self, item: Item, codes, how, where, tokens):
+        distinct, place, keys, of = item.readings()
+        last, p, which = len(codes) - item.size + 1, [], []
+        for i in range(0, last, STEP):
+            at, hashes = readings(codes, how, item.size, i, min(i + STEP, last))
+            low = np.searchsorted(keys, hashes)
+            n = np.searchsorted(keys, hashes, "right") - low
+            at, low, n = at[n > 0], low[n > 0], n[n > 0]
+            held = of[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            pairs = np.unique(np.repeat(at, n) * len(distinct) + held)  # a window of the text may have several readings
+            p.append(pairs // len(distinct))
+            which.append(pairs % len(distinct))
+        p, which = np.concatenate(p), np.concatenate(which)
+        steps = np.arange(item.size)
+        equal = (item.codes[place[which][:, None] + steps] == codes[p[:, None] + steps]).sum(1)
+        order = np.lexsort((-equal, p))  # of the item's windows that one of the text matches, the most alike tells the slots
+        p, which = p[order], which[order]
         n, need = len(distinct), int(np.ceil(self.least * len(distinct)))
         if len(np.unique(which)) < need:
             return None
@@ -228,7 +278,7 @@ class Block:
                 kinds_held -= held[which[a]] == 0
                 a += 1
             if kinds_held >= need and (best is None or kinds_held > best[0]):
-                if self._consistent(item, p[a : z + 1], place[which[a : z + 1]], codes, where, tokens):
+                if self._consistent(item, p[a : z + 1], place[which[a : z + 1]], codes, how, where, tokens):
                     best = (kinds_held, a, z)
                     if kinds_held == n:
                         break
@@ -237,20 +287,20 @@ class Block:
         share, a, z = best
         return share / n, int(where[p[a]]), int(where[min(p[z] + item.size, len(where)) - 1]) + 1
 
-    def _consistent(self, item: Item, at: np.ndarray, own: np.ndarray, codes, where, tokens) -> bool:
+    def _consistent(self, item: Item, at: np.ndarray, own: np.ndarray, codes, how, where, tokens) -> bool:
         """Whether slot values map alike: of the item's values' uses, a share SLOTS must go to the value's usual partner; a text all of slots must be equal."""
         steps = np.arange(item.size)
         theirs = (at[:, None] + steps).ravel()
         ours = (own[:, None] + steps).ravel()
         theirs, first = np.unique(theirs, return_index=True)
         ours = ours[first]
-        slot = item.codes[ours] <= UNIT
+        slot = (item.codes[ours] <= UNIT) | item.named[ours] | (item.codes[ours] != codes[theirs])
         if not slot.any():
             return True
-        found = values(codes[theirs[slot]], where[theirs[slot]], tokens)
+        found = values(codes[theirs[slot]], np.full(slot.sum(), EITHER), where[theirs[slot]], tokens)
         pairs: dict[tuple[int, str], dict[str, int]] = defaultdict(lambda: defaultdict(int))
         for o, v in zip(ours[slot].tolist(), found, strict=True):
-            pairs[int(item.codes[o]), item.values[o]][v] += 1
+            pairs[min(int(item.codes[o]), UNIT + 1), item.values[o]][v] += 1
         total = int(slot.sum())
         usual = sum(max(v.values()) for v in pairs.values())
         same = sum(v.get(k[1], 0) for k, v in pairs.items())
@@ -259,11 +309,11 @@ class Block:
         return usual >= SLOTS * total
 
 
-def values(codes: np.ndarray, where: np.ndarray, tokens: list[str]) -> list[str]:
-    """Each template word's value: the number, name or unit that the placeholder stands for, or ""."""
+def values(codes: np.ndarray, how: np.ndarray, where: np.ndarray, tokens: list[str]) -> list[str]:
+    """Each template word's value: the number, name or unit that a placeholder can stand for, or ""."""
     out = []
-    for c, w in zip(codes.tolist(), where.tolist(), strict=True):
-        if c == 0 or c > UNIT:
+    for c, r, w in zip(codes.tolist(), how.tolist(), where.tolist(), strict=True):
+        if r == WORD and (c == 0 or c > UNIT):
             out.append("")
             continue
         out.append(next((v for mark, v in kinds(tokens[w]) if (mark == "#") == (c == NUM)), "").lower())

@@ -345,6 +345,18 @@ def test_blocks_of_the_benchmark(spark):
     assert view(decontam.contamination(d, b)) == view(decontam.contamination(d, b, most=10)) == [(1, 0), (1, 2), (2, 1)]
 
 
+def test_other_items_do_not_matter(spark):
+    lena = "Yesterday Lena paid 5 dollars for a box of apples. Then Lena gave Rose half of it, as Will had asked."
+    omar = "Yesterday Omar paid 7 dollars for a box of apples. Then Omar gave Vera half of it, as Paul had asked."
+    rest = ["Omar sells many good things at the fair.", "a rose that paul will see, so vera said, is red", "Then again, yesterday is gone."]
+    d = docs_of(spark, [(1, omar), (2, lena.upper()), (3, lena.lower()), (4, f"so {lena}"), (5, omar.replace("Then Omar", "Then Carl").replace("Vera", "Omar").replace("Paul", "Omar"))])
+    view = lambda b, most: sorted(tuple(r) for r in decontam.contamination(d, b, most=most).collect() if r.item_id == 0)
+    alone = view(benchmark(spark, lena), 1 << 20)
+    assert [r[0] for r in alone if r[2] == 1] == [1, 2, 3, 4]
+    for most in (10, 200, 1 << 20):
+        assert view(benchmark(spark, lena, *rest), most) == alone
+
+
 def test_benchmark_passages_are_found(spark, tables):
     found = {(r.doc_id, r.item_id) for r in queries.op1_benchmark_decontamination(spark, SF).collect()}
     held = {(i, k) for i, t, *_ in tables["documents"] for k, b in tables["benchmark"] if b in (t or "")}
