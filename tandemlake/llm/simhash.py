@@ -44,17 +44,24 @@ def fingerprint(text: bytes, words: int = SHINGLE, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(raw)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id and fp (bigint with the fingerprint's 64 bits) of each row. Null and empty texts: 0."""
+def fingerprints(docs: DataFrame, words: int = SHINGLE, seed: int = SEED, keyed: bool = False) -> DataFrame:
+    """doc_id and fp (bigint with the fingerprint's 64 bits) of each row, if keyed also its row_key. Null and empty texts: 0."""
 
     def f(batches):
         for b in batches:
             data, at = utf8(b.column("text"))
             raw, at = data.tobytes(), at.tolist()
             fp = np.fromiter((fingerprint(raw[x:y], words, seed) for x, y in zip(at, at[1:], strict=False)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            key = [b.column("key")] if keyed else []
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64)), *key], ["doc_id", "fp", "key"][: 2 + keyed])
 
-    return cut(map_batches(ids_and_text(docs), f, "doc_id bigint, fp bigint"))
+    rows = ids_and_text(docs)
+    return cut(map_batches(rows.withColumn("key", row_key()) if keyed else rows, f, "doc_id bigint, fp bigint" + ", key string" * keyed))
+
+
+def row_key():
+    """What tells rows apart: doc_id and a hash of the text, null counted as empty."""
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("bigint").cast("string"), F.lit("null")), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256))
 
 
 def masks(radius: int = RADIUS) -> list[int]:
@@ -132,6 +139,15 @@ def links(fps: DataFrame, local: int = LOCAL) -> DataFrame:
     return found.unionByName(shared.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b"))
 
 
+def _named(rows: DataFrame) -> DataFrame:
+    """fp, root, component_id (the least doc_id of the component) of each distinct fingerprint of rows (doc_id, fp)."""
+    fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = cut(components(links(fps)))
+    rooted = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rooted.join(ids, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable over links, itself included).
 
@@ -139,19 +155,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Repeated doc_ids give a row each. Other columns are ignored. No rows give no rows.
     """
     rows = fingerprints(docs)
-    fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = cut(components(links(fps)))
-    rooted = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(_named(rows), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """One row of each component (that of its smallest doc_id), with all columns of docs.
+    """One row of each component, with all columns of docs: that of the smallest doc_id, of several the least text hash.
 
-    Rows without any doc_id whose component has none either all stay: nothing tells which of them another stage knows.
+    Rows are told apart by doc_id and text, so a null or repeated doc_id takes no other row with it; where a component
+    has no doc_id at all, the least text hash decides. Of rows equal in both, one stays. Null texts count as empty.
     """
-    key = fresh(docs, "_id")
-    gone = near_duplicates(docs).where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone[key]), "left_anti")
+    name = fresh(docs, "_key")
+    rows = fingerprints(docs, keyed=True)
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    found = cut(rows.join(_named(rows).select("fp", "root"), "fp").groupBy("root", "doc_id", "key").agg(F.count("*").alias("n")))
+    best = found.groupBy("root").agg(F.min(own).alias("best"))
+    gone = found.join(best, "root").where("key <> best.key").select(F.col("key").alias(name))
+    rest = docs.withColumn(name, row_key()).join(gone, name, "left_anti")
+    if not found.where("n > 1").isEmpty():
+        rest = rest.dropDuplicates([name])
+    return rest.select(*docs.columns)

@@ -276,6 +276,18 @@ def test_representatives(odd, empty):
     assert simhash.representatives(empty).collect() == []
 
 
+def test_representatives_by_row(spark):
+    twin = " ".join(f"t{i}" for i in range(400))
+    texts = [(3, twin), (5, twin.upper()), (5, "a text of its own that is unlike any other"), (None, twin), (None, "no id but one text of a kind"), (None, "nor has this one any"), (None, "NOR has this one any"), (7, "said twice with one id"), (7, "Said twice with one id"), (8, "the very same row"), (8, "the very same row"), (9, None), (9, "")]
+    got = [(r.doc_id, r.text) for r in simhash.representatives(docs_of(spark, texts).repartition(3)).collect()]
+    fps = [slow_fingerprint(t) for _, t in texts]
+    part = slow_components([(k, f) for k, f in enumerate(fps)])
+    order = lambda k: (texts[k][0] is None, texts[k][0] or 0, hashlib.sha256((texts[k][1] or "").encode()).hexdigest())
+    want = [texts[min((k for k in range(len(texts)) if part[k] == c), key=order)] for c in set(part)]
+    view = lambda rows: sorted((repr(i), t or "") for i, t in rows)
+    assert view(got) == view(want) and len(got) == 7
+
+
 # --- 6: secrets -------------------------------------------------------------------------------------------------
 
 
