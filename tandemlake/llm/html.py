@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 from .common import empty_if_null, map_batches
 from .html_pages import NAMES, OPEN, SHUT, pages
 
-# HTML's elements without content, elements inside a line, those whose text is never shown as text, and what closes what.
+# HTML's elements without content, elements inside a line, those whose content is raw text and no part of the page, formulas and drawings, and what closes what.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-UNSEEN = frozenset("script style noscript template svg math iframe object canvas audio video title".split())
+INLINE = frozenset("a abbr acronym audio b bdi bdo big canvas cite code data del dfn em font i img ins kbd label mark math nobr noscript object q rp rt ruby s samp small span strike strong sub sup svg time tt u var video wbr".split())
+RAW = frozenset("script style iframe title".split())
+FOREIGN = frozenset("math svg".split())
 PHRASING_ENDS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
 SCOPES = frozenset("ul ol dl table select article section div body main aside nav form td th".split())
@@ -102,6 +103,15 @@ def blocks(page: str) -> list[Block]:
         in_link -= sum(t == "a" for t, _ in stack[i:])
         del stack[i:]
 
+    def foreign() -> int | None:
+        """The place of the innermost open formula or drawing, unless page content is open inside it."""
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] in FOREIGN:
+                return i
+            if stack[i][0] in ("foreignobject", "annotation-xml"):
+                return None
+        return None
+
     while at < n:
         m = _markup.search(page, at)
         raw = page[at : m.start()] if m else page[at:]
@@ -117,14 +127,21 @@ def blocks(page: str) -> list[Block]:
         close, start = m[1], m[2]
         if start:
             tag = start.lower()
-            if tag in UNSEEN:
+            if tag in RAW:
                 if not m[3].rstrip(">").endswith("/") or tag in ("script", "style", "title"):
                     end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(page, at)
                     at = end.end() if end else n
                 continue
-            if tag not in INLINE:
+            i = foreign()
+            if i is not None and (tag in PHRASING_ENDS or tag in SIBLINGS):
+                pop_to(i)  # no part of a formula or drawing, which is over or was never closed
+                i = None
+            inside = i is not None
+            if tag not in INLINE and not inside:
                 flush()
-            if tag in PHRASING_ENDS:
+            if inside:
+                pass
+            elif tag in PHRASING_ENDS:
                 for i in range(len(stack) - 1, -1, -1):  # an open paragraph ends here
                     if stack[i][0] == "p":
                         pop_to(i)
@@ -137,9 +154,9 @@ def blocks(page: str) -> list[Block]:
                         pop_to(i)
                     elif stack[i][0] in SCOPES:
                         break
-            if tag in VOID:
+            if tag in VOID or inside and m[3].rstrip(">").endswith("/"):
                 continue
-            kinds: frozenset[str] = frozenset()
+            kinds: frozenset[str] = frozenset({"hidden"} if tag == "template" else ())
             if "=" in m[3] or "hidden" in m[3]:
                 for name, a, b, c in _named.findall(m[3].rstrip(">")):
                     low, value = name.lower(), a or b or c
@@ -151,7 +168,7 @@ def blocks(page: str) -> list[Block]:
             in_link += tag == "a"
         elif close:
             tag = close.lower()
-            if tag not in INLINE:
+            if tag not in INLINE and (foreign() is None or tag not in (t for t, _ in stack[foreign() :])):
                 flush()
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:

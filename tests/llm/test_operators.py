@@ -447,6 +447,20 @@ def test_blocks_of_a_page():
     assert [b.text for b in html.blocks(page)] == ["a bc&d e", "f", "g", "h", "i", "j < k", "l", "m", "© n"]
 
 
+@pytest.mark.parametrize("tag", "noscript svg math object canvas audio video".split())
+def test_no_container_loses_the_article(tag):
+    assert html.trained().text(f"<html><body><article><{tag}>{SHORT}</article></body></html>") == html.trained().text(f"<html><body><article>{SHORT}</article></body></html>")
+    assert [b.text for b in html.blocks(f"<p>one <{tag}>two</{tag}> three</p><p>four")] == ["one two three", "four"]
+
+
+def test_formulas_and_drawings_stay():
+    math = "<p>So <math><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow></math> holds.</p>"
+    svg = "<p>See <svg viewBox='0 0 1 1'><title>no</title><g><path d='M0 0'/><text>a label</text></g></svg> here.</p>"
+    assert [b.text for b in html.blocks(math + svg + "<template><p>t</p></template><p>z")] == ["So x=2 holds.", "See a label here.", "t", "z"]
+    assert [b.text for b in html.blocks("<svg><g><text>a</text><p>b</p><ul><li>c</ul>")] == ["a", "b", "c"]
+    assert [b.text for b in html.blocks("<title>a<p>b")] == [b.text for b in html.blocks("<script>a")] == []
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "<!--", "</", "&", "<p>&am", "<script>", "<a href='", "plain"])
 def test_broken_pages(page):
     assert isinstance(html.trained().text(page), str)
