@@ -56,12 +56,15 @@ def features(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     i = 0
     while i < len(start):  # about a MB at a time
         j = max(i + 1, int(np.searchsorted(end, start[i] + (1 << 20), "right")))
-        part = CLASS_OF[data[start[i] : end[j - 1]]]
+        at, whole = np.cumsum(size[i:j]), data[start[i] : end[j - 1]]
+        if len(whole) > at[-1]:  # a sample of passages, with others between them
+            whole = np.concatenate([data[a:z] for a, z in zip(start[i:j].tolist(), end[i:j].tolist(), strict=True)])
+        part = CLASS_OF[whole]
         if len(part):
             code = part.astype(np.int64) << 4
             code[:-1] |= part[1:]
             full = size[i:j] > 0
-            code[(end[i:j] - start[i] - 1)[full]] |= OTHER  # the last byte's partner is in the next passage
+            code[(at - 1)[full]] |= OTHER  # the last byte's partner is in the next passage
             code += np.repeat(np.arange(j - i) << 8, size[i:j])
             counts = np.bincount(code, minlength=(j - i) << 8).reshape(-1, 256)
             out[i:j, :256] = np.sqrt(counts / np.maximum(1, size[i:j, None]))
@@ -146,12 +149,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     """A model from at most per_class labelled rows of each class outside the held-out fold (chosen by a hash of doc_id).
 
     Labels other than 0 and 1, and null ids, are ignored; a doc_id labelled twice has its larger label. Of documents
-    with the same doc_id each is a training row. Without labels, or with one class alone, the model is constant.
+    with the same doc_id the one of the least text hash is the training row. Without labels, or with one class alone, the model is constant.
     """
     known = labels.where("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     order = [F.xxhash64("doc_id"), "doc_id"]
     chosen = known.where("quality = 0").orderBy(*order).limit(per_class).unionByName(known.where("quality = 1").orderBy(*order).limit(per_class))
-    texts = ids_and_text(docs).join(F.broadcast(chosen), "doc_id")  # 2 x per_class rows of two numbers
+    texts = ids_and_text(docs).join(F.broadcast(chosen), "doc_id").withColumn("hash", F.sha2(F.col("text").cast("binary"), 256))  # 2 x per_class rows of two numbers
 
     def bags(batches):
         for b in batches:
@@ -160,9 +163,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
             pick = np.concatenate([np.zeros(0, np.int64), *(np.unique(np.linspace(a, z - 1, min(z - a, TRAIN_PASSAGES)).astype(np.int64)) for a, z in zip(limits.tolist(), limits[1:].tolist(), strict=False))])
             x = features(data, start[pick], end[pick])
             kept = np.searchsorted(pick, limits)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array([x[a:z].tobytes() for a, z in zip(kept.tolist(), kept[1:].tolist(), strict=False)], pa.binary())], ["doc_id", "quality", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), b.column("hash"), pa.array([x[a:z].tobytes() for a, z in zip(kept.tolist(), kept[1:].tolist(), strict=False)], pa.binary())], ["doc_id", "quality", "hash", "x"])
 
-    rows = sorted(map_batches(texts, bags, "doc_id bigint, quality int, x binary").limit(4 * per_class).collect(), key=lambda r: (r.doc_id, bytes(r.x)))
+    bag = map_batches(texts, bags, "doc_id bigint, quality int, hash string, x binary").groupBy("doc_id", "quality").agg(F.min_by("x", "hash").alias("x"))
+    rows = sorted(bag.collect(), key=lambda r: r.doc_id)  # 2 x per_class at most
     xs = [np.frombuffer(r.x, np.float32).reshape(-1, FEATURES) for r in rows]
     limits = np.concatenate([[0], np.cumsum([len(x) for x in xs], dtype=np.int64)])
     return train(np.concatenate(xs) if xs else np.zeros((0, FEATURES), np.float32), limits, np.array([r.quality for r in rows], np.float32))

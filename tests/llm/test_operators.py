@@ -432,6 +432,25 @@ def test_scores_do_not_depend_on_neighbours():
     assert np.array_equal(together, apart)
 
 
+def test_sampled_passages_have_their_own_features():
+    data, at = quality.utf8(pa.array(["".join(chr(97 + i * i % 23) for i in range(200_000)), "short"], pa.string()))
+    start, end, _ = quality.passages(at)
+    pick = np.array([0, 3, 4, 9, 40, len(start) - 1])
+    assert np.array_equal(quality.features(data, start[pick], end[pick]), quality.features(data, start, end)[pick])
+
+
+def test_one_training_row_of_each_id(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda x, limits, y: seen.append((x, limits.tolist(), y.tolist())))
+    ids = [i for i in range(1, 40) if zlib.crc32(str(i).encode()) % 5][:4]
+    labels = spark.createDataFrame([(i, k % 2, 0) for k, i in enumerate(ids)], "doc_id bigint, quality int, toxic int")
+    texts = [(ids[0], f"text {j}") for j in range(50)] + [(i, f"of {i}") for i in ids[1:]]
+    for rows in (texts, texts[::-1]):
+        quality.fit(docs_of(spark, rows).repartition(5), labels, per_class=2)
+    (x, limits, y), other = seen
+    assert limits == [0, 1, 2, 3, 4] and y == [0, 1, 0, 1] and np.array_equal(x, other[0])
+
+
 def test_quality_without_labels(spark, odd, empty):
     none = spark.createDataFrame([(1, None, None), (None, 1, 0), (2, 7, 0)], "doc_id bigint, quality int, toxic int")
     model = quality.fit(odd, none)
