@@ -21,7 +21,8 @@ from .sources.fasta import region
 
 UPPER, LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BASES, WITH_N = "ACGT" * 6 + "AC", "ACGT" * 6 + "AN"
-P = Params(k=12, window=200, band=2000, identity=86.0)
+P = Params(k=12, window=200, band=200_000, identity=86.0)
+NARROW = Params(k=12, window=200, band=2000, identity=86.0)  # for what goes from band to band: no document has two bands of P
 TOLERANCE = 2000
 CLASSES = {"even": ["B0", "b2", "B4", "b6"], "odd": ["b1", "B3", "B5", "B7"], "none": ["b99"]}
 
@@ -60,8 +61,8 @@ def hashes(spark, sf, k: int = P.k) -> DataFrame:
     return K.kmers(dna(spark, sf), k)
 
 
-def sets(spark, sf):
-    return ani.window_sets(K.kmers(dna(spark, sf), P.k, sketched=True), P)
+def sets(spark, sf, p: Params = P):
+    return ani.window_sets(K.kmers(dna(spark, sf), p.k, sketched=True), p)
 
 
 def scored(spark, sf) -> DataFrame:
@@ -100,7 +101,15 @@ def _kmers_sql(k: int, source: str = "dna", bases: str = "") -> str:
     return f"SELECT seq_id, pos, CASE WHEN regexp_matches(w, '[{K.AMBIGUOUS}]') THEN 0::INT ELSE least(hw, hr) END AS kmer FROM ({_murmur('(' + _murmur(both, 'w', k, 'hw') + ')', 'r', k, 'hr')})"
 
 
-W, H, BAND, M = P.window, P.interval, P.band, P.windows
+def _windowed_sql(p: Params) -> dict[str, str]:
+    return {
+        "banded": f"SELECT seq_id, kmer, pos // {p.band} AS band, pos % {p.band} AS local FROM sk UNION ALL SELECT seq_id, kmer, pos // {p.band} - 1, pos % {p.band} + {p.band} FROM sk WHERE pos >= {p.band} AND pos % {p.band} < {p.interval}",
+        "plain": f"SELECT DISTINCT seq_id, band, (local // {p.window})::INT AS win, kmer FROM banded WHERE local < {p.band}",
+        "wide": f"SELECT DISTINCT seq_id, band, win::INT AS win, kmer FROM (SELECT *, unnest(range(greatest(0, floor((local - {p.interval}) / {p.window})::BIGINT), least({p.windows - 1}, floor((local + {p.interval}) / {p.window})::BIGINT) + 1)) AS win FROM banded)",
+    }
+
+
+W, BAND = P.window, P.band
 CTE = {
     "dna": f"SELECT source AS file, doc_id AS seq_id, {_sql_bases()} AS seq FROM documents",
     "dnan": f"SELECT source AS file, doc_id AS seq_id, {_sql_bases(WITH_N)} AS seq FROM documents",
@@ -109,9 +118,7 @@ CTE = {
     "km": _kmers_sql(P.k),
     "dbk": f"SELECT DISTINCT class, kmer FROM (SELECT class, k.kmer FROM ({_kmers_sql(P.k, 'dbset')}) k JOIN dbset USING (seq_id)) WHERE kmer <> 0",
     "sk": "SELECT * FROM km WHERE kmer % 4 = 0 AND kmer <> 0",
-    "banded": f"SELECT seq_id, kmer, pos // {BAND} AS band, pos % {BAND} AS local FROM sk UNION ALL SELECT seq_id, kmer, pos // {BAND} - 1, pos % {BAND} + {BAND} FROM sk WHERE pos >= {BAND} AND pos % {BAND} < {H}",
-    "plain": f"SELECT DISTINCT seq_id, band, (local // {W})::INT AS win, kmer FROM banded WHERE local < {BAND}",
-    "wide": f"SELECT DISTINCT seq_id, band, win::INT AS win, kmer FROM (SELECT *, unnest(range(greatest(0, floor((local - {H}) / {W})::BIGINT), least({M - 1}, floor((local + {H}) / {W})::BIGINT) + 1)) AS win FROM banded)",
+    **_windowed_sql(P),
     "n": "SELECT seq_id, band, win, count(*) AS n FROM plain GROUP BY ALL",
     "shared": "SELECT seq_id, band, a.win AS i, b.win AS j, count(*) AS c FROM plain a JOIN wide b USING (seq_id, band, kmer) GROUP BY ALL",
     "allcells": f"SELECT seq_id, band, least(i, j) AS i, greatest(i, j) AS j, pow(max(c / n1.n), 1::DOUBLE / {P.k}) * 100 AS score FROM shared JOIN n n1 USING (seq_id, band) JOIN n n2 USING (seq_id, band) WHERE n1.win = i AND n2.win = j AND i <> j GROUP BY ALL",
@@ -132,7 +139,8 @@ CTE = {
 NEEDS = {"km": ["dna"], "dbk": ["dbset"], "sk": ["km"], "banded": ["sk"], "plain": ["banded"], "wide": ["banded"], "n": ["plain"], "shared": ["plain", "wide"], "allcells": ["shared", "n"], "cells": ["allcells"], "mirrored": ["cells"], "reached": ["mirrored"], "rows_": ["reached"], "runs": ["mirrored"], "attached": ["runs"], "qk": ["km"], "ranked": ["qk", "dbk"], "hist": ["km"], "core": ["km"], "chunks": ["km", "core"]}
 
 
-def _with(names: str, select: str) -> str:
+def _with(names: str, select: str, p: Params = P) -> str:
+    cte = CTE | _windowed_sql(p)
     order: list[str] = []
 
     def add(name: str) -> None:
@@ -143,7 +151,7 @@ def _with(names: str, select: str) -> str:
 
     for name in names.split():
         add(name)
-    return "WITH " + ", ".join(f"{n} AS MATERIALIZED ({CTE[n]})" for n in order) + " " + select
+    return "WITH " + ", ".join(f"{n} AS MATERIALIZED ({cte[n]})" for n in order) + " " + select
 
 
 # --- sequences and k-mers --------------------------------------------------------------------------------------
@@ -263,10 +271,10 @@ SQL["kmer_sketch_mod4"] = _with("sk", "SELECT seq_id, count(*) AS n, count(DISTI
 
 @query
 def band_assignment(spark, sf):
-    return windows.banded(K.sketch(hashes(spark, sf)), P).groupBy("seq_id", "band").agg(F.count("*").alias("n"), F.max("local").alias("last"))
+    return windows.banded(K.sketch(hashes(spark, sf)), NARROW).groupBy("seq_id", "band").agg(F.count("*").alias("n"), F.max("local").alias("last"))
 
 
-SQL["band_assignment"] = _with("banded", "SELECT seq_id, band, count(*) AS n, max(local) AS last FROM banded GROUP BY ALL")
+SQL["band_assignment"] = _with("banded", "SELECT seq_id, band, count(*) AS n, max(local) AS last FROM banded GROUP BY ALL", NARROW)
 _SET = "SELECT seq_id, band, win, count(*) AS n, sum(kmer)::BIGINT AS total FROM {} GROUP BY ALL"
 
 
@@ -276,16 +284,16 @@ def _set(df: DataFrame) -> DataFrame:
 
 @query
 def tumbling_window_sets(spark, sf):
-    return _set(sets(spark, sf)[0])
+    return _set(sets(spark, sf, NARROW)[0])
 
 
 @query
 def hopping_window_sets(spark, sf):
-    return _set(sets(spark, sf)[1])
+    return _set(sets(spark, sf, NARROW)[1])
 
 
-SQL["tumbling_window_sets"] = _with("plain", _SET.format("plain"))
-SQL["hopping_window_sets"] = _with("wide", _SET.format("wide"))
+SQL["tumbling_window_sets"] = _with("plain", _SET.format("plain"), NARROW)
+SQL["hopping_window_sets"] = _with("wide", _SET.format("wide"), NARROW)
 
 
 @query
@@ -329,7 +337,7 @@ SQL["ani_matrix_threshold"] = _with("cells", _ROUNDED.format("cells"))
 
 @query
 def ani_cross_band(spark, sf):
-    plain, wide = sets(spark, sf)
+    plain, wide = sets(spark, sf, NARROW)
     return _rounded(ani.cross_band(plain, wide, P.k))
 
 
@@ -343,6 +351,7 @@ SQL["ani_cross_band"] = _with(
           JOIN n ON n.seq_id = a.seq_id AND n.band = a.band AND n.win = a.win GROUP BY ALL) s
       WHERE EXISTS (FROM n WHERE n.seq_id = s.seq_id AND n.band = s.band AND n.win = s.i) AND EXISTS (FROM n WHERE n.seq_id = s.seq_id AND n.band = s.band - 1 AND n.win = s.j)
       GROUP BY seq_id, band, i, j""",
+    NARROW,
 )
 
 

@@ -32,3 +32,10 @@ def test_query(spark, con, name):
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["seq_id", "start", "end", "refined", "name"]
+
+
+def test_windows_of_a_whole_document_meet(spark):
+    p = entry.own.P
+    assert p.windows == 1000 and entry.own.NARROW.windows == 10
+    far = entry.queries()["ani_matrix"](spark, SF).where("j - i >= 10").count()
+    assert far > 0 and entry.queries()["ani_cross_band"](spark, SF).count() > 0
