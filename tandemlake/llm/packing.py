@@ -66,10 +66,11 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = SEPAR
     return got if with_ids else got.drop("ids")
 
 
-def sequences(pieces: DataFrame, width: int = 2, length: int = LENGTH, pad: int = 0) -> DataFrame:
+def sequences(pieces: DataFrame, length: int = LENGTH, pad: int = 0) -> DataFrame:
     """The sequences themselves: sequence_id, n_ids, ids (array<int>), and boundaries (doc_id, start, offset, length).
 
-    At most `length` ids meet in a group. A short sequence is padded to `length` unless its size is a power of two.
+    pieces: pack's rows with their ids, whose width (2 or 4 bytes) a piece's length tells. At most `length` ids meet in a
+    group. A short sequence is padded to `length` unless its size is a power of two. No pieces give no sequences.
     """
     laid = pieces.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "length", "doc_id", "start", "ids"))).alias("p"))
 
@@ -77,12 +78,10 @@ def sequences(pieces: DataFrame, width: int = 2, length: int = LENGTH, pad: int
         for b in batches:
             n, ids = [], []
             for p in b.column("p").to_pylist():
-                x = np.frombuffer(b"".join(q["ids"] for q in p), f"<u{width}").astype(np.int32)
+                x = np.concatenate([np.frombuffer(q["ids"], f"<u{len(q['ids']) // q['length']}") for q in p]).astype(np.int32)
                 n.append(len(x))
                 ids.append(x if len(x) & (len(x) - 1) == 0 else np.pad(x, (0, length - len(x)), constant_values=pad))
             yield pa.RecordBatch.from_arrays([b.column("sequence_id"), pa.array(n, pa.int32()), pa.array(ids, pa.list_(pa.int32())), b.column("boundaries")], ["sequence_id", "n_ids", "ids", "boundaries"])
 
     cols = laid.select("sequence_id", "p", F.expr("transform(p, x -> struct(x.doc_id, x.start, x.offset, x.length))").alias("boundaries"))
     return map_batches(cols, joined, "sequence_id bigint, n_ids int, ids array<int>, boundaries array<struct<doc_id:bigint,start:bigint,offset:bigint,length:bigint>>")
-
-

@@ -4,7 +4,8 @@ Byte-level BPE never merges across the pieces that its split pattern makes, so t
 pieces in order. Most of a corpus's pieces repeat. Each batch is split at spaces and dictionary-encoded by Arrow;
 only its distinct words are looked up, in a bounded memo, and only unknown pieces reach the library's model.
 A text whose split at spaces may differ from the pattern's (runs of white space, unusual characters), and every text
-of a tokenizer of another kind, is encoded whole by the library.
+of a tokenizer of another kind, is encoded whole by the library; so is a text that holds the string of an added token,
+which the library reads as that token.
 """
 
 from __future__ import annotations
@@ -64,7 +65,8 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # the strings of special tokens in a text are ordinary text
+        added = [re.escape(t["content"]) for t in made.get("added_tokens") or []]
+        self.added = re.compile("|".join(added) or r"(?!)")
         self.vocab = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.code, self.dtype = ("H", np.dtype("<u2")) if self.vocab <= 1 << 16 else ("I", np.dtype("<u4"))
         split = made.get("pre_tokenizer") or {}
@@ -93,7 +95,7 @@ class Encoder:
         if column.null_count:
             column = column.fill_null("")
         n = len(column)
-        alone = np.fromiter((not self.by_piece or odd(s) for s in column.to_pylist()), bool, n)
+        alone = np.fromiter((not self.by_piece or odd(s) or bool(self.added.search(s)) for s in column.to_pylist()), bool, n)
         plain = column.filter(pa.array(~alone)) if alone.any() else column
         flat, lens, limits = self._split(plain)
         if alone.any():
