@@ -3,7 +3,10 @@
 A document is a bag of passages. Each passage is encoded (byte-class bigrams and how well it compresses, through a
 tanh layer), gated attention gives each a weight (softmax over the document of w . tanh(V h) * sigmoid(U h)), and the
 weighted mean of the encodings is scored by a logistic unit. Only documents have labels; the attention learns which
-passages speak for them. Scoring reads whole texts and sees nothing but the text.
+passages speak for them. Training and scoring read whole texts, every passage of them, and see nothing but the text.
+
+The training bags stay on the executors: each step of Adam is a Spark job that sums the gradients of all bags, so the
+driver holds weights and sums alone, however long the labelled texts are.
 """
 
 from __future__ import annotations
@@ -16,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_and_text, map_batches, utf8
+from .common import ids_and_text, map_batches, utf8, written
 
 PASSAGE = 4096  # bytes
-#: Training takes at most so many labelled documents of each class, and so many passages, evenly spread, of each of those.
-PER_CLASS, TRAIN_PASSAGES = 1500, 32
-HIDDEN, GATE, STEPS, RATE, DECAY, SEED = 24, 12, 250, 0.02, 1e-4, 7
+#: Training takes at most so many labelled documents of each class, whole.
+PER_CLASS = 1500
+HIDDEN, GATE, STEPS, RATE, DECAY, SEED = 24, 12, 120, 0.04, 1e-4, 7
 FOLDS, THRESHOLD = 5, 0.3
 
 CLASSES = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n\r", ".", ",", "!?", ":;", "'\"`", "()[]{}", "|", "#$%&*@^~=+<>\\/_-"]
@@ -56,10 +59,7 @@ def features(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     i = 0
     while i < len(start):  # about a MB at a time
         j = max(i + 1, int(np.searchsorted(end, start[i] + (1 << 20), "right")))
-        at, whole = np.cumsum(size[i:j]), data[start[i] : end[j - 1]]
-        if len(whole) > at[-1]:  # a sample of passages, with others between them
-            whole = np.concatenate([data[a:z] for a, z in zip(start[i:j].tolist(), end[i:j].tolist(), strict=True)])
-        part = CLASS_OF[whole]
+        at, part = np.cumsum(size[i:j]), CLASS_OF[data[start[i] : end[j - 1]]]
         if len(part):
             code = part.astype(np.int64) << 4
             code[:-1] |= part[1:]
@@ -121,24 +121,56 @@ def gradients(w, x, limits, y, weight):
     return {"W": x.T @ dx, "b": dx.sum(0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ da, "c": f["z"].T @ dz_, "d": dz_.sum()[None]}
 
 
-def train(x: np.ndarray, limits: np.ndarray, y: np.ndarray) -> Model:
-    """Adam on the whole sample; classes weigh alike."""
-    if not len(y) or y.min() == y.max():
-        return Model(None, prior=float(y.mean()) if len(y) else 0.5)
-    mean, scale = x.mean(0), x.std(0) + 0.01
-    x = ((x - mean) / scale).astype(np.float32)
+def start() -> dict[str, np.ndarray]:
     rng = np.random.default_rng(SEED)
-    w = {"W": rng.normal(0, FEATURES**-0.5, (FEATURES, HIDDEN)), "b": np.zeros(HIDDEN), "V": rng.normal(0, HIDDEN**-0.5, (HIDDEN, GATE)), "U": rng.normal(0, HIDDEN**-0.5, (HIDDEN, GATE)), "w": rng.normal(0, GATE**-0.5, GATE), "c": rng.normal(0, HIDDEN**-0.5, HIDDEN), "d": np.zeros(1)}
-    w = {k: v.astype(np.float32) for k, v in w.items()}
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())).astype(np.float32)
+    normal = lambda rows, *shape: rng.normal(0, rows**-0.5, (rows, *shape))
+    return {"W": normal(FEATURES, HIDDEN), "b": np.zeros(HIDDEN), "V": normal(HIDDEN, GATE), "U": normal(HIDDEN, GATE), "w": normal(GATE), "c": normal(HIDDEN), "d": np.zeros(1)}
+
+
+def summed(bags: DataFrame, f) -> dict[str, np.ndarray]:
+    """f(x, limits, y), a dict of arrays, of each batch of bags, summed over the executors; {} without bags."""
+
+    def run(batches):
+        total: dict[str, np.ndarray] = {}
+        for b in batches:
+            if b.num_rows:
+                raw, at = utf8(b.column("x"))
+                x = np.frombuffer(raw.tobytes(), np.float32).reshape(-1, FEATURES)
+                for k, v in f(x, at // (4 * FEATURES), np.asarray(b.column("quality")).astype(np.float32)).items():
+                    total[k] = total[k] + v if k in total else np.asarray(v, np.float64)
+        keys = list(total)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([list(total[k].shape) for k in keys], pa.list_(pa.int32())), pa.array([total[k].tobytes() for k in keys], pa.binary())], ["k", "shape", "v"])
+
+    out: dict[str, np.ndarray] = {}
+    for r in map_batches(bags, run, "k string, shape array<int>, v binary").collect():  # a few thousand weights a task
+        v = np.frombuffer(r.v, np.float64).reshape(r.shape)
+        out[r.k] = out[r.k] + v if r.k in out else v
+    return out
+
+
+def moments(x, limits, y):
+    wide = x.astype(np.float64)
+    return {"n": [len(x)], "sum": wide.sum(0), "squares": (wide * wide).sum(0), "labels": [(y == 0).sum(), (y == 1).sum()]}
+
+
+def train(bags: DataFrame) -> Model:
+    """Adam on all bags (quality, x: a row of float32 features a passage) at every step; classes weigh alike. One class alone, or none, gives a constant."""
+    m = summed(bags, moments)
+    if not m or not m["labels"].all():
+        return Model(None, prior=float(m["labels"][1] > 0) if m else 0.5)
+    mean = m["sum"] / m["n"]
+    scale = np.sqrt(np.maximum(0, m["squares"] / m["n"] - mean * mean)) + 0.01
+    mean, scale, share = mean.astype(np.float32), scale.astype(np.float32), (0.5 / m["labels"]).astype(np.float32)
+    w = start()
     m, v = ({k: np.zeros_like(a) for k, a in w.items()} for _ in range(2))
     for step in range(1, STEPS + 1):
-        for k, grad in gradients(w, x, limits, y, weight).items():
+        now = {k: a.astype(np.float32) for k, a in w.items()}
+        for k, grad in summed(bags, lambda x, limits, y, now=now: gradients(now, (x - mean) / scale, limits, y, share[y.astype(np.int64)])).items():
             grad = grad + DECAY * w[k]
             m[k] = 0.9 * m[k] + 0.1 * grad
             v[k] = 0.999 * v[k] + 0.001 * grad * grad
-            w[k] = (w[k] - RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-    return Model(w, mean.astype(np.float32), scale.astype(np.float32))
+            w[k] = w[k] - RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+    return Model({k: a.astype(np.float32) for k, a in w.items()}, mean, scale)
 
 
 def held_out():
@@ -149,27 +181,24 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     """A model from at most per_class labelled rows of each class outside the held-out fold (chosen by a hash of doc_id).
 
     Labels other than 0 and 1, and null ids, are ignored; a doc_id labelled twice has its larger label. Of documents
-    with the same doc_id the one of the least text hash is the training row. Without labels, or with one class alone, the model is constant.
+    with the same doc_id the one of the least text hash is the training row, read whole; a null text is an empty one.
+    Without labels, with one class alone, or without documents, the model is constant.
     """
     known = labels.where("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     order = [F.xxhash64("doc_id"), "doc_id"]
     chosen = known.where("quality = 0").orderBy(*order).limit(per_class).unionByName(known.where("quality = 1").orderBy(*order).limit(per_class))
-    texts = ids_and_text(docs).join(F.broadcast(chosen), "doc_id").withColumn("hash", F.sha2(F.col("text").cast("binary"), 256))  # 2 x per_class rows of two numbers
+    texts = ids_and_text(docs).join(F.broadcast(chosen), "doc_id")  # 2 x per_class rows of two numbers
+    rows = texts.groupBy("doc_id", "quality").agg(F.min_by("text", F.sha2(F.col("text").cast("binary"), 256)).alias("text"))
 
     def bags(batches):
         for b in batches:
             data, at = utf8(b.column("text"))
-            start, end, limits = passages(at)
-            pick = np.concatenate([np.zeros(0, np.int64), *(np.unique(np.linspace(a, z - 1, min(z - a, TRAIN_PASSAGES)).astype(np.int64)) for a, z in zip(limits.tolist(), limits[1:].tolist(), strict=False))])
-            x = features(data, start[pick], end[pick])
-            kept = np.searchsorted(pick, limits)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), b.column("hash"), pa.array([x[a:z].tobytes() for a, z in zip(kept.tolist(), kept[1:].tolist(), strict=False)], pa.binary())], ["doc_id", "quality", "hash", "x"])
+            begin, end, limits = passages(at)
+            x = features(data, begin, end)
+            cuts = pa.array(limits * (4 * FEATURES), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.Array.from_buffers(pa.large_binary(), b.num_rows, [None, cuts.buffers()[1], pa.py_buffer(x)]).cast(pa.binary())], ["doc_id", "quality", "x"])
 
-    bag = map_batches(texts, bags, "doc_id bigint, quality int, hash string, x binary").groupBy("doc_id", "quality").agg(F.min_by("x", "hash").alias("x"))
-    rows = sorted(bag.collect(), key=lambda r: r.doc_id)  # 2 x per_class at most
-    xs = [np.frombuffer(r.x, np.float32).reshape(-1, FEATURES) for r in rows]
-    limits = np.concatenate([[0], np.cumsum([len(x) for x in xs], dtype=np.int64)])
-    return train(np.concatenate(xs) if xs else np.zeros((0, FEATURES), np.float32), limits, np.array([r.quality for r in rows], np.float32))
+    return train(written(map_batches(rows, bags, "doc_id bigint, quality int, x binary"), "bags"))
 
 
 def _scores(model: Model, texts: pa.Array) -> np.ndarray:
@@ -191,7 +220,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def kept(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that score threshold or more, with all their columns."""
+    """The rows of docs that score threshold or more, with all their columns.
+
+    Null and empty texts are scored as an empty passage; repeated rows and ids are judged each; no rows give no rows.
+    """
 
     def run(batches):
         for b in batches:
