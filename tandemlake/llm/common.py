@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -9,8 +10,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pfs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -82,6 +85,77 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
+ROW = "struct<file:string,at:bigint>"
+
+
+def with_row(docs: DataFrame, stored: bool = False) -> tuple[DataFrame, str]:
+    """docs with a column of type ROW that tells its rows apart, and that column's name.
+
+    stored: docs is a table as read from Parquet files, whose rows are known by file and place in it. Any other table is
+    written first, so that its rows are the same ones whenever they are read again.
+    """
+    name = fresh(docs, "_row")
+    if stored:
+        return docs.withColumn(name, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))), name
+    row = F.struct(F.spark_partition_id().cast("string").alias("file"), F.monotonically_increasing_id().alias("at"))
+    return written(docs.withColumn(name, row), "rows"), name
+
+
+def without_rows(rows: DataFrame, name: str, gone: DataFrame) -> DataFrame:
+    """The rows of with_row's table whose row isn't in gone (file, at), and without that column.
+
+    Neither texts nor a table of ids meet in one place: ids are written by file, and a task reads those of its own files.
+    """
+    folder = scratch(rows.sparkSession, "gone")
+    path = lambda root, file: f"{root}/{hashlib.sha256(file.encode()).hexdigest()}"
+
+    def put(batches):
+        fs, root = pfs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        now, parts, attempt = None, [], TaskContext.get().taskAttemptId()
+
+        def close():
+            if now is not None:
+                mine = f"{path(root, now)}.attempt-{attempt}"
+                with fs.open_output_stream(mine) as f:
+                    for p in parts:
+                        f.write(p)
+                settle(fs, mine, path(root, now))
+
+        for b in batches:
+            file, at = b.column("file").to_pylist(), np.asarray(b.column("at")).astype("<i8")
+            cuts = [0, *(i for i in range(1, len(file)) if file[i] != file[i - 1]), len(file)]
+            for x, z in zip(cuts, cuts[1:], strict=False):
+                if x < z and file[x] != now:
+                    close()
+                    now, parts = file[x], []
+                parts.append(at[x:z].tobytes())
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([0])], ["n"])
+
+    cut(map_batches(gone.select("file", "at").repartition("file").sortWithinPartitions("file", "at"), put, "n bigint"))
+    columns = [c for c in rows.columns if c != name]
+
+    def keep(batches):
+        fs, root = pfs.FileSystem.from_uri(folder)
+        now, ids = None, np.zeros(0, np.int64)
+        for b in batches:
+            row = b.column(name)
+            coded = row.field("file").dictionary_encode()
+            code, at, stays = np.asarray(coded.indices), np.asarray(row.field("at")), np.ones(b.num_rows, bool)
+            for k, file in enumerate(coded.dictionary.to_pylist()):
+                if file != now:
+                    now, ids = file, np.zeros(0, np.int64)
+                    if fs.get_file_info(path(root, file)).type == pfs.FileType.File:
+                        with fs.open_input_stream(path(root, file)) as f:
+                            ids = np.frombuffer(f.read(), "<i8")
+                mine = np.nonzero(code == k)[0]
+                stays[mine] = ~np.isin(at[mine], ids)
+            yield b.select(columns).filter(pa.array(stays))
+
+    return map_batches(rows, keep, T.StructType([f for f in rows.schema.fields if f.name != name]))
+
+
 def empty_if_null(name: str):
     return F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name)
 

@@ -1,9 +1,10 @@
 """Exact dedup by progressive refinement.
 
-Rows are grouped by length, within a length by a hash of the text's first characters, and only rows whose group still
-has two members have their whole text hashed. The two first steps are one count of small keys (length, prefix hash).
-Which groups survive is handed to the second scan as a bitmap of fixed size, so no text is ever shuffled; two keys
-that share a bit cost a hash that wasn't needed, nothing else. Groups of equal full hashes are the result.
+Rows are grouped by length; those that share one, by a hash of the text's first characters too; and only rows whose
+group still has two members have their whole text hashed. Which lengths are shared is a small table (a row a distinct
+length). Which groups survive the second step is handed to the last scan as a bitmap of fixed size, so no text is ever
+shuffled; two keys that share a bit cost a hash that wasn't needed, nothing else. Groups of equal full hashes are the
+result.
 
 Texts are equal when they are identical after lower-casing A-Z. Null counts as the empty text.
 """
@@ -14,13 +15,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, cut, fresh, ids_and_text, map_batches, utf8
+from .common import LOWER, ROW, UPPER, cut, empty_if_null, ids_and_text, map_batches, utf8, with_row, without_rows
 
 PREFIX, BITS = 64, 1 << 24
+FEW = 1 << 20  # distinct lengths that are broadcast
 
 
 def lowered(c: Column) -> Column:
@@ -29,33 +30,39 @@ def lowered(c: Column) -> Column:
 
 def survivors(docs: DataFrame, prefix: int, bits: int) -> np.ndarray:
     """One bit for each (length, prefix hash) that two rows share; `bits` / 64 rows at most reach the driver."""
-    keys = docs.select(F.octet_length("text").alias("len"), F.xxhash64(lowered(F.substring("text", 1, prefix))).alias("pre"))
-    shared = keys.groupBy("len", "pre").agg(F.count("*").alias("n")).where("n > 1").select(F.pmod(F.xxhash64("len", "pre"), F.lit(bits)).alias("bit"))
-    words = shared.groupBy(F.expr("bit div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("b")).collect()
+    length = F.octet_length("text").alias("len")
+    shared = cut(docs.select(length).groupBy("len").agg(F.count("*").alias("n")).where("n > 1").select("len"))
+    shared = F.broadcast(shared) if shared.count() <= FEW else shared  # beyond that Spark sorts both sides
+    keys = docs.select(length, F.substring("text", 1, prefix).alias("pre")).join(shared, "len", "left_semi").select("len", F.xxhash64(lowered(F.col("pre"))).alias("pre"))
+    twice = keys.groupBy("len", "pre").agg(F.count("*").alias("n")).where("n > 1").select(F.pmod(F.xxhash64("len", "pre"), F.lit(bits)).alias("bit"))
+    words = twice.groupBy(F.expr("bit div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("b")).collect()
     out = np.zeros(bits // 64, np.int64)
     for r in words:
         out[r.word] = r.b
     return out
 
 
-def hashes(docs: DataFrame, prefix: int = PREFIX, bits: int = BITS, all_rows: bool = False) -> DataFrame:
-    """uid (of the row), doc_id, survived, sha (binary; null for rows that didn't survive, unless all_rows)."""
-    rows = ids_and_text(docs)
-    bitmap = rows.sparkSession.sparkContext.broadcast(survivors(rows, prefix, bits))
+def hashes(docs: DataFrame, prefix: int = PREFIX, bits: int = BITS, all_rows: bool = False, row: str | None = None) -> DataFrame:
+    """row, doc_id, survived, sha (binary; null for rows that didn't survive, unless all_rows).
+
+    row (of type ROW) is docs' column of that name, or else a number of each row's own.
+    """
+    name = F.col(row) if row else F.struct(F.spark_partition_id().cast("string").alias("file"), F.monotonically_increasing_id().alias("at"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), empty_if_null("text"), name.alias("row"))
+    bitmap = rows.sparkSession.sparkContext.broadcast(survivors(ids_and_text(docs), prefix, bits))
     keyed = rows.withColumn("bit", F.pmod(F.xxhash64(F.octet_length("text"), F.xxhash64(lowered(F.substring("text", 1, prefix)))), F.lit(bits)))
 
     def full(batches):
-        uid, kept = TaskContext.get().partitionId() << 33, bitmap.value
+        kept = bitmap.value
         for b in batches:
             bit = np.asarray(b.column("bit"))
             alive = (kept[bit // 64] >> (bit % 64)) & 1 == 1
             data, at = utf8(b.column("text"))
             raw, at = memoryview(data), at.tolist()
             sha = [hashlib.sha256(bytes(raw[x:y]).lower()).digest() if all_rows or a else None for x, y, a in zip(at, at[1:], alive.tolist(), strict=False)]  # bytes.lower() lowers A-Z only
-            yield pa.RecordBatch.from_arrays([pa.array(uid + np.arange(b.num_rows)), b.column("doc_id"), pa.array(alive), pa.array(sha, pa.binary())], ["uid", "doc_id", "survived", "sha"])
-            uid += b.num_rows
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(alive), pa.array(sha, pa.binary())], ["row", "doc_id", "survived", "sha"])
 
-    return cut(map_batches(keyed, full, "uid bigint, doc_id bigint, survived boolean, sha binary"))
+    return cut(map_batches(keyed, full, f"row {ROW}, doc_id bigint, survived boolean, sha binary"))
 
 
 def exact_dedup(docs: DataFrame, prefix: int = PREFIX, bits: int = BITS, all_hashes: bool = False) -> DataFrame:
@@ -66,25 +73,31 @@ def exact_dedup(docs: DataFrame, prefix: int = PREFIX, bits: int = BITS, all_has
     where the whole group has none. sha is null for texts that were told apart before their full hash was needed,
     unless all_hashes. Other columns are ignored. No rows give no rows.
     """
-    h = hashes(docs, prefix, bits, all_hashes)
-    own = F.struct(F.col("doc_id"), F.col("uid"))
+    return decided(hashes(docs, prefix, bits, all_hashes)).select("doc_id", "keep_id", "group_size", "kept", "sha")
+
+
+def decided(h: DataFrame) -> DataFrame:
+    """row, doc_id, keep_id, group_size, kept, sha of hashes' rows."""
+    own = F.struct(F.col("doc_id"), F.col("row"))
     groups = h.where("survived").groupBy("sha").agg(F.max(own).alias("best"), F.count("*").alias("group_size")).where("group_size > 1")
     groups = cut(groups)  # so that the join stands on exchanges of its own, whose large partitions Spark splits
     found = h.where("survived").join(groups, "sha", "left")
-    alone = h.where("not survived").withColumns({"best": F.lit(None).cast("struct<doc_id:bigint,uid:bigint>"), "group_size": F.lit(None).cast("bigint")})
+    alone = h.where("not survived").withColumns({"best": F.lit(None).cast(f"struct<doc_id:bigint,row:{ROW}>"), "group_size": F.lit(None).cast("bigint")})
     return found.unionByName(alone).select(
+        "row",
         "doc_id",
         F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("bigint")).alias("group_size"),
-        (F.col("best").isNull() | (F.col("best.uid") == F.col("uid"))).alias("kept"),
+        (F.col("best").isNull() | (F.col("best.row") == F.col("row"))).alias("kept"),
         "sha",
     )
 
 
-def without_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns; of rows with equal doc_id and equal text, one."""
-    name = fresh(docs, "_key")
-    key = lambda doc, sha: F.concat_ws(":", F.coalesce(doc.cast("string"), F.lit("null")), sha).alias(name)
-    gone = exact_dedup(docs).where("not kept and not doc_id <=> keep_id").select(key(F.col("doc_id"), F.lower(F.hex("sha")))).distinct()
-    keyed = docs.select("*", key(docs["doc_id"], F.sha2(lowered(F.coalesce(docs["text"], F.lit(""))).cast("binary"), 256)))
-    return keyed.join(gone, name, "left_anti").dropDuplicates([name]).select(*docs.columns)
+def without_copies(docs: DataFrame, stored: bool = False) -> DataFrame:
+    """The rows of docs that stay, with all their columns: of each group of equal texts the row that exact_dedup keeps.
+
+    Of rows with equal doc_id and text, whatever their other columns hold, the last in place stays. See with_row on
+    `stored`. No rows give no rows.
+    """
+    docs, name = with_row(docs, stored)
+    return without_rows(docs, name, decided(hashes(docs, row=name)).where("not kept").select("row.*"))

@@ -14,6 +14,7 @@ Components are found by alternating star steps over fingerprints.
 
 from __future__ import annotations
 
+import hashlib
 from itertools import repeat
 
 import numpy as np
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, ids_and_text, map_batches, utf8
+from .common import ROW, cut, empty_if_null, ids_and_text, map_batches, utf8, with_row, without_rows
 from .components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -44,24 +45,19 @@ def fingerprint(text: bytes, words: int = SHINGLE, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(raw)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE, seed: int = SEED, keyed: bool = False) -> DataFrame:
-    """doc_id and fp (bigint with the fingerprint's 64 bits) of each row, if keyed also its row_key. Null and empty texts: 0."""
+def fingerprints(docs: DataFrame, words: int = SHINGLE, seed: int = SEED, row: str | None = None) -> DataFrame:
+    """doc_id and fp (bigint with the fingerprint's 64 bits) of each row; of rows named by column `row`, also row and sha (of the text). Null and empty texts: 0."""
 
     def f(batches):
         for b in batches:
             data, at = utf8(b.column("text"))
             raw, at = data.tobytes(), at.tolist()
             fp = np.fromiter((fingerprint(raw[x:y], words, seed) for x, y in zip(at, at[1:], strict=False)), np.uint64, b.num_rows)
-            key = [b.column("key")] if keyed else []
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64)), *key], ["doc_id", "fp", "key"][: 2 + keyed])
+            own = [b.column("row"), pa.array([hashlib.sha256(raw[x:y]).digest() for x, y in zip(at, at[1:], strict=False)], pa.binary())] if row else []
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64)), *own], ["doc_id", "fp", "row", "sha"][: 2 + len(own)])
 
-    rows = ids_and_text(docs)
-    return cut(map_batches(rows.withColumn("key", row_key()) if keyed else rows, f, "doc_id bigint, fp bigint" + ", key string" * keyed))
-
-
-def row_key():
-    """What tells rows apart: doc_id and a hash of the text, null counted as empty."""
-    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("bigint").cast("string"), F.lit("null")), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256))
+    rows = ids_and_text(docs) if row is None else docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), empty_if_null("text"), F.col(row).alias("row"))
+    return cut(map_batches(rows, f, "doc_id bigint, fp bigint" + f", row {ROW}, sha binary" * bool(row)))
 
 
 def masks(radius: int = RADIUS) -> list[int]:
@@ -104,7 +100,8 @@ def joined(g: np.ndarray, flips: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def links(fps: DataFrame, local: int = LOCAL) -> DataFrame:
     """Edges (a, b) between distinct fingerprints within RADIUS (2) bits, enough of them to join all that are linked.
 
-    Buckets of up to `local` fingerprints (8 bytes each) are joined in one task; larger ones are dealt out by z.
+    Buckets of up to `local` fingerprints (8 bytes each) are joined in one task; larger ones are dealt out by z. Both ways
+    join the same fingerprints, so `local` bounds a task's memory and changes no result.
     """
     tables = masks(RADIUS)
     flip = [[0, *(signed(1 << i) for i in range(64) if not m >> i & 1)] for m in tables]
@@ -144,7 +141,8 @@ def _named(rows: DataFrame) -> DataFrame:
     fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = cut(components(links(fps)))
     rooted = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted = cut(rooted)
+    ids = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))  # so that the join stands on exchanges of its own
     return rooted.join(ids, "root").select("fp", "root", "component_id")
 
 
@@ -152,25 +150,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable over links, itself included).
 
     Rows with a null doc_id take part in links; component_id is null only where a component has no doc_id at all.
-    Repeated doc_ids give a row each. Other columns are ignored. No rows give no rows.
+    Repeated doc_ids give a row each. Other columns are ignored. Texts of any length are read whole. No rows give no rows.
     """
     rows = fingerprints(docs)
     return rows.join(_named(rows), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame) -> DataFrame:
+def representatives(docs: DataFrame, stored: bool = False) -> DataFrame:
     """One row of each component, with all columns of docs: that of the smallest doc_id, of several the least text hash.
 
-    Rows are told apart by doc_id and text, so a null or repeated doc_id takes no other row with it; where a component
-    has no doc_id at all, the least text hash decides. Of rows equal in both, one stays. Null texts count as empty.
+    Rows are told apart by where they stand (see with_row, also on `stored`), so a null or repeated doc_id takes no other
+    row with it; a null doc_id counts as larger than any other. Of rows equal in doc_id and text, the first in place
+    stays, whatever its other columns hold. Null texts count as empty. No rows give no rows.
     """
-    name = fresh(docs, "_key")
-    rows = fingerprints(docs, keyed=True)
-    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    found = cut(rows.join(_named(rows).select("fp", "root"), "fp").groupBy("root", "doc_id", "key").agg(F.count("*").alias("n")))
-    best = found.groupBy("root").agg(F.min(own).alias("best"))
-    gone = found.join(best, "root").where("key <> best.key").select(F.col("key").alias(name))
-    rest = docs.withColumn(name, row_key()).join(gone, name, "left_anti")
-    if not found.where("n > 1").isEmpty():
-        rest = rest.dropDuplicates([name])
-    return rest.select(*docs.columns)
+    docs, name = with_row(docs, stored)
+    rows = fingerprints(docs, row=name)
+    found = cut(rows.join(_named(rows).select("fp", "root"), "fp").select("root", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha", "row").alias("own")))
+    best = cut(found.groupBy("root").agg(F.min("own").alias("best")))
+    return without_rows(docs, name, found.join(best, "root").where("own <> best").select("own.row.*"))
