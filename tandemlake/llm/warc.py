@@ -2,9 +2,10 @@
 
 Pages are written as gzip WARC files, a member a record, with an index of records and their byte ranges. A leaf of a
 file's tree hashes a record's place and stored bytes; FAN nodes in order have a parent, up to the file's root, and
-files' roots go on in the same way up to one root for the replica. Two replicas are compared from the root down: a
-level's nodes are looked at only below a parent that differs, so what is equal is never descended into, and what
-differs at the bottom are the damaged records. Ranges come from the index, so no damage can mislead a parser.
+files' roots go on in the same way up to one root for the replica. A replica's nodes are written by level; the lowest
+levels are hashed in the pass that reads the bytes. Two replicas are compared from the root down: equal roots end it,
+and else only the children of nodes that differ are read and compared, level by level. What differs at the bottom are
+the damaged records. Ranges come from the index, so no damage can mislead a parser.
 """
 
 from __future__ import annotations
@@ -12,17 +13,19 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pfs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, empty_if_null, map_batches, settle
+from .common import cut, empty_if_null, map_batches, scratch, settle
 
-FAN = 16
+FAN, RUN = 16, 2  # children a node; levels above the leaves that are hashed where the bytes are read
+FEW = 1 << 17  # nodes that are broadcast
 INDEX = "shard bigint, seq bigint, page_id bigint, offset bigint, length bigint, n_bytes bigint, record_sha256 binary"
 
 
@@ -78,7 +81,7 @@ def write_warc(pages: DataFrame, where: str) -> DataFrame:
 
 
 def read_warc(index: DataFrame, where: str) -> DataFrame:
-    """shard, seq, page_id, url, html of the records that are whole; one that can't be read has null url and html."""
+    """shard, seq, page_id, url, html of the records that are whole; one that can't be read has null url and html. An empty index gives no rows."""
 
     def run(batches):
         for b in batches:
@@ -99,8 +102,8 @@ def read_warc(index: DataFrame, where: str) -> DataFrame:
 
 
 def in_order(index: DataFrame) -> DataFrame:
-    """The index dealt out by runs of FAN^2 records, so that a file of any size is read by many tasks."""
-    return index.repartition("shard", F.expr(f"seq div {FAN * FAN}")).sortWithinPartitions("shard", "seq")
+    """The index dealt out by runs of FAN^RUN records, so that a file of any size is read by many tasks."""
+    return index.repartition("shard", F.expr(f"seq div {FAN**RUN}")).sortWithinPartitions("shard", "seq")
 
 
 def ranges(b: pa.RecordBatch, where: str) -> Iterator[bytes]:
@@ -127,20 +130,46 @@ def tails(index: DataFrame) -> DataFrame:
 
 
 def leaves(index: DataFrame, where: str) -> DataFrame:
-    """shard, idx, hash of each record's place and stored bytes, and of each file's first byte beyond its records."""
+    """level, shard, idx, hash of each record's place and stored bytes and of each file's first byte beyond its records (level 0), and of the nodes above, up to level RUN."""
     every = index.select("shard", "seq", "offset", "length").unionByName(tails(index))
 
+    def nodes(shard: int, kids: list[tuple[int, bytes]]) -> list[tuple[int, int, int, bytes]]:
+        out = []
+        for level in range(RUN + 1):
+            out += [(level, shard, *kid) for kid in kids]
+            kids = [(idx, parent(list(group))) for idx, group in groupby(kids, lambda kid: kid[0] // FAN)]
+        return out
+
+    def batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["level", "shard", "idx", "hash"])
+
     def run(batches):
+        at, found = None, []
         for b in batches:
-            places = np.stack([np.asarray(b.column(c)).astype("<i8") for c in ("offset", "length")], axis=1)
-            hashes = [hashlib.sha256(b"\0" + place.tobytes() + stored).digest() for place, stored in zip(places, ranges(b, where), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("seq"), pa.array(hashes, pa.binary())], ["shard", "idx", "hash"])
+            places, done = np.stack([np.asarray(b.column(c)).astype("<i8") for c in ("offset", "length")], axis=1), []
+            for shard, seq, place, stored in zip(b.column("shard").to_pylist(), b.column("seq").to_pylist(), places, ranges(b, where), strict=True):
+                if at != (shard, seq // FAN**RUN):
+                    done += nodes(at[0], found) if at else []
+                    at, found = (shard, seq // FAN**RUN), []
+                found.append((seq, hashlib.sha256(b"\0" + place.tobytes() + stored).digest()))
+            if done:
+                yield batch(done)
+        if at:
+            yield batch(nodes(at[0], found))
+
+    return map_batches(in_order(every), run, NODES)
+
+
+NODES = "level int, shard bigint, idx bigint, hash binary"
 
-    return map_batches(in_order(every), run, "shard bigint, idx bigint, hash binary")
+
+def parent(kids: list[tuple[int, bytes]]) -> bytes:
+    """The hash of a node over its children's numbers and hashes."""
+    return hashlib.sha256(b"\1" + ",".join(f"{idx}:{h.hex().upper()}" for idx, h in kids).encode()).digest()
 
 
 def parents(nodes: DataFrame, keys: list[str]) -> DataFrame:
-    """The nodes above: each hashes its children, FAN at most, in order and with their numbers."""
+    """The nodes above, hashed as parent() does: each over its children, FAN at most, in order and with their numbers."""
     child = F.struct("idx", "hash")
     kids = nodes.groupBy(*keys, F.floor(F.col("idx") / FAN).alias("idx")).agg(F.array_sort(F.collect_list(child)).alias("kids"))
     text = F.array_join(F.transform("kids", lambda c: F.concat_ws(":", c["idx"].cast("string"), F.hex(c["hash"]))), ",")
@@ -155,49 +184,75 @@ def levels_for(n: int) -> int:
     return levels
 
 
-def tree(index: DataFrame, where: str) -> tuple[DataFrame, int, int]:
-    """level, shard, idx, hash of all nodes of a replica, and how many levels files and the replica have.
+def tree(index: DataFrame, where: str) -> tuple[list[DataFrame], int]:
+    """A replica's nodes (shard, idx, hash) by level, and the level of files' roots.
 
-    Levels 0 to `inner` are files' (idx within the shard); those above are of shards, shard being 0 and idx a shard
-    number less the smallest, divided by FAN at each step.
+    Up to that level idx is within the shard; above it shard is 0 and idx a shard number less the smallest, divided by
+    FAN at each step. The last level is the replica's root. An empty index has no nodes.
     """
+    spark, path = index.sparkSession, scratch(index.sparkSession, "tree")
     sizes = index.agg((F.max("seq") + 2).alias("n"), F.min("shard").alias("low"), F.max("shard").alias("high")).first()
-    inner = levels_for(sizes.n or 1)
-    outer = levels_for((sizes.high - sizes.low + 1) if sizes.n else 1)
-    now = leaves(index, where).withColumn("level", F.lit(0))
-    out = now
-    for level in range(1, inner + 1):
-        now = parents(now, ["shard"]).withColumn("level", F.lit(level))
-        out = out.unionByName(now)
-    out = cut(out)
-    roots = out.where(F.col("level") == inner).select(F.lit(0).cast("bigint").alias("shard"), (F.col("shard") - F.lit(sizes.low or 0)).alias("idx"), "hash")
-    above = roots.withColumn("level", F.lit(inner + 1))
-    every = out.unionByName(above)
-    for level in range(inner + 2, inner + 2 + outer):
-        above = parents(above, ["shard"]).withColumn("level", F.lit(level))
-        every = every.unionByName(above)
-    return cut(every), inner, inner + 1 + outer
+    inner = max(RUN, levels_for(sizes.n or 1))
+    top = inner + 1 + levels_for((sizes.high - sizes.low + 1) if sizes.n else 1)
+    leaves(index, where).write.partitionBy("level").parquet(path)
+    at = lambda level: spark.read.schema(NODES).parquet(path).where(F.col("level") == level).select("shard", "idx", "hash")
+    levels = [at(level) for level in range(RUN + 1)] if sizes.n else [spark.createDataFrame([], NODES).drop("level")] * (RUN + 1)
+    for level in range(RUN + 1, top + 1):
+        below = levels[-1]
+        if level == inner + 1:
+            levels.append(below.select(F.lit(0).cast("bigint").alias("shard"), (F.col("shard") - F.lit(sizes.low or 0)).alias("idx"), "hash"))
+        else:
+            levels.append(cut(parents(below, ["shard"])))
+    return levels, inner
+
+
+def descend(a: list[DataFrame], b: list[DataFrame], inner: int, low: int) -> tuple[DataFrame, list[int]]:
+    """shard, idx of the leaves that differ between two trees, and how many nodes were compared at each level, from the root down."""
+    differing, seen = None, []
+    for level in range(len(a) - 1, -1, -1):
+        kids = [a[level], b[level]]
+        if differing is not None and level == inner:  # from places in the tree of files to the files themselves
+            differing = differing.select((F.col("idx") + low).alias("shard"), F.lit(0).cast("bigint").alias("idx"))
+            kids = [k.join(F.broadcast(differing) if few else differing, ["shard", "idx"], "left_semi") for k in kids]
+        elif differing is not None:
+            up = differing.select("shard", F.col("idx").alias("_up"))
+            kids = [k.withColumn("_up", F.floor(F.col("idx") / FAN)).join(F.broadcast(up) if few else up, ["shard", "_up"], "left_semi").drop("_up") for k in kids]
+        both = cut(kids[0].join(kids[1].withColumnRenamed("hash", "other"), ["shard", "idx"], "full"))
+        differing = both.where("not hash <=> other").select("shard", "idx")
+        seen.append(both.count())
+        found = differing.count()
+        few = found <= FEW
+        if not found:
+            break
+    return differing, seen
+
+
+def files(spark: SparkSession, where: str) -> DataFrame:
+    """file: names in a replica's folder, those of attempts apart. A folder that isn't there has none."""
+    fs, folder = pfs.FileSystem.from_uri(where)
+    found = fs.get_file_info(pfs.FileSelector(folder, allow_not_found=True))  # a name a file, as any reader lists them
+    return spark.createDataFrame([(f.base_name,) for f in found if f.type == pfs.FileType.File and ".attempt-" not in f.base_name], "file string")
+
+
+def extra_files(index: DataFrame, one: str, other: str) -> DataFrame:
+    """file, replica ("one" or "other"): files that the index doesn't know and only one replica has."""
+    spark = index.sparkSession
+    known = index.select(F.format_string("shard-%09d.warc.gz", "shard").alias("file")).distinct()
+    a, b = (files(spark, w).join(known, "file", "left_anti") for w in (one, other))
+    return a.join(b, "file", "left_anti").withColumn("replica", F.lit("one")).unionByName(b.join(a, "file", "left_anti").withColumn("replica", F.lit("other")))
 
 
 def audit(index: DataFrame, one: str, other: str) -> DataFrame:
     """shard, seq of the records whose stored bytes differ between two replicas (seq one beyond the last: more bytes follow).
 
-    No rows if the roots are equal. An empty index gives no rows.
+    A record that only one of them has differs. Files that the index doesn't know are extra_files' matter. No rows if the
+    roots are equal. An empty index gives no rows.
     """
-    a, inner, top = tree(index, one)
-    b, _, _ = tree(index, other)
+    a, inner = tree(index, one)
+    b, _ = tree(index, other)
     low = index.agg(F.min("shard").alias("low")).first().low or 0
-    both = a.join(b.withColumnRenamed("hash", "other"), ["level", "shard", "idx"], "full").where("not hash <=> other")
-    at = lambda level: both.where(F.col("level") == level).select("shard", "idx")
-    bad = at(top)
-    for level in range(top - 1, inner, -1):
-        up = bad.select("shard", F.col("idx").alias("_up"))
-        bad = at(level).withColumn("_up", F.floor(F.col("idx") / FAN)).join(up, ["shard", "_up"], "left_semi").drop("_up")
-    bad = bad.select((F.col("idx") + low).alias("shard"), F.lit(0).cast("bigint").alias("idx"))
-    for level in range(inner - 1, -1, -1):
-        up = bad.select("shard", F.col("idx").alias("_up"))
-        bad = at(level).withColumn("_up", F.floor(F.col("idx") / FAN)).join(up, ["shard", "_up"], "left_semi").drop("_up")
-    return bad.select("shard", F.col("idx").alias("seq"))
+    bad, seen = descend(a, b, inner, low)
+    return bad.select("shard", F.col("idx").alias("seq")) if len(seen) == len(a) else bad.limit(0).select("shard", F.col("idx").alias("seq"))
 
 
 def copied(index: DataFrame, one: str, other: str, damaged: Column) -> None:
