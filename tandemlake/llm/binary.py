@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ids_and_text, map_batches, scratch, settle
+from .common import cut, ids_and_text, map_batches, scratch, settle, utf8
 from .tokens import encoder
 
 BLOCK, LANE, MAGIC = 1 << 16, 64, b"TOKBITS1"
@@ -124,19 +125,50 @@ class Reader:
         return self.ids(int(self.starts[i]), int(self.starts[i + 1]))
 
 
+KEY = "struct<known:boolean,id:bigint,tie:bigint,u:bigint>"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and key, by which rows are in the files' order: null ids first, equal ids by a hash of the text, and equal rows at random."""
+    rows = ids_and_text(docs)
+    return rows.withColumn("key", F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).cast("bigint").alias("id"), F.xxhash64("text").alias("tie"), F.xxhash64(F.monotonically_increasing_id()).alias("u")))
+
+
+def bounds(docs: DataFrame) -> list[tuple[bool, int, int, int]]:
+    """Where each file but the first begins: a key for each shuffle partition, from the keys alone."""
+    narrow = keyed(docs).select("key").repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
+    least = narrow.select("key", F.spark_partition_id().alias("p")).groupBy("p").agg(F.min("key").alias("key")).collect()  # a row a partition
+    return sorted(tuple(r.key) for r in least)[1:]
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, end: int, where: str | None = None) -> DataFrame:
     """Writes the ids of all documents, each ended by `end`, in ascending doc_id order (null first; equal ids by a hash
     of the text). Returns the files in order: shard, path, n_docs, n_tokens, base (ids in the files before).
 
+    Texts are encoded where they are read; what is shuffled are their ids, 2 or 4 bytes each, to the file that holds
+    their place in the order. Rows that are equal in id and text may be dealt to several files in a row.
+
     Null and empty texts are `end` alone; other columns are ignored; no rows give no files. Each task writes under a
     name of its own and moves the file into place once it is whole, so a task that runs again does no harm.
     """
     spark = docs.sparkSession
     where = where or scratch(spark, "tokens")
-    ordered = ids_and_text(docs).withColumn("_tie", F.xxhash64("text")).repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("_tie")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "_tie").drop("_tie")
+    limits = bounds(docs)
+
+    def encoded(batches):
+        enc = encoder(tokenizer)
+        for b in batches:
+            ids, at = enc.encode(b.column("text"), end=end)
+            raw = pa.Array.from_buffers(pa.large_binary(), b.num_rows, [None, pa.py_buffer(at * ids.itemsize), pa.py_buffer(ids)])
+            part = [bisect_right(limits, (k["known"], k["id"], k["tie"], k["u"])) for k in b.column("key").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(part, pa.int32()), pa.array(np.full(b.num_rows, ids.itemsize, np.int32)), raw.cast(pa.binary())], ["doc_id", "key", "part", "width", "ids"])
+
+    rows = map_batches(keyed(docs), encoded, f"doc_id bigint, key {KEY}, part int, width int, ids binary")
+    ordered = rows.repartitionById(len(limits) + 1, "part").sortWithinPartitions("key").select("doc_id", "width", "ids")
+    vocabulary = max(encoder(tokenizer).vocab, end + 1)
 
     def shards(batches):
-        task, enc, writer = TaskContext.get(), encoder(tokenizer), None
+        task, writer = TaskContext.get(), None
         fs, folder = pfs.FileSystem.from_uri(where)
         name = f"{folder}/shard-{task.partitionId():06d}.tok"
         mine = f"{name}.attempt-{task.taskAttemptId()}"
@@ -146,8 +178,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int, where: str | None =
             if writer is None:
                 fs.create_dir(folder, recursive=True)
                 stream = fs.open_output_stream(mine)
-                writer = Writer(stream, bits_for(max(enc.vocab, end + 1)))
-            writer.add(b.column("doc_id"), *enc.encode(b.column("text"), end=end))
+                writer = Writer(stream, bits_for(vocabulary))
+            raw, at = utf8(b.column("ids"))
+            width = b.column("width")[0].as_py()
+            writer.add(b.column("doc_id"), np.frombuffer(raw.tobytes(), f"<u{width}"), at // width)
         if writer is not None:
             n, size = writer.close()
             stream.close()
