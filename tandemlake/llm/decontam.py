@@ -3,9 +3,10 @@
 A text becomes a sequence of template words: numbers and units are typed placeholders, a capitalised word is a name's
 placeholder or itself, all else is lower-case without outer punctuation. So two words match if they are equal but for
 case, or both capitalised, whatever else the benchmark or the document holds. Windows of WINDOW template words of the
-benchmark, in all their readings, are a hash table; documents' windows are joined to it. An item whose windows a document holds to a share of `least`, along one stretch of the document, is a
-candidate, and its slots are then checked: each placeholder value of the item must stand for one value of the document
-throughout. So a question with other numbers or names is found, and a text that merely has the same shape isn't.
+benchmark, in all their readings, are a hash table; documents' windows are joined to it. An item whose windows a
+document holds to a share of `least`, along one stretch of the document, is a candidate, and its slots are then checked:
+each placeholder value of the item must stand for one value of the document throughout, and each of the document's for
+one of the item. So a question with other numbers or names is found, and a text that merely has the same shape isn't.
 
 The benchmark is the stated query set. It is taken in blocks of bounded bytes; each block's table is broadcast and the
 documents are scanned against it once, with no shuffle of documents and no pairs but those reported.
@@ -14,7 +15,7 @@ documents are scanned against it once, with no shuffle of documents and no pairs
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -288,7 +289,7 @@ class Block:
         return share / n, int(where[p[a]]), int(where[min(p[z] + item.size, len(where)) - 1]) + 1
 
     def _consistent(self, item: Item, at: np.ndarray, own: np.ndarray, codes, how, where, tokens) -> bool:
-        """Whether slot values map alike: of the item's values' uses, a share SLOTS must go to the value's usual partner; a text all of slots must be equal."""
+        """Whether slot values map one to one: a share SLOTS of the slots must hold a value together with its usual partner, seen from either side; a text all of slots must be equal."""
         steps = np.arange(item.size)
         theirs = (at[:, None] + steps).ravel()
         ours = (own[:, None] + steps).ravel()
@@ -298,15 +299,20 @@ class Block:
         if not slot.any():
             return True
         found = values(codes[theirs[slot]], np.full(slot.sum(), EITHER), where[theirs[slot]], tokens)
-        pairs: dict[tuple[int, str], dict[str, int]] = defaultdict(lambda: defaultdict(int))
-        for o, v in zip(ours[slot].tolist(), found, strict=True):
-            pairs[min(int(item.codes[o]), UNIT + 1), item.values[o]][v] += 1
+        kind = np.minimum(item.codes[ours[slot]], UNIT + 1).tolist()
+        pairs = Counter(zip(kind, (item.values[o] for o in ours[slot].tolist()), found, strict=True))
         total = int(slot.sum())
-        usual = sum(max(v.values()) for v in pairs.values())
-        same = sum(v.get(k[1], 0) for k, v in pairs.items())
         if total * 2 > len(slot):  # little but slots: only the values tell
-            return same == total
-        return usual >= SLOTS * total
+            return all(o == v for _, o, v in pairs)
+        return min(usual(pairs, 1), usual(pairs, 2)) >= SLOTS * total
+
+
+def usual(pairs: Counter, side: int) -> int:
+    """Uses of (kind, ours, theirs) in which the value of one side meets its commonest partner."""
+    best: dict[tuple[int, str], int] = defaultdict(int)
+    for key, n in pairs.items():
+        best[key[0], key[side]] = max(best[key[0], key[side]], n)
+    return sum(best.values())
 
 
 def values(codes: np.ndarray, how: np.ndarray, where: np.ndarray, tokens: list[str]) -> list[str]:
@@ -363,7 +369,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, l
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: float = LEAST, most: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs that hold no benchmark item, with all their columns; nothing is shuffled."""
+    """The rows of docs that hold no benchmark item, with all their columns; nothing is shuffled.
+
+    Null and empty texts hold nothing and stay; repeated rows are judged each; an empty benchmark leaves all rows, and
+    no rows give no rows.
+    """
     for items in blocks(benchmark, most):
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
