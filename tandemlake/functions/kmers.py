@@ -71,11 +71,12 @@ def reverse_only(seq: bytes, k: int) -> np.ndarray:
     return murmur3(_complement[np.frombuffer(seq.upper(), np.uint8)[::-1]], k)[::-1].view(np.int32)
 
 
-def kmers(seqs: DataFrame, k: int, sketched: bool = False, values_of: Callable[[bytes, int], np.ndarray] = canonical) -> DataFrame:
+def kmers(seqs: DataFrame, k: int, sketched: bool = False, values_of: Callable[[bytes, int], np.ndarray] = canonical, distinct: bool = False) -> DataFrame:
     """seq_id, pos, kmer for seqs(seq_id, seq[, pos0]); pos0 is where the row's piece begins in its sequence.
 
-    sketched keeps the values that sketch() does, before they leave the worker. A null sequence has no k-mers.
-    values_of: canonical, or reverse_only.
+    sketched keeps the values that sketch() does, before they leave the worker; distinct, each value once a stretch of
+    CHUNK bases (at its first place there). A null sequence has no k-mers. values_of: canonical, or reverse_only. A row
+    of any length is hashed CHUNK bases at a time.
     """
     kind = seqs.schema["seq_id"].dataType.simpleString()
     rows = seqs.select("seq_id", "pos0" if "pos0" in seqs.columns else F.lit(0).cast("bigint").alias("pos0"), F.col("seq").cast("binary").alias("seq")).where("seq is not null")
@@ -83,13 +84,16 @@ def kmers(seqs: DataFrame, k: int, sketched: bool = False, values_of: Callable[[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, (pos0, seq) in enumerate(zip(b.column("pos0").to_pylist(), b.column("seq").to_pylist(), strict=True)):
-                values = values_of(seq, k)
-                at = np.arange(len(values))
-                if sketched:
-                    at = np.nonzero((values & 3 == 0) & (values != 0))[0]
-                    values = values[at]
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([b.column("seq_id").take(pa.array(np.full(len(at), i))), pa.array(pos0 + at), pa.array(values)], ["seq_id", "pos", "kmer"])
+                for first in range(0, len(seq) - k + 1, CHUNK):
+                    values = values_of(seq[first : first + CHUNK + k - 1], k)
+                    at = np.arange(len(values))
+                    if distinct:
+                        values, at = np.unique(values, return_index=True)
+                    if sketched:
+                        keep = np.nonzero((values & 3 == 0) & (values != 0))[0]
+                        values, at = values[keep], at[keep]
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([b.column("seq_id").take(pa.array(np.full(len(at), i))), pa.array(pos0 + first + at), pa.array(values)], ["seq_id", "pos", "kmer"])
 
     return rows.mapInArrow(run, f"seq_id {kind}, pos bigint, kmer int")
 
@@ -103,10 +107,11 @@ def kmers_builtin(seqs: DataFrame, k: int) -> DataFrame:
 
 
 def forward_kmers(seqs: DataFrame, k: int) -> DataFrame:
-    """seq_id, pos, kmer: the upper-case strings as they stand."""
-    rows = seqs.select("seq_id", F.upper("seq").cast("binary").alias("seq")).where(F.length("seq") >= k)
-    at = rows.select("seq_id", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - k)).alias("pos"))
-    return at.select("seq_id", F.col("pos").cast("bigint").alias("pos"), F.substring("seq", F.col("pos") + 1, k).cast("string").alias("kmer"))
+    """seq_id, pos, kmer: the upper-case strings as they stand, for seqs(seq_id, seq[, pos0])."""
+    pieces = seqs.where(F.length("seq") >= k) if "pos0" in seqs.columns else chunked(seqs, k - 1)
+    rows = pieces.select("seq_id", "pos0", F.upper(F.col("seq").cast("string")).cast("binary").alias("seq")).where(F.length("seq") >= k)
+    at = rows.select("seq_id", "pos0", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - k)).alias("i"))
+    return at.select("seq_id", (F.col("pos0") + F.col("i")).alias("pos"), F.substring("seq", F.col("i") + 1, k).cast("string").alias("kmer"))
 
 
 def record_kmers(seqs: DataFrame, seq_id: str, k: int) -> DataFrame:
@@ -130,3 +135,18 @@ def chunked(seqs: DataFrame, overlap: int, size: int = CHUNK) -> DataFrame:
     rows = seqs.select("seq_id", F.col("seq").cast("binary").alias("seq")).where("seq is not null")
     at = rows.select("seq_id", "seq", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("seq") - 1 - overlap), F.lit(size))).alias("pos0"))
     return at.select("seq_id", F.col("pos0").cast("bigint").alias("pos0"), F.substring("seq", F.col("pos0") + 1, size + overlap).alias("seq"))
+
+
+def slices(regions: DataFrame, seqs: DataFrame, k: int, keys: list[str], size: int = CHUNK) -> DataFrame:
+    """seq_id (a struct of the keys), pos0, seq: the regions (keys, seq_id, start, end) cut from pieces of seqs(seq_id, seq).
+
+    A region's k-mers, those that lie in it whole, are in its slices once each, at their places in the sequence. Regions
+    are joined to pieces of `size` bases, so no sequence goes through a join and one of any length is many rows. What
+    lies beyond a sequence's ends is left out; regions shorter than k have no slices.
+    """
+    clear = regions.select(*keys, F.col("seq_id").alias("_of"), F.greatest("start", F.lit(0)).cast("bigint").alias("_a"), F.col("end").cast("bigint").alias("_z")).where(F.col("_z") - F.col("_a") >= k)
+    wanted = clear.withColumn("_chunk", F.explode(F.sequence(F.expr(f"_a div {size}L"), F.expr(f"(_z - {k}) div {size}L"))))
+    pieces = chunked(seqs, k - 1, size).select(F.col("seq_id").alias("_of"), F.expr(f"pos0 div {size}L").alias("_chunk"), "pos0", "seq")
+    low, high = F.greatest("_a", "pos0"), F.least(F.col("_z"), F.col("pos0") + F.length("seq"))
+    cut = pieces.join(wanted, ["_of", "_chunk"]).select(F.struct(*keys).alias("seq_id"), low.alias("_low"), F.substring("seq", (low - F.col("pos0") + 1).cast("int"), (high - low).cast("int")).alias("seq"))
+    return cut.select("seq_id", F.col("_low").alias("pos0"), "seq").where(F.length("seq") >= k)

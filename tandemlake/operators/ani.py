@@ -42,8 +42,11 @@ def cells(plain: DataFrame, wide: DataFrame, k: int) -> DataFrame:
 
 def _scores(plain: tuple[np.ndarray, np.ndarray], wide: tuple[np.ndarray, np.ndarray], k: int, windows: int, columns: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """i, j, score of one band from the distinct (window, k-mer number) pairs of its plain and wide windows."""
+    windows = min(windows, int(plain[0].max(initial=-1)) + 1)  # later ones hold nothing, so have no cells
     n = np.bincount(plain[0], minlength=windows).astype(np.float64)
+    wide = tuple(x[wide[0] < windows] for x in wide)
     held = np.intersect1d(plain[1], wide[1])  # other k-mers meet nothing
+    columns = max(1, min(columns, len(held)))
     c = np.zeros((windows, windows))
     sides = []
     for win, code in (plain, wide):

@@ -4,6 +4,9 @@ A span's core is its middle without a margin of 1.5 windows on either side. The
 of about 100 bases; a chunk is a hit if it shares more distinct k-mers with the core than a quarter of the number of
 chunks. Outward from the core, the last hit before ten misses in a row holds the end, which is set to the base where
 the core's k-mers begin or stop. If no chunk is a hit, a zone further inside is tried; if that fails too, the end stays.
+
+A core may be as long as an array, so it is hashed piece by piece and joined, k-mer by k-mer, to the zones, which are a
+few windows. Only a span's zones meet in one task.
 """
 
 from __future__ import annotations
@@ -12,18 +15,18 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kmers import canonical
+from ..functions.kmers import kmers, slices
 
 CHUNK, MISSES = 100, 10
 
 
 def chunk_counts(values: np.ndarray, core: np.ndarray, n: int) -> np.ndarray:
-    """Distinct k-mers that each of n equal chunks shares with the core (sorted, distinct)."""
+    """Distinct k-mers that each of n equal chunks shares with the core."""
     length = max(1, math.ceil(len(values) / n))
-    held = np.isin(values, core) & (values != 0)
+    held = np.isin(values, core)
     pairs = np.unique(np.stack([np.nonzero(held)[0] // length, values[held]]), axis=1)
     return np.bincount(pairs[0], minlength=n)[:n] if pairs.size else np.zeros(n, np.int64)
 
@@ -46,8 +49,8 @@ def last_match(values: np.ndarray, core: np.ndarray, lo: int, hi: int) -> int:
     return lo + int(found[-1]) if len(found) else lo
 
 
-def end_in_zone(values: np.ndarray, core: np.ndarray, left: bool) -> int | None:
-    """Where, in a zone's k-mers, the core's begin (left) or stop."""
+def end_in_zone(values: np.ndarray, core: np.ndarray, left: bool, compat: bool = False) -> int | None:
+    """Where, in a zone's k-mers, the core's begin (left) or stop. compat takes the last match of two chunks on either side."""
     if not len(values):
         return None
     n = max(1, math.ceil(len(values) / CHUNK))
@@ -58,56 +61,87 @@ def end_in_zone(values: np.ndarray, core: np.ndarray, left: bool) -> int | None:
         return None
     length = math.ceil(len(values) / n)
     chunk = n - 1 - found if left else found
+    if compat:
+        lo = CHUNK * (max(0, chunk - 1) if left else chunk)
+        return last_match(values, core, lo, lo + 2 * CHUNK)
     lo, hi = max(0, (chunk - 1) * length), min(len(values), (chunk + 2) * length)  # the array may begin inside the neighbour
     match = np.nonzero(np.isin(values[lo:hi], core))[0]
     return lo + int(match[0] if left else match[-1])
 
 
-def refine(seq: bytes, offset: int, start: int, end: int, window: int, k: int) -> tuple[int, int, bool]:
-    """New start and end of a span, and whether both were found. seq begins at base `offset` of its sequence."""
-    w = window if end - start >= 4 * window else max(1, (end - start) // 4)
-    h = math.ceil(w / 2)
-    values = canonical(seq, k)
-    part = lambda a, z: values[max(0, a - offset) : max(0, z - offset - k + 1)]
-    core = np.unique(part(start + w + h, end - w - h))
-    core = core[core != 0]
-    if not len(core):
-        return start, end, False
-
-    def found(a: int, z: int, left: bool) -> int | None:
-        a, z = max(a, offset), min(z, offset + len(seq))
-        at = end_in_zone(part(a, z), core, left)
-        return None if at is None else a + at
-
-    new_start = found(start - w - h, start + w + h, True)
-    if new_start is None:
-        new_start = found(start + w, start + w + 5 * h, True)
-    new_end = found(end - w - h, end + w + h, False)
-    if new_end is None:
-        new_end = found(end - w - 5 * h, end - w, False)
-    new_end = None if new_end is None else new_end + k
-    sure = new_start is not None and new_end is not None and new_start < new_end
-    return (new_start, new_end, True) if sure else (start, end, False)
-
-
-def refined(spans: DataFrame, seqs: DataFrame, window: int, k: int) -> DataFrame:
-    """seq_id, start, end, raw_start, raw_end, refined. A task gets the bases of one span and its margins at a time."""
+def zones(start, end, w, h) -> dict[str, tuple]:
+    """The stretches that are read around a span, by name: core, left and right end, and where to look if that fails."""
+    return {"core": (start + w + h, end - w - h), "left": (start - w - h, start + w + h), "left2": (start + w, start + w + 5 * h), "right": (end - w - h, end + w + h), "right2": (end - w - 5 * h, end - w)}
+
+
+def ends(parts: dict[str, tuple[int, np.ndarray, np.ndarray]], k: int, compat: bool = False) -> tuple[int, int] | None:
+    """A span's new start and end from its zones' first positions, k-mers, and those that the core holds; None if either isn't found.
+
+    compat moves the start by k, as it moves the end, and counts a zone at base 0 from the base after it.
+    """
+
+    def found(name: str, left: bool) -> int | None:
+        first, values, core = parts.get(name, (0, np.zeros(0, np.int32), np.zeros(0, np.int32)))
+        at = end_in_zone(values[int(compat and first == 0) :], core, left, compat)
+        return None if at is None else first + at
+
+    start, shift = found("left", True), -k
+    if start is None:
+        start, shift = found("left2", True), k
+    end = found("right", False)
+    if end is None:
+        end = found("right2", False)
+    if start is None or end is None:
+        return None
+    start, end = start + shift * compat, end + k
+    return (start, end) if start < end else None
+
+
+def refined(spans: DataFrame, seqs: DataFrame, window: int, k: int, compat: bool = False) -> DataFrame:
+    """seq_id, start, end, raw_start, raw_end, refined: spans with new ends where both were found, and as they were elsewhere."""
+    keys = ["seq_id", "start", "end"]
+    size = F.col("end") - F.col("start")
+    w = F.when(size >= 4 * window, window).otherwise(F.greatest(F.lit(1), F.expr("(end - start) div 4"))).cast("bigint")
+    sized = spans.select(*keys).distinct().withColumn("w", w).withColumn("h", F.ceil(F.col("w") / 2))
+    stretches = F.array(*[F.struct(F.lit(n).alias("zone"), a.alias("a"), z.alias("z")) for n, (a, z) in zones(*map(F.col, ("start", "end", "w", "h"))).items()])
+    each = sized.select(F.struct(*keys).alias("span"), "seq_id", F.explode(stretches).alias("x")).select("span", "seq_id", F.col("x.zone").alias("zone"), F.col("x.a").alias("start"), F.col("x.z").alias("end"))
+    hashed = lambda rows, distinct: kmers(slices(rows, seqs, k, ["span", "zone"]), k, distinct=distinct).select("seq_id.span", "seq_id.zone", "pos", "kmer")
+    core = hashed(each.where("zone = 'core'"), True).where(F.lit(compat) | (F.col("kmer") != 0)).select("span", "kmer").distinct().withColumn("held", F.lit(True))
+    around = hashed(each.where("zone <> 'core'"), False).join(core, ["span", "kmer"], "left").select("span", "zone", "pos", "kmer", F.coalesce("held", F.lit(False)).alias("held"))
     kind = spans.schema["seq_id"].dataType.simpleString()
-    margin = window + (window + 1) // 2
-    low = F.greatest(F.lit(0), F.col("start") - margin)
-    rows = spans.select("seq_id", "start", "end").join(seqs.select("seq_id", F.col("seq").cast("binary").alias("seq")), "seq_id")
-    cut = rows.select("seq_id", "start", "end", low.alias("offset"), F.substring("seq", (low + 1).cast("int"), (F.col("end") + margin - low).cast("int")).alias("part"))
 
-    def run(batches):
-        for b in batches:
-            got = [refine(s, o, a, z, window, k) for s, o, a, z in zip(*(b.column(c).to_pylist() for c in ("part", "offset", "start", "end")), strict=True)]
-            a, z, sure = zip(*got, strict=True) if got else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column("seq_id"), pa.array(a, pa.int64()), pa.array(z, pa.int64()), b.column("start"), b.column("end"), pa.array(sure, pa.bool_())], ["seq_id", "start", "end", "raw_start", "raw_end", "refined"])
+    def run(table: pa.Table) -> pa.Table:
+        zone, pos, kmer, held = (table.column(c).to_numpy() for c in ("zone", "pos", "kmer", "held"))
+        parts = {}
+        for name in np.unique(zone):
+            mine = np.nonzero(zone == name)[0]
+            mine = mine[np.argsort(pos[mine])]
+            parts[name] = int(pos[mine[0]]), kmer[mine], np.unique(kmer[mine][held[mine]])
+        got = ends(parts, k, compat)
+        span = table.column("span").slice(0, 1 if got else 0)
+        return pa.table([span, pa.array([x for x in (got or ())[:1]], pa.int64()), pa.array([x for x in (got or ())[1:]], pa.int64())], names=["span", "new_start", "new_end"])
 
-    return cut.mapInArrow(run, f"seq_id {kind}, start bigint, end bigint, raw_start bigint, raw_end bigint, refined boolean")
+    new = around.groupBy("span").applyInArrow(run, f"span struct<seq_id:{kind},start:bigint,end:bigint>, new_start bigint, new_end bigint")
+    found = new.select("span.*", "new_start", "new_end")
+    return spans.select(*keys).join(found, keys, "left").select("seq_id", F.coalesce("new_start", "start").alias("start"), F.coalesce("new_end", "end").alias("end"), F.col("start").alias("raw_start"), F.col("end").alias("raw_end"), F.col("new_start").isNotNull().alias("refined"))
 
 
 def shared_counts(zone_kmers: DataFrame, core: DataFrame, length: int = CHUNK) -> DataFrame:
     """seq_id, chunk, shared: the distinct core k-mers of each chunk of `length` positions."""
     held = zone_kmers.where("kmer <> 0").join(core.select("seq_id", "kmer").distinct(), ["seq_id", "kmer"], "left_semi")
     return held.select("seq_id", F.expr(f"pos div {length}L").alias("chunk"), "kmer").distinct().groupBy("seq_id", "chunk").agg(F.count("*").alias("shared"))
+
+
+def scaled_counts(counts: DataFrame, height: int = 10) -> DataFrame:
+    """counts with bar: each chunk's shared k-mers as lines of a plot whose highest bar, of its sequence, has `height`."""
+    most = F.max("shared").over(Window.partitionBy("seq_id"))
+    return counts.withColumn("bar", F.ceil(F.col("shared") * height / most).cast("int"))
+
+
+def bars(heights: dict[int, int], height: int = 10) -> str:
+    """A text plot of chunks' bars, from the first chunk to the last."""
+    if not heights:
+        return ""
+    at = range(min(heights), max(heights) + 1)
+    lines = ["".join("#" if heights.get(i, 0) >= level else " " for i in at).rstrip() for level in range(height, 0, -1)]
+    return "\n".join([*lines, "-" * len(at)])

@@ -5,24 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-UNKNOWN, MOST = "Unknown", 65535
+UNKNOWN = "Unknown"
+
+
+def _counted(queries: DataFrame, db: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """query_id, n (distinct k-mers) of every query; query_id, class, overlap of those that share some."""
+    q, d = queries.select("query_id", "kmer").distinct(), db.select("class", "kmer").distinct()
+    return q.groupBy("query_id").agg(F.count("*").alias("n")), q.join(d, "kmer").groupBy("query_id", "class").agg(F.count("*").alias("overlap"))
 
 
 def overlaps(queries: DataFrame, db: DataFrame) -> DataFrame:
-    """query_id, class, overlap, pct, rank for queries(query_id, kmer) and db(class, kmer): every class, those that share none too.
+    """query_id, class, overlap, pct, rank for queries(query_id, kmer) and db(class, kmer): the classes that share k-mers with a query.
 
-    Ties rank by class name. A database has at most MOST classes, as its file format does; their names are listed once.
+    Ties rank by class name. A query that shares none has one row, without a class; top() names classes that share none.
     """
-    q, d = queries.select("query_id", "kmer").distinct(), db.select("class", "kmer").distinct()
-    sizes = q.groupBy("query_id").agg(F.count("*").alias("n"))
-    shared = q.join(d, "kmer").groupBy("query_id", "class").agg(F.count("*").alias("overlap"))
-    names = sorted(r["class"] for r in d.select("class").distinct().limit(MOST + 1).collect())
-    if len(names) > MOST:
-        raise ValueError(f"a database has at most {MOST} classes")
-    every = sizes.select("query_id", "n", F.explode(F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")).alias("class"))
-    got = every.join(shared, ["query_id", "class"], "left").select("query_id", "class", F.coalesce("overlap", F.lit(0)).cast("bigint").alias("overlap"), "n")
+    n, shared = _counted(queries, db)
+    return _ranked(n.join(shared, "query_id", "left").withColumn("overlap", F.coalesce("overlap", F.lit(0)).cast("bigint")))
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("overlap"), "class")
-    return got.select("query_id", "class", "overlap", (F.col("overlap") * 100.0 / F.col("n").cast("double")).alias("pct"), F.row_number().over(w).alias("rank"))
+    return rows.select("query_id", "class", "overlap", (F.col("overlap") * 100.0 / F.col("n").cast("double")).alias("pct"), F.row_number().over(w).alias("rank"))
+
+
+def top(queries: DataFrame, db: DataFrame, most: int) -> DataFrame:
+    """Every query's first `most` classes, as overlaps() ranks them; where fewer share k-mers, others follow by name with 0.
+
+    Those others are among the first 2 x most names, so a query meets no more classes than that.
+    """
+    n, shared = _counted(queries, db)
+    first = db.select("class").distinct().orderBy("class").limit(2 * most)
+    spare = n.select("query_id").join(F.broadcast(first))  # 2 x most rows
+    filled = shared.unionByName(spare.withColumn("overlap", F.lit(0).cast("bigint"))).groupBy("query_id", "class").agg(F.max("overlap").alias("overlap"))
+    return _ranked(filled.join(n, "query_id")).where(F.col("rank") <= most)
 
 
 def best(ranked: DataFrame, threshold: float = 25.0, least: int = 1) -> DataFrame:

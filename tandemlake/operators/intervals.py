@@ -1,33 +1,84 @@
-"""Interval rules of a sequence's few spans, as folds over its sorted list."""
+"""Interval rules of a sequence's spans: one pass over each sequence's sorted list.
+
+Whether an interval stays depends on those kept before it, so a sequence's spans are gone through in order; they are few,
+since a span covers three windows at least. Sequences are dealt out to tasks, and rows stream through.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from bisect import bisect_left, insort
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _fold(rows: DataFrame, keys: list[str], order: list[str], clash) -> DataFrame:
-    """Keeps, in order, each interval that clashes with none kept before."""
+class Conflicts:
+    """The intervals kept so far, by ascending start: what is near or inside one of them goes."""
+
+    def __init__(self, tolerance: int):
+        self.tolerance, self.last, self.widest, self.ends = tolerance, None, None, []
+
+    def keeps(self, start: int, end: int) -> bool:
+        if self.last is not None:
+            at = bisect_left(self.ends, end - self.tolerance)
+            if start - self.last <= self.tolerance or end < self.widest or at < len(self.ends) and self.ends[at] <= end + self.tolerance:
+                return False
+        self.last, self.widest = start, end if self.widest is None else max(end, self.widest)
+        insort(self.ends, end)
+        return True
+
+
+class Repeats:
+    """The starts and ends kept so far."""
+
+    def __init__(self):
+        self.starts, self.ends = set(), set()
+
+    def keeps(self, start: int, end: int) -> bool:
+        if start in self.starts or end in self.ends:
+            return False
+        self.starts.add(start)
+        self.ends.add(end)
+        return True
+
+
+def _in_order(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     cols = [c for c in dict.fromkeys([*order, "start", "end"]) if c not in keys]
-    got = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("all"))
-    none = F.slice("all", 1, 0)
-    kept = F.aggregate("all", none, lambda acc, x: F.when(F.exists(acc, lambda y: clash(y, x)), acc).otherwise(F.concat(acc, F.array(x))))
-    return got.select(*keys, F.explode(kept).alias("x")).select(*keys, "x.*").select(*keys, "start", "end")
+    return rows.select(*keys, *cols).repartition(*keys).sortWithinPartitions(*keys, *order)
 
 
-def without_conflicts(rows: DataFrame, keys: list[str], tolerance: int, order: tuple[str, ...] = ()) -> DataFrame:
-    """Drops an interval whose start or end is within `tolerance` of that of one kept, or that one kept strictly contains."""
+def _schema(rows: DataFrame, keys: list[str]) -> str:
+    return ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in [*keys, "start", "end"])
+
+
+def _kept(rows: DataFrame, keys: list[str], order: list[str], new: Callable[[], Conflicts | Repeats]) -> DataFrame:
+    """keys, start, end of the intervals that new()'s rule keeps, each group's in order."""
+    columns = [*keys, "start", "end"]
+
+    def run(batches):
+        now, rule = None, None
+        for b in batches:
+            mask = np.zeros(b.num_rows, bool)
+            for i, (start, end, *group) in enumerate(zip(*(b.column(c).to_pylist() for c in ("start", "end", *keys)), strict=True)):
+                if rule is None or group != now:
+                    now, rule = group, new()
+                mask[i] = rule.keeps(start, end)
+            yield b.select(columns).filter(pa.array(mask))
 
-    def clash(y: Column, x: Column) -> Column:
-        near = (F.abs(y["start"] - x["start"]) <= tolerance) | (F.abs(y["end"] - x["end"]) <= tolerance)
-        return near | ((y["start"] < x["start"]) & (y["end"] > x["end"]))
+    return _in_order(rows, keys, order).mapInArrow(run, _schema(rows, keys))
 
-    return _fold(rows, keys, ["start", *order, "end"], clash)
+
+def without_conflicts(rows: DataFrame, keys: list[str], tolerance: int, order: tuple[str, ...] = ()) -> DataFrame:
+    """Drops an interval whose start or end is within `tolerance` of that of one kept, or that one kept strictly contains."""
+    return _kept(rows, keys, ["start", *order, "end"], lambda: Conflicts(tolerance))
 
 
 def without_repeats(rows: DataFrame, keys: list[str], order: tuple[str, ...] = ()) -> DataFrame:
     """Drops an interval whose start or end is that of one kept."""
-    return _fold(rows, keys, [*order, "start", "end"], lambda y, x: (y["start"] == x["start"]) | (y["end"] == x["end"]))
+    return _kept(rows, keys, [*order, "start", "end"], Repeats)
 
 
 def border_flags(rows: DataFrame, keys: list[str], band: int, window: int) -> DataFrame:
@@ -40,14 +91,30 @@ def border_flags(rows: DataFrame, keys: list[str], band: int, window: int) -> Da
 
 def stitched(rows: DataFrame, keys: list[str], band: int, window: int) -> DataFrame:
     """Joins an interval that ends at a band's edge with the next, if that begins within 4 windows; a joined one isn't tried again."""
-    got = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("all"))
-    empty = F.slice(F.transform("all", lambda x: F.struct(x["start"], x["end"], F.lit(False).alias("joined"))), 1, 0)
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        phase = last["end"] % F.lit(band)
-        joins = last.isNotNull() & ~last["joined"] & ((phase <= 3 * window) | (phase >= band - 3 * window)) & (F.abs(last["end"] - x["start"]) <= 4 * window)
-        new = lambda a, z, j: F.array(F.struct(a.alias("start"), z.alias("end"), F.lit(j).alias("joined")))
-        return F.when(joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), new(last["start"], F.greatest(last["end"], x["end"]), True))).otherwise(F.concat(acc, new(x["start"], x["end"], False)))
-
-    return got.select(*keys, F.explode(F.aggregate("all", empty, step)).alias("x")).select(*keys, F.col("x.start").alias("start"), F.col("x.end").alias("end"))
+    columns = [*keys, "start", "end"]
+    types = [rows.schema[c].dataType.simpleString() for c in columns]
+
+    def run(batches):
+        held = None  # group, start, end, whether joined
+        for b in batches:
+            out = []
+            for start, end, *group in zip(*(b.column(c).to_pylist() for c in ("start", "end", *keys)), strict=True):
+                if held is not None and held[0] == group:
+                    _, a, z, joined = held
+                    edge = min(z % band, band - z % band) <= 3 * window
+                    if edge and not joined and abs(z - start) <= 4 * window:
+                        held = group, a, max(z, end), True
+                        continue
+                if held is not None:
+                    out.append((*held[0], held[1], held[2]))
+                held = group, start, end, False
+            if out:
+                yield batch(out)
+        if held is not None:
+            yield batch([(*held[0], held[1], held[2])])
+
+    def batch(found):
+        arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+        return pa.RecordBatch.from_arrays([pa.array(c, arrow[t]) for c, t in zip(zip(*found, strict=True), types, strict=True)], columns)
+
+    return _in_order(rows, keys, ["start", "end"]).mapInArrow(run, _schema(rows, keys))

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kmers import kmers
-from ..sources.fasta import region
+from ..functions.kmers import kmers, slices
 
 
 def missing_chroms(bed: DataFrame, names: DataFrame) -> DataFrame:
@@ -15,15 +14,23 @@ def missing_chroms(bed: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def first_source(regions: DataFrame, seqs: DataFrame, order: str) -> DataFrame:
-    """Each region with the first sequence, by `order`, of its chrom."""
+    """Each region with the first of seqs' `order` values that has its chrom, and the chrom as seq_id. Sequences themselves aren't joined."""
     first = seqs.select("seq_id", order).groupBy("seq_id").agg(F.min(order).alias(order))
-    return regions.join(first, regions["chrom"] == first["seq_id"]).join(seqs, ["seq_id", order])
+    return regions.join(first, regions["chrom"] == first["seq_id"])
 
 
-def region_kmers(regions: DataFrame, seqs: DataFrame, k: int, order: str = "file") -> DataFrame:
-    """subtype (lower-case name), kmer: the distinct k-mers of all regions of a name. Case variants are one name; 0 is left out."""
-    got = first_source(regions, seqs, order).select(F.lower("name").alias("seq_id"), region(F.col("seq"), F.col("start"), F.col("end")).alias("seq"))
-    return kmers(got, k).where("kmer <> 0").select(F.col("seq_id").alias("subtype"), "kmer").distinct()
+def region_slices(regions: DataFrame, seqs: DataFrame, k: int, keys: list[str], order: str = "file") -> DataFrame:
+    """Pieces of regions (keys, chrom, start, end) for hashing: seq_id (a struct of the keys), pos0, seq."""
+    source = F.struct(order, "seq_id")
+    placed = first_source(regions, seqs, order).select(*keys, source.alias("seq_id"), "start", "end")
+    return slices(placed, seqs.select(source.alias("seq_id"), "seq"), k, keys)
+
+
+def region_kmers(regions: DataFrame, seqs: DataFrame, k: int, order: str = "file", zeros: bool = False) -> DataFrame:
+    """subtype (lower-case name), kmer: the distinct k-mers of all regions of a name. Case variants are one name; 0 is left out unless zeros."""
+    parts = region_slices(regions.withColumn("subtype", F.lower("name")), seqs, k, ["subtype"], order)
+    got = kmers(parts, k, distinct=True)
+    return (got if zeros else got.where("kmer <> 0")).select("seq_id.subtype", "kmer").distinct()
 
 
 def classed(subtypes: DataFrame, classes: DataFrame) -> DataFrame:

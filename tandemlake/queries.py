@@ -6,7 +6,7 @@ the matter), dbset the benchmark's likewise as classes, bed the events as interv
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import kmers as K
@@ -66,8 +66,7 @@ def sets(spark, sf, p: Params = P):
 
 
 def scored(spark, sf) -> DataFrame:
-    plain, wide = sets(spark, sf)
-    return ani.cells(plain, wide, P.k).where(F.col("score") >= P.identity)
+    return ani.band_cells(windows.banded(K.kmers(dna(spark, sf), P.k, sketched=True), P), P).where(F.col("score") >= P.identity)
 
 
 # --- the same as SQL -------------------------------------------------------------------------------------------
@@ -426,6 +425,30 @@ SQL["band_border_candidates"] = _with("bed", f'SELECT chrom, name, start, "end",
 SQL["adjacency_flags"] = _with("bed", f'SELECT chrom, name, start, "end", coalesce(abs("end" - next_start) <= 800, false) AS adjacent FROM ({_LEAD})')
 
 
+@query
+def stitched_intervals(spark, sf):
+    return intervals.stitched(bed(spark, sf).distinct(), ["chrom", "name"], 10_000, 200)
+
+
+SQL["stitched_intervals"] = _with(
+    "bed",
+    """SELECT chrom, name, x.s AS start, x.e AS "end" FROM (SELECT chrom, name, unnest(list_reduce(list_transform(l, lambda v: [{'s': v.s, 'e': v.e, 'j': false}]),
+        lambda acc, x: CASE WHEN NOT acc[-1].j AND (acc[-1].e % 10000 <= 600 OR acc[-1].e % 10000 >= 9400) AND abs(acc[-1].e - x[1].s) <= 800
+          THEN list_concat(acc[:-2], [{'s': acc[-1].s, 'e': greatest(acc[-1].e, x[1].e), 'j': true}]) ELSE list_concat(acc, x) END)) AS x
+        FROM (SELECT chrom, name, list_sort(list({'s': start, 'e': "end"})) AS l FROM (SELECT DISTINCT * FROM bed) GROUP BY ALL))""",
+)
+
+
+@query
+def span_order(spark, sf):
+    """Each band's spans by start, those that start alike by the first row that has them."""
+    w = Window.partitionBy("seq_id", "band").orderBy("start", "first_row")
+    return diagonal_span(spark, sf).select("seq_id", "band", "start", "end", F.row_number().over(w).alias("place"))
+
+
+SQL["span_order"] = _with("rows_", f'SELECT seq_id, band, start, "end", row_number() OVER (PARTITION BY seq_id, band ORDER BY start, first_row)::INT AS place FROM (SELECT seq_id, band, band * {BAND} + a * {W} AS start, band * {BAND} + (z + 1) * {W} AS "end", min(i) AS first_row FROM rows_ GROUP BY seq_id, band, a, z HAVING count(*) >= 3)')
+
+
 # --- periodicity, regions, classes -----------------------------------------------------------------------------
 
 
@@ -439,6 +462,14 @@ def top_distances(spark, sf):
     return periodicity.most_common(periodicity.histogram(hashes(spark, sf)), 10)
 
 
+@query
+def histograms_by_name(spark, sf):
+    """Of each region the ten commonest distances, by its name: counted and summed up."""
+    got = periodicity.by_name(regions(spark, sf).drop("doc_id"), by_source(spark, sf), P.k)
+    total = lambda c: F.aggregate("top", F.lit(0).cast("bigint"), lambda acc, x: acc + x[c])
+    return got.select("name", "chrom", "start", F.size("top").cast("bigint").alias("n"), F.element_at("top", 1)["distance"].alias("first"), total("distance").alias("distances"), total("cnt").alias("cnt"))
+
+
 SQL["kmer_distance_histogram"] = _with("hist", "SELECT * FROM hist")
 SQL["top_distances"] = _with("hist", "SELECT seq_id, distance, cnt, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY cnt DESC, first_pos) AS rank FROM hist) WHERE rank <= 10")
 
@@ -472,7 +503,9 @@ SQL["chrom_missing_anti_join"] = _with("bed", "SELECT DISTINCT chrom FROM bed WH
 
 @query
 def first_source_lookup(spark, sf):
-    return lookups.first_source(regions(spark, sf).select("chrom", "doc_id", "start", "end"), by_source(spark, sf), "file").select("doc_id", "file", region(F.col("seq"), F.col("start"), F.col("end")).alias("part"))
+    seqs = by_source(spark, sf)
+    found = lookups.first_source(regions(spark, sf).select("chrom", "doc_id", "start", "end"), seqs, "file").join(seqs, ["file", "seq_id"])
+    return found.select("doc_id", "file", region(F.col("seq"), F.col("start"), F.col("end")).alias("part"))
 
 
 _FIRST = "SELECT file AS chrom, seq_id AS file, seq FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY seq_id) AS r FROM dna) WHERE r = 1"
@@ -489,7 +522,7 @@ SQL["regions_union_by_name"] = "WITH dna AS (" + CTE["dna"] + "), regions AS ("
 
 
 def _subtypes(spark, sf) -> DataFrame:
-    return K.kmers(dbset(spark, sf).select(F.col("class").alias("seq_id"), "seq"), P.k).where("kmer <> 0").select(F.col("seq_id").alias("subtype"), "kmer").distinct()
+    return K.kmers(dbset(spark, sf).select(F.col("class").alias("seq_id"), "seq"), P.k, distinct=True).where("kmer <> 0").select(F.col("seq_id").alias("subtype"), "kmer").distinct()
 
 
 @query
@@ -510,19 +543,19 @@ def class_superset_union(spark, sf):
 SQL["class_superset_union"] = _with("dbk maps", "SELECT maps.class, count(DISTINCT kmer) AS n, sum(DISTINCT kmer)::BIGINT AS total FROM dbk JOIN maps ON dbk.class = maps.subtype GROUP BY ALL")
 
 
-def _ranked(spark, sf) -> DataFrame:
-    queries = hashes(spark, sf).where("kmer <> 0").select(F.col("seq_id").alias("query_id"), "kmer")
-    return classify.overlaps(queries, _subtypes(spark, sf).withColumnRenamed("subtype", "class"))
+def _classified(spark, sf) -> tuple[DataFrame, DataFrame]:
+    queries = K.kmers(dna(spark, sf), P.k, distinct=True).where("kmer <> 0").select(F.col("seq_id").alias("query_id"), "kmer")
+    return queries, _subtypes(spark, sf).withColumnRenamed("subtype", "class")
 
 
 @query
 def classify_topk(spark, sf):
-    return _ranked(spark, sf).where("rank <= 3").withColumn("pct", F.round("pct", 6))
+    return classify.top(*_classified(spark, sf), 3).withColumn("pct", F.round("pct", 6))
 
 
 @query
 def classify_best(spark, sf):
-    return classify.best(_ranked(spark, sf), P.threshold).withColumn("pct", F.round("pct", 6))
+    return classify.best(classify.overlaps(*_classified(spark, sf)), P.threshold).withColumn("pct", F.round("pct", 6))
 
 
 SQL["classify_topk"] = _with("ranked", "SELECT * REPLACE (round(pct, 6) AS pct) FROM ranked WHERE rank <= 3")
@@ -542,11 +575,17 @@ def chunk_shared_counts(spark, sf):
 SQL["chunk_shared_counts"] = _with("chunks", "SELECT * FROM chunks")
 
 
+@query
+def chunk_shared_bars(spark, sf):
+    return boundaries.scaled_counts(boundaries.shared_counts(hashes(spark, sf), _core(spark, sf)))
+
+
+SQL["chunk_shared_bars"] = _with("chunks", "SELECT *, ceil(shared * 10 / max(shared) OVER (PARTITION BY seq_id))::INT AS bar FROM chunks")
+
+
 @query
 def last_chunk_hit(spark, sf):
     """Each sequence's last hit, rightward from its first chunk, before ten misses in a row."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("seq_id").orderBy("chunk")
     hit = boundaries.shared_counts(hashes(spark, sf), _core(spark, sf)).where("shared > 15")
     gap = hit.withColumn("far", (F.col("chunk") - F.lag("chunk", 1, -1).over(w) > boundaries.MISSES).cast("int"))
@@ -662,6 +701,15 @@ SQL["set_except"] = _with("km dbk", "SELECT count(*) AS n, coalesce(sum(kmer), 0
 # --- whole plans (no SQL equivalent; tests compare them with planted arrays) -------------------------------------
 
 
+SQL["histograms_by_name"] = (
+    f"WITH dna AS ({CTE['dna']}), regions AS ({CTE['regions']}), parts AS (SELECT lower(name) AS name, chrom, start, substr(seq, start + 1, 300) AS seq FROM (SELECT DISTINCT chrom, name, start FROM regions) JOIN ({_FIRST}) USING (chrom)),"
+    f" w AS (SELECT name, chrom, start, pos, substr(seq, pos + 1, {P.k}) AS kmer FROM (SELECT *, unnest(range(1, length(seq) - {P.k - 1})) AS pos FROM parts)),"
+    " h AS (SELECT name, chrom, start, distance, count(*) AS cnt, min(pos) AS first_pos FROM (SELECT *, pos - lag(pos) OVER (PARTITION BY name, chrom, start, kmer ORDER BY pos) AS distance FROM w) WHERE distance IS NOT NULL GROUP BY ALL),"
+    " t AS (SELECT *, row_number() OVER (PARTITION BY name, chrom, start ORDER BY cnt DESC, first_pos) AS rank FROM h)"
+    " SELECT name, chrom, start, count(*) AS n, any_value(distance) FILTER (rank = 1) AS first, sum(distance)::BIGINT AS distances, sum(cnt)::BIGINT AS cnt FROM t WHERE rank <= 10 GROUP BY ALL"
+)
+
+
 @query
 def build_kmer_db(spark, sf):
     got = build_db(dbset(spark, sf).select(F.col("item_id").cast("string").alias("chrom"), F.lit(0).cast("bigint").alias("start"), F.length("seq").cast("bigint").alias("end"), F.col("class").alias("name")), dbset(spark, sf).select(F.lit("f").alias("file"), F.col("item_id").cast("string").alias("seq_id"), "seq"), P.k, kmerdb.class_map(spark, CLASSES))
@@ -674,7 +722,7 @@ SQL["build_kmer_db"] = SQL["class_map_join"]
 @query
 def build_kmer_db_documents(spark, sf):
     """A database of all documents, a class a source: distinct canonical 21-mers of each."""
-    got = K.kmers(by_source(spark, sf).select("seq_id", "seq"), 21).where("kmer <> 0").select("seq_id", "kmer").distinct()
+    got = K.kmers(by_source(spark, sf).select("seq_id", "seq"), 21, distinct=True).where("kmer <> 0").select("seq_id", "kmer").distinct()
     return got.groupBy(F.col("seq_id").alias("class")).agg(F.count("*").alias("n"), F.sum("kmer").alias("total"))
 
 

@@ -6,18 +6,30 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LINE = 60
+#: What divides records: a line that begins with this sign. Inside a line it is text.
+SEPARATOR = "\n>"
 
 
-def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """file, seq_id (the header up to its first blank), seq, seq_len of every record. Compressed files are read whole by a task.
+def records(pieces: DataFrame) -> DataFrame:
+    """pieces' columns, with value replaced by seq_id (the header up to its first blank) and seq: a row for each record of text read with SEPARATOR.
 
-    A record is one row, so it has to fit in one (2 GB); later steps work on pieces of it. Files that can't be read are left out.
+    A file's first record still has its sign. Line ends may have carriage returns. A record may be without bases; one
+    without a header and bases, such as blank lines before the first record, isn't any.
     """
-    raw = spark.read.option("lineSep", ">").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").text(paths)
-    rows = raw.select(F.input_file_name().alias("file"), "value").where(F.trim(F.regexp_replace("value", r"\s", "")) != "")
+    text = F.regexp_replace("value", "^>", "")
+    rows = pieces.withColumn("value", text).where(F.col("value").rlike(r"\S"))
     head = F.substring_index("value", "\n", 1)
     seq = F.when(F.instr("value", "\n") > 0, F.regexp_replace(F.expr("substring(value, instr(value, '\n') + 1)"), r"\s", "")).otherwise("")
-    return rows.select("file", F.regexp_extract(head, r"^(\S*)", 1).alias("seq_id"), seq.alias("seq")).withColumn("seq_len", F.length("seq").cast("bigint"))
+    return rows.select(*[c for c in rows.columns if c != "value"], F.regexp_extract(head, r"^(\S*)", 1).alias("seq_id"), seq.alias("seq"))
+
+
+def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """file, seq_id, seq, seq_len of every record. Compressed files are read whole by a task.
+
+    A record is one row, so it has to fit in one (2 GB); later steps work on pieces of it. Files that can't be read are left out.
+    """
+    raw = spark.read.option("lineSep", SEPARATOR).option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").text(paths)
+    return records(raw.select(F.input_file_name().alias("file"), "value")).withColumn("seq_len", F.length("seq").cast("bigint"))
 
 
 def catalogue(seqs: DataFrame) -> DataFrame:
@@ -29,14 +41,18 @@ def names(seqs: DataFrame) -> DataFrame:
 
 
 def selected(seqs: DataFrame, ids: list[str]) -> DataFrame:
-    """The records asked for by name or by chrom:lo-hi, in which case that part; the first file that has one gives it."""
-    asked = seqs.sparkSession.createDataFrame([(i, s) for i, s in enumerate(ids)], "n int, asked string")
-    part = F.regexp_extract("asked", r"^(.*):(\d+)-(\d+)$", 1)
-    wanted = asked.withColumn("of", F.when(part != "", part)).withColumn("lo", F.expr("try_cast(regexp_extract(asked, '^(.*):(\\\\d+)-(\\\\d+)$', 2) as bigint)")).withColumn("hi", F.expr("try_cast(regexp_extract(asked, '^(.*):(\\\\d+)-(\\\\d+)$', 3) as bigint)"))
-    got = seqs.join(F.broadcast(wanted), (seqs["seq_id"] == wanted["asked"]) | (seqs["seq_id"] == wanted["of"]))
-    best = got.withColumn("_r", F.row_number().over(Window.partitionBy("asked").orderBy((F.col("seq_id") != F.col("asked")).cast("int"), "file"))).where("_r = 1")
-    whole = F.col("seq_id") == F.col("asked")
-    seq = F.when(whole, F.col("seq")).otherwise(F.expr("cast(substring(cast(seq as binary), cast(lo as int) + 1, cast(hi - lo as int)) as string)"))
+    """The records asked for by name or by chrom:lo-hi, in which case that part; the first file that has one gives it.
+
+    Which record answers is decided on names alone; then the asked ids, few, are joined to the sequences.
+    """
+    asked = seqs.sparkSession.createDataFrame([(s,) for s in dict.fromkeys(ids)], "asked string")
+    group = lambda i: F.regexp_extract("asked", r"^(.*):(\d+)-(\d+)$", i)
+    whole = asked.select("asked", F.col("asked").alias("seq_id"), F.lit(None).cast("bigint").alias("lo"), F.lit(None).cast("bigint").alias("hi"), F.lit(0).alias("part"))
+    part = asked.where(group(1) != "").select("asked", group(1).alias("seq_id"), group(2).cast("bigint").alias("lo"), group(3).cast("bigint").alias("hi"), F.lit(1).alias("part"))
+    found = seqs.select("file", "seq_id").join(F.broadcast(whole.unionByName(part)), "seq_id")
+    first = found.withColumn("_r", F.row_number().over(Window.partitionBy("asked").orderBy("part", "file"))).where("_r = 1")
+    best = seqs.join(F.broadcast(first.select("file", "seq_id", "asked", "lo", "hi")), ["file", "seq_id"])  # a row an asked id
+    seq = F.when(F.col("lo").isNull(), F.col("seq")).otherwise(F.expr("cast(substring(cast(seq as binary), cast(lo as int) + 1, cast(hi - lo as int)) as string)"))
     return best.select("file", F.col("asked").alias("seq_id"), seq.alias("seq")).withColumn("seq_len", F.length("seq").cast("bigint"))
 
 

@@ -3,19 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.annotate import annotate
 from ..plans.params import Params
 from ..sources.bed import annotation
+from ..sources.fasta import SEPARATOR, records
 
 
 def annotate_arrivals(spark: SparkSession, folder: str, out: str, checkpoint: str, p: Params | None = None, db: DataFrame | None = None) -> StreamingQuery:
     """Each micro-batch's records are annotated and written under out/batch=N, which a batch that runs again overwrites."""
-    raw = spark.readStream.option("lineSep", ">").text(folder).where(F.trim("value") != "")
-    head = F.regexp_extract(F.substring_index("value", "\n", 1), r"^(\S*)", 1)
-    seqs = raw.select(head.alias("seq_id"), F.regexp_replace(F.expr("substring(value, instr(value, '\n') + 1)"), r"\s", "").alias("seq"))
+    seqs = records(spark.readStream.option("lineSep", SEPARATOR).text(folder))
 
     def batch(df: DataFrame, number: int) -> None:
         annotation(annotate(df, p, db)).write.mode("overwrite").parquet(f"{out}/batch={number}")
