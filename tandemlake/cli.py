@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import argparse
+import os
+from itertools import groupby
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators import lookups, mask
+from .functions.kmers import chunked, kmers
+from .operators import ani, boundaries, lookups, mask, windows
 from .plans.annotate import annotate, periods
 from .plans.build_db import build_db
 from .plans.params import Params
@@ -31,40 +34,65 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("-w", "--window", type=int, default=2000)
     a.add_argument("--band", type=float, default=2.0, help="Mb")
     a.add_argument("--identifier", help="name of unclassified arrays")
+    a.add_argument("-p", "--plot", action="store_true", help="write each band's score matrix as a picture")
+    a.add_argument("--compat", action="store_true", help="the original tool's accidental rules (see Params)")
     b = sub.add_parser("build_db", help="k-mer sets of named regions")
     b.add_argument("-f", "--fasta", nargs="+", required=True)
     b.add_argument("-b", "--bed", nargs="+", required=True)
     b.add_argument("-c", "--config")
     b.add_argument("-d", "--directory")
     b.add_argument("-k", "--kmer", type=int, default=21)
+    for command in (a, b):
+        talk = command.add_mutually_exclusive_group()
+        talk.add_argument("-v", "--verbose", action="store_true", help="report what was found on the way")
+        talk.add_argument("-q", "--quiet", action="store_true", help="report nothing")
     return top
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
+    say = (lambda *_: None) if args.quiet else print
+    more = print if args.verbose else (lambda *_: None)
     seqs = fasta.read_fasta(spark, args.fasta)
+    if args.verbose:
+        more(seqs.count(), "sequences")
     if args.command == "build_db":
         tables = [bed.normalised(bed.read_bed(spark, p)) for p in args.bed]
         regions = tables[0]
         for t in tables[1:]:
             regions = regions.unionByName(t)
         if absent := [r.chrom for r in lookups.missing_chroms(regions, fasta.names(seqs)).limit(20).collect()]:
-            print("no sequence for", ", ".join(absent))
+            say("no sequence for", ", ".join(absent))
         classes = kmerdb.read_class_map(spark, args.config) if args.config else None
-        kmerdb.write_dbs(build_db(regions, seqs, args.kmer, classes), args.kmer, args.directory or f"k_{args.kmer}")
+        folder, db = args.directory or f"k_{args.kmer}", build_db(regions, seqs, args.kmer, classes)
+        kmerdb.write_dbs(db, args.kmer, folder)
+        if args.verbose:
+            for r in db.groupBy("class").agg(F.countDistinct("subtype").alias("subtypes"), F.count("*").alias("kmers")).orderBy("class").toLocalIterator():  # a row a class
+                more(f"{r['class']}: {r.subtypes} subtypes, {r.kmers} k-mers")
+        say("wrote", folder)
         return
     if args.seq_id:
         seqs = fasta.selected(seqs, args.seq_id)
-    p = Params(k=args.kmer, window=args.window, band=round(args.band * 1_000_000), identity=args.identity, threshold=args.threshold)
-    db = None
-    if args.classify:
-        db = kmerdb.read_dbs(spark, args.classify)
-        if other := [r.k for r in db.select("k").distinct().collect() if r.k != args.kmer]:
-            raise ValueError(f"the database has k-mers of {other} bases, not {args.kmer}")
+    p = Params(k=args.kmer, window=args.window, band=round(args.band * 1_000_000), identity=args.identity, threshold=args.threshold, compat=args.compat)
+    db = kmerdb.read_dbs(spark, args.classify, permissive=True) if args.classify else None
     found = annotate(seqs, p, db)
     if args.identifier:
         found = found.withColumn("name", F.coalesce("name", F.lit(args.identifier)))
     found = found.cache()
-    bed.write_table(bed.annotation(bed.placed(found)), f"{args.directory}/annotation", args.output_format)
+    bed.write_table(bed.annotation(bed.placed(found, args.compat)), f"{args.directory}/annotation", args.output_format)
+    if args.plot:
+        os.makedirs(f"{args.directory}/plots", exist_ok=True)
+        cells = ani.band_cells(windows.banded(kmers(chunked(seqs, p.k - 1), p.k, sketched=True), p), p).where(F.col("score") >= p.identity)
+        for r in ani.images(cells, p.windows, p.identity).toLocalIterator():  # a picture at a time
+            with open(f"{args.directory}/plots/{bed.file_name(r.seq_id).removesuffix('.bed')}.{r.band}.pgm", "wb") as f:
+                f.write(r.image)
+    if args.verbose:
+        parts = found.select("seq_id", "start", "end")
+        counts = boundaries.span_counts(parts, seqs, p.k)
+        for span, rows in groupby(boundaries.scaled_counts(counts).orderBy("seq_id", "chunk").toLocalIterator(), lambda r: r.seq_id):
+            more(f"{span.seq_id}:{span.start}-{span.end}")
+            more(boundaries.bars({r.chunk: r.bar for r in rows}))
+    if not args.quiet:
+        say(found.count(), "arrays in", f"{args.directory}/annotation")
     if args.mask is not None:
         chosen = mask.chosen(found, tuple(args.mask), periods(found, seqs, args.kmer))
         fasta.write_fasta(mask.masked(seqs, chosen, args.soft), f"{args.directory}/masked")

@@ -127,6 +127,21 @@ def cross_band(plain: DataFrame, wide: DataFrame, k: int) -> DataFrame:
     return both.join(own, ["seq_id", "band", "i"], "left_semi").join(before, ["seq_id", "band", "j"], "left_semi").select("seq_id", "band", "i", "j", score(F.col("share"), k).alias("score"))
 
 
+def images(cells: DataFrame, windows: int, least: float = 86.0) -> DataFrame:
+    """seq_id, band, image: each band's matrix as a gray picture (PGM), `least` and below white, 100 black."""
+    kind = cells.schema["seq_id"].dataType.simpleString()
+
+    def run(table: pa.Table) -> pa.Table:
+        gray = np.full((windows, windows), 255, np.uint8)
+        np.fill_diagonal(gray, 0)
+        i, j, score_ = (table.column(c).to_numpy() for c in ("i", "j", "score"))
+        gray[i, j] = gray[j, i] = np.round(255 * (100 - np.clip(score_, least, 100)) / (100 - least)).astype(np.uint8)
+        first = [table.column(g).slice(0, 1) for g in GROUP]
+        return pa.table([*first, pa.array([f"P5 {windows} {windows} 255\n".encode() + gray.tobytes()], pa.binary())], names=[*GROUP, "image"])
+
+    return cells.select(*GROUP, "i", "j", "score").groupBy(*GROUP).applyInArrow(run, f"seq_id {kind}, band bigint, image binary")
+
+
 def matrix(cells: DataFrame, seq_id, band: int, windows: int) -> np.ndarray:
     """One band's whole matrix, for a plot: 100 on the diagonal, 0 where there is no cell. windows^2 numbers reach the driver."""
     out = np.eye(windows) * 100

@@ -132,6 +132,16 @@ def shared_counts(zone_kmers: DataFrame, core: DataFrame, length: int = CHUNK) -
     return held.select("seq_id", F.expr(f"pos div {length}L").alias("chunk"), "kmer").distinct().groupBy("seq_id", "chunk").agg(F.count("*").alias("shared"))
 
 
+def span_counts(spans: DataFrame, seqs: DataFrame, k: int, length: int = CHUNK) -> DataFrame:
+    """seq_id (struct of the span), chunk, shared: for chunks around each span, a third of its size on either side, the distinct k-mers of its middle third."""
+    keys, third = ["seq_id", "start", "end"], F.expr("(end - start) div 3")
+    at = lambda a, z: spans.select(F.struct(*keys).alias("span"), "seq_id", a.cast("bigint").alias("start"), z.cast("bigint").alias("end"))
+    hashed = lambda rows: kmers(slices(rows, seqs, k, ["span"]), k).select("seq_id.span", "pos", "kmer")
+    core = hashed(at(F.col("start") + third, F.col("end") - third))
+    zone = hashed(at(F.greatest(F.lit(0), F.col("start") - third), F.col("end") + third))
+    return shared_counts(zone.withColumnRenamed("span", "seq_id"), core.withColumnRenamed("span", "seq_id"), length)
+
+
 def scaled_counts(counts: DataFrame, height: int = 10) -> DataFrame:
     """counts with bar: each chunk's shared k-mers as lines of a plot whose highest bar, of its sequence, has `height`."""
     most = F.max("shared").over(Window.partitionBy("seq_id"))

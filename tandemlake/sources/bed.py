@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import os
+from urllib.parse import quote
+
+import pyarrow as pa
+import pyarrow.fs as pfs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,16 +64,52 @@ def as_gff(table: DataFrame) -> DataFrame:
 
 
 def write_table(table: DataFrame, path: str, fmt: str = "bed") -> None:
-    """A folder of the annotation in a format; BED by sequence, with a header line, TSV and CSV with one too."""
+    """A folder of the annotation in a format. BED: a file {sequence}.bed each, with a header line; TSV and CSV have one too.
+
+    Characters of a sequence's name that a file's can't have are percent-encoded, so that no two names share a file.
+    """
     if fmt not in FORMATS:
         raise ValueError(f"{fmt!r} is none of {', '.join(FORMATS)}")
     w = lambda t: t.write.mode("overwrite").option("comment", "\x01")  # noqa: E731  else #chrom is quoted
     if fmt == "bed":
-        record = F.regexp_replace("#chrom", r"[^\w.:-]", "_")
-        w(table.withColumn("record", record).repartition("record").sortWithinPartitions("start", "end")).partitionBy("record").csv(path, sep="\t", header=True, nullValue=".", quote="")
+        _write_beds(table, path)
     elif fmt in ("gtf", "gff"):
         w(as_gtf(table) if fmt == "gtf" else as_gff(table)).csv(path, sep="\t", quote="")
     elif fmt == "json":
         w(table).json(path)
     else:
         w(table).csv(path, sep="\t" if fmt == "tsv" else ",", header=True)
+
+
+def file_name(seq_id: str) -> str:
+    return quote(seq_id, safe=":-._") + ".bed"
+
+
+def _write_beds(table: DataFrame, path: str) -> None:
+    """A sequence's rows are in one task, in order; each file is written under another name and moved into place once it is whole."""
+    rows = table.repartition("#chrom").sortWithinPartitions("#chrom", "start", "end")
+    where = path if "://" in path else os.path.abspath(path)
+
+    def run(batches):
+        fs, folder = pfs.FileSystem.from_uri(where)
+        fs.create_dir(folder, recursive=True)
+        now, out, attempt = None, None, TaskContext.get().taskAttemptId()
+
+        def close():
+            if out is not None:
+                out.close()
+                fs.move(f"{folder}/.{file_name(now)}.{attempt}", f"{folder}/{file_name(now)}")
+
+        n = 0
+        for b in batches:
+            for row in zip(*(b.column(c).to_pylist() for c in ANNOTATION), strict=True):
+                if out is None or row[0] != now:
+                    close()
+                    now, n = row[0], n + 1
+                    out = fs.open_output_stream(f"{folder}/.{file_name(now)}.{attempt}")
+                    out.write(("\t".join(ANNOTATION) + "\n").encode())
+                out.write(("\t".join("." if x is None else str(x) for x in row) + "\n").encode())
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
+
+    rows.select(*[F.col(f"`{c}`") for c in ANNOTATION]).mapInArrow(run, "n bigint").agg(F.sum("n")).collect()

@@ -9,10 +9,16 @@ import gzip
 import json
 import os
 import struct
+import sys
+import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pfs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def encode(k: int, sets: dict[str, np.ndarray]) -> bytes:
@@ -43,7 +49,19 @@ def decode(data: bytes) -> tuple[int, dict[str, np.ndarray]]:
 
 
 def read_dbs(spark: SparkSession, path: str, permissive: bool = False) -> DataFrame:
-    """class (the file's stem), subtype, k, kmer of a folder's *.db files. permissive leaves out files that can't be decoded."""
+    """class (the file's stem), subtype, k, kmer of a folder's *.db files.
+
+    A folder that isn't there, or is none, or has no such file, raises. permissive leaves out files that can't be
+    decoded, with a warning in the worker's log; otherwise they raise.
+    """
+    fs, folder = pfs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+    kind = fs.get_file_info(folder).type
+    if kind == pfs.FileType.NotFound:
+        raise FileNotFoundError(f"no folder {path}")
+    if kind != pfs.FileType.Directory:
+        raise ValueError(f"{path} is no folder")
+    if not any(f.base_name.endswith(".db") for f in fs.get_file_info(pfs.FileSelector(folder))):
+        raise ValueError(f"no .db files in {path}")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.db").load(path).select("path", "content")
 
     def run(batches):
@@ -51,8 +69,9 @@ def read_dbs(spark: SparkSession, path: str, permissive: bool = False) -> DataFr
             for p, content in zip(b.path, b.content, strict=True):
                 try:
                     k, sets = decode(content)
-                except Exception:
+                except Exception as e:
                     if permissive:
+                        print(f"left out {p}: {e}", file=sys.stderr)
                         continue
                     raise
                 for name, values in sets.items():
@@ -72,11 +91,56 @@ def packed(db: DataFrame, k: int) -> DataFrame:
 
 
 def write_dbs(db: DataFrame, k: int, folder: str) -> None:
-    """One {class}.db a class in a local or mounted folder; a class is a file, so a class at a time passes the driver."""
-    os.makedirs(folder, exist_ok=True)
-    for row in packed(db, k).toLocalIterator():
-        with open(os.path.join(folder, "".join(c if c.isalnum() or c in "._-" else "_" for c in row["class"]) + ".db"), "wb") as f:
-            f.write(row.data)
+    """One {class}.db a class in a folder that driver and executors share.
+
+    The format names a set's size before its k-mers, so sizes are counted first; then each class streams, in order,
+    through the task that writes its file, whatever its size. Nothing passes the driver.
+    """
+    if not 0 < k < 256:
+        raise ValueError("k doesn't fit")
+    where = folder if "://" in folder else os.path.abspath(folder)
+    one = db.select("class", "subtype", "kmer").distinct()
+    sizes = one.groupBy("class", "subtype").agg(F.count("*").alias("n"))
+    sets = sizes.groupBy("class").agg(F.count("*").alias("sets"))
+    rows = one.join(sizes.join(sets, "class"), ["class", "subtype"]).repartition("class").sortWithinPartitions("class", "subtype", "kmer")
+
+    def run(batches):
+        fs, root = pfs.FileSystem.from_uri(where)
+        fs.create_dir(root, recursive=True)
+        now, subtype, out, z, attempt = None, None, None, None, TaskContext.get().taskAttemptId()
+
+        def close():
+            if out is not None:
+                out.write(z.flush())
+                out.close()
+                fs.move(f"{root}/.{file_name(now)}.{attempt}", f"{root}/{file_name(now)}")
+
+        for b in batches:
+            c, s, kmer = b.column("class").to_pylist(), b.column("subtype").to_pylist(), np.asarray(b.column("kmer")).astype("<i4")
+            cuts = [0, *(i for i in range(1, len(c)) if (c[i], s[i]) != (c[i - 1], s[i - 1])), len(c)]
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                if x == y:
+                    continue
+                if out is None or c[x] != now:
+                    close()
+                    now, subtype, count = c[x], None, b.column("sets")[x].as_py()
+                    if count > 65535:
+                        raise ValueError("the number of sets doesn't fit")
+                    out, z = fs.open_output_stream(f"{root}/.{file_name(now)}.{attempt}"), zlib.compressobj(9, zlib.DEFLATED, 31)
+                    out.write(z.compress(struct.pack("<BH", k, count)))
+                if s[x] != subtype:
+                    subtype, raw = s[x], s[x].encode()
+                    out.write(z.compress(struct.pack("<H", len(raw)) + raw + struct.pack("<I", b.column("n")[x].as_py())))
+                out.write(z.compress(kmer[x:y].tobytes()))
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([0])], ["done"])
+
+    rows.mapInArrow(run, "done bigint").count()
+
+
+def file_name(name: str) -> str:
+    """A class's file; characters that a file's name can't have are underscores."""
+    return "".join(c if c.isalnum() or c in "._-" else "_" for c in name) + ".db"
 
 
 def class_map(spark: SparkSession, classes: dict[str, list[str]]) -> DataFrame:

@@ -135,6 +135,44 @@ def test_conflict_filter_leaves_no_conflict(spark):
             assert abs(a - c) > 5 and abs(b - d) > 5 and not (a < c and b > d)
 
 
+def slow_kept(found, clash):
+    kept = []
+    for x in sorted(found):
+        if not any(clash(y, x) for y in kept):
+            kept.append(x)
+    return kept
+
+
+def test_interval_rules_by_hand(spark):
+    r = random.Random(5)
+    spans = [(n, a := r.randrange(300), a + r.randrange(1, 60)) for n in "abc" for _ in range(70)] + [(None, 3, 9), (None, 4, 12)]
+    table = spark.createDataFrame(spans, "seq_id string, start bigint, end bigint").repartition(3)
+    near = lambda y, x: abs(y[0] - x[0]) <= 4 or abs(y[1] - x[1]) <= 4 or y[0] < x[0] and y[1] > x[1]
+    same = lambda y, x: y[0] == x[0] or y[1] == x[1]
+    for got, clash in ((intervals.without_conflicts(table, ["seq_id"], 4), near), (intervals.without_repeats(table, ["seq_id"]), same)):
+        want = [(n, *x) for n in ("a", "b", "c", None) for x in slow_kept([s[1:] for s in spans if s[0] == n], clash)]
+        assert rows(got) == sorted(want, key=repr)
+    assert rows(intervals.stitched(table.limit(0), ["seq_id"], 100, 2)) == []
+
+
+def test_top_classes(spark):
+    q = spark.createDataFrame([("q", 1), ("q", 2), ("r", 9)], "query_id string, kmer int")
+    d = spark.createDataFrame([("d", 1), ("d", 2), ("b", 2), ("a", 7), ("c", 7), ("e", 7), ("f", 7)], "class string, kmer int")
+    got = [(r.query_id, r["class"], r.overlap, r["rank"]) for r in classify.top(q, d, 3).orderBy("query_id", "rank").collect()]
+    assert got == [("q", "d", 2, 1), ("q", "b", 1, 2), ("q", "a", 0, 3), ("r", "a", 0, 1), ("r", "b", 0, 2), ("r", "c", 0, 3)]
+    assert [(r["class"], r.overlap) for r in classify.overlaps(q, d).where("query_id = 'r'").collect()] == [(None, 0)]
+
+
+def test_bars():
+    assert boundaries.bars({2: 2, 4: 1}, 2) == "#\n# #\n---" and boundaries.bars({}) == ""
+
+
+def test_distances_by_name(spark):
+    seqs = spark.createDataFrame([("f", "c", "ACGACGACGTT")], "file string, seq_id string, seq string")
+    regions = spark.createDataFrame([("c", 0, 11, "X"), ("c", 0, 2, "y"), ("no", 0, 9, "x")], "chrom string, start bigint, end bigint, name string")
+    assert [(r.name, [tuple(x) for x in r.top]) for r in periodicity.by_name(regions, seqs, 3).collect()] == [("x", [(3, 3)])]
+
+
 def test_last_hit_golden():
     hits = np.zeros(60, bool)
     hits[[*range(21), 30, 41]] = True

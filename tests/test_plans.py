@@ -84,6 +84,148 @@ def test_fasta_roundtrip(spark, tmp_path):
     assert {(r.seq_id, r.seq) for r in back.collect()} == {("s1", "ACGTac"), ("s3", "NNA")}
 
 
+def test_records_begin_only_at_a_line(spark, tmp_path):
+    (tmp_path / "a.fa").write_bytes(b"\n\n>s1 length>1000 note\r\nAC>GT\r\n\r\nac\r\n>s2\n>\n\n>s3\tx\nNN\nA")
+    want = [("s1", "AC>GTac", 7), ("s2", "", 0), ("s3", "NNA", 3)]
+    assert [r[1:] for r in rows(fasta.read_fasta(spark, str(tmp_path / "a.fa")))] == want
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.fa").write_bytes((tmp_path / "a.fa").read_bytes())
+    stream = fasta.records(spark.readStream.option("lineSep", fasta.SEPARATOR).text(str(tmp_path / "in")))
+    q = stream.writeStream.format("memory").queryName("arrived").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert rows(spark.table("arrived")) == [w[:2] for w in want]
+
+
+def test_first_file_and_whole_names_come_first(spark):
+    seqs = spark.createDataFrame([("f2", "a", "ACGT"), ("f1", "a", "TTTT"), ("f3", "a:1-2", "GG")], "file string, seq_id string, seq string")
+    assert {(r.seq_id, r.file, r.seq) for r in fasta.selected(seqs, ["a", "a:1-2", "a:0-3"]).collect()} == {("a", "f1", "TTTT"), ("a:1-2", "f3", "GG"), ("a:0-3", "f1", "TTT")}
+
+
+def joined_columns(node):
+    """The columns that go into the joins of a plan."""
+    kids = [node.children().apply(i) for i in range(node.children().size())]
+    own = [set(k.output().mkString(",").split(",")) for k in kids] if node.nodeName() == "Join" else []
+    return [*own, *(c for k in kids for c in joined_columns(k))]
+
+
+def test_no_sequence_goes_through_a_join(spark, genome):
+    seqs = spark.createDataFrame(list(genome[0].items()), "seq_id string, seq string")
+    source = seqs._jdf.queryExecution().optimizedPlan().output().apply(1).toString()
+    db = spark.createDataFrame([("x", 1)], "class string, kmer int")
+    regions = spark.createDataFrame([("one", 0, 99, "n")], "chrom string, start bigint, end bigint, name string")
+    for df in (annotate(seqs, P, db), build_db(regions, seqs.selectExpr("'f' as file", "seq_id", "seq"), 21)):
+        found = joined_columns(df._jdf.queryExecution().optimizedPlan())
+        assert len(found) >= 4 and not any(source in columns for columns in found)
+
+
+def test_slices_are_regions(spark):
+    from tandemlake.functions.kmers import kmers, slices
+
+    r = random.Random(8)
+    seqs = {n: dna(r, size) for n, size in (("a", 95), ("b", 30), ("c", 3))}
+    regions = [(i, n, a, a + r.randrange(-3, 60)) for i, (n, a) in enumerate((r.choice("abcd"), r.randrange(-10, 100)) for _ in range(80))]
+    table = spark.createDataFrame(regions, "i int, seq_id string, start bigint, end bigint")
+    got = {}
+    for x in kmers(slices(table, spark.createDataFrame(list(seqs.items()), "seq_id string, seq string"), 4, ["i"], size=16), 4).collect():
+        got.setdefault(x.seq_id.i, []).append((x.pos, x.kmer))
+    from tandemlake.functions.kmers import canonical
+
+    for i, n, a, z in regions:
+        part = seqs.get(n, "")[max(0, a) : max(0, z)]
+        assert sorted(got.get(i, [])) == [(max(0, a) + j, int(v)) for j, v in enumerate(canonical(part.encode(), 4))]
+
+
+def slow_refined(seq, start, end, window, k):
+    """A span's new ends, from strings: sets of canonical words instead of hashes."""
+    comp = str.maketrans("ACGT", "TGCA")
+    w = window if end - start >= 4 * window else max(1, (end - start) // 4)
+    h = -(-w // 2)
+    words = lambda a, z: [min(x, x[::-1].translate(comp)) for x in (seq[i : i + k] for i in range(max(0, a), min(z, len(seq)) - k + 1))]
+    core = set(words(start + w + h, end - w - h))
+
+    def look(a, z, left):
+        zone = words(a, z)
+        if not zone:
+            return None
+        n = -(-len(zone) // 100)
+        size = -(-len(zone) // n)
+        hit = [len({x for x in zone[c * size : (c + 1) * size] if x in core}) > -(-n // 4) for c in range(n)]
+        order, last, misses = (range(n - 1, -1, -1) if left else range(n)), None, 0
+        for c in order:
+            last, misses = (c, 0) if hit[c] else (last, misses + 1)
+            if misses >= 10:
+                break
+        if last is None:
+            return None
+        at = [i for i in range(max(0, (last - 1) * size), min(len(zone), (last + 2) * size)) if zone[i] in core]
+        return max(0, a) + (at[0] if left else at[-1])
+
+    first = lambda *zones: next((x for x in (look(*z) for z in zones) if x is not None), None)
+    a = first((start - w - h, start + w + h, True), (start + w, start + w + 5 * h, True))
+    z = first((end - w - h, end + w + h, False), (end - w - 5 * h, end - w, False))
+    return (start, end, False) if a is None or z is None or a >= z + k else (a, z + k, True)
+
+
+def test_refinement_by_hand(spark):
+    from tandemlake.operators import boundaries
+
+    r = random.Random(12)
+    seqs, spans = {}, []
+    for n in range(14):
+        before, size = r.randrange(0, 3000), r.randrange(1500, 9000)
+        seqs[f"s{n}"] = dna(r, before) + array(r, dna(r, r.randrange(20, 200)), size, 0.01) + dna(r, r.randrange(0, 3000))
+        for _ in range(3):
+            a, z = max(0, before + r.randrange(-900, 900)), before + size + r.randrange(-900, 900)
+            if a < z:
+                spans.append((f"s{n}", a, z))
+    spans += [("s0", 5, 9), ("s1", 0, 700), ("none", 0, 4000)]
+    got = boundaries.refined(spark.createDataFrame(spans, "seq_id string, start bigint, end bigint"), spark.createDataFrame(list(seqs.items()), "seq_id string, seq string"), 400, 11)
+    want = {s: slow_refined(seqs.get(s[0], ""), *s[1:], 400, 11) for s in spans}
+    assert {(x.seq_id, x.raw_start, x.raw_end): (x.start, x.end, x.refined) for x in got.collect()} == want
+    assert sum(x[2] for x in want.values()) > 15 and not all(x[2] for x in want.values())
+
+
+def test_compat_moves_what_it_says(spark, genome):
+    seqs = spark.createDataFrame([("one", genome[0]["one"]), ("r:1-9", genome[0]["one"])], "seq_id string, seq string")
+    plain = {x.seq_id: (x.start, x.end) for x in annotate(seqs, P).collect()}
+    odd = {x.seq_id: (x.start, x.end, x.refined) for x in annotate(seqs, Params(k=21, window=2000, band=100_000, compat=True)).collect()}
+    assert set(odd) == set(plain) and all(x[2] for x in odd.values())
+    assert all(abs(odd[n][0] - plain[n][0]) <= 200 + 21 and abs(odd[n][1] - plain[n][1]) <= 200 for n in odd)
+    bare = {x.seq_id: x.start for x in annotate(seqs, Params(k=21, window=2000, band=100_000, compat=True), refine=False).collect()}
+    assert bare["one"] == bare["r:1-9"] - 1
+
+
+def test_a_database_of_another_k_raises(spark, genome):
+    seqs = spark.createDataFrame([("short", genome[0]["short"])], "seq_id string, seq string")
+    with pytest.raises(ValueError, match="31"):
+        annotate(seqs, P, spark.createDataFrame([("a", 31, 5)], "class string, k int, kmer int"))
+
+
+def test_missing_databases(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        kmerdb.read_dbs(spark, str(tmp_path / "no"))
+    with pytest.raises(ValueError):
+        kmerdb.read_dbs(spark, str(tmp_path))
+    (tmp_path / "x.db").write_text("x")
+    with pytest.raises(ValueError):
+        kmerdb.read_dbs(spark, str(tmp_path / "x.db"))
+    assert rows(kmerdb.read_dbs(spark, str(tmp_path), permissive=True)) == []
+
+
+def test_written_database_is_the_packed_one(spark, tmp_path):
+    db = spark.createDataFrame([("A", s, (i * 7919) % 4001 - 2000) for s in "xy" for i in range(3000)] + [("B", "é", 1)], "class string, subtype string, kmer int")
+    kmerdb.write_dbs(db, 13, str(tmp_path))
+    for r in kmerdb.packed(db, 13).collect():
+        assert gzip.decompress((tmp_path / f"{r['class']}.db").read_bytes()) == gzip.decompress(bytes(r.data))
+
+
+def test_no_two_sequences_share_a_file(spark, tmp_path):
+    t = bed.annotation(spark.createDataFrame([("a/b", 5, 9, "x"), ("a/b", 1, 3, None), ("a_b", 0, 2, "y")], "seq_id string, start bigint, end bigint, name string"))
+    bed.write_table(t, str(tmp_path / "o"))
+    assert sorted(p.name for p in (tmp_path / "o").iterdir() if not p.name.startswith(".")) == ["a%2Fb.bed", "a_b.bed"]
+    assert (tmp_path / "o" / "a%2Fb.bed").read_text() == "\t".join(bed.ANNOTATION) + "\na/b\t1\t3\t.\t0\t.\t1\t3\t0,0,0\na/b\t5\t9\tx\t0\t.\t5\t9\t0,0,0\n"
+
+
 def test_region_slice(spark):
     from pyspark.sql import functions as F
 
@@ -112,7 +254,7 @@ def test_formats(spark, tmp_path, fmt):
     t = bed.annotation(bed.placed(spark.createDataFrame([("chrY:50-3000", 0, 100, "x")], "seq_id string, start bigint, end bigint, name string")))
     assert (t.first().start, t.first().end) == (50, 150)
     bed.write_table(t, str(tmp_path / fmt), fmt)
-    text = "".join(p.read_text() for p in (tmp_path / fmt).rglob("part-*"))
+    text = "".join(p.read_text() for p in (tmp_path / fmt).rglob("*.bed" if fmt == "bed" else "part-*"))
     assert {"bed": "#chrom\tstart", "gtf": 'gene_id "x";', "gff": "ID=x", "csv": "#chrom,start", "tsv": "#chrom\tstart", "json": '"start":50'}[fmt] in text
     with pytest.raises(ValueError):
         bed.write_table(t, str(tmp_path / "no"), "xml")
@@ -139,14 +281,18 @@ def test_build_db_unites_names(spark):
     assert {(r["class"], r.subtype) for r in mapped.collect()} == {("K", "x")}
 
 
-def test_command_line(spark, tmp_path, genome):
+def test_command_line(spark, tmp_path, genome, capsys):
     fa = tmp_path / "g.fa"
     fa.write_text("".join(f">{n}\n{s}\n" for n, s in genome[0].items() if n in ("one", "short")))
     (tmp_path / "r.bed").write_text("one\t70000\t90000\tAlpha\n")
     (tmp_path / "c.json").write_text('{"sat": ["alpha"]}')
-    cli.run(spark, cli.parser().parse_args(["build_db", "-f", str(fa), "-b", str(tmp_path / "r.bed"), "-c", str(tmp_path / "c.json"), "-d", str(tmp_path / "db")]))
-    cli.run(spark, cli.parser().parse_args(["annotate", "-f", str(fa), "-d", str(tmp_path / "out"), "-c", str(tmp_path / "db"), "--band", "0.1", "-m", "SAT"]))
-    text = "".join(p.read_text() for p in (tmp_path / "out" / "annotation").rglob("part-*.csv"))
+    cli.run(spark, cli.parser().parse_args(["build_db", "-f", str(fa), "-b", str(tmp_path / "r.bed"), "-c", str(tmp_path / "c.json"), "-d", str(tmp_path / "db"), "-v"]))
+    cli.run(spark, cli.parser().parse_args(["annotate", "-f", str(fa), "-d", str(tmp_path / "out"), "-c", str(tmp_path / "db"), "--band", "0.1", "-m", "SAT", "-p", "-v"]))
+    said = capsys.readouterr().out
+    assert "2 sequences" in said and "sat: 1 subtypes" in said and "one:" in said and "#" in said and "1 arrays" in said
+    picture = (tmp_path / "out" / "plots" / "one.0.pgm").read_bytes()
+    assert picture.startswith(b"P5 50 50 255\n") and len(picture) == 13 + 2500 and picture[13] == 0
+    text = (tmp_path / "out" / "annotation" / "one.bed").read_text()
     assert "\tsat\t" in text and text.startswith("#chrom\tstart\tend")
     masked = fasta.read_fasta(spark, str(tmp_path / "out" / "masked" / "record=one")).first().seq
     assert masked[70_000:90_000] == "N" * 20_000 and "N" not in masked[:59_000]
