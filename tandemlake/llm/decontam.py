@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import empty_if_null, ids_and_text, map_batches
 
 WINDOW, LEAST, SLOTS, BLOCK_BYTES = 5, 0.8, 0.9, 8 << 20
-KNOWN, STEP = 1 << 20, 1 << 16
+KNOWN, STEP = 1 << 18, 1 << 16
 
 # Words that are numbers, and words and signs that are units after a number.
 NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half".split())

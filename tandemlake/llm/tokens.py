@@ -24,7 +24,7 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 SPLIT = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
 #: Texts with other characters than these aren't split at spaces, nor those of odd().
 ODD = re.compile(rf"[^\n\x20-\x7e{LETTERS}×÷¡«»¿]")
-MEMO = 400_000
+MEMO = 200_000
 PER_CALL = 64
 
 
