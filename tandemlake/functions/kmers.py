@@ -130,6 +130,11 @@ def sketch(kmers: DataFrame) -> DataFrame:
     return kmers.where("kmer % 4 = 0 and kmer <> 0")
 
 
+def taken(kmers: DataFrame, first: int, last: int) -> DataFrame:
+    """The k-mers of positions first to last - 1."""
+    return kmers.where(F.col("pos").between(first, last - 1))
+
+
 def chunked(seqs: DataFrame, overlap: int, size: int = CHUNK) -> DataFrame:
     """Sequences in pieces of size + overlap bases: seq_id, pos0, seq. With overlap k - 1 each k-mer is in one piece."""
     rows = seqs.select("seq_id", F.col("seq").cast("binary").alias("seq")).where("seq is not null")

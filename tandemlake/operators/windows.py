@@ -25,3 +25,9 @@ def hopping(banded_: DataFrame, p: Params) -> DataFrame:
     first = F.greatest(F.lit(0), F.floor((F.col("local") - p.interval) / p.window).cast("int"))
     last = F.least(F.lit(p.windows - 1), F.floor((F.col("local") + p.interval) / p.window).cast("int"))
     return banded_.select("seq_id", "band", "kmer", F.explode(F.sequence(first, last)).alias("win")).select("seq_id", "band", "win", "kmer").distinct()
+
+
+def placed(wins: DataFrame, p: Params) -> DataFrame:
+    """wins(band, win, ...) with the window's start and end in its sequence."""
+    start = F.col("band") * p.band + F.col("win") * p.window
+    return wins.withColumns({"start": start, "end": start + p.window})

@@ -698,7 +698,7 @@ SQL["set_intersect"] = _with("km dbk", "SELECT kmer FROM km INTERSECT SELECT kme
 SQL["set_except"] = _with("km dbk", "SELECT count(*) AS n, coalesce(sum(kmer), 0)::BIGINT AS total FROM (SELECT kmer FROM dbk EXCEPT SELECT kmer FROM km)")
 
 
-# --- whole plans (no SQL equivalent; tests compare them with planted arrays) -------------------------------------
+# --- whole plans (SQL of the annotation: file_queries.py) ---------------------------------------------------------
 
 
 SQL["histograms_by_name"] = (
