@@ -7,6 +7,7 @@ benchmark, in all their readings, are a hash table; documents' windows are joine
 document holds to a share of `least`, along one stretch of the document, is a candidate, and its slots are then checked:
 each placeholder value of the item must stand for one value of the document throughout, and each of the document's for
 one of the item. So a question with other numbers or names is found, and a text that merely has the same shape isn't.
+Of a long item a part is enough: RUN template words or more without a gap, whatever their share, with the same check.
 
 The benchmark is the stated query set. It is taken in blocks of bounded bytes; each block's table is broadcast and the
 documents are scanned against it once, with no shuffle of documents and no pairs but those reported.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import empty_if_null, ids_and_text, map_batches
 
-WINDOW, LEAST, SLOTS, BLOCK_BYTES = 5, 0.8, 0.9, 8 << 20
+WINDOW, LEAST, SLOTS, RUN, BLOCK_BYTES = 5, 0.8, 0.9, 50, 8 << 20
 KNOWN, STEP = 1 << 18, 1 << 16
 
 # Words that are numbers, and words and signs that are units after a number.
@@ -216,14 +217,16 @@ class Block:
         self.tables = {size: self._table(members) for size, members in short.items()}
 
     def _table(self, members: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes in order, their limits, and items: of each item the rarest windows' readings, one of which must be in a text that holds its share."""
+        """Hashes in order, their limits, and items: of each item the readings of its rarest windows, one of which must be in a text that holds its share, and of windows that lie so close that a run has one."""
         distinct = {k: np.unique(self.items[k].hashes) for k in members}
         all_hashes, counts = np.unique(np.concatenate(list(distinct.values())), return_counts=True)
         h, k = [], []
         for m, own in distinct.items():
             rarest = np.lexsort((own, counts[np.searchsorted(all_hashes, own)]))[: len(own) - int(np.ceil(self.least * len(own))) + 1]
-            _, _, read, of = self.items[m].readings()
-            keep = np.unique(read[np.isin(of, rarest)])
+            item = self.items[m]
+            _, _, read, of = item.readings()
+            posts = np.searchsorted(own, item.hashes[:: self._run(item)]) if len(item.codes) >= RUN else rarest
+            keep = np.unique(read[np.isin(of, np.union1d(rarest, posts))])
             h.append(keep)
             k.append(np.full(len(keep), m))
         h, k = np.concatenate(h), np.concatenate(k)
@@ -232,6 +235,10 @@ class Block:
         keys, first = np.unique(h, return_index=True)
         return keys, np.append(first, len(h)), k
 
+    def _run(self, item: Item) -> int:
+        """How many windows a run of RUN words has."""
+        return max(1, RUN - item.size + 1)
+
     def matches(self, codes: np.ndarray, how: np.ndarray, where: np.ndarray, tokens: list[str]) -> list[tuple[int | None, float, int, int]]:
         """(item_id, share, first token, last token + 1) of each item that the text holds."""
         out = []
@@ -268,7 +275,7 @@ class Block:
         p, which = p[order], which[order]
         n, need = len(distinct), int(np.ceil(self.least * len(distinct)))
         if len(np.unique(which)) < need:
-            return None
+            return self._part(item, distinct, p, which, codes, how, where, tokens)
         span, best = int(1.5 * len(item.codes)) + 1, None
         a, held, kinds_held = 0, defaultdict(int), 0
         for z in range(len(p)):  # the stretch of at most `span` words that holds most of the item's windows
@@ -284,10 +291,33 @@ class Block:
                     if kinds_held == n:
                         break
         if best is None:
-            return None
+            return self._part(item, distinct, p, which, codes, how, where, tokens)
         share, a, z = best
         return share / n, int(where[p[a]]), int(where[min(p[z] + item.size, len(where)) - 1]) + 1
 
+    def _part(self, item: Item, distinct: np.ndarray, p: np.ndarray, which: np.ndarray, codes, how, where, tokens):
+        """The longest consistent run of at least RUN of the item's words, the first of several: (share of its windows, first token, last token + 1)."""
+        least = self._run(item)
+        if len(item.codes) < RUN or len(p) < least:
+            return None
+        own = np.searchsorted(distinct, item.hashes)
+        held = np.unique(p * len(distinct) + which)
+        shifts: set[int] = set()
+        for q in range(0, len(own), least):  # a run has one of these windows
+            shifts.update((p[which == own[q]] - q).tolist())
+        q, best = np.arange(len(own)), None
+        for shift in sorted(shifts):
+            at = (q + shift) * len(distinct) + own
+            there = held[np.minimum(np.searchsorted(held, at), len(held) - 1)] == at
+            edges = np.flatnonzero(np.diff(np.concatenate([[False], there, [False]]).astype(np.int8)))
+            for a, z in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+                if z - a >= max(least, best[0] + 1 if best else 0) and self._consistent(item, q[a:z] + shift, q[a:z], codes, how, where, tokens):
+                    best = z - a, a + shift, z - 1 + shift, len(np.unique(own[a:z]))
+        if best is None:
+            return None
+        _, first, last, windows_held = best
+        return windows_held / len(distinct), int(where[first]), int(where[min(last + item.size, len(where)) - 1]) + 1
+
     def _consistent(self, item: Item, at: np.ndarray, own: np.ndarray, codes, how, where, tokens) -> bool:
         """Whether slot values map one to one: a share SLOTS of the slots must hold a value together with its usual partner, seen from either side; a text all of slots must be equal."""
         steps = np.arange(item.size)
@@ -343,7 +373,7 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES):
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: float = LEAST, most: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, share, first, last: benchmark items that documents hold; words first to last - 1 are the passage.
 
-    share is that of the item's distinct windows. Items shorter than a window are one window; items without a word
+    share is that of the item's distinct windows; it is below `least` only where a part of RUN words or more is held. Items shorter than a window are one window; items without a word
     match nothing. Null texts are empty and hold nothing. Repeated doc_ids give rows each; null ids stay null. Copies of
     an item are reported one by one. Other columns are ignored. An empty table on either side gives no rows.
     """
@@ -369,7 +399,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, l
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: float = LEAST, most: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs that hold no benchmark item, with all their columns; nothing is shuffled.
+    """The rows of docs that hold no benchmark item and no part of one as contamination() tells, with all their columns; nothing is shuffled.
 
     Null and empty texts hold nothing and stay; repeated rows are judged each; an empty benchmark leaves all rows, and
     no rows give no rows.

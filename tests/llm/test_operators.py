@@ -523,6 +523,53 @@ def test_templates_against_a_scan():
     assert min(seen) > 20
 
 
+def longest_run(a, b):
+    """The most consecutive words of a that b holds, every pair of places compared."""
+    best, last = 0, [0] * (len(b) + 1)
+    for x in a:
+        last = [0, *(last[j] + 1 if x == y else 0 for j, y in enumerate(b))]
+        best = max(best, *last)
+    return best
+
+
+def test_parts_of_long_items_against_a_scan():
+    """A part of RUN words is enough, whatever its share and wherever it stands; numbers in it may be others, one for one."""
+    r = random.Random(6)
+    seen = [0, 0]
+    vocabulary = [a + b + c for a in "bdfgklmn" for b in "aiou" for c in "pqstx"]
+    for _ in range(150):
+        item = [r.choice(vocabulary) for _ in range(r.randrange(55, 400))]
+        if r.random() < 0.2:
+            item = (item[:23] * 20)[: len(item)]  # windows that repeat
+        a = r.randrange(len(item) - 20)
+        part = item[a : a + r.choice([20, 45, 49, 50, 51, 60, 90])]
+        if r.random() < 0.3:
+            part[r.randrange(len(part))] = "zz"
+        noise = [r.choice(vocabulary) for _ in range(r.randrange(80))]
+        at = r.randrange(len(noise) + 1)
+        text = noise[:at] + part + noise[at:]
+        block = decontam.Block([(1, " ".join(item))], 5, 0.8)
+        got = block.matches(*decontam.Words(block.vocabulary, block.names).template(" ".join(text)))
+        run = longest_run(item, text)
+        assert bool(got) == (run >= decontam.RUN or slow_match(" ".join(item), " ".join(text))), (item, text)
+        for _, share, first, last in got:
+            assert share >= 0.8 or last - first == run and longest_run(item, text[first:last]) == run
+        seen[bool(got)] += 1
+    assert min(seen) > 20
+
+
+def test_numbers_of_a_part(spark):
+    words = [f"{a}{b}" for a in ("red", "low", "far", "dim", "wet", "raw") for b in "abcdefghijklmnopqrstuvwxy"]
+    item = " ".join(w if k % 15 else f"{w} {10 + k}" for k, w in enumerate(words))
+    part = " ".join(item.split()[20:90])
+    other = " ".join(str(int(w) + 500) if w.isdigit() else w for w in part.split())
+    merged = " ".join("7" if w.isdigit() else w for w in part.split())
+    docs = docs_of(spark, [(1, part), (2, f"so {other} it is"), (3, merged), (4, " ".join(part.split()[:49])), (5, part.replace(" ", "  "))])
+    got = decontam.contamination(docs, benchmark(spark, item)).collect()
+    assert sorted(r.doc_id for r in got) == [1, 2, 5]  # merged numbers aren't one for one
+    assert sorted(r.doc_id for r in decontam.uncontaminated(docs, benchmark(spark, item)).collect()) == [3, 4]
+
+
 def test_slots_map_one_to_one(spark):
     item = "Now take 12 of the red ones and 34 of the blue ones, then add 12 of the red and 34 of the blue to all that you have had so far here."
     same, other, merged, split = (item.replace("12", a).replace("34", b) for a, b in (("12", "34"), ("56", "78"), ("90", "90"), ("55", "66")))
