@@ -80,14 +80,15 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     return out, limits, text_from, text_to
 
 
+PIECE = 32 << 10
 SCHEMA = "conv_id bigint, chunk bigint, n_turns int, formatted string, loss array<struct<start:int,end:int>>"
 
 
 def format_chats(turns: DataFrame, trained: str = "assistant") -> DataFrame:
     """conv_id, chunk, n_turns, formatted, loss: the conversations, in pieces that ascend by chunk.
 
-    A piece holds a run of whole turns of one conversation, as many as an Arrow batch has; a conversation of any length is spread
-    over pieces and tasks. loss has the byte ranges of the `trained` role's texts in the piece, marks excluded.
+    A piece holds a run of whole turns of one conversation of about PIECE bytes, or one longer turn; a conversation of any
+    length is spread over pieces and tasks, and readers, which take thousands of rows at once, need little memory. loss has the byte ranges of the `trained` role's texts in the piece, marks excluded.
     Null texts and roles are empty; a null conv_id is a conversation of its own; equal turns are ordered by role and
     text; null turns come first. Other columns are ignored. No rows give no rows.
     """
@@ -102,8 +103,8 @@ def format_chats(turns: DataFrame, trained: str = "assistant") -> DataFrame:
             out, limits, text_from, text_to = assemble(b.column("role"), b.column("text"))
             conv = b.column("conv_id")
             number = np.asarray(conv.fill_null(0)).astype(np.int64)
-            null = np.asarray(conv.is_null())
-            cut = np.concatenate([[0], np.nonzero((number[1:] != number[:-1]) | (null[1:] != null[:-1]))[0] + 1, [b.num_rows]])
+            null, block = np.asarray(conv.is_null()), limits[:-1] // PIECE
+            cut = np.concatenate([[0], np.nonzero((number[1:] != number[:-1]) | (null[1:] != null[:-1]) | (block[1:] != block[:-1]))[0] + 1, [b.num_rows]])
             first, last = cut[:-1], cut[1:]
             at = np.concatenate([limits[first], limits[-1:]])
             pieces = pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(at), pa.py_buffer(out)]).cast(pa.string())

@@ -813,6 +813,16 @@ def test_assembly_round_trip(turns):
         assert chat.unescape(inside) == t and not any(c in inside for c in chat.CONTROLS)
 
 
+def test_a_long_conversation_is_in_small_pieces(spark):
+    """A third of all rows in one conversation, and a turn longer than a piece."""
+    rows = [(1 if k % 3 == 0 else 2 + k // 30, k, "assistant" if k % 2 else "user", f"{k} says </s> " * 20) for k in range(3000)]
+    rows[21] = (1, 21, "assistant", "x" * 200_000)
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    pieces = sorted((r.chunk, r.n_turns, r.formatted) for r in chat.format_chats(turns).where("conv_id = 1").collect())
+    assert sum(len(f) > 2 * chat.PIECE for _, _, f in pieces) == 1 and len(pieces) > 5
+    assert [x for _, _, f in pieces for x in chat.parse(f)] == [(role, text) for c, _, role, text in rows if c == 1]
+
+
 def test_conversations(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", None), (None, 0, None, "x"), (2, None, "assistant", queries.CONTROL_CASE), (2, 5, "assistant", ""), (1, 1, "assistant", "a"), *[(7, i, "assistant" if i % 2 else "user", f"t{i}") for i in range(5000)]]
     got = {r.conv_id: r for r in chat.digests(chat.format_chats(spark.createDataFrame([(*r, "x") for r in rows], "conv_id bigint, turn bigint, role string, text string, chunk string"))).collect()}
