@@ -80,7 +80,7 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     return out, limits, text_from, text_to
 
 
-PIECE = 32 << 10
+PIECE = 8 << 10
 SCHEMA = "conv_id bigint, chunk bigint, n_turns int, formatted string, loss array<struct<start:int,end:int>>"
 
 
