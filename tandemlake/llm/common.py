@@ -70,8 +70,12 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """f over df's batches. Columns may have dots and backquotes in their names, which mapInArrow itself can't resolve."""
     bounded_batches(df.sparkSession)
-    return df.mapInArrow(f, schema)
+    names = df.columns
+    if not any(c in name for name in names for c in ".`"):
+        return df.mapInArrow(f, schema)
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(lambda batches: f(b.rename_columns(names) for b in batches), schema)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

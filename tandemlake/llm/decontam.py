@@ -15,16 +15,21 @@ documents are scanned against it once, with no shuffle of documents and no pairs
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
+import uuid
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import empty_if_null, ids_and_text, map_batches
+from .common import empty_if_null, ids_and_text, map_batches, with_row, without_rows
 
 WINDOW, LEAST, SLOTS, RUN, BLOCK_BYTES = 5, 0.8, 0.9, 50, 8 << 20
 KNOWN, STEP = 1 << 18, 1 << 16
@@ -370,6 +375,18 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES):
         yield block
 
 
+_held: dict[str, tuple[Block, Words]] = {}
+
+
+def held(key: str, sent: Broadcast, window: int, least: float) -> tuple[Block, Words]:
+    """The sent block's table and its reader of words. A Python worker keeps one block, for those of its tasks that need it."""
+    if key not in _held:
+        _held.clear()
+        block = Block(sent.value, window, least)
+        _held[key] = block, Words(block.vocabulary, block.names)
+    return _held[key]
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: float = LEAST, most: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, share, first, last: benchmark items that documents hold; words first to last - 1 are the passage.
 
@@ -381,11 +398,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, l
     schema = "doc_id bigint, item_id bigint, share double, first int, last int"
     out = None
     for items in blocks(benchmark, most):
-        sent = spark.sparkContext.broadcast(items)
 
-        def scan(batches, sent=sent):
-            block = Block(sent.value, window, least)
-            words = Words(block.vocabulary, block.names)
+        def scan(batches, key=uuid.uuid4().hex, sent=spark.sparkContext.broadcast(items)):
+            block, words = held(key, sent, window, least)
             for b in batches:
                 rows = []
                 for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
@@ -398,20 +413,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, l
     return out if out is not None else spark.createDataFrame([], schema)
 
 
-def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: float = LEAST, most: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs that hold no benchmark item and no part of one as contamination() tells, with all their columns; nothing is shuffled.
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: float = LEAST, most: int = BLOCK_BYTES, stored: bool = False) -> DataFrame:
+    """The rows of docs that hold no benchmark item and no part of one as contamination() tells, with all their columns; no text is shuffled.
 
     Null and empty texts hold nothing and stay; repeated rows are judged each; an empty benchmark leaves all rows, and
-    no rows give no rows.
+    no rows give no rows. A benchmark of one block filters as it scans. With more, each block is a scan of its own that
+    notes the rows to drop, so that a task never has more than one block's table; see with_row on `stored`.
     """
-    for items in blocks(benchmark, most):
-        sent = docs.sparkSession.sparkContext.broadcast(items)
 
-        def clean(batches, sent=sent):
-            block = Block(sent.value, window, least)
-            words = Words(block.vocabulary, block.names)
-            for b in batches:
-                yield b.filter(pa.array([not block.matches(*words.template(t or "")) for t in b.column("text").to_pylist()], pa.bool_()))
+    def filtered(rows: DataFrame, items: list, hold: bool, columns: list[str]) -> DataFrame:
+        """The columns of those rows that hold an item of the block, or of those that hold none."""
 
-        docs = map_batches(docs, clean, docs.schema)
-    return docs
+        def scan(batches, key=uuid.uuid4().hex, sent=docs.sparkSession.sparkContext.broadcast(items)):
+            block, words = held(key, sent, window, least)
+            for b in batches:
+                yield b.filter(pa.array([bool(block.matches(*words.template(t or ""))) == hold for t in b.column("text").to_pylist()], pa.bool_())).select(columns)
+
+        return map_batches(rows, scan, T.StructType([f for f in rows.schema.fields if f.name in columns]))
+
+    each = blocks(benchmark, most)
+    first, second = next(each, None), next(each, None)
+    if first is None:
+        return docs
+    if second is None:
+        return filtered(docs, first, False, docs.columns)
+    rows, name = with_row(docs, stored)
+    gone = [filtered(rows.select(name, "text"), items, True, [name]) for items in itertools.chain([first, second], each)]
+    return without_rows(rows, name, functools.reduce(DataFrame.unionByName, gone).select(f"{name}.*"))

@@ -13,6 +13,7 @@ import pytest
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
@@ -466,6 +467,21 @@ def test_uncontaminated(spark, odd, empty):
     assert len(decontam.uncontaminated(odd, b.limit(0)).collect()) == len(ODD)
 
 
+@pytest.mark.parametrize("stored", [False, True])
+def test_uncontaminated_by_blocks(spark, tmp_path, stored):
+    b = benchmark(spark, QUESTION, "quite another passage of plain words here", None, "and a third one, of other words still")
+    rows = [(1, QUESTION), (2, "clean"), (3, None), (2, f"so {OTHER}"), (None, "it is quite another passage of plain words here"), (None, "clean"), (4, ""), (2, "clean"), (5, "clean " * 50_000)]
+    d = docs_of(spark, rows).withColumn("_row", F.lit(1)).withColumn("a.b", F.lit("x")).repartition(3)
+    if stored:
+        d.write.parquet(str(tmp_path / "docs"))
+        d = spark.read.parquet(str(tmp_path / "docs"))
+    view = lambda x: sorted(map(repr, x.collect()))
+    want = view(decontam.uncontaminated(d, b, stored=stored))
+    got = decontam.uncontaminated(d, b, most=10, stored=stored)
+    assert got.columns == d.columns and view(got) == want and len(want) == 6
+    assert view(decontam.uncontaminated(d.limit(0), b, most=10)) == []
+
+
 def slow_template(text):
     """Readings of each template word: a set of the words that it can match, and its slot value."""
     out = []
