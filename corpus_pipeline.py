@@ -44,7 +44,7 @@ def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that hold a benchmark item. Null and empty texts hold none; an empty benchmark leaves all."""
-    return decontam.uncontaminated(docs, table(spark, sf_dir, "benchmark"))
+    return decontam.uncontaminated(docs, table(spark, sf_dir, "benchmark"), stored=stored(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
