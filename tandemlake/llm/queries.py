@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, chat, decontam, dedup, html, packing, quality, secrets, simhash, warc
+from . import binary, chat, decontam, dedup, divergence, html, packing, quality, secrets, simhash, warc
 from .common import scratch, table, written
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -68,7 +68,11 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(written(chat.format_chats(turns), "chats"))
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_html_extraction, op3_exact_dedup, op4_warc_fixity, op5_packing, op6_secret_scan, op7_quality_classifier, op8_simhash_near_dedup, op9_token_binary, op10_chat_formatting)}
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_html_extraction, op3_exact_dedup, op4_warc_fixity, op5_packing, op6_secret_scan, op7_quality_classifier, op8_simhash_near_dedup, op9_token_binary, op10_chat_formatting, op13_source_divergence)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -99,4 +103,19 @@ ORACLE_SQL = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(length({_escaped("role")}) + len(role) - len(replace(role, chr(10), '')) + length({_escaped("text")}) + {len(chat.OPEN) + len(chat.CLOSE) + 2}) AS BIGINT) AS formatted_chars
         FROM t GROUP BY conv_id""",
+    "op13_source_divergence": f"""
+        WITH d AS (SELECT row_number() OVER () AS uid, {_LOW} AS t, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+             w AS (SELECT uid, lang, source, unnest(regexp_extract_all(t, '{divergence.TERM}')) AS term FROM d),
+             c AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL),
+             k AS (SELECT lang, term, count(*) AS n FROM w GROUP BY ALL HAVING count(DISTINCT uid) >= {divergence.LEAST}),
+             g AS (SELECT DISTINCT lang, source FROM d),
+             f AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n AS m FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+             s AS (SELECT lang, source, term, n, CAST(1 + {divergence.UNIT}::HUGEINT * (n + {divergence.SMOOTH}) // (sum(n) OVER x + {divergence.SMOOTH} * count(*) OVER x) AS BIGINT) AS p,
+                          CAST(1 + {divergence.UNIT}::HUGEINT * (m + {divergence.SMOOTH}) // (sum(m) OVER x + {divergence.SMOOTH} * count(*) OVER x) AS BIGINT) AS q FROM f WINDOW x AS (PARTITION BY lang, source)),
+             v AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+             u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(v.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+                          LEFT JOIN v ON v.lang = a.lang AND v.source = a.source AND v.item = b.source
+                   UNION ALL SELECT lang, source, 'term', term, p - q FROM s WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM u
+        QUALIFY part = 'pair' OR rank <= {divergence.TOP}""",
 }
