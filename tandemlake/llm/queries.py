@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, binary, chat, decontam, dedup, divergence, html, packing, quality, secrets, simhash, warc
+from . import alignment, binary, chat, decontam, dedup, divergence, html, packing, quality, repeats, secrets, simhash, warc
 from .common import scratch, table, written
 
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -72,11 +72,15 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECE_BPE))
 
 
+def op12_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents"), stored=True)
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_html_extraction, op3_exact_dedup, op4_warc_fixity, op5_packing, op6_secret_scan, op7_quality_classifier, op8_simhash_near_dedup, op9_token_binary, op10_chat_formatting, op11_token_alignment, op13_source_divergence)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_html_extraction, op3_exact_dedup, op4_warc_fixity, op5_packing, op6_secret_scan, op7_quality_classifier, op8_simhash_near_dedup, op9_token_binary, op10_chat_formatting, op11_token_alignment, op12_repeated_passages, op13_source_divergence)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
-from tandemlake.llm import alignment, divergence
+from tandemlake.llm import alignment, divergence, repeats
 from tandemlake.llm.pages import Pages, write_pages
 
 SF = "/root/testdata/sf0.001"
@@ -203,3 +203,110 @@ def test_query_equals_sql(spark, name):
     rel = con.sql(entry.oracle_sql()[name])
     assert df.columns == rel.columns
     same([tuple(r) for r in df.collect()], rel.fetchall())
+
+
+def kept_by_hand(rows, length):
+    """doc_id, bytes, removed, runs and hash of rows in order, by a set of all strings."""
+    seen, out = set(), []
+    for i, raw in rows:
+        gone = bytearray(len(raw))
+        for at in range(len(raw) - length + 1):
+            if raw[at : at + length] in seen:
+                gone[at : at + length] = b"\1" * length
+            seen.add(raw[at : at + length])
+        kept = bytes(c for c, g in zip(raw, gone, strict=True) if not g)
+        out.append((i, len(raw), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def in_order(rows):
+    return [(i, (t or "").encode()) for i, t, *_ in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))]
+
+
+def test_repeats_of_documents(spark, documents):
+    same([tuple(r) for r in entry.queries()["op12_repeated_passages"](spark, SF).collect()], kept_by_hand(in_order(documents), 100))
+
+
+PASSAGE = " ".join(f"of {i * i}" for i in range(40))
+
+
+def edited(n, seed=3):
+    """Texts around one passage, whole, cut or changed, and copies of others."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choices("abcdefgh", k=r.randrange(1, 9)))
+    out = []
+    for i in range(n):
+        p = PASSAGE[r.randrange(60) : len(PASSAGE) - r.randrange(60)] if r.random() < 0.5 else PASSAGE
+        if r.random() < 0.3:
+            at = r.randrange(len(p))
+            p = p[:at] + "#" + p[at + 1 :]
+        out.append((r.randrange(-50, 50) * n + i, " ".join([*(word() for _ in range(r.randrange(30))), p, *(word() for _ in range(r.randrange(30)))])))
+    copies = [(100 * n + i, r.choice(out)[1]) for i in range(n // 4)]
+    return [(i, t, "en", "a") for i, t in (*out, *copies)]
+
+
+@pytest.mark.parametrize("crowd,chunk,length", [(repeats.CROWD, repeats.CHUNK, 100), (3, 50, 100), (0, 1, 100), (2, 200, 9)])
+def test_repeats_of_one_passage(spark, monkeypatch, crowd, chunk, length):
+    monkeypatch.setattr(repeats, "CHUNK", chunk)
+    monkeypatch.setattr(repeats, "BLOCK", chunk)
+    rows = edited(80) + [(7, "ab" * 400, "x", "y"), (7000001, "xyz" * 90 + "ab" * 300, "x", "y"), (7000002, "a" * 99, "x", "y"), (7000003, "a" * 101, "x", "y")]
+    got = repeats.without_repeats(docs_of(spark, rows).repartition(7), length, with_kept=True, crowd=crowd).collect()
+    same([tuple(r)[:5] for r in got], kept_by_hand(in_order(rows), length))
+    for r in got:
+        assert hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 and r.n_spans == len(r.spans) and r.n_removed == sum(s.end - s.start for s in r.spans) and r.n_bytes == len(r.kept) + r.n_removed
+
+
+def test_repeats_of_odd_rows(spark, odd):
+    want = kept_by_hand(in_order(ODD), 100)
+    same([tuple(r) for r in repeats.without_repeats(odd).collect()], want)
+
+
+def test_repeats_of_equal_ids(spark):
+    """Rows of one doc_id, or of none, are documents in some order; all but one of each text go."""
+    text = PASSAGE * 2
+    got = repeats.without_repeats(docs_of(spark, [(1, text, "a", "b")] * 3 + [(None, text[5:], "a", "b"), (0, "x", "a", "b")]).repartition(2)).collect()
+    whole = kept_by_hand([(1, text.encode())], 100)[0][2]
+    assert sorted((r.doc_id or -1, r.n_removed) for r in got) == sorted([(-1, len(text) - 5), (-1, 0), (1, whole), (1, len(text)), (1, len(text))])
+    assert sorted(r.n_removed for r in got if r.doc_id == 1) == [whole, len(text), len(text)]
+
+
+def test_repeats_of_nothing(spark):
+    assert repeats.without_repeats(docs_of(spark, [])).collect() == []
+    assert [tuple(r)[:4] for r in repeats.without_repeats(docs_of(spark, [(1, None, None, None)])).collect()] == [(1, 0, 0, 0)]
+
+
+@pytest.mark.parametrize("piece", [repeats.PIECE, 37])
+def test_windows_cover_each_string_once(monkeypatch, piece):
+    monkeypatch.setattr(repeats, "PIECE", piece)
+    r = random.Random(5)
+    texts = ["".join(r.choices("ab", k=k)).encode() for k in (0, 5, 20, 300, 19, 0, 21, 64, 0)]
+    limits = np.cumsum([0, *map(len, texts)])
+    start, strings, offset, h = repeats.windows(np.frombuffer(b"".join(texts), np.uint8), limits, 20)
+    assert sorted(i for s, n in zip(start, strings, strict=True) for i in range(s, s + n)) == [i for x, z in zip(limits, limits[1:], strict=False) for i in range(x, z - 19)]
+    by_string = defaultdict(set)
+    data = b"".join(texts)
+    for s, n, o, x in zip(start.tolist(), strings.tolist(), offset.tolist(), h.tolist(), strict=True):
+        for i in range(n):
+            by_string[data[s + i : s + i + 20]].add((o - i, x))
+    assert all(len(v) == 1 for v in by_string.values())
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from([b"a", b"ab", b"abb", b"\0"]), min_size=10, max_size=120), st.integers(1, 20), st.integers(1, 5), st.booleans())
+def test_suffixes_are_sorted(parts, length, groups, lying):
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    if len(data) < length:
+        return
+    at = np.random.default_rng(len(data)).permutation(len(data) - length + 1)
+    group = np.sort(at % groups)
+    raw = data.tobytes()
+    want = sorted(range(len(at)), key=lambda i: (group[i], raw[at[i] : at[i] + length], i))
+    assert repeats.suffix_order(data, at, group, length).tolist() == want
+    seen, again = set(), []
+    for i in range(len(at)):
+        again.append((group[i], raw[at[i] : at[i] + length]) in seen)
+        seen.add((group[i], raw[at[i] : at[i] + length]))
+    with pytest.MonkeyPatch.context() as m:
+        if lying:  # a hash that takes everything for equal
+            m.setattr(repeats.Prefixes, "of", lambda self, x, y: np.zeros(len(x), np.uint64))
+        assert repeats.repeats(data, at, group, length).tolist() == again
