@@ -43,17 +43,18 @@ def dense(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
 
     p is the group's share of the term and q the language's, both smoothed.
     """
-    counts = cut(term_counts(docs))
-    kept = cut(counts.groupBy("lang", "term").agg(F.sum("n").alias("all"), F.sum("docs").alias("docs")).where(F.col("docs") >= least).select("lang", "term", "all"))
+    of_term = Window.partitionBy("lang", "term")  # a row for each source
+    held = term_counts(docs).withColumns({"all": F.sum("n").over(of_term), "docs": F.sum("docs").over(of_term)}).where(F.col("docs") >= least).drop("docs")
+    held = cut(held)
+    kept = held.groupBy("lang", "term").agg(F.max("all").alias("all"))
     groups = docs.select(empty_if_null("lang"), empty_if_null("source")).distinct()
-    held = counts.join(kept.select("lang", "term"), ["lang", "term"])
     total = held.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     of_lang = kept.groupBy("lang").agg(F.sum("all").alias("lang_total"), F.count("*").alias("v"))
     sized = cut(groups.join(total, ["lang", "source"], "left").join(of_lang, "lang", "left").withColumn("total", F.coalesce("total", F.lit(0).cast("bigint"))))
     salts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = sized.where("v is not null").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     crossed = kept.withColumn("salt", F.pmod(F.hash("term"), F.lit(salts))).join(spread, ["lang", "salt"])
-    full = crossed.join(counts.select("lang", "source", "term", "n"), ["lang", "source", "term"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
+    full = crossed.join(held.select("lang", "source", "term", "n"), ["lang", "source", "term"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
     return sized.select("lang", "source"), cut(full.select("lang", "source", "term", "n", share("n", "total", "v").alias("p"), share("all", "lang_total", "v").alias("q")))
 
 
