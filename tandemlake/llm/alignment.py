@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from .pages import Pages, write_pages
 from .tokens import ODD, PER_CALL, SPLIT, Encoder, Memo, byte_letters
 
 #: Words, steps and pieces longer than this aren't kept, so that a memo's bytes have a bound.
-KEPT_LETTERS, KEPT_WORDS, KEPT_STEPS = 64, 100_000, 200_000
+KEPT_LETTERS, KEPT_WORDS, KEPT_STEPS = 64, 250_000, 200_000
 #: Entries that a task counts before it sends its sums on.
 BLOCK = 1 << 21
 
@@ -83,29 +84,43 @@ class Transducer:
 
     def run(self, left: list[int], right: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]] | None:
         """(groups, links) of ids; None where the two sides don't spell the same bytes."""
-        ids, at, groups, links = (left, right), [0, 0], [], []
-        begun, ahead, suffix = [0, 0], 0, b""
-        while at[0] < len(left) or at[1] < len(right) or suffix:
-            if not suffix:  # a group begins with the left side's token
-                if at[0] == len(left):
+        ours, steps, groups, links = self.sides[0], self.steps, [], []
+        i, j, n, m = 0, 0, len(left), len(right)
+        while i < n:  # a group begins with the left side's token
+            x, y, a = i, j, left[i]
+            i, ahead, suffix = i + 1, 0, ours[a]
+            while suffix:
+                if ahead:
+                    if i == n:
+                        return None
+                    a = left[i]
+                    key, i = (1, suffix, a), i + 1
+                else:
+                    if j == m:
+                        return None
+                    b = right[j]
+                    key, j = (0, suffix, b), j + 1
+                links.append((a, b))
+                state = steps[key] if len(suffix) <= KEPT_LETTERS else self._step(key)
+                if state is None:
                     return None
-                ahead, suffix = 0, self.sides[0][left[at[0]]]
-                at[0] += 1
-                continue
-            side = 1 - ahead
-            if at[side] == len(ids[side]):
-                return None
-            token = ids[side][at[side]]
-            links.append((left[at[0] - 1], token) if side else (token, right[at[1] - 1]))
-            at[side] += 1
-            state = self.steps[ahead, suffix, token] if len(suffix) <= KEPT_LETTERS else self._step((ahead, suffix, token))
-            if state is None:
-                return None
-            ahead, suffix = state
-            if not suffix:
-                groups.append((left[begun[0] : at[0]], right[begun[1] : at[1]]))
-                begun = at.copy()
-        return groups, links
+                ahead, suffix = state
+            groups.append((left[x:i], right[y:j]))
+        return (groups, links) if j == m else None
+
+
+class Words(dict):
+    """Two generations of at most `limit` words each: what is used stays, what isn't goes."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.old = limit, {}
+
+    def put(self, word: str, value) -> None:
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[word] = value
 
 
 class Aligner:
@@ -116,18 +131,35 @@ class Aligner:
         self.width = self.b.vocab
         self.machine = Transducer(self.a.bytes, self.b.bytes)
         self.kind = np.dtype("<u4") if self.a.vocab * self.width <= 1 << 32 else np.dtype("<u8")
-        self.words = Memo(self._word, KEPT_WORDS)
+        self.code = "I" if self.kind.itemsize == 4 else "Q"
+        self.words = Words(KEPT_WORDS)
 
     def _aligned(self, raw: bytes, a: list[int], b: list[int]) -> tuple[int, int, int, bytes, bytes] | None:
         """Ids of either side, groups, the groups' text, and the links as numbers; None where a side spells other bytes."""
-        if b"".join(map(self.a.bytes.__getitem__, a)) != raw or b"".join(map(self.b.bytes.__getitem__, b)) != raw:
+        if b"".join([self.a.bytes[i] for i in a]) != raw or (found := self.machine.run(a, b)) is None:
             return None
-        groups, links = self.machine.run(a, b)
-        text = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups).encode()
-        return len(a), len(b), len(groups), text, np.array([x * self.width + y for x, y in links], self.kind).tobytes()
-
-    def _word(self, w: str):
-        return self._aligned(b" " + w.encode(), np.frombuffer(self.a.word(" " + w), self.a.dtype).tolist(), self.b.model.encode(w))
+        groups, links = found
+        text = ";".join([f"{x[0]}|{y[0]}" if len(x) == len(y) == 1 else f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups])
+        return len(a), len(b), len(groups), text.encode(), array(self.code, [x * self.width + y for x, y in links]).tobytes()
+
+    def of_words(self, words: list[str]) -> list[tuple | None]:
+        """_aligned of words, each with a space before it; those that aren't known go to the right side in one call."""
+        words_, found, new = self.words, [None] * len(words), []
+        for i, w in enumerate(words):
+            if w in words_:
+                found[i] = words_[w]
+            elif w in words_.old:
+                found[i] = words_.old[w]
+                words_.put(w, found[i])
+            else:
+                new.append(i)
+        for i, b in zip(new, self.b.model.encode([words[i] for i in new], num_threads=1), strict=True):
+            w = words[i]
+            a = np.frombuffer(self.a.word(" " + w), self.a.dtype).tolist()
+            found[i] = self._aligned(b" " + w.encode(), a, b)
+            if len(w) <= KEPT_LETTERS:
+                words_.put(w, found[i])
+        return found
 
     def whole(self, texts: list[str]) -> list:
         out = []
@@ -161,7 +193,7 @@ class Aligner:
         limits = np.asarray(parts.offsets).astype(np.int64)
         coded = parts.flatten().dictionary_encode()
         codes = np.asarray(coded.indices).astype(np.int64)
-        found = [self.words[w] if len(w) <= KEPT_LETTERS else self._word(w) for w in coded.dictionary.to_pylist()]
+        found = self.of_words(coded.dictionary.to_pylist())
         bad = np.fromiter((f is None for f in found), bool, len(found))
         found = [f or (0, 0, 0, b"", b"") for f in found]
         first = limits[:-1] - limits[0]
