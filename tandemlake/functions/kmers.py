@@ -20,6 +20,8 @@ AMBIGUOUS = "RYMKSWHBVDN"
 BASES, COMPLEMENTS = "ACTG", "TGAC"
 #: Bases a row of chunked() holds beside its overlap.
 CHUNK = 1 << 20
+#: k-mers after which kmers() sends a batch on.
+BATCH = 1 << 16
 
 _complement = np.arange(256, dtype=np.uint8)
 _complement[list(BASES.encode())] = list(COMPLEMENTS.encode())
@@ -83,6 +85,7 @@ def kmers(seqs: DataFrame, k: int, sketched: bool = False, values_of: Callable[[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            held, n = [], 0  # of short rows many make a batch
             for i, (pos0, seq) in enumerate(zip(b.column("pos0").to_pylist(), b.column("seq").to_pylist(), strict=True)):
                 for first in range(0, len(seq) - k + 1, CHUNK):
                     values = values_of(seq[first : first + CHUNK + k - 1], k)
@@ -92,8 +95,17 @@ def kmers(seqs: DataFrame, k: int, sketched: bool = False, values_of: Callable[[
                     if sketched:
                         keep = np.nonzero((values & 3 == 0) & (values != 0))[0]
                         values, at = values[keep], at[keep]
-                    if len(at):
-                        yield pa.RecordBatch.from_arrays([b.column("seq_id").take(pa.array(np.full(len(at), i))), pa.array(pos0 + first + at), pa.array(values)], ["seq_id", "pos", "kmer"])
+                    held.append((np.full(len(at), i), pos0 + first + at, values))
+                    n += len(at)
+                    if n >= BATCH:
+                        yield batch(b, held)
+                        held, n = [], 0
+            if n:
+                yield batch(b, held)
+
+    def batch(b: pa.RecordBatch, held: list) -> pa.RecordBatch:
+        i, at, values = map(np.concatenate, zip(*held, strict=True))
+        return pa.RecordBatch.from_arrays([b.column("seq_id").take(pa.array(i)), pa.array(at), pa.array(values)], ["seq_id", "pos", "kmer"])
 
     return rows.mapInArrow(run, f"seq_id {kind}, pos bigint, kmer int")
 
@@ -136,7 +148,9 @@ def taken(kmers: DataFrame, first: int, last: int) -> DataFrame:
 
 
 def chunked(seqs: DataFrame, overlap: int, size: int = CHUNK) -> DataFrame:
-    """Sequences in pieces of size + overlap bases: seq_id, pos0, seq. With overlap k - 1 each k-mer is in one piece."""
+    """Sequences in pieces of size + overlap bases: seq_id, pos0, seq. With overlap k - 1 each k-mer is in one piece. Of indexed sequences, the index's pieces."""
+    if not isinstance(seqs, DataFrame):
+        return seqs.pieces(overlap)
     rows = seqs.select("seq_id", F.col("seq").cast("binary").alias("seq")).where("seq is not null")
     at = rows.select("seq_id", "seq", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("seq") - 1 - overlap), F.lit(size))).alias("pos0"))
     return at.select("seq_id", F.col("pos0").cast("bigint").alias("pos0"), F.substring("seq", F.col("pos0") + 1, size + overlap).alias("seq"))
@@ -147,8 +161,11 @@ def slices(regions: DataFrame, seqs: DataFrame, k: int, keys: list[str], size: i
 
     A region's k-mers, those that lie in it whole, are in its slices once each, at their places in the sequence. Regions
     are joined to pieces of `size` bases, so no sequence goes through a join and one of any length is many rows. What
-    lies beyond a sequence's ends is left out; regions shorter than k have no slices.
+    lies beyond a sequence's ends is left out; regions shorter than k have no slices. Of indexed sequences only the bytes
+    that regions touch are read.
     """
+    if not isinstance(seqs, DataFrame):
+        return seqs.slices(regions, k, keys)
     clear = regions.select(*keys, F.col("seq_id").alias("_of"), F.greatest("start", F.lit(0)).cast("bigint").alias("_a"), F.col("end").cast("bigint").alias("_z")).where(F.col("_z") - F.col("_a") >= k)
     wanted = clear.withColumn("_chunk", F.explode(F.sequence(F.expr(f"_a div {size}L"), F.expr(f"(_z - {k}) div {size}L"))))
     pieces = chunked(seqs, k - 1, size).select(F.col("seq_id").alias("_of"), F.expr(f"pos0 div {size}L").alias("_chunk"), "pos0", "seq")

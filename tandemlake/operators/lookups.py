@@ -15,7 +15,8 @@ def missing_chroms(bed: DataFrame, names: DataFrame) -> DataFrame:
 
 def first_source(regions: DataFrame, seqs: DataFrame, order: str) -> DataFrame:
     """Each region with the first of seqs' `order` values that has its chrom, and the chrom as seq_id. Sequences themselves aren't joined."""
-    first = seqs.select("seq_id", order).groupBy("seq_id").agg(F.min(order).alias(order))
+    names = seqs if isinstance(seqs, DataFrame) else seqs.records()
+    first = names.select("seq_id", order).groupBy("seq_id").agg(F.min(order).alias(order))
     return regions.join(first, regions["chrom"] == first["seq_id"])
 
 
@@ -23,7 +24,7 @@ def region_slices(regions: DataFrame, seqs: DataFrame, k: int, keys: list[str],
     """Pieces of regions (keys, chrom, start, end) for hashing: seq_id (a struct of the keys), pos0, seq."""
     source = F.struct(order, "seq_id")
     placed = first_source(regions, seqs, order).select(*keys, source.alias("seq_id"), "start", "end")
-    return slices(placed, seqs.select(source.alias("seq_id"), "seq"), k, keys)
+    return slices(placed, seqs.select(source.alias("seq_id"), "seq") if isinstance(seqs, DataFrame) else seqs.keyed(source), k, keys)
 
 
 def region_kmers(regions: DataFrame, seqs: DataFrame, k: int, order: str = "file", zeros: bool = False) -> DataFrame:

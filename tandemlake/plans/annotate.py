@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.kmers import chunked, kmers, slices
 from ..operators import ani, boundaries, classify, intervals, periodicity, spans, windows
 from ..functions.names import region as parsed_region
+from ..sources.indexed import Indexed, stored
+from ..sources.scratch import cut
 from .params import Params
 
 
-def raw_spans(seqs: DataFrame, p: Params) -> DataFrame:
+def raw_spans(seqs: DataFrame | Indexed, p: Params) -> DataFrame:
     """seq_id, start, end: runs of similar windows, freed of conflicts within a band and between bands."""
     sketched = kmers(chunked(seqs, p.k - 1), p.k, sketched=True)
     cells = ani.band_cells(windows.banded(sketched, p), p).where(F.col("score") >= p.identity)
@@ -19,7 +21,7 @@ def raw_spans(seqs: DataFrame, p: Params) -> DataFrame:
     clear = intervals.without_conflicts(found, ["seq_id", "band"], p.window, ("first_row",))
     once = intervals.without_repeats(clear.withColumnRenamed("band", "_band"), ["seq_id"], ("_band",))
     whole = intervals.stitched(once, ["seq_id"], p.band, p.window)
-    sizes = seqs.select("seq_id", F.length("seq").cast("bigint").alias("n"))
+    sizes = seqs.records().select("seq_id", F.col("seq_len").alias("n")) if isinstance(seqs, Indexed) else seqs.select("seq_id", F.length("seq").cast("bigint").alias("n"))
     return whole.join(sizes, "seq_id").select("seq_id", "start", F.least("end", "n").alias("end")).where("start < end")
 
 
@@ -40,15 +42,18 @@ def named(found: DataFrame, seqs: DataFrame, db: DataFrame, p: Params) -> DataFr
     return found.join(top, keys, "left").withColumn("name", F.coalesce("name", F.lit(classify.UNKNOWN)))
 
 
-def annotate(seqs: DataFrame, p: Params | None = None, db: DataFrame | None = None, refine: bool = True) -> DataFrame:
-    """seq_id, start, end, name (null without a database), refined, for seqs(seq_id, seq).
+def annotate(seqs: DataFrame | Indexed, p: Params | None = None, db: DataFrame | None = None, refine: bool = True) -> DataFrame:
+    """seq_id, start, end, name (null without a database), refined, for indexed sequences, or a table of seq_id and seq.
 
-    A database (class, kmer[, k]) with another k than the parameters' raises.
+    A table is read once, and its bases kept by index (see stored). They are then read once as a whole, for the windows; what
+    spans need for their ends and names is read by its bytes. A database (class, kmer[, k]) with another k than the
+    parameters' raises.
     """
     p = p or Params()
     if db is not None and "k" in db.columns and (other := sorted(r.k for r in db.where(F.col("k") != p.k).select("k").distinct().collect())):
         raise ValueError(f"the database has k-mers of {other} bases, not {p.k}")
-    found = raw_spans(seqs, p)
+    seqs = seqs if isinstance(seqs, Indexed) else stored(seqs)
+    found = cut(raw_spans(seqs, p))  # few rows, that each of the next steps begins with
     if p.compat:
         found = _shifted(found)
     if not refine:
@@ -61,7 +66,7 @@ def annotate(seqs: DataFrame, p: Params | None = None, db: DataFrame | None = No
     else:
         found = boundaries.refined(found, seqs, p.window, p.k)
     found = found.select("seq_id", "start", "end", "refined")
-    return named(found, seqs, db, p) if db is not None else found.withColumn("name", F.lit(None).cast("string"))
+    return named(cut(found), seqs, db, p) if db is not None else found.withColumn("name", F.lit(None).cast("string"))
 
 
 def histograms(found: DataFrame, seqs: DataFrame, k: int, most: int = 10) -> DataFrame:

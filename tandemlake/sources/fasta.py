@@ -26,9 +26,10 @@ def records(pieces: DataFrame) -> DataFrame:
 def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """file, seq_id, seq, seq_len of every record. Compressed files are read whole by a task.
 
-    A record is one row, so it has to fit in one (2 GB); later steps work on pieces of it. Files that can't be read are left out.
+    A record is one row, so it has to fit in one (2 GB); sources/indexed.py reads records of any length by their pieces. A
+    compressed file that breaks off raises.
     """
-    raw = spark.read.option("lineSep", SEPARATOR).option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").text(paths)
+    raw = spark.read.option("lineSep", SEPARATOR).text(paths)
     return records(raw.select(F.input_file_name().alias("file"), "value")).withColumn("seq_len", F.length("seq").cast("bigint"))
 
 
@@ -63,6 +64,6 @@ def region(seq, start, end, compat: bool = False):
 
 
 def write_fasta(seqs: DataFrame, path: str) -> None:
-    """One folder of FASTA text for each sequence, under path."""
+    """One folder of FASTA text for each sequence, under path. Spark escapes what a folder's name can't hold, so no two names share one."""
     lines = F.regexp_replace("seq", f"(.{{{LINE}}})(?=.)", "$1\n")
-    seqs.select(F.concat(F.lit(">"), F.col("seq_id"), F.lit("\n"), lines).alias("value"), F.regexp_replace("seq_id", r"[^\w.-]", "_").alias("record")).write.mode("overwrite").partitionBy("record").text(path)
+    seqs.select(F.concat(F.lit(">"), F.col("seq_id"), F.lit("\n"), lines).alias("value"), F.col("seq_id").alias("record")).write.mode("overwrite").partitionBy("record").text(path)
