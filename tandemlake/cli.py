@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import argparse
-import os
 from itertools import groupby
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.kmers import chunked, kmers
@@ -14,7 +13,8 @@ from .operators import ani, boundaries, lookups, mask, windows
 from .plans.annotate import annotate, periods
 from .plans.build_db import build_db
 from .plans.params import Params
-from .sources import bed, fasta, kmerdb
+from .sources import bed, indexed, kmerdb
+from .sources.scratch import cut
 
 
 def parser() -> argparse.ArgumentParser:
@@ -25,7 +25,7 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("-s", "--seq_id", nargs="+")
     a.add_argument("-d", "--directory", default=".")
     a.add_argument("-o", "--output-format", choices=bed.FORMATS, default="bed")
-    a.add_argument("-m", "--mask", nargs="*", type=mask.as_length, help="class names or monomer lengths; without any, all")
+    a.add_argument("-m", "--mask", nargs="*", type=mask.as_length, help="class names or monomer lengths; without any, or with ALL, all")
     a.add_argument("--soft", action="store_true")
     a.add_argument("-c", "--classify", metavar="DIR")
     a.add_argument("-t", "--threshold", type=float, default=25.0)
@@ -52,50 +52,50 @@ def parser() -> argparse.ArgumentParser:
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
     say = (lambda *_: None) if args.quiet else print
     more = print if args.verbose else (lambda *_: None)
-    seqs = fasta.read_fasta(spark, args.fasta)
+    seqs = indexed.read_index(spark, args.fasta)
     if args.verbose:
-        more(seqs.count(), "sequences")
+        more(seqs.records().count(), "sequences")  # of the index's rows
     if args.command == "build_db":
         tables = [bed.normalised(bed.read_bed(spark, p)) for p in args.bed]
         regions = tables[0]
         for t in tables[1:]:
             regions = regions.unionByName(t)
-        if absent := [r.chrom for r in lookups.missing_chroms(regions, fasta.names(seqs)).limit(20).collect()]:
+        if absent := [r.chrom for r in lookups.missing_chroms(regions, seqs.records()).limit(20).collect()]:
             say("no sequence for", ", ".join(absent))
         classes = kmerdb.read_class_map(spark, args.config) if args.config else None
         folder, db = args.directory or f"k_{args.kmer}", build_db(regions, seqs, args.kmer, classes)
-        kmerdb.write_dbs(db, args.kmer, folder)
+        sizes = kmerdb.write_dbs(db, args.kmer, folder)
         if args.verbose:
-            for r in db.groupBy("class").agg(F.countDistinct("subtype").alias("subtypes"), F.count("*").alias("kmers")).orderBy("class").toLocalIterator():  # a row a class
+            for r in sizes.groupBy("class").agg(F.count("*").alias("subtypes"), F.sum("n").alias("kmers")).orderBy("class").toLocalIterator():  # a row a class
                 more(f"{r['class']}: {r.subtypes} subtypes, {r.kmers} k-mers")
         say("wrote", folder)
         return
     if args.seq_id:
-        seqs = fasta.selected(seqs, args.seq_id)
+        seqs = seqs.selected(args.seq_id)
+        if missing := sorted(set(args.seq_id) - {r.seq_id for r in seqs.records().select("seq_id").distinct().collect()}):  # of those asked for
+            say("no sequence", ", ".join(missing))
     p = Params(k=args.kmer, window=args.window, band=round(args.band * 1_000_000), identity=args.identity, threshold=args.threshold, compat=args.compat)
     db = kmerdb.read_dbs(spark, args.classify, permissive=True) if args.classify else None
     found = annotate(seqs, p, db)
     if args.identifier:
         found = found.withColumn("name", F.coalesce("name", F.lit(args.identifier)))
-    found = found.cache()
-    bed.write_table(bed.annotation(bed.placed(found, args.compat)), f"{args.directory}/annotation", args.output_format)
+    found, counted = cut(found), Observation()
+    table = bed.annotation(bed.placed(found, args.compat)).observe(counted, F.count(F.lit(1)).alias("arrays"))
+    bed.write_table(table, f"{args.directory}/annotation", args.output_format)
+    say(counted.get["arrays"], "arrays in", f"{args.directory}/annotation")
     if args.plot:
-        os.makedirs(f"{args.directory}/plots", exist_ok=True)
         cells = ani.band_cells(windows.banded(kmers(chunked(seqs, p.k - 1), p.k, sketched=True), p), p).where(F.col("score") >= p.identity)
-        for r in ani.images(cells, p.windows, p.identity).toLocalIterator():  # a picture at a time
-            with open(f"{args.directory}/plots/{bed.file_name(r.seq_id).removesuffix('.bed')}.{r.band}.pgm", "wb") as f:
-                f.write(r.image)
+        ani.write_images(ani.images(cells, p.windows, p.identity), f"{args.directory}/plots")
     if args.verbose:
         parts = found.select("seq_id", "start", "end")
         counts = boundaries.span_counts(parts, seqs, p.k)
         for span, rows in groupby(boundaries.scaled_counts(counts).orderBy("seq_id", "chunk").toLocalIterator(), lambda r: r.seq_id):
             more(f"{span.seq_id}:{span.start}-{span.end}")
             more(boundaries.bars({r.chunk: r.bar for r in rows}))
-    if not args.quiet:
-        say(found.count(), "arrays in", f"{args.directory}/annotation")
     if args.mask is not None:
-        chosen = mask.chosen(found, tuple(args.mask), periods(found, seqs, args.kmer))
-        fasta.write_fasta(mask.masked(seqs, chosen, args.soft), f"{args.directory}/masked")
+        lengths = any(isinstance(m, int) for m in args.mask)
+        chosen = mask.chosen(found, tuple(args.mask), periods(found, seqs, args.kmer) if lengths else None)
+        mask.write_masked(seqs, chosen, f"{args.directory}/masked", args.soft)
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -16,7 +16,7 @@ from .operators import boundaries, mask, windows
 from .plans.annotate import histograms, periods
 from .queries import _ANN, CLASSES, NARROW, SQL, P, _annotated, _kmers_sql, _subtypes, _with, bed, dbset, dna, query, sets
 from .sources import bed as B
-from .sources import fasta, kmerdb
+from .sources import fasta, indexed, kmerdb
 from .sources.scratch import scratch
 
 
@@ -62,6 +62,56 @@ def masked_fasta_files(spark, sf):
 SQL["masked_fasta_files"] = _with("dbset", "SELECT item_id::VARCHAR AS seq_id, substr(seq, 1, item_id % 30) || repeat('N', length(substr(seq, item_id % 30 + 1, 25))) || substr(seq, item_id % 30 + 26) AS seq FROM dbset")
 
 
+def _indexed(spark, sf) -> indexed.Indexed:
+    """All sequences as FASTA files with lines of 61 bases, by index. Segments are small, so that records lie across their borders."""
+    path = scratch(spark, "fasta")
+    lines = F.regexp_replace("seq", "(.{61})(?=.)", "$1\n")
+    _seqs(spark, sf).select(F.concat(F.lit(">"), "seq_id", F.lit(" x\n"), lines).alias("value")).write.text(path)
+    return indexed.read_index(spark, path, 4096, 1 << 20)
+
+
+@query
+def indexed_records(spark, sf):
+    return _indexed(spark, sf).records().select("seq_id", "seq_len")
+
+
+@query
+def indexed_regions(spark, sf):
+    """A stretch of 300 bases of each record and one of its end, by their bytes."""
+    seqs = _indexed(spark, sf)
+    n = seqs.records()
+    at = F.col("seq_id").cast("bigint") % 400
+    regions = n.select("seq_id", at.alias("start"), (at + 300).alias("end")).unionByName(n.select("seq_id", F.greatest(F.lit(0), F.col("seq_len") - 50).alias("start"), F.col("seq_len").alias("end")))
+    parts = K.slices(regions, seqs, 1, ["seq_id", "start", "end"]).groupBy("seq_id").agg(F.sort_array(F.collect_list(F.struct("pos0", F.col("seq").cast("string").alias("seq")))).alias("p"))
+    return parts.select("seq_id.*", F.expr("array_join(transform(p, x -> x.seq), '')").alias("seq"))
+
+
+@query
+def indexed_selection(spark, sf):
+    """Records asked for by name and by range, read by their bytes."""
+    got = _indexed(spark, sf).selected(["3", "5:10-200", "8:0-40", "none", "none:1-9", "3"]).pieces()
+    return got.groupBy("seq_id").agg(F.sort_array(F.collect_list(F.struct("pos0", F.col("seq").cast("string").alias("seq")))).alias("p")).select("seq_id", F.expr("array_join(transform(p, x -> x.seq), '')").alias("seq"))
+
+
+@query
+def masked_by_pieces(spark, sf):
+    """The stretches of the named arrays masked piece by piece, in files of their own, read back by index."""
+    path = scratch(spark, "masked")
+    seqs = _indexed(spark, sf)
+    marks = mask.chosen(_arrays(spark, sf).withColumn("seq_id", F.col("seq_id").cast("string")), ("ALL",))
+    mask.write_masked(seqs, marks, path)
+    got = indexed.read_index(spark, path, 4096, 1 << 20).pieces()
+    return got.groupBy("seq_id").agg(F.sort_array(F.collect_list(F.struct("pos0", F.col("seq").cast("string").alias("seq")))).alias("p")).select("seq_id", F.expr("array_join(transform(p, x -> x.seq), '')").alias("seq"))
+
+
+_DNA_TEXT = "SELECT seq_id::VARCHAR AS seq_id, seq_id % 400 AS lo, seq, length(seq) AS n FROM dna"
+SQL["indexed_records"] = _with("dna", "SELECT seq_id::VARCHAR AS seq_id, length(seq) AS seq_len FROM dna")
+SQL["indexed_regions"] = _with("dna", f"""SELECT DISTINCT seq_id, start, "end", substr(seq, start + 1, "end" - start) AS seq FROM (
+    SELECT seq_id, seq, lo AS start, lo + 300 AS "end" FROM ({_DNA_TEXT}) UNION ALL SELECT seq_id, seq, greatest(0, n - 50), n FROM ({_DNA_TEXT})) WHERE start < length(seq)""")
+SQL["indexed_selection"] = _with("dna", "SELECT '3' AS seq_id, seq FROM dna WHERE seq_id = 3 UNION ALL SELECT '5:10-200', substr(seq, 11, 190) FROM dna WHERE seq_id = 5 UNION ALL SELECT '8:0-40', substr(seq, 1, 40) FROM dna WHERE seq_id = 8")
+SQL["masked_by_pieces"] = _with("dna", "SELECT seq_id::VARCHAR AS seq_id, substr(seq, 1, seq_id % 400) || repeat('N', length(substr(seq, seq_id % 400 + 1, 300))) || substr(seq, seq_id % 400 + 301) AS seq FROM dna WHERE seq <> ''")
+
+
 @query
 def record_kmers(spark, sf):
     return K.record_kmers(_seqs(spark, sf), "7", P.k).select("pos", "kmer")
@@ -219,7 +269,8 @@ SQL["mask_periods"] = _TOP + _MASK.format(f"seq_id IN (SELECT seq_id FROM ranked
 def kmer_db_folder(spark, sf):
     """A folder of databases written by tasks, with a broken file in it, read back but for that file."""
     path = scratch(spark, "db")
-    kmerdb.write_dbs(_subtypes(spark, sf).withColumn("class", F.concat(F.lit("c"), F.length("subtype"))), P.k, path)
+    parts = _subtypes(spark, sf).select(F.concat(F.lit("c/"), "subtype").alias("class"), F.concat("subtype", F.lit("-"), F.pmod("kmer", F.lit(3))).alias("subtype"), "kmer")
+    kmerdb.write_dbs(parts, P.k, path)
     fs, folder = pfs.FileSystem.from_uri(path)
     with fs.open_output_stream(f"{folder}/broken.db") as f:
         f.write(b"no database")
@@ -233,7 +284,7 @@ def class_map_file(spark, sf):
     return kmerdb.read_class_map(spark, path, ("even", "odd"))
 
 
-SQL["kmer_db_folder"] = _with("dbk", f"SELECT 'c' || length(class) AS class, class AS subtype, {P.k} AS k, count(*) AS n, sum(kmer)::BIGINT AS total FROM dbk GROUP BY ALL")
+SQL["kmer_db_folder"] = _with("dbk", f"SELECT 'c/' || class AS class, class || '-' || (kmer % 3 + 3) % 3 AS subtype, {P.k} AS k, count(*) AS n, sum(kmer)::BIGINT AS total FROM dbk GROUP BY ALL")
 SQL["class_map_file"] = _with("maps", "SELECT class, subtype FROM maps")
 
 # --- refinement ------------------------------------------------------------------------------------------------

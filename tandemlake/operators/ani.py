@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .windows import banded, hopping, tumbling
 from ..plans.params import Params
+from ..sources.folder import safe, write_files
 
 GROUP = ["seq_id", "band"]
 
@@ -142,6 +143,17 @@ def images(cells: DataFrame, windows: int, least: float = 86.0) -> DataFrame:
     return cells.select(*GROUP, "i", "j", "score").groupBy(*GROUP).applyInArrow(run, f"seq_id {kind}, band bigint, image binary")
 
 
+def write_images(pictures: DataFrame, path: str) -> None:
+    """images' rows as files {seq_id}.{band}.pgm of a folder, by the tasks that have them."""
+
+    def contents(batches):
+        for b in batches:
+            for seq_id, band, image in zip(*(b.column(c).to_pylist() for c in (*GROUP, "image")), strict=True):
+                yield f"{safe(None if seq_id is None else str(seq_id))}.{band}.pgm", image
+
+    write_files(pictures, GROUP, [], contents, path, ".pgm")
+
+
 def matrix(cells: DataFrame, seq_id, band: int, windows: int) -> np.ndarray:
     """One band's whole matrix, for a plot: 100 on the diagonal, 0 where there is no cell. windows^2 numbers reach the driver."""
     out = np.eye(windows) * 100

@@ -18,6 +18,7 @@ from .plans.params import Params
 from .sources import bed as B
 from .sources import kmerdb
 from .sources.fasta import region
+from .sources.scratch import scratch
 
 UPPER, LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BASES, WITH_N = "ACGT" * 6 + "AC", "ACGT" * 6 + "AN"
@@ -732,17 +733,9 @@ SQL["build_kmer_db_documents"] = f"WITH dna AS ({CTE['dna']}), km AS ({_kmers_sq
 @query
 def kmer_db_files(spark, sf):
     """The database's files, decoded again: class, subtype and size."""
-    got = kmerdb.packed(_subtypes(spark, sf).withColumn("class", F.lit("all")), P.k)
-
-    def opened(batches):
-        import pandas as pd
-
-        for b in batches:
-            for name, data in zip(b["class"], b["data"], strict=True):
-                k, found = kmerdb.decode(data)
-                yield pd.DataFrame({"class": name, "subtype": list(found), "k": k, "n": [len(v) for v in found.values()], "total": [int(v.astype("int64").sum()) for v in found.values()]})
-
-    return got.mapInPandas(opened, "class string, subtype string, k int, n bigint, total bigint")
+    path = scratch(spark, "db")
+    kmerdb.write_dbs(_subtypes(spark, sf).withColumn("class", F.lit("all")), P.k, path)
+    return kmerdb.read_dbs(spark, path).groupBy("class", "subtype", "k").agg(F.count("*").alias("n"), F.sum("kmer").alias("total"))
 
 
 SQL["kmer_db_files"] = _with("dbk", f"SELECT 'all' AS class, class AS subtype, {P.k} AS k, count(*) AS n, sum(kmer)::BIGINT AS total FROM dbk GROUP BY class")

@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import os
-from urllib.parse import quote
-
-import pyarrow as pa
-import pyarrow.fs as pfs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import region
+from .folder import safe, write_files
 
 # The standard columns of a BED line, those that are numbers, and an annotation's columns.
 COLUMNS = ["chrom", "start", "end", "name", "score", "strand", "thickStart", "thickEnd", "itemRgb", "blockCount", "blockSizes", "blockStarts"]
@@ -81,35 +76,20 @@ def write_table(table: DataFrame, path: str, fmt: str = "bed") -> None:
         w(table).csv(path, sep="\t" if fmt == "tsv" else ",", header=True)
 
 
-def file_name(seq_id: str) -> str:
-    return quote(seq_id, safe=":-._") + ".bed"
+def file_name(seq_id: str | None) -> str:
+    return safe(seq_id) + ".bed"
 
 
 def _write_beds(table: DataFrame, path: str) -> None:
-    """A sequence's rows are in one task, in order; each file is written under another name and moved into place once it is whole."""
-    rows = table.repartition("#chrom").sortWithinPartitions("#chrom", "start", "end")
-    where = path if "://" in path else os.path.abspath(path)
-
-    def run(batches):
-        fs, folder = pfs.FileSystem.from_uri(where)
-        fs.create_dir(folder, recursive=True)
-        now, out, attempt = None, None, TaskContext.get().taskAttemptId()
+    """A sequence's rows are in one task, in order. Files of an earlier run go; a run that fails changes nothing."""
 
-        def close():
-            if out is not None:
-                out.close()
-                fs.move(f"{folder}/.{file_name(now)}.{attempt}", f"{folder}/{file_name(now)}")
-
-        n = 0
+    def contents(batches):
+        now, begun = None, False
         for b in batches:
             for row in zip(*(b.column(c).to_pylist() for c in ANNOTATION), strict=True):
-                if out is None or row[0] != now:
-                    close()
-                    now, n = row[0], n + 1
-                    out = fs.open_output_stream(f"{folder}/.{file_name(now)}.{attempt}")
-                    out.write(("\t".join(ANNOTATION) + "\n").encode())
-                out.write(("\t".join("." if x is None else str(x) for x in row) + "\n").encode())
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
-
-    rows.select(*[F.col(f"`{c}`") for c in ANNOTATION]).mapInArrow(run, "n bigint").agg(F.sum("n")).collect()
+                line = "\t".join("." if x is None else str(x) for x in row) + "\n"
+                if not begun or row[0] != now:
+                    now, begun, line = row[0], True, "\t".join(ANNOTATION) + "\n" + line
+                yield file_name(now), line.encode()
+
+    write_files(table.select(*[F.col(f"`{c}`") for c in ANNOTATION]), ["#chrom"], ["start", "end"], contents, path, ".bed")

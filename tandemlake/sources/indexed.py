@@ -19,12 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pfs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import cut, scratch
+from .scratch import cut, opened, scratch
 
 #: Bytes that a row of the index names at most, bytes that a task scans, and bytes that a task reads where all are read.
 SEGMENT, RANGE, SHARE = 1 << 18, 1 << 26, 1 << 25
@@ -38,10 +37,6 @@ _blank = np.zeros(256, bool)
 _blank[[9, 10, 11, 12, 13, 32]] = True
 
 
-def opened(path: str) -> tuple[pfs.FileSystem, str]:
-    return pfs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-
-
 def block_size(head: bytes) -> int | None:
     """A block's bytes from its first 18 or more; None if these begin no block."""
     if len(head) < 18 or head[:4] != b"\x1f\x8b\x08\x04":
@@ -434,7 +429,7 @@ class Indexed:
         """Records that hold a condition on file, seq_id and seq_len; it goes down to the scan of the index."""
         return Indexed(self.index.where(condition))
 
-    def _read(self, rows: DataFrame, kept: list[str]) -> DataFrame:
+    def read(self, rows: DataFrame, kept: list[str]) -> DataFrame:
         """rows (kept columns, index columns, low, high in the record's bases) with the bases as seq, a row each."""
         columns = [*kept, "path", "kind", "at", "skip", "size", "bases", "_low", "_high"]
         placed = rows.select(*kept, *columns[len(kept) : -2], (F.col("low") - F.col("base0")).alias("_low"), (F.col("high") - F.col("base0")).alias("_high"))
@@ -448,7 +443,7 @@ class Indexed:
         tasks = max(spark.sparkContext.defaultParallelism, -(-total // SHARE))
         low = F.greatest("base0", F.lit(0))
         rows = self.index.withColumns({"low": low, "high": F.least(F.col("base0") + F.col("bases") + overlap, "seq_len")}).where("low < least(base0 + bases, seq_len)")
-        return self._read(rows.withColumn("pos0", F.col("low")).repartition(tasks).sortWithinPartitions("path", "at", "skip"), ["seq_id", "pos0"])
+        return self.read(rows.withColumn("pos0", F.col("low")).repartition(tasks).sortWithinPartitions("path", "at", "skip"), ["seq_id", "pos0"])
 
     def slices(self, regions: DataFrame, k: int, keys: list[str], bin_: int = BIN) -> DataFrame:
         """seq_id (a struct of the keys), pos0, seq: the regions (keys, seq_id, start, end) cut from their pieces.
@@ -464,7 +459,7 @@ class Indexed:
         rows = both.select(F.col("_key").alias("seq_id"), "path", "kind", "at", "skip", "size", "bases", "base0", F.greatest("_a", "_x").alias("low"), F.least(F.col("_z"), F.col("_y") + (k - 1), "seq_len").alias("high")).where(F.col("high") - F.col("low") >= k)
         tasks = int(self.index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         near = rows.withColumn("pos0", F.col("low")).repartition(tasks, "path", "at").sortWithinPartitions("path", "at", "skip", "low")
-        return self._read(near, ["seq_id", "pos0"])
+        return self.read(near, ["seq_id", "pos0"])
 
     def selected(self, ids: list[str]) -> Indexed:
         """The records asked for by name or by chrom:lo-hi, in which case that part; the first file that has one gives it, and of it the first record.

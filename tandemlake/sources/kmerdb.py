@@ -11,15 +11,21 @@ import os
 import struct
 import sys
 import zlib
+from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pfs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .folder import safe, write_files
+from .scratch import cut, opened
+
+#: k-mers that a database's reader holds at a time.
+PART = 1 << 18
+
 
 def encode(k: int, sets: dict[str, np.ndarray]) -> bytes:
     """k-mers in order, and no time stamp, so that equal sets give equal bytes."""
@@ -32,20 +38,29 @@ def encode(k: int, sets: dict[str, np.ndarray]) -> bytes:
     return gzip.compress(b"".join(out), mtime=0)
 
 
-def decode(data: bytes) -> tuple[int, dict[str, np.ndarray]]:
-    raw = gzip.decompress(data)
-    k, n = struct.unpack_from("<BH", raw)
-    at, sets = 3, {}
+def streamed(f) -> Iterator[tuple[int, str, np.ndarray]]:
+    """(k, name, some of its k-mers) of a database as a gzip stream, PART k-mers at most at a time; an empty set comes once. Raises if it ends early."""
+    z, held = zlib.decompressobj(31), bytearray()
+
+    def take(n: int) -> bytes:
+        nonlocal z
+        while len(held) < n:
+            raw = z.unconsumed_tail or (z.unused_data if z.eof else b"") or f.read(1 << 16)
+            if not raw:
+                raise ValueError("a k-mer database ends early")
+            if z.eof:  # another member
+                z = zlib.decompressobj(31)
+            held.extend(z.decompress(raw, 1 << 20))
+        out = bytes(held[:n])
+        del held[:n]
+        return out
+
+    k, n = struct.unpack("<BH", take(3))
     for _ in range(n):
-        (size,) = struct.unpack_from("<H", raw, at)
-        name = raw[at + 2 : at + 2 + size].decode()
-        (count,) = struct.unpack_from("<I", raw, at + 2 + size)
-        at += 6 + size
-        if at + 4 * count > len(raw):
-            raise ValueError("a k-mer database ends early")
-        sets[name] = np.frombuffer(raw, "<i4", count, at)
-        at += 4 * count
-    return k, sets
+        name = take(struct.unpack("<H", take(2))[0]).decode()
+        (count,) = struct.unpack("<I", take(4))
+        for done in range(0, max(count, 1), PART):
+            yield k, name, np.frombuffer(take(4 * min(PART, count - done)), "<i4")
 
 
 def read_dbs(spark: SparkSession, path: str, permissive: bool = False) -> DataFrame:
@@ -54,7 +69,7 @@ def read_dbs(spark: SparkSession, path: str, permissive: bool = False) -> DataFr
     A folder that isn't there, or is none, or has no such file, raises. permissive leaves out files that can't be
     decoded, with a warning in the worker's log; otherwise they raise.
     """
-    fs, folder = pfs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+    fs, folder = opened(path if "://" in path else os.path.abspath(path))
     kind = fs.get_file_info(folder).type
     if kind == pfs.FileType.NotFound:
         raise FileNotFoundError(f"no folder {path}")
@@ -62,85 +77,73 @@ def read_dbs(spark: SparkSession, path: str, permissive: bool = False) -> DataFr
         raise ValueError(f"{path} is no folder")
     if not any(f.base_name.endswith(".db") for f in fs.get_file_info(pfs.FileSelector(folder))):
         raise ValueError(f"no .db files in {path}")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.db").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.db").load(path).select("path")  # contents stream
+    files = files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches):
         for b in batches:
-            for p, content in zip(b.path, b.content, strict=True):
+            for p in b.column("path").to_pylist():
+                stem = unquote(p.rsplit("/", 1)[-1].removesuffix(".db"))
+                there, name = opened(p)
                 try:
-                    k, sets = decode(content)
-                except Exception as e:
-                    if permissive:
-                        print(f"left out {p}: {e}", file=sys.stderr)
-                        continue
-                    raise
-                for name, values in sets.items():
-                    yield pd.DataFrame({"class": os.path.basename(p).removesuffix(".db"), "subtype": name, "k": k, "kmer": values})
-
-    return files.mapInPandas(run, "class string, subtype string, k int, kmer int")
-
-
-def packed(db: DataFrame, k: int) -> DataFrame:
-    """class, data: each class's file."""
+                    if permissive:  # whole or not at all: gone through once before
+                        with there.open_input_stream(name, compression=None) as f:
+                            for _ in streamed(f):
+                                pass
+                    with there.open_input_stream(name, compression=None) as f:
+                        for k, subtype, values in streamed(f):
+                            n = len(values)
+                            yield pa.RecordBatch.from_arrays([pa.array([stem] * n, pa.string()), pa.array([subtype] * n, pa.string()), pa.array(np.full(n, k, np.int32)), pa.array(values)], ["class", "subtype", "k", "kmer"])
+                except (ValueError, OSError, zlib.error, struct.error) as e:
+                    if not permissive:
+                        raise
+                    print(f"left out {p}: {e}", file=sys.stderr)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = {name: g.kmer.to_numpy() for name, g in pdf.groupby("subtype", sort=True)}
-        return pd.DataFrame({"class": [pdf["class"].iloc[0]], "data": [encode(k, sets)]})
+    return files.mapInArrow(run, "class string, subtype string, k int, kmer int")
 
-    return db.select("class", "subtype", "kmer").distinct().groupBy("class").applyInPandas(run, "class string, data binary")
 
-
-def write_dbs(db: DataFrame, k: int, folder: str) -> None:
-    """One {class}.db a class in a folder that driver and executors share.
+def write_dbs(db: DataFrame, k: int, folder: str) -> DataFrame:
+    """Returns class, subtype, n: the sizes of what it writes. One {class}.db a class in a folder that driver and executors share; databases of other classes there stay.
 
     The format names a set's size before its k-mers, so sizes are counted first; then each class streams, in order,
-    through the task that writes its file, whatever its size. Nothing passes the driver.
+    through the task that writes its file, whatever its size. Nothing passes the driver, and a run that fails changes nothing.
     """
     if not 0 < k < 256:
         raise ValueError("k doesn't fit")
-    where = folder if "://" in folder else os.path.abspath(folder)
-    one = db.select("class", "subtype", "kmer").distinct()
-    sizes = one.groupBy("class", "subtype").agg(F.count("*").alias("n"))
+    one = cut(db.select("class", "subtype", "kmer").distinct())
+    sizes = cut(one.groupBy("class", "subtype").agg(F.count("*").alias("n")))
     sets = sizes.groupBy("class").agg(F.count("*").alias("sets"))
-    rows = one.join(sizes.join(sets, "class"), ["class", "subtype"]).repartition("class").sortWithinPartitions("class", "subtype", "kmer")
-
-    def run(batches):
-        fs, root = pfs.FileSystem.from_uri(where)
-        fs.create_dir(root, recursive=True)
-        now, subtype, out, z, attempt = None, None, None, None, TaskContext.get().taskAttemptId()
-
-        def close():
-            if out is not None:
-                out.write(z.flush())
-                out.close()
-                fs.move(f"{root}/.{file_name(now)}.{attempt}", f"{root}/{file_name(now)}")
+    rows = one.join(sizes.join(sets, "class"), ["class", "subtype"])
 
+    def contents(batches):
+        now, subtype, z = None, None, None
         for b in batches:
             c, s, kmer = b.column("class").to_pylist(), b.column("subtype").to_pylist(), np.asarray(b.column("kmer")).astype("<i4")
             cuts = [0, *(i for i in range(1, len(c)) if (c[i], s[i]) != (c[i - 1], s[i - 1])), len(c)]
             for x, y in zip(cuts, cuts[1:], strict=False):
                 if x == y:
                     continue
-                if out is None or c[x] != now:
-                    close()
-                    now, subtype, count = c[x], None, b.column("sets")[x].as_py()
+                if z is None or c[x] != now:
+                    if z is not None:
+                        yield file_name(now), z.flush()
+                    now, subtype, count, z = c[x], None, b.column("sets")[x].as_py(), zlib.compressobj(9, zlib.DEFLATED, 31)
                     if count > 65535:
                         raise ValueError("the number of sets doesn't fit")
-                    out, z = fs.open_output_stream(f"{root}/.{file_name(now)}.{attempt}"), zlib.compressobj(9, zlib.DEFLATED, 31)
-                    out.write(z.compress(struct.pack("<BH", k, count)))
+                    yield file_name(now), z.compress(struct.pack("<BH", k, count))
                 if s[x] != subtype:
                     subtype, raw = s[x], s[x].encode()
-                    out.write(z.compress(struct.pack("<H", len(raw)) + raw + struct.pack("<I", b.column("n")[x].as_py())))
-                out.write(z.compress(kmer[x:y].tobytes()))
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array([0])], ["done"])
+                    yield file_name(now), z.compress(struct.pack("<H", len(raw)) + raw + struct.pack("<I", b.column("n")[x].as_py()))
+                yield file_name(now), z.compress(kmer[x:y].tobytes())
+        if z is not None:
+            yield file_name(now), z.flush()
 
-    rows.mapInArrow(run, "done bigint").count()
+    write_files(rows, ["class"], ["subtype", "kmer"], contents, folder)
+    return sizes
 
 
 def file_name(name: str) -> str:
-    """A class's file; characters that a file's name can't have are underscores."""
-    return "".join(c if c.isalnum() or c in "._-" else "_" for c in name) + ".db"
+    """A class's file; characters that a file's name can't have are percent-encoded, so no two classes share one."""
+    return safe(name) + ".db"
 
 
 def class_map(spark: SparkSession, classes: dict[str, list[str]]) -> DataFrame:

@@ -1,10 +1,12 @@
-"""New folders for what a query writes and reads back."""
+"""New folders for what a query writes and reads back; files by the paths that Spark gives."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from urllib.parse import quote
 
+import pyarrow.fs as pfs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,3 +26,14 @@ def cut(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession, "rows")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def opened(path: str) -> tuple[pfs.FileSystem, str]:
+    """The file system of a path or URI as Spark writes it (unescaped), and the path there."""
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    if "://" not in path:
+        return pfs.LocalFileSystem(), path
+    scheme, rest = path.split("://", 1)
+    host, _, name = rest.partition("/")
+    return pfs.FileSystem.from_uri(f"{scheme}://{host}/{quote(name)}")

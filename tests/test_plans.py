@@ -212,11 +212,14 @@ def test_missing_databases(spark, tmp_path):
     assert rows(kmerdb.read_dbs(spark, str(tmp_path), permissive=True)) == []
 
 
-def test_written_database_is_the_packed_one(spark, tmp_path):
+def test_written_database_has_the_formats_bytes(spark, tmp_path):
     db = spark.createDataFrame([("A", s, (i * 7919) % 4001 - 2000) for s in "xy" for i in range(3000)] + [("B", "é", 1)], "class string, subtype string, kmer int")
     kmerdb.write_dbs(db, 13, str(tmp_path))
-    for r in kmerdb.packed(db, 13).collect():
-        assert gzip.decompress((tmp_path / f"{r['class']}.db").read_bytes()) == gzip.decompress(bytes(r.data))
+    for c in "AB":
+        sets = {}
+        for r in db.where(f"class = '{c}'").distinct().orderBy("subtype", "kmer").collect():
+            sets.setdefault(r.subtype, []).append(r.kmer)
+        assert gzip.decompress((tmp_path / f"{c}.db").read_bytes()) == gzip.decompress(kmerdb.encode(13, {s: np.array(v) for s, v in sets.items()}))
 
 
 def test_no_two_sequences_share_a_file(spark, tmp_path):
@@ -265,7 +268,7 @@ def test_db_bytes_and_roundtrip(spark, tmp_path):
     db = spark.createDataFrame([("A", "x", 5), ("A", "x", -7), ("A", "y", 5), ("B/b", "z", 1)], "class string, subtype string, kmer int")
     kmerdb.write_dbs(db, 21, str(tmp_path))
     got = kmerdb.read_dbs(spark, str(tmp_path))
-    assert rows(got) == sorted([("A", "x", 21, -7), ("A", "x", 21, 5), ("A", "y", 21, 5), ("B_b", "z", 21, 1)], key=repr)
+    assert rows(got) == sorted([("A", "x", 21, -7), ("A", "x", 21, 5), ("A", "y", 21, 5), ("B/b", "z", 21, 1)], key=repr)
     (tmp_path / "bad.db").write_bytes(gzip.compress(struct.pack("<BH", 21, 1)))
     assert len(rows(kmerdb.read_dbs(spark, str(tmp_path), permissive=True))) == 4
     with pytest.raises(Exception):
@@ -294,10 +297,62 @@ def test_command_line(spark, tmp_path, genome, capsys):
     assert picture.startswith(b"P5 50 50 255\n") and len(picture) == 13 + 2500 and picture[13] == 0
     text = (tmp_path / "out" / "annotation" / "one.bed").read_text()
     assert "\tsat\t" in text and text.startswith("#chrom\tstart\tend")
-    masked = fasta.read_fasta(spark, str(tmp_path / "out" / "masked" / "record=one")).first().seq
+    assert sorted(p.name for p in (tmp_path / "out" / "masked").iterdir() if not p.name.startswith(".")) == ["one.fa", "short.fa"]
+    masked = fasta.read_fasta(spark, str(tmp_path / "out" / "masked" / "one.fa")).first().seq
     assert masked[70_000:90_000] == "N" * 20_000 and "N" not in masked[:59_000]
 
 
+def test_command_line_of_a_range(spark, tmp_path, genome, capsys):
+    fa = tmp_path / "g.fa"
+    fa.write_text("".join(f">{n}\n{s}\n" for n, s in genome[0].items()))
+    cli.run(spark, cli.parser().parse_args(["annotate", "-f", str(fa), "-s", "one:50000-120000", "nowhere", "-d", str(tmp_path / "out"), "--band", "0.1", "-m", "ALL", "--soft"]))
+    assert "no sequence nowhere" in capsys.readouterr().out
+    line = (tmp_path / "out" / "annotation" / "one:50000-120000.bed").read_text().splitlines()[1].split("\t")
+    assert abs(int(line[1]) - 60_000) <= 300 and abs(int(line[2]) - 100_000) <= 300
+    masked = fasta.read_fasta(spark, str(tmp_path / "out" / "masked" / "one%3A50000-120000.fa")).first().seq
+    assert masked.upper() == genome[0]["one"][50_000:120_000] and masked[12_000:48_000].islower() and masked[:8000].isupper()
+
+
+def test_a_run_that_fails_changes_nothing(spark, tmp_path):
+    rows_ = spark.createDataFrame([(n, 0, 5, "x") for n in "abc"], "seq_id string, start bigint, end bigint, name string")
+    out = tmp_path / "o"
+    bed.write_table(bed.annotation(rows_), str(out))
+    before = {p.name: p.read_text() for p in out.iterdir() if not p.name.startswith(".")}
+    from pyspark.sql import functions as F
+
+    bad = rows_.withColumn("start", F.when(F.col("seq_id") == "c", F.raise_error(F.lit("broken")).cast("bigint")).otherwise(F.col("start") + 1))
+    with pytest.raises(Exception, match="broken"):
+        bed.write_table(bed.annotation(bad), str(out))
+    assert {p.name: p.read_text() for p in out.iterdir() if not p.name.endswith(".crc")} == before
+    bed.write_table(bed.annotation(rows_.where("seq_id <> 'b'").unionByName(rows_.limit(1).withColumn("seq_id", F.lit(None).cast("string")))), str(out))
+    assert sorted(p.name for p in out.iterdir() if not p.name.endswith(".crc")) == ["%.bed", "a.bed", "c.bed"]
+
+
+def test_masked_files_of_odd_names(spark, tmp_path):
+    from tandemlake.operators import mask
+    from tandemlake.sources import indexed
+
+    r = random.Random(4)
+    seqs = {"a/b": dna(r, 500), "a_b": dna(r, 61), "a b": dna(r, 60), "": "", "é%": dna(r, 7)}
+    table = spark.createDataFrame([(n, s) for n, s in seqs.items()] + [("a_b", "ACGT")], "seq_id string, seq string")
+    marks = spark.createDataFrame([("a/b", -5, 10), ("a/b", 5, 130), ("a/b", 490, 900), ("a_b", 60, 61), ("none", 0, 9), ("a b", 7, 7)], "seq_id string, start bigint, end bigint")
+    want = {**seqs, "a/b": "N" * 130 + seqs["a/b"][130:490] + "N" * 10, "a_b": seqs["a_b"][:60] + "N"}
+    got = indexed.stored(table, 64)
+    mask.write_masked(got, marks, str(tmp_path))
+    files = {p.name: p.read_text() for p in tmp_path.iterdir() if not p.name.startswith(".")}
+    assert sorted(files) == sorted(["a%2Fb.fa", "a_b.fa", "a%20b.fa", "%00.fa", "%C3%A9%25.fa"])
+    assert all(len(line) <= fasta.LINE for f in files.values() for line in f.splitlines())
+    for n, s in want.items():
+        mine = files[{"a/b": "a%2Fb", "a b": "a%20b", "": "%00", "é%": "%C3%A9%25"}.get(n, n) + ".fa"]
+        parts = [p.replace("\n", "") for p in ("\n" + mine).split(f"\n>{n}\n")]
+        assert s in parts and ("ACGT" in parts or n != "a_b")
+    pieces = {}
+    for x in mask.masked_pieces(got, marks, True).collect():
+        pieces.setdefault(x.seq_id, []).append((x.pos0, bytes(x.seq).decode()))
+    whole = "".join(q for _, q in sorted(pieces["a/b"]))
+    assert whole == seqs["a/b"][:130].lower() + seqs["a/b"][130:490] + seqs["a/b"][490:].lower()
+
+
 def test_arrivals(spark, tmp_path, genome):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "g.fa").write_text(f">one\n{genome[0]['one']}\n")
