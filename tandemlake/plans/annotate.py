@@ -18,6 +18,7 @@ def raw_spans(seqs: DataFrame | Indexed, p: Params) -> DataFrame:
     sketched = kmers(chunked(seqs, p.k - 1), p.k, sketched=True)
     cells = ani.band_cells(windows.banded(sketched, p), p).where(F.col("score") >= p.identity)
     found = spans.diagonal_spans(cells, p.window, p.band, p.tolerance)
+    found = intervals.grouped(cut(found), ["seq_id"], 4 * p.window)  # further than any of the rules reaches
     clear = intervals.without_conflicts(found, ["seq_id", "band"], p.window, ("first_row",))
     once = intervals.without_repeats(clear.withColumnRenamed("band", "_band"), ["seq_id"], ("_band",))
     whole = intervals.stitched(once, ["seq_id"], p.band, p.window)

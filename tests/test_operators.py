@@ -135,6 +135,34 @@ def test_conflict_filter_leaves_no_conflict(spark):
             assert abs(a - c) > 5 and abs(b - d) > 5 and not (a < c and b > d)
 
 
+def test_groups_of_intervals(spark):
+    """One sequence's intervals are dealt out to many tasks; rows are those of one list, whatever the bins."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(9)
+    table = spark.createDataFrame([(k, a := r.randrange(-50, 4000), a + r.randrange(1, 60)) for k in ("s", None) for _ in range(150)] + [("s", 3000, 2900), ("s", -400, 5)], "seq_id string, start bigint, end bigint").distinct().cache()
+    whole = table.withColumn(intervals.GROUP, F.lit(1).cast("bigint"))
+    for bin_ in (1, 10, 300, 10**6):
+        got = intervals.grouped(table, ["seq_id"], 5, bin_).cache()
+        assert got.count() == table.count()
+        seen = {}
+        for x in got.collect():
+            seen.setdefault((x.seq_id, x[intervals.GROUP]), []).append((min(x.start, x.end), max(x.start, x.end)))
+        for key in ("s", None):
+            groups = sorted((min(a for a, _ in v), max(z for _, z in v)) for (k, _), v in seen.items() if k == key)
+            assert all(a2 > z1 + 5 for (_, z1), (a2, _) in zip(groups, groups[1:], strict=False)) and (len(groups) > 10 or bin_ > 100)
+        for rule in (lambda t: intervals.without_conflicts(t, ["seq_id"], 5), lambda t: intervals.without_repeats(t, ["seq_id"])):
+            assert rows(rule(got).drop(intervals.GROUP)) == rows(rule(whole).drop(intervals.GROUP)) == rows(rule(table))
+        joined = intervals.grouped(table, ["seq_id"], 8, bin_)
+        assert rows(intervals.stitched(joined, ["seq_id"], 100, 2)) == rows(intervals.stitched(whole, ["seq_id"], 100, 2)) == rows(intervals.stitched(table, ["seq_id"], 100, 2))
+    many = intervals.without_conflicts(intervals.grouped(spark.range(0, 10**7, 1000).selectExpr("'one' as seq_id", "id as start", "id + 300 as end"), ["seq_id"], 5, 10_000), ["seq_id"], 5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert len({x.p for x in many.select(F.spark_partition_id().alias("p")).distinct().collect()}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def slow_kept(found, clash):
     kept = []
     for x in sorted(found):
