@@ -8,8 +8,7 @@ from itertools import groupby
 from pyspark.sql import Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.kmers import chunked, kmers
-from .operators import ani, boundaries, lookups, mask, windows
+from .operators import ani, boundaries, lookups, mask
 from .plans.annotate import annotate, periods
 from .plans.build_db import build_db
 from .plans.params import Params
@@ -84,8 +83,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
     bed.write_table(table, f"{args.directory}/annotation", args.output_format)
     say(counted.get["arrays"], "arrays in", f"{args.directory}/annotation")
     if args.plot:
-        cells = ani.band_cells(windows.banded(kmers(chunked(seqs, p.k - 1), p.k, sketched=True), p), p).where(F.col("score") >= p.identity)
-        ani.write_images(ani.images(cells, p.windows, p.identity), f"{args.directory}/plots")
+        ani.write_images(ani.images(ani.indexed_cells(seqs, p, p.identity), p.windows, p.identity), f"{args.directory}/plots")
     if args.verbose:
         parts = found.select("seq_id", "start", "end")
         counts = boundaries.span_counts(parts, seqs, p.k)

@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 from .windows import banded, hopping, tumbling
 from ..plans.params import Params
+from ..functions.kmers import canonical
 from ..sources.folder import safe, write_files
+from ..sources.indexed import Indexed, Reader
 
 GROUP = ["seq_id", "band"]
+#: Bases whose bands a task multiplies.
+BAND_SHARE = 1 << 23
 
 
 def score(share: Column, k: int) -> Column:
@@ -41,14 +45,11 @@ def cells(plain: DataFrame, wide: DataFrame, k: int) -> DataFrame:
     return best.select(*GROUP, "i", "j", score(F.col("share"), k).alias("score"))
 
 
-def _scores(plain: tuple[np.ndarray, np.ndarray], wide: tuple[np.ndarray, np.ndarray], k: int, windows: int, columns: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """i, j, score of one band from the distinct (window, k-mer number) pairs of its plain and wide windows."""
-    windows = min(windows, int(plain[0].max(initial=-1)) + 1)  # later ones hold nothing, so have no cells
-    n = np.bincount(plain[0], minlength=windows).astype(np.float64)
-    wide = tuple(x[wide[0] < windows] for x in wide)
+def _product(plain: tuple[np.ndarray, np.ndarray], wide: tuple[np.ndarray, np.ndarray], rows: int, across: int, columns: int) -> np.ndarray:
+    """How many k-mers plain window i shares with wide window j, from distinct (window, k-mer) pairs: products of `columns` k-mers at a time."""
     held = np.intersect1d(plain[1], wide[1])  # other k-mers meet nothing
     columns = max(1, min(columns, len(held)))
-    c = np.zeros((windows, windows))
+    c = np.zeros((rows, across))
     sides = []
     for win, code in (plain, wide):
         at = np.searchsorted(held, code)
@@ -57,11 +58,24 @@ def _scores(plain: tuple[np.ndarray, np.ndarray], wide: tuple[np.ndarray, np.nda
         order = np.argsort(at[keep], kind="stable")
         sides.append((win[keep][order], at[keep][order]))
     for x in range(0, len(held), columns):
-        a, b = np.zeros((2, windows, columns), np.float32)
+        a, b = np.zeros((rows, columns), np.float32), np.zeros((across, columns), np.float32)
         for m, (win, at) in zip((a, b), sides, strict=True):
             lo, hi = np.searchsorted(at, (x, x + columns))
             m[win[lo:hi], at[lo:hi] - x] = 1
         c += a @ b.T
+    return c
+
+
+def _most(*windows: np.ndarray) -> int:
+    """Windows up to the last that holds anything."""
+    return max(int(w.max(initial=-1)) for w in windows) + 1
+
+
+def _scores(plain: tuple[np.ndarray, np.ndarray], wide: tuple[np.ndarray, np.ndarray], k: int, windows: int, columns: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """i, j, score of one band from the distinct (window, k-mer number) pairs of its plain and wide windows."""
+    windows = min(windows, _most(plain[0]))  # later ones hold nothing, so have no cells
+    n = np.bincount(plain[0], minlength=windows).astype(np.float64)
+    c = _product(plain, tuple(x[wide[0] < windows] for x in wide), windows, windows, columns)
     share = np.divide(c, n[:, None], out=np.zeros_like(c), where=n[:, None] > 0)
     share = np.where((n[:, None] > 0) & (n[None, :] > 0), np.maximum(share, share.T), 0)
     i, j = np.nonzero(np.triu(share, 1))
@@ -95,17 +109,21 @@ def dense_cells(plain: DataFrame, wide: DataFrame, k: int, windows: int, columns
     return _by_band(rows, pairs, k, windows, columns)
 
 
+def _window_pairs(local: np.ndarray, kmer: np.ndarray, p: Params) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """The distinct (window, k-mer) pairs of a band's plain and wide windows, from k-mers at places in it."""
+    own = local < p.band
+    first = np.maximum(0, (local - p.interval) // p.window)
+    count = np.minimum(p.windows - 1, (local + p.interval) // p.window) - first + 1
+    wide = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    distinct = lambda win, value: tuple(np.unique(np.stack([win, value]).astype(np.int64), axis=1))
+    return distinct(local[own] // p.window, kmer[own]), distinct(wide, np.repeat(kmer, count))
+
+
 def band_cells(banded_: DataFrame, p: Params, columns: int = 4096) -> DataFrame:
     """The same cells straight from banded positions: the windows are made where the products are, so k-mers are shuffled once."""
 
     def pairs(table: pa.Table):
-        local, kmer = table.column("local").to_numpy(), table.column("kmer").to_numpy()
-        own = local < p.band
-        first = np.maximum(0, (local - p.interval) // p.window)
-        count = np.minimum(p.windows - 1, (local + p.interval) // p.window) - first + 1
-        wide = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        distinct = lambda win, value: tuple(np.unique(np.stack([win, value]).astype(np.int64), axis=1))
-        return distinct(local[own] // p.window, kmer[own]), distinct(wide, np.repeat(kmer, count))
+        return _window_pairs(table.column("local").to_numpy(), table.column("kmer").to_numpy(), p)
 
     return _by_band(banded_.select(*GROUP, "local", "kmer"), pairs, p.k, p.windows, columns)
 
@@ -128,6 +146,85 @@ def cross_band(plain: DataFrame, wide: DataFrame, k: int) -> DataFrame:
     return both.join(own, ["seq_id", "band", "i"], "left_semi").join(before, ["seq_id", "band", "j"], "left_semi").select("seq_id", "band", "i", "j", score(F.col("share"), k).alias("score"))
 
 
+def indexed_cells(seqs: Indexed, p: Params, least: float = 0.0, columns: int = 4096) -> DataFrame:
+    """The same cells of indexed sequences, those of `least` and more: a task reads a band's bases, and hashes and multiplies them. No k-mer is shuffled."""
+    rows = seqs.stretches(p.band, p.interval + p.k - 1, BAND_SHARE)
+    kind = rows.schema["seq_id"].dataType.simpleString()
+
+    def run(batches):
+        reader = Reader()
+        for b in batches:
+            bands, held, size = b.column("n").to_pylist(), [], 0
+            for x, place in enumerate(zip(*(b.column(c).to_pylist() for c in ("path", "kind", "at", "skip", "size", "bases", "low", "high")), strict=True)):
+                values = canonical(reader.bases(*place), p.k)[: p.band + p.interval]
+                local = np.nonzero((values & 3 == 0) & (values != 0))[0]
+                i, j, found = _scores(*_window_pairs(local, values[local], p), p.k, p.windows, columns)
+                keep = found >= least
+                held.append((np.full(int(keep.sum()), x), i[keep], j[keep], found[keep]))
+                size += len(held[-1][0])
+                if size and (size >= 1 << 16 or x == len(bands) - 1):
+                    yield batch(b, bands, held)
+                    held, size = [], 0
+            if size:
+                yield batch(b, bands, held)
+        reader.close()
+
+    def batch(b, bands, held):
+        x, i, j, found = map(np.concatenate, zip(*held, strict=True))
+        return pa.RecordBatch.from_arrays([b.column("seq_id").take(pa.array(x)), pa.array(np.array(bands, np.int64)[x]), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(found)], [*GROUP, "i", "j", "score"])
+
+    return rows.mapInArrow(run, f"seq_id {kind}, band bigint, i int, j int, score double")
+
+
+def _by_sets(rows: DataFrame, of, out: str) -> DataFrame:
+    """Rows (i, j, value) that of(sets) makes of each band's distinct (window, k-mer) pairs, by what their rows say (kind)."""
+    kind = rows.schema["seq_id"].dataType.simpleString()
+
+    def run(table: pa.Table) -> pa.Table:
+        win, kmer, which = (table.column(c).to_numpy() for c in ("win", "kmer", "kind"))
+        i, j, value = of([(win[which == x], kmer[which == x]) for x in range(4)])
+        first = [table.column(g).slice(0, 1).combine_chunks().take(pa.array(np.zeros(len(i), np.int64))) for g in GROUP]
+        return pa.table([*first, pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(value)], names=[*GROUP, "i", "j", out.split()[0]])
+
+    return rows.groupBy(*GROUP).applyInArrow(run, f"seq_id {kind}, band bigint, i int, j int, {out}")
+
+
+def _kinded(df: DataFrame, band, kind: int) -> DataFrame:
+    return df.select("seq_id", band.cast("bigint").alias("band"), "win", "kmer", F.lit(kind).alias("kind"))
+
+
+def dense_intersections(plain: DataFrame, wide: DataFrame, columns: int = 4096) -> DataFrame:
+    """The rows of intersections() by matrix products in each band: a k-mer that all windows share is a column, not a row for each two of them."""
+    rows = _kinded(plain, F.col("band"), 0).unionByName(_kinded(wide, F.col("band"), 1))
+
+    def of(sets):
+        c = _product(sets[0], sets[1], _most(sets[0][0]), _most(sets[1][0]), columns)
+        i, j = np.nonzero(c)
+        return i, j, c[i, j].astype(np.int64)
+
+    return _by_sets(rows, of, "c bigint")
+
+
+def dense_cross_band(plain: DataFrame, wide: DataFrame, k: int, columns: int = 4096) -> DataFrame:
+    """The rows of cross_band() by two matrix products for each band and the one before it.
+
+    A band's k-mers go to two groups, its own and the next band's; a group is two bands, whatever their k-mers share.
+    """
+    before = F.col("band") + 1
+    rows = _kinded(plain, F.col("band"), 0).unionByName(_kinded(wide, F.col("band"), 1)).unionByName(_kinded(plain, before, 2)).unionByName(_kinded(wide, before, 3))
+
+    def of(sets):
+        own, own_wide, old, old_wide = sets
+        rows_, across = _most(own[0], own_wide[0]), _most(old[0], old_wide[0])
+        n, m = np.bincount(own[0], minlength=rows_), np.bincount(old[0], minlength=across)
+        part = lambda c, size: np.divide(c, size, out=np.zeros_like(c), where=size > 0)
+        share = np.maximum(part(_product(own, old_wide, rows_, across, columns), n[:, None]), part(_product(old, own_wide, across, rows_, columns), m[:, None]).T)
+        i, j = np.nonzero(np.triu(share * ((n > 0)[:, None] & (m > 0)[None, :])))
+        return i, j, share[i, j] ** (1 / k) * 100
+
+    return _by_sets(rows, of, "score double")
+
+
 def images(cells: DataFrame, windows: int, least: float = 86.0) -> DataFrame:
     """seq_id, band, image: each band's matrix as a gray picture (PGM), `least` and below white, 100 black."""
     kind = cells.schema["seq_id"].dataType.simpleString()

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kmers import chunked, kmers, slices
-from ..operators import ani, boundaries, classify, intervals, periodicity, spans, windows
+from ..functions.kmers import kmers, slices
+from ..operators import ani, boundaries, classify, intervals, periodicity, spans
 from ..functions.names import region as parsed_region
 from ..sources.indexed import Indexed, stored
 from ..sources.scratch import cut
@@ -15,14 +15,14 @@ from .params import Params
 
 def raw_spans(seqs: DataFrame | Indexed, p: Params) -> DataFrame:
     """seq_id, start, end: runs of similar windows, freed of conflicts within a band and between bands."""
-    sketched = kmers(chunked(seqs, p.k - 1), p.k, sketched=True)
-    cells = ani.band_cells(windows.banded(sketched, p), p).where(F.col("score") >= p.identity)
+    seqs = seqs if isinstance(seqs, Indexed) else stored(seqs)
+    cells = ani.indexed_cells(seqs, p, p.identity)
     found = spans.diagonal_spans(cells, p.window, p.band, p.tolerance)
     found = intervals.grouped(cut(found), ["seq_id"], 4 * p.window)  # further than any of the rules reaches
     clear = intervals.without_conflicts(found, ["seq_id", "band"], p.window, ("first_row",))
     once = intervals.without_repeats(clear.withColumnRenamed("band", "_band"), ["seq_id"], ("_band",))
     whole = intervals.stitched(once, ["seq_id"], p.band, p.window)
-    sizes = seqs.records().select("seq_id", F.col("seq_len").alias("n")) if isinstance(seqs, Indexed) else seqs.select("seq_id", F.length("seq").cast("bigint").alias("n"))
+    sizes = seqs.records().select("seq_id", F.col("seq_len").alias("n"))
     return whole.join(sizes, "seq_id").select("seq_id", "start", F.least("end", "n").alias("end")).where("start < end")
 
 

@@ -298,7 +298,7 @@ SQL["hopping_window_sets"] = _with("wide", _SET.format("wide"), NARROW)
 
 @query
 def set_intersection_count(spark, sf):
-    return ani.intersections(*sets(spark, sf))
+    return ani.dense_intersections(*sets(spark, sf))
 
 
 SQL["set_intersection_count"] = _with("shared", "SELECT * FROM shared")
@@ -338,7 +338,7 @@ SQL["ani_matrix_threshold"] = _with("cells", _ROUNDED.format("cells"))
 @query
 def ani_cross_band(spark, sf):
     plain, wide = sets(spark, sf, NARROW)
-    return _rounded(ani.cross_band(plain, wide, P.k))
+    return _rounded(ani.dense_cross_band(plain, wide, P.k))
 
 
 SQL["ani_cross_band"] = _with(

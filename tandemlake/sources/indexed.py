@@ -346,7 +346,7 @@ class Reader:
     def bases(self, path: str, kind: int, at: int, skip: int, size: int, bases: int, low: int, high: int) -> bytes:
         """Bases low to high (counted from the piece's first) of a piece that `bases` are in; those beyond are read on."""
         self._open(path)
-        if kind == BARE or kind == TEXT and size == bases and high <= bases:
+        if kind == BARE or kind == TEXT and size == bases and high <= bases:  # no line ends
             self.f.seek(at + skip + low)
             self.read += high - low
             return self.f.read(high - low)
@@ -381,7 +381,7 @@ class Reader:
             return
         self.f.seek(at + skip)
         while size is None or size > 0:
-            raw = self.f.read(4096 if size is None else size)
+            raw = self.f.read(1 << 16 if size is None else size)
             if not raw:
                 return
             self.read += len(raw)
@@ -445,6 +445,19 @@ class Indexed:
         rows = self.index.withColumns({"low": low, "high": F.least(F.col("base0") + F.col("bases") + overlap, "seq_len")}).where("low < least(base0 + bases, seq_len)")
         return self.read(rows.withColumn("pos0", F.col("low")).repartition(tasks).sortWithinPartitions("path", "at", "skip"), ["seq_id", "pos0"])
 
+    def stretches(self, size: int, more: int, share: int = SHARE) -> DataFrame:
+        """seq_id, n, and what a Reader needs (path, kind, at, skip, size, bases, low, high) for bases n x size to (n + 1) x size + more of each record.
+
+        A row is made from the piece that its first base is in, from which a Reader reads on; nothing is joined.
+        """
+        spark = self.index.sparkSession
+        total = self.index.agg(F.sum("bases")).first()[0] or 0
+        tasks = max(2 * spark.sparkContext.defaultParallelism, -(-total // share))
+        first, last = F.expr(f"(greatest(base0, 0) + {size - 1}L) div {size}L"), F.expr(f"(least(base0 + bases, seq_len) - 1) div {size}L")
+        rows = self.index.where("bases > 0 and base0 < seq_len").withColumns({"_a": first, "_z": last}).where("_a <= _z").withColumn("n", F.explode(F.sequence("_a", "_z")))
+        low, high = F.col("n") * size, F.least((F.col("n") + 1) * size + more, "seq_len")
+        return rows.select("seq_id", "n", "path", "kind", "at", "skip", "size", "bases", (low - F.col("base0")).alias("low"), (high - F.col("base0")).alias("high")).repartition(tasks).sortWithinPartitions("path", "at", "skip")
+
     def slices(self, regions: DataFrame, k: int, keys: list[str], bin_: int = BIN) -> DataFrame:
         """seq_id (a struct of the keys), pos0, seq: the regions (keys, seq_id, start, end) cut from their pieces.
 

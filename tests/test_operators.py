@@ -60,6 +60,32 @@ def test_cross_band_needs_later_windows(spark):
     assert [(r.band, r.i, r.j) for r in ani.cross_band(plain, plain, 3).collect()] == [(1, 0, 1)]
 
 
+def test_indexed_cells_equal_band_cells(spark):
+    from tandemlake.functions import kmers as K
+    from tandemlake.sources.indexed import stored
+
+    r = random.Random(12)
+    repeat = lambda n: "".join(r.choice("ACGT") if r.random() < 0.02 else c for c in ("ACCTGATTGCAGGTCA" * n))
+    seqs = spark.createDataFrame([(i, repeat(n)) for i, n in enumerate((1, 30, 62, 63, 64, 200))] + [(9, ""), (10, "ACG"), (11, None)], "seq_id bigint, seq string")
+    p = Params(k=6, window=50, band=500)
+    view = lambda df: rows(df.selectExpr("seq_id", "band", "i", "j", "round(score, 6)"))
+    want = view(ani.band_cells(windows.banded(K.kmers(K.chunked(seqs, 5), 6, sketched=True), p), p).where("score >= 60"))
+    for size in (64, 700, 1 << 18):
+        assert view(ani.indexed_cells(stored(seqs, size), p, 60.0)) == want
+    assert len({(x[0], x[1]) for x in want}) > 8
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_products_equal_the_joins(spark, hot):
+    """Also where one k-mer is in every window."""
+    r = random.Random(7)
+    sets = lambda n: [(s, band, w, x) for s in "ab" for band in (0, 1, 3, 4) for w in range(7) if r.random() < 0.8 for x in {*r.sample(range(30), n), *([99] if hot else [])}]
+    plain, wide = (spark.createDataFrame(sets(n), "seq_id string, band bigint, win int, kmer int").cache() for n in (3, 6))
+    assert rows(ani.dense_intersections(plain, wide, columns=4)) == rows(ani.intersections(plain, wide))
+    view = lambda df: rows(df.selectExpr("seq_id", "band", "i", "j", "round(score, 6)"))
+    assert view(ani.dense_cross_band(plain, wide, 5, columns=4)) == view(ani.cross_band(plain, wide, 5)) != []
+
+
 def naive_spans(cells, n, tol, support=3):
     near = {(i, j) for i, j in cells} | {(j, i) for i, j in cells}
     found = {}
