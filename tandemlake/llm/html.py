@@ -30,8 +30,14 @@ FOREIGN = frozenset("math svg".split())
 PHRASING_ENDS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
 SCOPES = frozenset("ul ol dl table select article section div body main aside nav form td th".split())
-
-_markup = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|[^>]*>?)", re.DOTALL)
+STOPS = frozenset().union(*SIBLINGS.values())
+BACK = frozenset(["foreignobject", "annotation-xml"])
+# Elements that are features of what is inside them.
+ELEMENTS = (VOID | INLINE | FOREIGN | PHRASING_ENDS | SCOPES | STOPS | frozenset("button caption colgroup head label legend optgroup option select summary template textarea tfoot thead".split())) - {"html", "body", "div", "span"}
+_raw_ends = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.IGNORECASE) for tag in RAW}
+
+# Quotes hold a tag together only after an equals sign; a quote that nothing closes is a letter like others, and a tag that nothing ends goes to the page's end.
+_markup = re.compile(r"""<!--(?:-?>|.*?--!?>|.*\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>"'=]++|=\s*+(?:"[^"]*"|'[^']*')?|["'])*+(?:>|\Z))""", re.DOTALL)
 _named = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _name_words = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _hides = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
@@ -67,60 +73,113 @@ def hints(names: str) -> frozenset[str]:
     return frozenset(found)
 
 
+class Path:
+    """The open elements around a block, by what counts of them: made from the path one element shorter, of a bounded size."""
+
+    __slots__ = ("own", "inside", "found")
+
+    def __init__(self, outer: Path | None = None, tag: str = "", kinds: frozenset[str] = frozenset()):
+        self.own, self.inside, self.found = (outer.own, outer.inside, outer.found) if outer else ("", "none", frozenset())
+        if not outer:
+            return
+        new = [f"tag:{tag}"] if tag in ELEMENTS else []
+        if tag in ("html", "body") or {"content"} < kinds <= {"content", "header", "side"}:
+            kinds = kinds & {"hidden"}  # names of whole pages, "content-sidebar" and "post-header" say nothing of the block
+        elif len(kinds) > 1:
+            kinds = kinds - {"content"}  # "post-comments" has comments
+        new += [f"kind:{k}" for k in kinds]
+        if not self.found.issuperset(new):
+            self.found = self.found.union(new)
+        if tag in APART or kinds - {"content"}:
+            self.inside = "other"  # the innermost element that tells decides what the block is inside of
+        elif tag in ("article", "main") or kinds:
+            self.inside = "article"
+        if tag not in INLINE:
+            self.own = tag if tag in ELEMENTS | {"html", "body", "div"} else "other"
+
+    def features(self) -> frozenset[str]:
+        return self.found | {f"own:{self.own}", f"inside:{self.inside}"}
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[tuple[str, frozenset[str]], ...]
+    path: Path
     linked: int  # characters inside links
 
 
-@dataclass
-class _Open:
-    tag: str
-    kinds: frozenset[str]
-    pieces: list[str] = field(default_factory=list)
+class _Stack:
+    """The open elements, with what is asked of them kept at hand: a step costs what it opens or closes, however deep."""
+
+    def __init__(self):
+        self.tags: list[str] = []
+        self.paths = [Path()]
+        self.places: dict[str, list[int]] = {}  # of each tag
+        self.solid: list[int] = []  # elements that aren't inside a line
+        self.stops: list[int] = []  # those that list items and cells look for
+        self.worlds: list[int] = []  # formulas, drawings, and what brings page content back inside them
+
+    def push(self, tag: str, kinds: frozenset[str]) -> None:
+        at = len(self.tags)
+        self.tags.append(tag)
+        self.paths.append(Path(self.paths[-1], tag, kinds))
+        self.places.setdefault(tag, []).append(at)
+        if tag not in INLINE:
+            self.solid.append(at)
+        if tag in SCOPES or tag in STOPS:
+            self.stops.append(at)
+        if tag in FOREIGN or tag in BACK:
+            self.worlds.append(at)
+
+    def cut(self, at: int) -> None:
+        """Closes all from place `at` on."""
+        while len(self.tags) > at:
+            self.places[self.tags.pop()].pop()
+            self.paths.pop()
+        for kept in (self.solid, self.stops, self.worlds):
+            while kept and kept[-1] >= at:
+                kept.pop()
+
+    def last(self, tag: str) -> int:
+        """The innermost element's place; -1 without one."""
+        found = self.places.get(tag)
+        return found[-1] if found else -1
+
+    def foreign(self) -> int | None:
+        """The place of the innermost open formula or drawing, unless page content is open inside it."""
+        return self.worlds[-1] if self.worlds and self.tags[self.worlds[-1]] in FOREIGN else None
 
 
 def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page, white space made single spaces; blocks without text aren't any."""
+    """The leaf blocks of a page, white space made single spaces; blocks without text aren't any.
+
+    Character references are decoded in each run of text by itself, so none is put together across markup. The time grows
+    with the page's length, whatever it nests or leaves open.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack = _Stack()
     pieces: list[str] = []
-    path: tuple = ()
-    linked, in_link, at, n = 0, 0, 0, len(page)
+    path = stack.paths[0]
+    linked, at, n = 0, 0, len(page)
 
     def flush():
         nonlocal linked
         if pieces:
-            text = " ".join(entities.unescape("".join(pieces)).split())
+            text = " ".join("".join(pieces).split())
             if text:
                 out.append(Block(text, path, min(linked, len(text))))
             pieces.clear()
         linked = 0
 
-    def pop_to(i: int):
-        nonlocal in_link
-        in_link -= sum(t == "a" for t, _ in stack[i:])
-        del stack[i:]
-
-    def foreign() -> int | None:
-        """The place of the innermost open formula or drawing, unless page content is open inside it."""
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in FOREIGN:
-                return i
-            if stack[i][0] in ("foreignobject", "annotation-xml"):
-                return None
-        return None
-
     while at < n:
         m = _markup.search(page, at)
         raw = page[at : m.start()] if m else page[at:]
         if raw:
             if not pieces and raw.strip():
-                path = tuple(stack)
+                path = stack.paths[-1]
             if pieces or raw.strip():
-                pieces.append(raw)
-                linked += len(raw) if in_link > 0 else 0
+                pieces.append(entities.unescape(raw))
+                linked += len(raw) if stack.places.get("a") else 0
         if not m:
             break
         at = m.end()
@@ -129,12 +188,12 @@ def blocks(page: str) -> list[Block]:
             tag = start.lower()
             if tag in RAW:
                 if not m[3].rstrip(">").endswith("/") or tag in ("script", "style", "title"):
-                    end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(page, at)
+                    end = _raw_ends[tag].search(page, at)
                     at = end.end() if end else n
                 continue
-            i = foreign()
+            i = stack.foreign()
             if i is not None and (tag in PHRASING_ENDS or tag in SIBLINGS):
-                pop_to(i)  # no part of a formula or drawing, which is over or was never closed
+                stack.cut(i)  # no part of a formula or drawing, which is over or was never closed
                 i = None
             inside = i is not None
             if tag not in INLINE and not inside:
@@ -142,17 +201,13 @@ def blocks(page: str) -> list[Block]:
             if inside:
                 pass
             elif tag in PHRASING_ENDS:
-                for i in range(len(stack) - 1, -1, -1):  # an open paragraph ends here
-                    if stack[i][0] == "p":
-                        pop_to(i)
-                        break
-                    if stack[i][0] not in INLINE:
-                        break
+                if stack.solid and stack.tags[stack.solid[-1]] == "p":
+                    stack.cut(stack.solid[-1])  # an open paragraph ends here
             elif tag in SIBLINGS:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in SIBLINGS[tag]:
-                        pop_to(i)
-                    elif stack[i][0] in SCOPES:
+                for i in reversed(stack.stops.copy() if len(stack.stops) < 16 else stack.stops[-16:]):  # between two scopes stands one of each kind at most
+                    if stack.tags[i] in SIBLINGS[tag]:
+                        stack.cut(i)
+                    elif stack.tags[i] in SCOPES:
                         break
             if tag in VOID or inside and m[3].rstrip(">").endswith("/"):
                 continue
@@ -164,16 +219,14 @@ def blocks(page: str) -> list[Block]:
                         kinds |= {"hidden"}
                     elif low in ("class", "id", "role"):
                         kinds |= hints(value)
-            stack.append((tag, kinds))
-            in_link += tag == "a"
+            stack.push(tag, kinds)
         elif close:
             tag = close.lower()
-            if tag not in INLINE and (foreign() is None or tag not in (t for t, _ in stack[foreign() :])):
+            i = stack.foreign()
+            if tag not in INLINE and (i is None or stack.last(tag) < i):
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    pop_to(i)
-                    break
+            if stack.last(tag) >= 0:
+                stack.cut(stack.last(tag))
     flush()
     return out
 
@@ -182,24 +235,6 @@ APART = frozenset("nav header footer aside form dialog menu button select textar
 _rights = re.compile(r"©|\(c\)|copyright|all rights reserved", re.IGNORECASE)
 
 
-def path_features(path: tuple[tuple[str, frozenset[str]], ...]) -> frozenset[str]:
-    tags = [t for t, _ in path]
-    out = {f"tag:{t}" for t in tags if t not in ("html", "body", "div", "span")}
-    inside = "none"
-    for tag, kinds in path:  # the innermost element that tells decides what the block is inside of
-        if tag in ("html", "body") or {"content"} < kinds <= {"content", "header", "side"}:
-            kinds = kinds & {"hidden"}  # names of whole pages, "content-sidebar" and "post-header" say nothing of the block
-        elif len(kinds) > 1:
-            kinds = kinds - {"content"}  # "post-comments" has comments
-        out |= {f"kind:{k}" for k in kinds}
-        if tag in APART or kinds - {"content"}:
-            inside = "other"
-        elif tag in ("article", "main") or kinds:
-            inside = "article"
-    own = next((t for t in reversed(tags) if t not in INLINE), "")
-    return frozenset(out | {f"own:{own}", f"inside:{inside}"})
-
-
 def text_features(b: Block) -> list[str]:
     n = len(b.text)
     out = ["len:" + ("1" if n < 20 else "2" if n < 80 else "3" if n < 300 else "4")]
@@ -222,10 +257,11 @@ class Field:
 
     def _emission(self, b: Block) -> float:
         """How much more the block is article than not."""
-        if (known := self.paths.get(b.path)) is None:
+        key = b.path.found, b.path.own, b.path.inside
+        if (known := self.paths.get(key)) is None:
             if len(self.paths) > 1 << 15:
                 self.paths.clear()
-            known = self.paths[b.path] = sum(w[1] - w[0] for f in path_features(b.path) if (w := self.weights.get(f)))
+            known = self.paths[key] = sum(w[1] - w[0] for f in b.path.features() if (w := self.weights.get(f)))
         return known + sum(w[1] - w[0] for f in text_features(b) if (w := self.weights.get(f)))
 
     def labels(self, found: list[Block]) -> list[int]:
@@ -263,7 +299,7 @@ def labelled(page: str) -> tuple[list[Block], list[int]]:
 def train(marked: list[str], steps: int = 150, rate: float = 0.1, decay: float = 2e-3) -> Field:
     """Maximum likelihood with a small penalty, by Adam; the sums over labellings are exact."""
     data = [x for x in map(labelled, marked) if x[0]]
-    feats = [[sorted(path_features(b.path)) + text_features(b) for b in bs] for bs, _ in data]
+    feats = [[sorted(b.path.features()) + text_features(b) for b in bs] for bs, _ in data]
     names = sorted({f for bs in feats for b in bs for f in b})
     place = {f: i for i, f in enumerate(names)}
     n, most = len(data), max(len(bs) for bs, _ in data)
