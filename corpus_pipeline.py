@@ -14,7 +14,16 @@ from tandemlake.llm.common import table, written
 
 
 def stored(docs: DataFrame) -> bool:
-    """Whether docs is a table read from Parquet files, as every stage gets it from the one before."""
+    """Whether docs is a scan of Parquet files, with filters and chosen columns at most, as every stage gets it from the one before.
+
+    Of such a table no two rows have one place in a file. A table that was exploded, joined, united or sampled may repeat
+    or choose rows anew, though it still knows where they come from.
+    """
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias") and plan.children().size() == 1:
+        plan = plan.children().apply(0)
+    if plan.nodeName() != "LogicalRelation":
+        return False
     try:
         return bool(docs.select("_metadata.file_path", "_metadata.row_index").columns)
     except AnalysisException:
