@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from .common import empty_if_null, ids_and_text, map_batches, with_row, without_rows
 
 WINDOW, LEAST, SLOTS, RUN, BLOCK_BYTES = 5, 0.8, 0.9, 50, 8 << 20
-KNOWN, STEP = 1 << 18, 1 << 16
+KNOWN, LONGEST, STEP = 1 << 18, 64, 1 << 16
 
 # Words that are numbers, and words and signs that are units after a number.
 NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half".split())
@@ -62,13 +62,15 @@ def kinds(token: str) -> list[tuple[str, str]]:
 
 
 class Memo(dict):
-    """Tokens' packed entries, made when first met; forgotten when there are too many."""
+    """Tokens' packed entries, made when first met; forgotten when there are too many. Long tokens aren't kept, so that bytes have a bound too."""
 
     def __init__(self, make):
         super().__init__()
         self.make = make
 
     def __missing__(self, token: str) -> int:
+        if len(token) > LONGEST:
+            return self.make(token)
         if len(self) > KNOWN:
             self.clear()
         self[token] = entry = self.make(token)

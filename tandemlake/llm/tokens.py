@@ -25,6 +25,8 @@ SPLIT = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTER
 #: Texts with other characters than these aren't split at spaces, nor those of odd().
 ODD = re.compile(rf"[^\n\x20-\x7e{LETTERS}×÷¡«»¿]")
 MEMO = 200_000
+#: Letters of the longest piece that a memo keeps.
+LONGEST = 64
 PER_CALL = 64
 
 
@@ -41,13 +43,15 @@ def byte_letters() -> dict[int, str]:
 
 
 class Memo(dict):
-    """Two generations of at most `limit` entries each: what is used stays, what isn't goes."""
+    """Two generations of at most `limit` entries each: what is used stays, what isn't goes. Long keys aren't kept, so that bytes have a bound too."""
 
     def __init__(self, make, limit: int = MEMO):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key):
+        if len(key) > LONGEST:
+            return self.make(key)
         if (value := self.old.get(key)) is None:
             value = self.make(key)
         if len(self) >= self.limit:

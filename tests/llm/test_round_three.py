@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -16,8 +17,10 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
-from tandemlake.llm import alignment, divergence, repeats
+import corpus_pipeline
+from tandemlake.llm import alignment, decontam, divergence, html, repeats
 from tandemlake.llm.pages import Pages, write_pages
+from tandemlake.llm.tokens import Encoder
 
 SF = "/root/testdata/sf0.001"
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -310,3 +313,64 @@ def test_suffixes_are_sorted(parts, length, groups, lying):
         if lying:  # a hash that takes everything for equal
             m.setattr(repeats.Prefixes, "of", lambda self, x, y: np.zeros(len(x), np.uint64))
         assert repeats.repeats(data, at, group, length).tolist() == again
+
+
+@pytest.mark.parametrize("comment", ["<!-->", "<!--->", "<!-- x --!>", "<!-- a --><!---->", "<!-- > -- ->  -->"])
+def test_comments_end_where_html_ends_them(comment):
+    assert [b.text for b in html.blocks(f"<p>one</p>{comment}<p>two</p>")] == ["one", "two"]
+
+
+def test_references_are_of_one_run_of_text():
+    assert [b.text for b in html.blocks("<p>a &am<b>p;</b> &amp;lt; &l<!-- -->t; &eacute;&#x4e2d;</p>")] == ["a &amp; &lt; &lt; é中"]
+
+
+@pytest.mark.parametrize("tag,text", [("<p title='a>b'>x</p>", "x"), ('<p title = "a>b\'">x</p>', "x"), ("<p it's>x</p>", "x"), ('<p a="b"c=\'d>\'>x</p>', "x"), ('<p a="b>x</p>', "x"), ("<p a=>x</p>", "x")])
+def test_quotes_hold_tags_together(tag, text):
+    assert [b.text for b in html.blocks(tag)] == [text]
+
+
+LARGE = {
+    "divs": "<div>" * 60_000 + "x", "inline": "<b>" * 60_000 + "</i>" * 60_000 + "<p>y" + "<hr>" * 60_000, "quotes": "<a x=\"'>" * 60_000, "open quotes": "<a x='>\" " * 60_000,
+    "lists": "<blockquote>" * 30_000 + "<li>z" * 30_000, "drawings": "<svg>" + "<g>" * 60_000 + "</q>" * 60_000, "comments": "<!--" * 100_000, "equals": "<a =" * 60_000, "own tags": "".join(f"<x{i}>t" for i in range(50_000)), "blocks": "<div>t" * 60_000,
+}
+
+
+@pytest.mark.parametrize("name", sorted(LARGE))
+def test_large_pages_take_a_time_in_proportion(name):
+    began = time.process_time()
+    html.blocks(LARGE[name])
+    assert time.process_time() - began < 5
+
+
+def test_paths_name_every_element_of_the_training_pages():
+    tags = {t.lower() for page in html.pages(200) for t in re.findall(r"<([a-zA-Z][^\s/>]*)", re.sub(r"(?s)<(script|style).*?</\1>", "", page))}
+    assert tags - html.RAW - html.VOID - {"html", "body", "div", "span"} <= html.ELEMENTS
+
+
+def test_long_tokens_are_not_kept():
+    encoder = Encoder(A)
+    texts = pa.array([f"{i}" + "ab" * 20_000 for i in range(30)])
+    encoder.encode(texts)
+    assert sum(map(len, encoder.pieces)) < 10_000
+    memo = decontam.Memo(lambda token: 1)
+    assert memo["x" * 50_000] == 1 and memo["y"] == 1 and list(memo) == ["y"]
+
+
+def test_only_bare_scans_are_stored(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for bare in (docs, docs.where("doc_id > 3").select("doc_id", "text"), docs.alias("d")):
+        assert corpus_pipeline.stored(bare)
+    for other in (docs.withColumn("e", F.explode(F.array(F.lit(1), F.lit(2)))).drop("e"), docs.union(docs), docs.sample(0.5), docs.limit(5), docs.join(docs.select("doc_id"), "doc_id"), spark.range(3)):
+        assert not corpus_pipeline.stored(other)
+
+
+def test_stages_of_exploded_rows(spark, tmp_path):
+    """Each row twice at one place: one of each group of equal texts stays."""
+    from pyspark.sql import functions as F
+
+    spark.createDataFrame([(2, "same", "en", "a", 4), (1, "same", "en", "a", 4), (3, "other words here", "en", "a", 16)], "doc_id bigint, text string, lang string, source string, n_chars bigint").coalesce(1).write.parquet(str(tmp_path / "d"))
+    twice = spark.read.parquet(str(tmp_path / "d")).withColumn("e", F.explode(F.array(F.lit(1), F.lit(2)))).drop("e")
+    assert sorted((r.doc_id, r.text) for r in corpus_pipeline.distinct(spark, twice, SF).collect()) == [(2, "same"), (3, "other words here")]
+    assert len({r.text for r in corpus_pipeline.unlike(spark, twice, SF).collect()}) == corpus_pipeline.unlike(spark, twice, SF).count() == 2
