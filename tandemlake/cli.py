@@ -74,7 +74,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         if missing := sorted(set(args.seq_id) - {r.seq_id for r in seqs.records().select("seq_id").distinct().collect()}):  # of those asked for
             say("no sequence", ", ".join(missing))
     p = Params(k=args.kmer, window=args.window, band=round(args.band * 1_000_000), identity=args.identity, threshold=args.threshold, compat=args.compat)
-    db = kmerdb.read_dbs(spark, args.classify, permissive=True) if args.classify else None
+    db = kmerdb.bucketed(kmerdb.read_dbs(spark, args.classify, permissive=True)) if args.classify else None
     found = annotate(seqs, p, db)
     if args.identifier:
         found = found.withColumn("name", F.coalesce("name", F.lit(args.identifier)))

@@ -16,7 +16,7 @@ from .operators import boundaries, mask, windows
 from .plans.annotate import histograms, periods
 from .queries import _ANN, CLASSES, NARROW, SQL, P, _annotated, _kmers_sql, _subtypes, _with, bed, dbset, dna, query, sets
 from .sources import bed as B
-from .sources import fasta, indexed, kmerdb
+from .sources import fasta, indexed, kmerdb, pieces
 from .sources.scratch import scratch
 
 
@@ -93,6 +93,14 @@ def indexed_selection(spark, sf):
     return got.groupBy("seq_id").agg(F.sort_array(F.collect_list(F.struct("pos0", F.col("seq").cast("string").alias("seq")))).alias("p")).select("seq_id", F.expr("array_join(transform(p, x -> x.seq), '')").alias("seq"))
 
 
+@query
+def fasta_pieces(spark, sf):
+    """All pieces from the data source, over a stored index, put together again."""
+    path = scratch(spark, "index")
+    _indexed(spark, sf).save(path)
+    return pieces.read_pieces(spark, path).groupBy("seq_id", "seq_len").agg(F.sort_array(F.collect_list(F.struct("pos0", F.col("seq").cast("string").alias("seq")))).alias("p")).select("seq_id", "seq_len", F.expr("array_join(transform(p, x -> x.seq), '')").alias("seq"))
+
+
 @query
 def masked_by_pieces(spark, sf):
     """The stretches of the named arrays masked piece by piece, in files of their own, read back by index."""
@@ -105,6 +113,7 @@ def masked_by_pieces(spark, sf):
 
 
 _DNA_TEXT = "SELECT seq_id::VARCHAR AS seq_id, seq_id % 400 AS lo, seq, length(seq) AS n FROM dna"
+SQL["fasta_pieces"] = _with("dna", "SELECT seq_id::VARCHAR AS seq_id, length(seq) AS seq_len, seq FROM dna WHERE seq <> ''")
 SQL["indexed_records"] = _with("dna", "SELECT seq_id::VARCHAR AS seq_id, length(seq) AS seq_len FROM dna")
 SQL["indexed_regions"] = _with("dna", f"""SELECT DISTINCT seq_id, start, "end", substr(seq, start + 1, "end" - start) AS seq FROM (
     SELECT seq_id, seq, lo AS start, lo + 300 AS "end" FROM ({_DNA_TEXT}) UNION ALL SELECT seq_id, seq, greatest(0, n - 50), n FROM ({_DNA_TEXT})) WHERE start < length(seq)""")

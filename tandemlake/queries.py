@@ -556,7 +556,8 @@ def classify_topk(spark, sf):
 
 @query
 def classify_best(spark, sf):
-    return classify.best(classify.overlaps(*_classified(spark, sf)), P.threshold).withColumn("pct", F.round("pct", 6))
+    queries, db = _classified(spark, sf)
+    return classify.best(classify.overlaps(queries, kmerdb.bucketed(db)), P.threshold).withColumn("pct", F.round("pct", 6))
 
 
 SQL["classify_topk"] = _with("ranked", "SELECT * REPLACE (round(pct, 6) AS pct) FROM ranked WHERE rank <= 3")

@@ -421,6 +421,15 @@ class Indexed:
         """file, seq_id, seq_len, path, rec of each record; path and rec tell records apart."""
         return self.index.groupBy("path", "rec", "seq_id").agg(F.first("file").alias("file"), F.max("seq_len").alias("seq_len")).select("file", "seq_id", "seq_len", "path", "rec")
 
+    def save(self, path: str, rows_a_file: int = 1 << 14) -> None:
+        """The index as Parquet, by seq_id and place, for later sessions and for sources/pieces.py. Names become strings."""
+        rows = self.index.withColumn("seq_id", F.col("seq_id").cast("string"))
+        rows.repartitionByRange("seq_id", "rec", "base0").sortWithinPartitions("seq_id", "rec", "base0").write.mode("overwrite").option("maxRecordsPerFile", rows_a_file).parquet(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Indexed:
+        return Indexed(spark.read.parquet(path))
+
     def keyed(self, seq_id: Column) -> Indexed:
         """With another seq_id, made of file and seq_id."""
         return Indexed(self.index.withColumn("seq_id", seq_id))

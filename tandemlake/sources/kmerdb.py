@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .folder import safe, write_files
-from .scratch import cut, opened
+from .scratch import cut, opened, scratch
 
 #: k-mers that a database's reader holds at a time.
 PART = 1 << 18
@@ -141,6 +141,21 @@ def write_dbs(db: DataFrame, k: int, folder: str) -> DataFrame:
     return sizes
 
 
+def bucketed(db: DataFrame, buckets: int | None = None) -> DataFrame:
+    """db's class, kmer (and k) as a table of its own, dealt out and sorted by k-mer once: joins by k-mer read it as it lies and shuffle queries alone.
+
+    Repeated rows are left out. The table is the session's; its files are in the shared folder.
+    """
+    spark = db.sparkSession
+    columns = ["class", "kmer", *(c for c in ("k",) if c in db.columns)]
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch(spark, "kmers")
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    rows = db.select(*columns).distinct().repartition(n, "kmer")
+    rows.write.format("parquet").bucketBy(n, "kmer").sortBy("kmer").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def file_name(name: str) -> str:
     """A class's file; characters that a file's name can't have are percent-encoded, so no two classes share one."""
     return safe(name) + ".db"

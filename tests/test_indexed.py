@@ -10,7 +10,7 @@ import pytest
 from tandemlake.functions.kmers import canonical, kmers, slices
 from tandemlake.plans.annotate import annotate
 from tandemlake.plans.params import Params
-from tandemlake.sources import fasta, indexed
+from tandemlake.sources import fasta, indexed, pieces
 
 from .conftest import rows
 
@@ -140,3 +140,24 @@ def test_annotation_reads_texts_once(spark, tmp_path):
         assert "FileScan text" not in plan and "seq#" not in "".join(x for x in plan.splitlines() if "Scan" in x)
         spans.append(rows(df))
     assert spans[0] == spans[1] and len(spans[0]) == 1
+
+
+def test_a_source_of_pieces(spark, tmp_path, made):
+    seqs, raw = made
+    (tmp_path / "a.fa").write_bytes(raw)
+    indexed.read_index(spark, str(tmp_path / "a.fa"), 64, 256).save(str(tmp_path / "index"), 100)
+    back = indexed.Indexed.load(spark, str(tmp_path / "index"))
+    assert {n: "".join(q for _, q in p) for n, p in read(back.pieces()).items()} == {n: s for n, s in seqs.items() if s}
+    load = lambda: pieces.read_pieces(spark, str(tmp_path / "index"))
+    want = read(back.pieces())
+    assert read(load()) == want
+    part = load().where("seq_id in ('r2', 'r6') and pos0 < 500 and pos0 >= 100")
+    assert read(part) == {n: [(a, q) for a, q in want[n] if 100 <= a < 500] for n in ("r2", "r6")}
+    assert read(load().where("seq_id = 'r4' and length(seq) > 60 and seq_len > 5")) == {"r4": [(a, q) for a, q in want["r4"] if len(q) > 60]}
+    assert load().where("seq_id = 'nowhere'").collect() == [] and load().where("seq_id is null").collect() == []
+    reader = pieces.PiecesReader(str(tmp_path / "index"))
+    every = sum(p.end - p.first for p in reader.partitions())
+    assert list(reader.pushFilters([pieces.EqualTo(("seq_id",), "r0"), pieces.EqualTo(("seq",), b"A"), pieces.LessThan(("pos0",), 100)])) == [pieces.EqualTo(("seq",), b"A")]
+    assert all(p.end - p.first <= pieces.ROWS for p in reader.partitions()) and sum(p.end - p.first for p in reader.partitions()) < every
+    got = [b.to_pylist()[0] for p in reader.partitions() for b in reader.read(p)]
+    assert {(r["seq_id"], r["pos0"] < 100) for r in got} == {("r0", True)} and len(got) == sum(a < 100 for a, _ in want["r0"])

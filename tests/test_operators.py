@@ -284,3 +284,31 @@ def test_lookups(spark):
     assert [r.file for r in lookups.first_source(bed, seqs, "file").collect()] == ["f1"]
     subs = spark.createDataFrame([("a", 1), ("b", 2)], "subtype string, kmer int")
     assert rows(lookups.classed(subs, spark.createDataFrame([("X", "A"), ("X", "zz")], "class string, subtype string"))) == [("X", "a", 1)]
+
+
+def test_a_bucketed_database_is_not_shuffled(spark):
+    from tandemlake.sources import kmerdb
+
+    r = random.Random(6)
+    q = spark.createDataFrame([(i % 7, r.randrange(-500, 500)) for i in range(900)], "query_id int, kmer int")
+    d = spark.createDataFrame([(c, r.randrange(-500, 500)) for c in "abc" for _ in range(300)], "class string, kmer int")
+    stored = kmerdb.bucketed(d)
+    want, got = rows(classify.best(classify.overlaps(q, d), 10)), classify.best(classify.overlaps(q, stored), 10)
+    assert rows(got) == want and want
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = classify.best(classify.overlaps(q, stored), 10)
+        plan.collect()
+        text = plan._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = text.splitlines()
+    scan = next(i for i, line in enumerate(lines) if "FileScan parquet" in line)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*"))
+    above, now = [], depth(lines[scan])
+    for line in reversed(lines[:scan]):
+        if depth(line) < now:
+            above.append(line)
+            now = depth(line)
+    join = next(i for i, line in enumerate(above) if "Join" in line)
+    assert "Bucketed: true" in lines[scan] and not any("Exchange" in line for line in above[:join])
