@@ -5,16 +5,14 @@ They add themselves to the registry of queries.py.
 
 from __future__ import annotations
 
-import json
-
 import pyarrow.fs as pfs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import kmers as K
-from .operators import boundaries, mask, windows
-from .plans.annotate import histograms, periods
-from .queries import _ANN, CLASSES, NARROW, SQL, P, _annotated, _kmers_sql, _subtypes, _with, bed, dbset, dna, query, sets
+from .operators import boundaries, classify, mask, windows
+from .plans.annotate import histograms, periods, shifted
+from .queries import _ANN, CLASSES, NARROW, SQL, P, _annotated, _kmers_sql, _subtypes, _table, _with, bed, dbset, dna, query, sets
 from .sources import bed as B
 from .sources import fasta, indexed, kmerdb, pieces
 from .sources.scratch import scratch
@@ -243,6 +241,56 @@ def mask_names(spark, sf):
     return mask.masked(_plain(spark, sf), mask.chosen(_arrays(spark, sf), ("d3", "D7")))
 
 
+@query
+def mask_options(spark, sf):
+    """What a mask's option asks for: a length if it is a number, else a name."""
+    given = F.when(F.col("doc_id") % 3 == 0, F.col("n_chars").cast("string")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("-"), F.col("doc_id").cast("string"))).otherwise(F.concat("source", F.col("doc_id").cast("string")))
+    return _table(spark, sf, "documents").select("doc_id", mask.asked(given).alias("o")).select("doc_id", "o.*")
+
+
+SQL["mask_options"] = "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN n_chars::BIGINT WHEN 1 THEN -doc_id END AS length, CASE doc_id % 3 WHEN 2 THEN source || doc_id END AS name FROM documents"
+
+
+@query
+def positive_guard(spark, sf):
+    """Intervals whose coordinates compat moves: one less unless the name has a range, never below 0."""
+    rows = bed(spark, sf).select(F.when(F.col("start") % 2 == 0, F.concat("chrom", F.lit(":5-9"))).otherwise(F.col("chrom")).alias("seq_id"), (F.col("start") % 3).alias("start"), "end")
+    return shifted(rows)
+
+
+SQL["positive_guard"] = _with("bed", "SELECT seq_id, greatest(0, start - d) AS start, greatest(0, \"end\" - d) AS \"end\" FROM (SELECT chrom || CASE WHEN start % 2 = 0 THEN ':5-9' ELSE '' END AS seq_id, start % 3 AS start, \"end\", start % 2 AS d FROM bed)")
+
+
+@query
+def database_sizes(spark, sf):
+    """Classes of a database whose k-mers have another size than is asked for."""
+    db = dbset(spark, sf).select("class", (F.col("item_id") % 3 + 11).cast("int").alias("k"))
+    return classify.other_sizes(db, P.k)
+
+
+SQL["database_sizes"] = _with("dbset", f"SELECT DISTINCT class, (item_id % 3 + 11)::INT AS k FROM dbset WHERE item_id % 3 + 11 <> {P.k}")
+
+
+@query
+def region_extract_compat(spark, sf):
+    """Bases of regions as compat reads them: base 0 never."""
+    lo = (F.col("seq_id") % 4).cast("bigint")
+    return dna(spark, sf).select("seq_id", fasta.region(F.col("seq"), lo, lo + 100, compat=True).alias("part"))
+
+
+SQL["region_extract_compat"] = _with("dna", "SELECT seq_id, substr(seq, greatest(1, seq_id % 4) + 1, seq_id % 4 + 100 - greatest(1, seq_id % 4)) AS part FROM dna")
+
+
+@query
+def placed_intervals_compat(spark, sf):
+    """Annotations of records that are named by a range, which compat ends a base earlier."""
+    lo = F.when(F.col("start") % 2 == 0, F.concat_ws("", F.lit(":"), F.lit(500), F.lit("-"), F.lit(90_000))).otherwise("")
+    return B.placed(bed(spark, sf).select(F.concat("chrom", lo).alias("seq_id"), "start", "end"), compat=True)
+
+
+SQL["placed_intervals_compat"] = _with("bed", "SELECT chrom || CASE WHEN start % 2 = 0 THEN ':500-90000' ELSE '' END AS seq_id, start + CASE WHEN start % 2 = 0 THEN 500 ELSE 0 END AS start, \"end\" + CASE WHEN start % 2 = 0 THEN 499 ELSE 0 END AS \"end\" FROM bed")
+
+
 @query
 def mask_all(spark, sf):
     return mask.masked(_plain(spark, sf), mask.chosen(_arrays(spark, sf)))
@@ -288,13 +336,15 @@ def kmer_db_folder(spark, sf):
 
 @query
 def class_map_file(spark, sf):
+    """The documents' languages as classes of their sources, written as a class map and read back."""
     path = scratch(spark, "classes")
-    spark.createDataFrame([(json.dumps(CLASSES),)], "value string").coalesce(1).write.text(path)
-    return kmerdb.read_class_map(spark, path, ("even", "odd"))
+    of = _table(spark, sf, "documents").groupBy(F.col("lang").alias("k")).agg(F.collect_set(F.upper("source")).alias("v"))
+    of.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("k", "v")))).alias("value")).coalesce(1).write.text(path)
+    return kmerdb.read_class_map(spark, path, ("en", "de"))
 
 
 SQL["kmer_db_folder"] = _with("dbk", f"SELECT 'c/' || class AS class, class || '-' || (kmer % 3 + 3) % 3 AS subtype, {P.k} AS k, count(*) AS n, sum(kmer)::BIGINT AS total FROM dbk GROUP BY ALL")
-SQL["class_map_file"] = _with("maps", "SELECT class, subtype FROM maps")
+SQL["class_map_file"] = "SELECT DISTINCT lang AS class, lower(source) AS subtype FROM documents"
 
 # --- refinement ------------------------------------------------------------------------------------------------
 

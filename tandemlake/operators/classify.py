@@ -40,6 +40,11 @@ def top(queries: DataFrame, db: DataFrame, most: int) -> DataFrame:
     return _ranked(filled.join(n, "query_id")).where(F.col("rank") <= most)
 
 
+def other_sizes(db: DataFrame, k: int) -> DataFrame:
+    """class, k of a database's k-mers that aren't k bases long."""
+    return db.where(F.col("k") != k).select("class", "k").distinct()
+
+
 def best(ranked: DataFrame, threshold: float = 25.0, least: int = 1) -> DataFrame:
     """query_id, name, overlap, pct: the first class if it has at least `least` k-mers and more than `threshold` percent."""
     sure = (F.col("overlap") >= least) & (F.col("pct") > threshold)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.fasta import LINE
@@ -119,3 +119,9 @@ def chosen(named: DataFrame, what: tuple[str | int, ...] = (), periods: DataFram
 def as_length(value: str) -> str | int:
     """An option's value: a number if it is one."""
     return int(value) if value.lstrip("-").isdigit() else value
+
+
+def asked(option: Column) -> Column:
+    """The same of a column: struct(length, name), one of which is null."""
+    number = option.rlike("^-*[0-9]+$")
+    return F.struct(F.when(number, option.cast("bigint")).alias("length"), F.when(~number, option).alias("name"))

@@ -26,7 +26,7 @@ def raw_spans(seqs: DataFrame | Indexed, p: Params) -> DataFrame:
     return whole.join(sizes, "seq_id").select("seq_id", "start", F.least("end", "n").alias("end")).where("start < end")
 
 
-def _shifted(found: DataFrame) -> DataFrame:
+def shifted(found: DataFrame) -> DataFrame:
     """Coordinates of sequences without a range in their name, one less each, not below 0."""
     plain = parsed_region(F.col("seq_id").cast("string")).isNull()
     less = lambda c: F.greatest(F.lit(0), F.col(c) - F.when(plain, 1).otherwise(0)).cast("bigint").alias(c)
@@ -51,12 +51,12 @@ def annotate(seqs: DataFrame | Indexed, p: Params | None = None, db: DataFrame |
     parameters' raises.
     """
     p = p or Params()
-    if db is not None and "k" in db.columns and (other := sorted(r.k for r in db.where(F.col("k") != p.k).select("k").distinct().collect())):
+    if db is not None and "k" in db.columns and (other := sorted(r.k for r in classify.other_sizes(db, p.k).select("k").distinct().collect())):
         raise ValueError(f"the database has k-mers of {other} bases, not {p.k}")
     seqs = seqs if isinstance(seqs, Indexed) else stored(seqs)
     found = cut(raw_spans(seqs, p))  # few rows, that each of the next steps begins with
     if p.compat:
-        found = _shifted(found)
+        found = shifted(found)
     if not refine:
         found = found.withColumn("refined", F.lit(False))
     elif p.compat:
