@@ -39,7 +39,7 @@ class Rule:
 
     def spans(self, text: str) -> list[tuple[int, int]]:
         found = re.compile(self.fast or self.pattern, self.flags | re.ASCII).finditer(text)
-        return [m.span() for m in found if self.fast or m.end(self.group) - m.start(self.group) >= self.least]
+        return [m.span() for m in found if self.fast and None not in m.groups() or not self.fast and m.end(self.group) - m.start(self.group) >= self.least]
 
 
 # The base rules' patterns and least lengths.
@@ -54,7 +54,7 @@ MORE = (
     Rule("code_host", r"gh[pousr]_[A-Za-z0-9]+", 0, 0, 40),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]+", 0, 0, 15),
     Rule("web_api", r"AIza[0-9A-Za-z_-]+", 0, 0, 39),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    Rule("web_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", fast=r"eyJ[A-Za-z0-9_-]++(\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++)?"),  # no match begins inside a run that has failed
 )
 RULES = BASE + MORE
 
