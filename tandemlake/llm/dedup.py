@@ -1,7 +1,7 @@
 """Exact dedup by progressive refinement.
 
 Rows are grouped by length; those that share one, by a hash of the text's first characters too; and only rows whose
-group still has two members have their whole text hashed. Which lengths are shared is a small table (a row a distinct
+group still has two members have their whole text read on and hashed. Which lengths are shared is a small table (a row a distinct
 length). Which groups survive the second step is handed to the last scan as a bitmap of fixed size, so no text is ever
 shuffled; two keys that share a bit cost a hash that wasn't needed, nothing else. Groups of equal full hashes are the
 result.
@@ -49,14 +49,16 @@ def hashes(docs: DataFrame, prefix: int = PREFIX, bits: int = BITS, all_rows: bo
     """
     name = F.col(row) if row else F.struct(F.spark_partition_id().cast("string").alias("file"), F.monotonically_increasing_id().alias("at"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), empty_if_null("text"), name.alias("row"))
-    bitmap = rows.sparkSession.sparkContext.broadcast(survivors(ids_and_text(docs), prefix, bits))
-    keyed = rows.withColumn("bit", F.pmod(F.xxhash64(F.octet_length("text"), F.xxhash64(lowered(F.substring("text", 1, prefix)))), F.lit(bits)))
+    bitmap = cut(rows.sparkSession.createDataFrame([(bytearray(survivors(ids_and_text(docs), prefix, bits).astype("<i8").tobytes()),)], "b binary")).scalar()
+    bit = F.pmod(F.xxhash64(F.octet_length("text"), F.xxhash64(lowered(F.substring("text", 1, prefix)))), F.lit(bits))
+    byte = F.conv(F.hex(F.substring(bitmap, (F.col("bit") / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    keyed = rows.withColumn("bit", bit).withColumn("alive", byte.bitwiseAND(F.expr("shiftleft(1, cast(bit % 8 as int))")) != 0)
+    if not all_rows:  # what doesn't survive isn't read further
+        keyed = keyed.withColumn("text", F.when(F.col("alive"), F.col("text")).otherwise(""))
 
     def full(batches):
-        kept = bitmap.value
         for b in batches:
-            bit = np.asarray(b.column("bit"))
-            alive = (kept[bit // 64] >> (bit % 64)) & 1 == 1
+            alive = np.asarray(b.column("alive").to_numpy(zero_copy_only=False), bool)
             data, at = utf8(b.column("text"))
             raw, at = memoryview(data), at.tolist()
             sha = [hashlib.sha256(bytes(raw[x:y]).lower()).digest() if all_rows or a else None for x, y, a in zip(at, at[1:], alive.tolist(), strict=False)]  # bytes.lower() lowers A-Z only

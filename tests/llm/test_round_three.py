@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from tandemlake.llm import alignment, decontam, divergence, html, repeats
+from tandemlake.llm import alignment, decontam, dedup, divergence, html, repeats, secrets
 from tandemlake.llm.pages import Pages, write_pages
 from tandemlake.llm.tokens import Encoder
 
@@ -374,3 +374,27 @@ def test_stages_of_exploded_rows(spark, tmp_path):
     twice = spark.read.parquet(str(tmp_path / "d")).withColumn("e", F.explode(F.array(F.lit(1), F.lit(2)))).drop("e")
     assert sorted((r.doc_id, r.text) for r in corpus_pipeline.distinct(spark, twice, SF).collect()) == [(2, "same"), (3, "other words here")]
     assert len({r.text for r in corpus_pipeline.unlike(spark, twice, SF).collect()}) == corpus_pipeline.unlike(spark, twice, SF).count() == 2
+
+
+def test_texts_that_do_not_survive_stay_behind(spark):
+    """Only rows that share length and prefix reach the hashing worker with their text."""
+    rows_ = [(i, f"{i:04d}" + "x" * (1000 + i), "en", "a") for i in range(50)] + [(100 + i, "same text" * 100, "en", "a") for i in range(3)]
+    got = dedup.hashes(docs_of(spark, rows_)).collect()
+    assert {r.doc_id for r in got if r.survived} == {100, 101, 102} and all((r.sha is not None) == r.survived for r in got)
+    plan = dedup.hashes(docs_of(spark, rows_))
+    assert {bytes(r.sha) for r in plan.where("survived").collect()} == {hashlib.sha256(b"same text" * 100).digest()}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["eyJ", "a", ".", ".eyJ", "-", " ", "é", "eyJa.eyJb.c"]), max_size=25))
+def test_web_tokens_are_the_patterns(parts):
+    rule = next(r for r in secrets.RULES if r.pattern.startswith("eyJ"))
+    text = "".join(parts)
+    assert rule.spans(text) == [m.span() for m in re.finditer(rule.pattern, text, re.ASCII)]
+
+
+def test_long_runs_of_a_tokens_head():
+    rule = next(r for r in secrets.RULES if r.pattern.startswith("eyJ"))
+    began = time.process_time()
+    assert rule.spans("eyJ" * 500_000) == [] and rule.spans("eyJ." * 300_000) == [] and len(rule.spans("eyJa.eyJb.c " * 50_000)) == 50_000
+    assert time.process_time() - began < 5
