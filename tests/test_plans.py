@@ -222,6 +222,32 @@ def test_written_database_has_the_formats_bytes(spark, tmp_path):
         assert gzip.decompress((tmp_path / f"{c}.db").read_bytes()) == gzip.decompress(kmerdb.encode(13, {s: np.array(v) for s, v in sets.items()}))
 
 
+def test_sets_are_dealt_out(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(kmerdb, "PART", 500)
+    db = spark.createDataFrame([(c, s, (i * 7919) % 4001 - 2000) for c in ("A", "B b") for s in "wxyz" for i in range(1500)], "class string, subtype string, kmer int")
+    kmerdb.write_dbs(db, 13, str(tmp_path))
+    want = rows(db.distinct().selectExpr("class", "subtype", "13 as k", "kmer"))
+    got = kmerdb.read_dbs(spark, str(tmp_path))
+    assert rows(got) == want
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        per = got.select(F.spark_partition_id().alias("p"), "class", "subtype").distinct().groupBy("class").agg(F.countDistinct("p").alias("n")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(r.n for r in per) > 1
+    (tmp_path / "A.db.sets").unlink()
+    with open(tmp_path / "B%20b.db.sets", "r+b") as f:  # of other bytes
+        f.truncate(16)
+    assert rows(kmerdb.read_dbs(spark, str(tmp_path))) == want
+    whole = (tmp_path / "A.db").read_bytes()
+    (tmp_path / "A.db").write_bytes(whole[: len(whole) // 2])
+    with pytest.raises(Exception):
+        kmerdb.read_dbs(spark, str(tmp_path)).collect()
+    assert {r["class"] for r in kmerdb.read_dbs(spark, str(tmp_path), permissive=True).collect()} == {"B b"}
+
+
 def test_no_two_sequences_share_a_file(spark, tmp_path):
     t = bed.annotation(spark.createDataFrame([("a/b", 5, 9, "x"), ("a/b", 1, 3, None), ("a_b", 0, 2, "y")], "seq_id string, start bigint, end bigint, name string"))
     bed.write_table(t, str(tmp_path / "o"))
