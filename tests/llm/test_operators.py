@@ -950,4 +950,4 @@ def test_query_equals_sql(spark, name):
 
 
 def test_all_are_registered():
-    assert {n.split("_")[0] for n in entry.queries() if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in entry.queries()
+    assert {n.split("_")[0] for n in entry.queries() if n.startswith("op")} == {f"op{i}" for i in range(1, 14)} and "pipeline" in entry.queries()

@@ -198,16 +198,6 @@ def test_shares_of_huge_counts(spark):
     assert got == 1 + 10**9 * (n + 5) // (total + 5 * v)
 
 
-@pytest.mark.parametrize("name", ["op13_source_divergence"])
-def test_query_equals_sql(spark, name):
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    df = entry.queries()[name](spark, SF)
-    rel = con.sql(entry.oracle_sql()[name])
-    assert df.columns == rel.columns
-    same([tuple(r) for r in df.collect()], rel.fetchall())
-
-
 def kept_by_hand(rows, length):
     """doc_id, bytes, removed, runs and hash of rows in order, by a set of all strings."""
     seen, out = set(), []
