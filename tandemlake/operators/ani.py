@@ -115,8 +115,13 @@ def _window_pairs(local: np.ndarray, kmer: np.ndarray, p: Params) -> tuple[tuple
     first = np.maximum(0, (local - p.interval) // p.window)
     count = np.minimum(p.windows - 1, (local + p.interval) // p.window) - first + 1
     wide = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    distinct = lambda win, value: tuple(np.unique(np.stack([win, value]).astype(np.int64), axis=1))
-    return distinct(local[own] // p.window, kmer[own]), distinct(wide, np.repeat(kmer, count))
+    value = kmer.astype(np.int64) + (1 << 31)
+
+    def distinct(win: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        both = np.unique(win.astype(np.int64) << 32 | value)  # a number for a pair
+        return both >> 32, both & ((1 << 32) - 1)
+
+    return distinct(local[own] // p.window, value[own]), distinct(wide, np.repeat(value, count))
 
 
 def band_cells(banded_: DataFrame, p: Params, columns: int = 4096) -> DataFrame:
