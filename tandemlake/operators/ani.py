@@ -160,20 +160,33 @@ def indexed_cells(seqs: Indexed, p: Params, least: float = 0.0, columns: int = 4
         reader = Reader()
         for b in batches:
             bands, held, size = b.column("n").to_pylist(), [], 0
-            for x, place in enumerate(zip(*(b.column(c).to_pylist() for c in ("path", "kind", "at", "skip", "size", "bases", "low", "high")), strict=True)):
-                values = canonical(reader.bases(*place), p.k)[: p.band + p.interval]
+            for x, values in hashed(reader, list(zip(*(b.column(c).to_pylist() for c in ("path", "kind", "at", "skip", "size", "bases", "low", "high")), strict=True))):
+                values = values[: p.band + p.interval]
                 local = np.nonzero((values & 3 == 0) & (values != 0))[0]
                 i, j, found = _scores(*_window_pairs(local, values[local], p), p.k, p.windows, columns)
                 keep = found >= least
                 held.append((np.full(int(keep.sum()), x), i[keep], j[keep], found[keep]))
                 size += len(held[-1][0])
-                if size and (size >= 1 << 16 or x == len(bands) - 1):
+                if size >= 1 << 16:
                     yield batch(b, bands, held)
                     held, size = [], 0
             if size:
                 yield batch(b, bands, held)
         reader.close()
 
+    def hashed(reader, places):
+        """Each band's k-mers; short bands are hashed together."""
+        x = 0
+        while x < len(places):
+            read, total = [], 0
+            while x + len(read) < len(places) and (not read or total < 1 << 20):
+                read.append(reader.bases(*places[x + len(read)]))
+                total += len(read[-1])
+            values, at = canonical(b"".join(read), p.k), 0
+            for seq in read:
+                yield x, values[at : max(at, at + len(seq) - p.k + 1)]
+                x, at = x + 1, at + len(seq)
+
     def batch(b, bands, held):
         x, i, j, found = map(np.concatenate, zip(*held, strict=True))
         return pa.RecordBatch.from_arrays([b.column("seq_id").take(pa.array(x)), pa.array(np.array(bands, np.int64)[x]), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(found)], [*GROUP, "i", "j", "score"])
