@@ -1,10 +1,10 @@
 """How the sources of a language differ in their words, by relational steps alone.
 
-Terms are exploded from regexp matches and counted by language, source and term; a document's distinct terms ride along
-in the same rows, so one aggregate, combined where the rows are made, gives both counts. A language keeps the terms
-that enough of its documents hold. Its groups are crossed with that vocabulary, so that a term a group lacks is a row
-with 0, and the dense rows are joined to themselves on language and term: sums of absolute differences rank a group's
-other sources, differences from the language's own shares rank the terms it favours.
+Terms are what a split at everything else leaves, exploded and counted by language, source and term; a document's
+distinct terms ride along in the same rows, so one aggregate, combined where the rows are made, gives both counts. A
+language keeps the terms that enough of its documents hold. Its groups are crossed with that vocabulary, so that a term
+a group lacks is a row with 0, and the dense rows are joined to themselves on language and term: sums of absolute
+differences rank a group's other sources, differences from the language's own shares rank the terms it favours.
 
 Crossing deals a language's terms out by a hash to which every group is repeated, so no language is one task. Sources
 of a language meet once for each term and two of them: the result has a row for each two, so that is what it costs.
@@ -20,15 +20,21 @@ from .common import LOWER, UPPER, cut, empty_if_null, fresh
 
 #: Runs of letters: A-Z, a-z and whatever is beyond ASCII.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What lies between them. A split there makes the same terms, without a match object for each.
+BETWEEN = TERM.replace("^", "", 1)
+#: Bytes of a text beyond which its terms are matched after all: slower, but a split needs more memory at once.
+LONG = 4 << 20
 LEAST, SMOOTH, UNIT, TOP = 30, 5, 1_000_000_000, 50
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences), docs (documents that hold it). Only A-Z are lower-cased."""
     name = fresh(docs, "_all")
-    low = F.translate(empty_if_null("text"), UPPER, LOWER)
-    rows = docs.select(empty_if_null("lang"), empty_if_null("source"), F.regexp_extract_all(low, F.lit(TERM), F.lit(0)).alias(name))
-    each = rows.select("lang", "source", F.size(name).alias("_n"), F.posexplode(F.concat(name, F.array_distinct(name))).alias("_at", "term"))
+    text = empty_if_null("text")
+    low = F.translate(text, UPPER, LOWER)
+    terms = F.when(F.octet_length(text) <= LONG, F.split(low, BETWEEN)).otherwise(F.regexp_extract_all(low, F.lit(TERM), F.lit(0)))
+    rows = docs.select(empty_if_null("lang"), empty_if_null("source"), terms.alias(name))
+    each = rows.select("lang", "source", F.size(name).alias("_n"), F.posexplode(F.concat(name, F.array_distinct(name))).alias("_at", "term")).where("term <> ''")  # a split's ends may be empty
     again = (F.col("_at") >= F.col("_n")).cast("bigint")
     return each.groupBy("lang", "source", "term").agg(F.sum(1 - again).alias("n"), F.sum(again).alias("docs"))
 

@@ -14,6 +14,7 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
@@ -192,6 +193,35 @@ def test_divergence_of_nothing(spark):
     assert divergence.divergence(docs_of(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("long", [divergence.LONG, 6, -1])
+def test_terms_at_the_ends_of_texts(spark, monkeypatch, long):
+    monkeypatch.setattr(divergence, "LONG", long)
+    texts = ["", None, " ", "one", " one", "one ", "\x00One\x7f", "12 one, ONE; two\n", "É@[`{é", "中文🙂 ÉTÉ été", "-_-", "one" + "." * 70_000 + "one"]
+    rows = [(i, t, g, s) for i, t in enumerate(texts) for g, s in (("en", None), (None, "b"))]
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    n, held = Counter(), Counter()
+    for _, text, lang, source in rows:
+        terms = re.findall(divergence.TERM, (text or "").translate(low))
+        n.update((lang or "", source or "", t) for t in terms)
+        held.update((lang or "", source or "", t) for t in set(terms))
+    same([tuple(r) for r in divergence.term_counts(docs_of(spark, rows)).collect()], [(*k, v, held[k]) for k, v in n.items()])
+
+
+def test_counting_terms_costs_less_than_extracting_them(spark):
+    text = "Lorem ipsum dolor sit amet, consectetur adipiscing elit: été, niño. " * 500
+    table = spark.createDataFrame([(i, text, "en", "a") for i in range(64)], "doc_id bigint, text string, lang string, source string").repartition(4).cache()
+    table.count()
+
+    def seconds(df):
+        start = time.perf_counter()
+        df.write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - start
+
+    extracted = table.select(F.size(F.regexp_extract_all("text", F.lit(divergence.TERM), F.lit(0))))
+    took = [(seconds(divergence.term_counts(table)), seconds(extracted)) for _ in range(4)]
+    assert min(x for x, _ in took) < min(x for _, x in took)
+
+
 def test_shares_of_huge_counts(spark):
     n, total, v = 9 * 10**18, 9_100_000_000_000_000_000, 10**6
     got = spark.createDataFrame([(n, total, v)], "n bigint, total bigint, v bigint").select(divergence.share("n", "total", "v")).first()[0]
