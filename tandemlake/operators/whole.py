@@ -215,6 +215,23 @@ def _best(w: Windows, unit, i, j, share) -> tuple[np.ndarray, np.ndarray, np.nda
     return key >> (2 * w.bits), key >> w.bits & low, key & low, np.maximum.reduceat(share, first) if len(first) else share
 
 
+def cells(seqs: DataFrame, p: Params, least: float = 0.0, share: int = LONG) -> DataFrame:
+    """seq_id, band, i, j, score: the cells of ani.cells, those of `least` and more."""
+
+    def run(batches):
+        for ids, w in windowed(batches, p, share):
+            size = w.sizes()
+            for unit, i, j, c in w.shared():  # all of a unit come together
+                there = np.nonzero((i != j) & (size[unit << w.bits | j] > 0))[0]
+                unit, i, j, c = unit[there], i[there], j[there], c[there]
+                unit, i, j, best = _best(w, unit, np.minimum(i, j), np.maximum(i, j), c / size[unit << w.bits | i])
+                score = best ** (1 / p.k) * 100
+                keep = score >= least
+                yield from _bands(ids, w, unit[keep], i=i[keep].astype(np.int32), j=j[keep].astype(np.int32), score=score[keep])
+
+    return by_sequence(seqs, run, "band bigint, i int, j int, score double")
+
+
 def cross_band(seqs: DataFrame, p: Params, share: int = LONG) -> DataFrame:
     """seq_id, band, i, j, score: window i of a band against windows j >= i of the band before it, as ani.cross_band scores them."""
 

@@ -51,7 +51,7 @@ def sets(seqs):
     return ani.window_sets(K.kmers(seqs, P.k, sketched=True).where("seq_id is not null"), P)
 
 
-QUERIES = ["ani_cross_band"]
+QUERIES = ["ani_cross_band", "ani_matrix"]
 
 
 @SHARES
@@ -60,6 +60,29 @@ def test_cross_band(spark, seqs, share):
     assert score(whole.cross_band(seqs, P, share)) == want != []
 
 
+@SHARES
+def test_cells(spark, seqs, share):
+    want = score(ani.cells(*sets(seqs), P.k))
+    assert score(whole.cells(seqs, P, share=share)) == want != []
+    assert score(whole.cells(seqs, P, 80.0, share)) == [x for x in want if x[-1] >= 80] != want
+
+
+def test_a_band_of_many_pairs_is_multiplied(monkeypatch):
+    """Also beside bands that aren't."""
+    r = random.Random(5)
+    sequences = [[b"ACGGTCATTA" * 30], [bytes(r.choices(b"ACGT", k=500))], [b"AC" * 100, b"ACGGTCATTA" * 9]]
+    held = []
+    for most in (1 << 20, 40, 0):
+        monkeypatch.setattr(whole, "PAIRS", most) if most else monkeypatch.setattr(ani, "_product", None)
+        w = whole.Windows(*whole.hashed(sequences, P.k, True), P, len(sequences))
+        if most:
+            held.append([sorted(tuple(map(int, x)) for part in w.shared(step) for x in zip(*part, strict=True)) for step in (0, -1, 1)])
+        else:
+            with pytest.raises(TypeError):  # it was multiplied
+                list(w.shared())
+    assert held[0] == held[1] and all(held[0])
+
+
 @pytest.mark.parametrize("name", QUERIES)
 def test_bases_alone_are_shuffled(spark, name):
     """A byte a base and less; k-mers took 4 to 34 times the input."""
