@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ani
-from ..functions.kmers import canonical
+from ..functions.kmers import CHUNK, canonical, murmur3, reverse_only
 from ..plans.params import Params
 
 #: Bases of short sequences that are worked on together; what is longer than the second is gone through in shares of that size.
@@ -108,6 +108,115 @@ def unsigned(values: np.ndarray) -> np.ndarray:
     return values.astype(np.int64) + (1 << 31)
 
 
+def pieces(rows: Rows, k: int, size: int = CHUNK) -> Iterator[tuple[int, Rows]]:
+    """A long sequence's rows, the same `size` positions of each at a time, with where they begin."""
+    for first in range(0, max(map(len, rows), default=0), size):
+        yield first, [s[first : first + size + k - 1] for s in rows]
+
+
+# --- distinct k-mers -------------------------------------------------------------------------------------------
+
+
+def _strings(rows: Rows, k: int, both: bool) -> np.ndarray:
+    """k-mers as fixed strings; both: the lesser of each and its reverse complement."""
+    found = []
+    for s in rows:
+        if len(s) >= k:
+            cut = lambda b: np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(np.frombuffer(b, np.uint8), k)).view(f"S{k}").ravel()
+            word = cut(s)
+            if both:
+                other = cut(_turned(s))[::-1]
+                word = np.where(other < word, other, word)
+            found.append(word)
+    return np.concatenate(found) if found else np.zeros(0, f"S{k}")
+
+
+_TURN = bytes.maketrans(b"ACTG", b"TGAC")
+
+
+def _turned(s: bytes) -> bytes:
+    return s[::-1].translate(_TURN)
+
+
+def _long_words(rows: Rows, k: int, both: bool, share: int) -> tuple[int, int, bytes, bytes]:
+    """Count, distinct count, least and greatest of one sequence's k-mers, the k-mers of one share of hashes after another."""
+    shares = max(1, -(-sum(map(len, rows)) // share))
+    n, sizes, least, most = 0, 0, None, None
+    for x in range(shares):
+        held, waiting, total = np.zeros(0, f"S{k}"), [], 0
+        for _, piece in pieces(rows, k, min(CHUNK, share)):
+            words = _strings(piece, k, both)
+            if shares > 1:
+                h = np.concatenate([murmur3(np.frombuffer(s, np.uint8), k) for s in piece])
+                if both:
+                    h ^= np.concatenate([reverse_only(s, k).view(np.uint32) for s in piece])
+                words = words[h % np.uint32(shares) == x]
+            n += len(words)
+            waiting.append(distinct(words))
+            total += len(waiting[-1])
+            if total > share:
+                held, waiting, total = distinct(np.concatenate([held, *waiting])), [], 0
+        held = distinct(np.concatenate([held, *waiting]))
+        if len(held):
+            sizes += len(held)
+            least = held[0] if least is None else min(least, held[0])
+            most = held[-1] if most is None else max(most, held[-1])
+    pad = lambda w: bytes(w).ljust(k, b"\0")  # noqa: E731  numpy drops zeros at a string's end
+    return (n, sizes, pad(least), pad(most)) if n else (0, 0, b"", b"")
+
+
+def word_counts(seqs: DataFrame, k: int, both: bool = False, share: int = LONG) -> DataFrame:
+    """seq_id, n, n_distinct, least, greatest of each sequence's k-mers as upper-case strings; both: of the lesser of each and its reverse complement."""
+
+    def run(batches):
+        for ids, sequences in blocks(batches, min(BLOCK, share)):
+            joined, at, group, pos = placed(sequences, k)
+            b = np.frombuffer(joined, np.uint8)
+            known = np.zeros(256, bool)
+            known[b] = True
+            known[list(b"ACTG")] |= both
+            width = max(1, int(known.sum() - 1).bit_length())
+            if size_of(sequences) > share or width * k + len(sequences).bit_length() > 63:
+                got = [_long_words(rows, k, both, share) for rows in sequences]
+                keep = np.nonzero([x[0] for x in got])[0]
+                n, sizes, least, most = zip(*(got[g] for g in keep), strict=True) if len(keep) else ((),) * 4
+                yield from table(ids, keep, n=np.array(n, np.int64), n_distinct=np.array(sizes, np.int64), least=pa.array(least, pa.binary()), greatest=pa.array(most, pa.binary()))
+                continue
+            if not len(at):
+                continue
+            rank = np.cumsum(known) - 1
+            code = _codes(rank[b], k, width)[at]
+            if both:
+                other = _codes(rank[np.frombuffer(_turned(joined), np.uint8)], k, width)[::-1][at]
+                code = np.minimum(code, other)
+            each = distinct(group << (k * width) | code)
+            of = each >> (k * width)
+            first = np.nonzero(np.diff(of, prepend=-1))[0]
+            last = np.append(first[1:], len(each)) - 1
+            letters = np.nonzero(known)[0].astype(np.uint8)
+            spell = lambda x: pa.array(_spelled(x, letters, k, width), pa.binary())
+            here = of[first]
+            yield from table(ids, here, n=np.bincount(group, minlength=len(sequences))[here], n_distinct=last - first + 1, least=spell(each[first]), greatest=spell(each[last]))
+
+    rows = seqs.select("seq_id", F.upper(F.col("seq").cast("string")).alias("seq"))
+    got = by_sequence(rows, run, "n bigint, n_distinct bigint, least binary, greatest binary")
+    return got.select("seq_id", "n", "n_distinct", F.col("least").cast("string").alias("least"), F.col("greatest").cast("string").alias("greatest"))
+
+
+def _codes(ranks: np.ndarray, k: int, width: int) -> np.ndarray:
+    """All k-letter windows as numbers in the order of their strings."""
+    n = max(0, len(ranks) - k + 1)
+    code = np.zeros(n, np.int64)
+    for i in range(k):
+        code = code << width | ranks[i : i + n]
+    return code
+
+
+def _spelled(codes: np.ndarray, letters: np.ndarray, k: int, width: int) -> list[bytes]:
+    shift = (k - 1 - np.arange(k)) * width
+    return [row.tobytes() for row in letters[codes[:, None] >> shift & ((1 << width) - 1)]]
+
+
 # --- windows ---------------------------------------------------------------------------------------------------
 
 #: Pairs of windows that share a k-mer from which a band is multiplied instead, and pairs that are counted together.

@@ -51,7 +51,7 @@ def sets(seqs):
     return ani.window_sets(K.kmers(seqs, P.k, sketched=True).where("seq_id is not null"), P)
 
 
-QUERIES = ["ani_cross_band", "ani_matrix"]
+QUERIES = ["ani_cross_band", "ani_matrix", "kmer_extract_forward"]
 
 
 @SHARES
@@ -83,6 +83,25 @@ def test_a_band_of_many_pairs_is_multiplied(monkeypatch):
     assert held[0] == held[1] and all(held[0])
 
 
+@SHARES
+def test_words(spark, seqs, share):
+    for k in (3, 12, 33):  # numbers of 32 bits and fewer, and strings
+        words = K.forward_kmers(seqs.where("seq is not null").select("seq_id", "seq"), k)
+        counts = lambda c: [F.countDistinct(c).alias("n_distinct"), F.min(c).alias("least"), F.max(c).alias("greatest")]
+        want = rows(words.groupBy("seq_id").agg(F.count("*").alias("n"), *counts("kmer")))
+        assert rows(whole.word_counts(seqs, k, share=share)) == want != []
+        both = words.withColumn("kmer", F.least("kmer", K.reverse_complement(F.col("kmer"))))
+        assert rows(whole.word_counts(seqs, k, True, share).drop("n")) == rows(both.groupBy("seq_id").agg(*counts("kmer")))
+
+
+def test_words_of_any_letters(spark):
+    text = spark.createDataFrame([(None, "the quick brown Fox jumps over the lazy dog. " * 3), (1, "aß\0\0\0\0"), (1, "zz")], "seq_id bigint, seq string")
+    words = K.forward_kmers(text, 3)
+    want = rows(words.groupBy("seq_id").agg(F.count("*"), F.countDistinct("kmer"), F.min("kmer"), F.max("kmer")))
+    for share in (whole.LONG, 20):
+        assert rows(whole.word_counts(text, 3, share=share)) == want
+
+
 @pytest.mark.parametrize("name", QUERIES)
 def test_bases_alone_are_shuffled(spark, name):
     """A byte a base and less; k-mers took 4 to 34 times the input."""
