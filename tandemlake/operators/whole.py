@@ -41,6 +41,15 @@ def counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[at], np.diff(np.append(at, len(x)))
 
 
+def member(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which numbers are among `known`, sorted ones."""
+    if not len(known):
+        return np.zeros(len(x), bool)
+    at = np.searchsorted(known, x)
+    at[at == len(known)] = 0
+    return known[at] == x
+
+
 def blocks(batches, size: int = BLOCK, groups: int = GROUPS) -> Iterator[tuple[pa.Array, list[Rows]]]:
     """The seq_ids and rows of sequences, whole ones, of `size` bases together; one that is longer is alone. Rows come by seq_id."""
     ids, held, total = [], [], 0
@@ -217,6 +226,76 @@ def _spelled(codes: np.ndarray, letters: np.ndarray, k: int, width: int) -> list
     return [row.tobytes() for row in letters[codes[:, None] >> shift & ((1 << width) - 1)]]
 
 
+# --- chunks and the core ---------------------------------------------------------------------------------------
+
+
+def _middle(pos: np.ndarray, n) -> np.ndarray:
+    return (pos >= n // 3) & (pos < 2 * n // 3)
+
+
+def _chunk_pairs(group, pos, values, core, inside, length) -> np.ndarray:
+    """Distinct (sequence, chunk, k-mer) of those in the core, as the numbers of their sequence and chunk; `inside` are there anyway."""
+    held = inside.copy()
+    rest = np.nonzero(~inside & (values != 0))[0]
+    held[rest] = member(group[rest] << 32 | unsigned(values[rest]), core)
+    chunk = pos[held] // length
+    place = np.cumsum(np.concatenate([np.zeros(min(1, len(chunk)), np.int64), (np.diff(chunk) != 0) | (np.diff(group[held]) != 0)]))
+    if not len(place):
+        return np.zeros((2, 0), np.int64)
+    first = np.nonzero(np.diff(place, prepend=-1))[0]
+    number = group[held][first] << 40 | chunk[first]  # of a place; rows with one seq_id may have the same
+    known, same = np.unique(number, return_inverse=True)
+    each = distinct(same[place] << 32 | unsigned(values[held]))
+    n = np.bincount(each >> 32, minlength=len(known))
+    return np.stack([known, n])
+
+
+def core_chunks(seqs: DataFrame, k: int, length: int, share: int = LONG) -> DataFrame:
+    """seq_id, chunk, shared: of each chunk of `length` positions, the distinct k-mers that the sequence's middle third holds too. Sequences without a name have none."""
+
+    def long(rows: Rows) -> np.ndarray:
+        size = max(1, min(CHUNK, share) // length) * length
+        n = max(map(len, rows)) - k + 1
+        shares = -(-sum(map(len, rows)) // share)
+        total = np.zeros(-(-max(n, 1) // length), np.int64)
+        for x in range(shares):
+            mine = lambda v: (v != 0) & (v.view(np.uint32) % np.uint32(shares) == x)
+            core = np.zeros(0, np.int64)
+            for first, piece in pieces(rows, k, size):
+                if first < 2 * n // 3 and first + size > n // 3:
+                    _, pos, values = hashed([piece], k)
+                    core = distinct(np.concatenate([core, unsigned(values[_middle(pos + first, n) & mine(values)])]))
+            for first, piece in pieces(rows, k, size):
+                _, pos, values = hashed([piece], k)
+                keep = mine(values)
+                pos, values = pos[keep] + first, values[keep]
+                number, found = _chunk_pairs(np.zeros(len(pos), np.int64), pos, values, core, _middle(pos, n), length)
+                total[number] += found
+        return total
+
+    def run(batches):
+        for ids, sequences in blocks(batches, min(BLOCK, share)):
+            if size_of(sequences) > share:
+                if ids[0].is_valid:
+                    total = long(sequences[0])
+                    at = np.nonzero(total)[0]
+                    yield from table(ids, np.zeros(len(at), np.int64), chunk=at, shared=total[at])
+                continue
+            group, pos, values = hashed(sequences, k)
+            inside = _inside(ids, sequences, group, pos, values)
+            number, found = _chunk_pairs(group, pos, values, distinct(group[inside] << 32 | unsigned(values[inside])), inside, length)
+            yield from table(ids, number >> 40, chunk=number & ((1 << 40) - 1), shared=found)
+
+    return by_sequence(seqs, run, "chunk bigint, shared bigint")
+
+
+def _inside(ids, sequences, group, pos, values) -> np.ndarray:
+    """Which k-mers are in the middle third of their sequence, with a name, and not ambiguous."""
+    n = np.zeros(len(sequences), np.int64)
+    np.maximum.at(n, group, pos + 1)
+    return _middle(pos, n[group]) & (values != 0) & np.asarray(ids.is_valid())[group]
+
+
 # --- windows ---------------------------------------------------------------------------------------------------
 
 #: Pairs of windows that share a k-mer from which a band is multiplied instead, and pairs that are counted together.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tandemlake.functions import kmers as K
-from tandemlake.operators import ani, whole
+from tandemlake.operators import ani, boundaries, whole
 from tandemlake.plans.params import Params
 
 from .conftest import rows
@@ -51,7 +51,7 @@ def sets(seqs):
     return ani.window_sets(K.kmers(seqs, P.k, sketched=True).where("seq_id is not null"), P)
 
 
-QUERIES = ["ani_cross_band", "ani_matrix", "kmer_extract_forward"]
+QUERIES = ["ani_cross_band", "ani_matrix", "kmer_extract_forward", "chunk_shared_bars"]
 
 
 @SHARES
@@ -102,6 +102,19 @@ def test_words_of_any_letters(spark):
         assert rows(whole.word_counts(text, 3, share=share)) == want
 
 
+def middle(k):
+    """Each sequence's k-mers, with what its middle third holds."""
+    n = k.groupBy("seq_id").agg((F.max("pos") + 1).alias("n"))
+    return k.join(n, "seq_id").where("pos >= n div 3 and pos < 2 * n div 3 and kmer <> 0").select("seq_id", "kmer").distinct()
+
+
+@SHARES
+def test_chunks_of_the_core(spark, seqs, share):
+    k = K.kmers(seqs, 5)
+    want = rows(boundaries.shared_counts(k, middle(k), 20))
+    assert rows(whole.core_chunks(seqs, 5, 20, share)) == want != []
+
+
 @pytest.mark.parametrize("name", QUERIES)
 def test_bases_alone_are_shuffled(spark, name):
     """A byte a base and less; k-mers took 4 to 34 times the input."""
