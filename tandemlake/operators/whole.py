@@ -393,6 +393,17 @@ def _bands(ids: pa.Array, w: Windows, unit: np.ndarray, **columns) -> Iterator[p
     yield from table(ids, w.group[unit[keep]], band=w.band[unit[keep]], **{name: c[keep] for name, c in columns.items()})
 
 
+def intersections(seqs: DataFrame, p: Params, share: int = LONG) -> DataFrame:
+    """seq_id, band, i, j, c: the sketched k-mers that plain window i shares with wide window j, as ani.intersections counts them."""
+
+    def run(batches):
+        for ids, w in windowed(batches, p, share):
+            for unit, i, j, c in w.shared():
+                yield from _bands(ids, w, unit, i=i.astype(np.int32), j=j.astype(np.int32), c=c)
+
+    return by_sequence(seqs, run, "band bigint, i int, j int, c bigint")
+
+
 def _best(w: Windows, unit, i, j, share) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The greatest share of each unit, i and j."""
     key = (unit << w.bits | i) << w.bits | j

@@ -51,7 +51,7 @@ def sets(seqs):
     return ani.window_sets(K.kmers(seqs, P.k, sketched=True).where("seq_id is not null"), P)
 
 
-QUERIES = ["ani_cross_band", "ani_matrix", "kmer_extract_forward", "chunk_shared_bars", "chunk_shared_counts", "last_chunk_hit"]
+QUERIES = ["ani_cross_band", "ani_matrix", "kmer_extract_forward", "chunk_shared_bars", "chunk_shared_counts", "last_chunk_hit", "set_intersection_count"]
 
 
 @SHARES
@@ -115,6 +115,12 @@ def test_chunks_of_the_core(spark, seqs, share):
     assert rows(whole.core_chunks(seqs, 5, 20, share)) == want != []
 
 
+@SHARES
+def test_intersections(spark, seqs, share):
+    want = rows(ani.intersections(*sets(seqs)).select("seq_id", "band", "i", "j", "c"))
+    assert rows(whole.intersections(seqs, P, share)) == want != []
+
+
 @pytest.mark.parametrize("name", QUERIES)
 def test_bases_alone_are_shuffled(spark, name):
     """A byte a base and less; k-mers took 4 to 34 times the input."""
