@@ -15,14 +15,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import ani
-from ..functions.kmers import CHUNK, canonical, murmur3, reverse_only
+from . import ani, classify
+from ..functions.kmers import CHUNK, canonical, kmers, murmur3, reverse_only
 from ..plans.params import Params
+from ..sources import kmerdb
 
 #: Bases of short sequences that are worked on together; what is longer than the second is gone through in shares of that size.
 BLOCK, LONG = 1 << 18, 1 << 22
 #: Sequences of a block at most.
 GROUPS = 1 << 12
+#: Rows of a database that tasks look k-mers up in; a larger one is joined.
+KNOWN = 1 << 21
 LOW = (1 << 32) - 1
 
 Rows = list[bytes]
@@ -296,6 +299,80 @@ def _inside(ids, sequences, group, pos, values) -> np.ndarray:
     return _middle(pos, n[group]) & (values != 0) & np.asarray(ids.is_valid())[group]
 
 
+# --- classes ---------------------------------------------------------------------------------------------------
+
+
+def ranked(seqs: DataFrame, db: DataFrame, k: int, most: int | None = None, share: int = LONG, known: int = KNOWN) -> DataFrame:
+    """query_id, class, overlap, pct, rank of each sequence's distinct k-mers and db(class, kmer): the rows of classify.overlaps, or with `most` of classify.top.
+
+    A database of up to `known` rows is sent to the tasks, which look their sequences' k-mers up; else k-mers are joined.
+    """
+    held = db.select("class", "kmer").distinct().limit(known + 1).toArrow()
+    if held.num_rows > known:
+        queries = kmers(seqs, k, distinct=True).where("kmer <> 0").select(F.col("seq_id").alias("query_id"), "kmer")
+        return classify.top(queries, kmerdb.bucketed(db), most) if most else classify.overlaps(queries, kmerdb.bucketed(db))
+    own = held.column("class").to_pylist()
+    names = sorted(set(own), key=lambda x: (x is not None, x or ""))
+    number = {name: i for i, name in enumerate(names)}
+    values = unsigned(held.column("kmer").to_numpy())
+    order = np.argsort(values, kind="stable")
+    sent = seqs.sparkSession.sparkContext.broadcast((values[order], np.array([number[x] for x in own], np.int64)[order]))
+    kind, first = db.schema["class"].dataType.simpleString(), min(len(names), 2 * (most or 0))
+
+    def met(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The classes of the values that have some: the value's place, and the class."""
+        keys, classes = sent.value
+        low = np.searchsorted(keys, values)
+        n = np.searchsorted(keys, values, "right") - low
+        at = np.repeat(np.arange(len(values)), n)
+        return at, classes[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+    def long(rows: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        shares, n, total = -(-sum(map(len, rows)) // share), 0, np.zeros(len(names), np.int64)
+        for x in range(shares):
+            mine = np.zeros(0, np.int32)
+            for _, piece in pieces(rows, k, min(CHUNK, share)):
+                values = hashed([piece], k)[2]
+                mine = distinct(np.concatenate([mine, values[(values != 0) & (values.view(np.uint32) % np.uint32(shares) == x)]]))
+            n += len(mine)
+            total += np.bincount(met(unsigned(mine))[1], minlength=len(names))
+        return np.array([n]), np.nonzero(total)[0], total[total > 0]
+
+    def run(batches):
+        for ids, sequences in blocks(batches, min(BLOCK, share)):
+            if size_of(sequences) > share:
+                n, code, overlap = long(sequences[0])
+            else:
+                group, _, values = hashed(sequences, k)
+                keep = values != 0
+                each = distinct(group[keep] << 32 | unsigned(values[keep]))
+                n = np.bincount(each >> 32, minlength=len(sequences))
+                at, of = met(each & LOW)
+                code, overlap = counted((each[at] >> 32) * len(names) + of)
+            named = np.asarray(ids.is_valid())[code // max(1, len(names))]  # a query without a name shares nothing
+            code, overlap = code[named], overlap[named]
+            asked = np.nonzero(n)[0]
+            if most:
+                spare = (asked[:, None] * len(names) + np.arange(first)).ravel()
+                spare = spare[~member(spare, code)]
+                group, of = np.divmod(np.concatenate([code, spare]), max(1, len(names)))
+            else:
+                spare = asked[~member(asked, distinct(code // max(1, len(names))))]  # one row, of no class
+                group, of = np.concatenate([code // max(1, len(names)), spare]), np.concatenate([code % max(1, len(names)), np.full(len(spare), -1)])
+            overlap = np.concatenate([overlap, np.zeros(len(spare), np.int64)])
+            order = np.lexsort((of, -overlap, group))
+            group, of, overlap = group[order], of[order], overlap[order]
+            begin = np.nonzero(np.diff(group, prepend=-1))[0]
+            rank = np.arange(len(group)) - np.repeat(begin, np.diff(np.append(begin, len(group)))) + 1
+            keep = rank <= (most or len(names) + 1)
+            group, of, overlap, rank = group[keep], of[keep], overlap[keep], rank[keep]
+            yield from table(ids, group, of=of, overlap=overlap, pct=overlap * 100.0 / n[group], rank=rank.astype(np.int32))
+
+    got = by_sequence(seqs, run, "of bigint, overlap bigint, pct double, rank int")
+    listed = F.broadcast(seqs.sparkSession.createDataFrame(list(enumerate(names)), f"of bigint, class {kind}"))
+    return got.join(listed, "of", "left").select(F.col("seq_id").alias("query_id"), "class", "overlap", "pct", "rank")
+
+
 # --- windows ---------------------------------------------------------------------------------------------------
 
 #: Pairs of windows that share a k-mer from which a band is multiplied instead, and pairs that are counted together.

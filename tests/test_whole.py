@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tandemlake.functions import kmers as K
-from tandemlake.operators import ani, boundaries, whole
+from tandemlake.operators import ani, boundaries, classify, whole
 from tandemlake.plans.params import Params
 
 from .conftest import rows
@@ -51,7 +51,7 @@ def sets(seqs):
     return ani.window_sets(K.kmers(seqs, P.k, sketched=True).where("seq_id is not null"), P)
 
 
-QUERIES = ["ani_cross_band", "ani_matrix", "kmer_extract_forward", "chunk_shared_bars", "chunk_shared_counts", "last_chunk_hit", "set_intersection_count", "canonical_kmer"]
+QUERIES = ["ani_cross_band", "ani_matrix", "kmer_extract_forward", "chunk_shared_bars", "chunk_shared_counts", "last_chunk_hit", "set_intersection_count", "canonical_kmer", "classify_best"]
 
 
 @SHARES
@@ -121,6 +121,30 @@ def test_intersections(spark, seqs, share):
     assert rows(whole.intersections(seqs, P, share)) == want != []
 
 
+@SHARES
+def test_classes(spark, seqs, share):
+    """The database looked up, and one too large for it joined."""
+    named = seqs.where("seq_id is not null")
+    some = K.kmers(named, 5, distinct=True).where("kmer <> 0 and seq_id in (1, 3, 5, 20, 21)")
+    db = some.select(F.concat(F.lit("c"), F.col("seq_id")).alias("class"), "kmer").unionByName(spark.createDataFrame([("a", 1), ("z", 1), ("b", 2)], "class string, kmer int"))
+    queries = K.kmers(named, 5, distinct=True).where("kmer <> 0").select(F.col("seq_id").alias("query_id"), "kmer")
+    view = lambda df: rows(df.select("query_id", "class", "overlap", F.round("pct", 6), "rank"))
+    want = view(classify.overlaps(queries, db))
+    assert any(x[1] is None for x in want) or len(want) > 20
+    for known in (whole.KNOWN, 3):
+        assert view(whole.ranked(named, db, 5, share=share, known=known)) == want
+        for most in (1, 4):
+            assert view(whole.ranked(named, db, 5, most, share, known)) == view(classify.top(queries, db, most))
+
+
+def test_classes_of_sequences_without_a_name(spark):
+    """They share nothing, as in SQL, where null equals nothing; an empty database gives no class."""
+    seqs = spark.createDataFrame([(None, "ACGTTGCA"), (1, "ACGTTGCA"), (2, "AAAAAAAA")], "seq_id bigint, seq string")
+    db = K.kmers(seqs.where("seq_id = 1"), 5).where("kmer <> 0").select(F.lit("x").alias("class"), "kmer")
+    assert [(r.query_id, r["class"], r.overlap > 0) for r in whole.ranked(seqs, db, 5, 2).orderBy("query_id").collect()] == [(None, "x", False), (1, "x", True), (2, "x", False)]
+    assert [(r.query_id, r["class"], r.overlap) for r in whole.ranked(seqs, db.limit(0), 5).orderBy("query_id").collect()] == [(None, None, 0), (1, None, 0), (2, None, 0)]
+
+
 @pytest.mark.parametrize("name", QUERIES)
 def test_bases_alone_are_shuffled(spark, name):
     """A byte a base and less; k-mers took 4 to 34 times the input."""
