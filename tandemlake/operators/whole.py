@@ -470,6 +470,22 @@ def _bands(ids: pa.Array, w: Windows, unit: np.ndarray, **columns) -> Iterator[p
     yield from table(ids, w.group[unit[keep]], band=w.band[unit[keep]], **{name: c[keep] for name, c in columns.items()})
 
 
+def window_sums(seqs: DataFrame, p: Params, wide: bool, share: int = LONG) -> DataFrame:
+    """seq_id, band, win, n, total: count and sum of the distinct sketched k-mers of plain windows, or of those that reach further."""
+
+    def run(batches):
+        for ids, w in windowed(batches, p, share):
+            place, value = w.sides(w.wide if wide else w.plain)
+            order = np.argsort(place, kind="stable")
+            place, value = place[order], value[order] - (1 << 31)
+            first = np.nonzero(np.diff(place, prepend=-1))[0]
+            if len(first):
+                at = place[first]
+                yield from _bands(ids, w, at >> w.bits, win=(at & ((1 << w.bits) - 1)).astype(np.int32), n=np.diff(np.append(first, len(place))), total=np.add.reduceat(value, first))
+
+    return by_sequence(seqs, run, "band bigint, win int, n bigint, total bigint")
+
+
 def intersections(seqs: DataFrame, p: Params, share: int = LONG) -> DataFrame:
     """seq_id, band, i, j, c: the sketched k-mers that plain window i shares with wide window j, as ani.intersections counts them."""
 

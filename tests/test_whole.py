@@ -51,7 +51,7 @@ def sets(seqs):
     return ani.window_sets(K.kmers(seqs, P.k, sketched=True).where("seq_id is not null"), P)
 
 
-QUERIES = ["ani_cross_band", "ani_matrix", "kmer_extract_forward", "chunk_shared_bars", "chunk_shared_counts", "last_chunk_hit", "set_intersection_count", "canonical_kmer", "classify_best", "ani_matrix_dense"]
+QUERIES = ["ani_cross_band", "ani_matrix", "kmer_extract_forward", "chunk_shared_bars", "chunk_shared_counts", "last_chunk_hit", "set_intersection_count", "canonical_kmer", "classify_best", "ani_matrix_dense", "hopping_window_sets"]
 
 
 @SHARES
@@ -145,6 +145,13 @@ def test_classes_of_sequences_without_a_name(spark):
     assert [(r.query_id, r["class"], r.overlap) for r in whole.ranked(seqs, db.limit(0), 5).orderBy("query_id").collect()] == [(None, None, 0), (1, None, 0), (2, None, 0)]
 
 
+@SHARES
+@pytest.mark.parametrize("wide", [False, True])
+def test_window_sums(spark, seqs, share, wide):
+    want = sets(seqs)[wide].groupBy("seq_id", "band", "win").agg(F.count("*"), F.sum("kmer"))
+    assert rows(whole.window_sums(seqs, P, wide, share)) == rows(want) != []
+
+
 @pytest.mark.parametrize("name", QUERIES)
 def test_bases_alone_are_shuffled(spark, name):
     """A byte a base and less; k-mers took 4 to 34 times the input."""
