@@ -18,7 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kmers import kmers, slices
+from .whole import distinct, member, table, unsigned
+from ..functions.kmers import CHUNK as PIECE
+from ..functions.kmers import canonical, kmers, slices
 
 CHUNK, MISSES = 100, 10
 
@@ -27,8 +29,8 @@ def chunk_counts(values: np.ndarray, core: np.ndarray, n: int) -> np.ndarray:
     """Distinct k-mers that each of n equal chunks shares with the core."""
     length = max(1, math.ceil(len(values) / n))
     held = np.isin(values, core)
-    pairs = np.unique(np.stack([np.nonzero(held)[0] // length, values[held]]), axis=1)
-    return np.bincount(pairs[0], minlength=n)[:n] if pairs.size else np.zeros(n, np.int64)
+    pairs = distinct(np.nonzero(held)[0] // length << 32 | unsigned(values[held]))
+    return np.bincount(pairs >> 32, minlength=n)[:n]
 
 
 def last_hit(hits: np.ndarray, misses: int = MISSES) -> int | None:
@@ -99,6 +101,8 @@ def ends(parts: dict[str, tuple[int, np.ndarray, np.ndarray]], k: int, compat: b
 
 def refined(spans: DataFrame, seqs: DataFrame, window: int, k: int, compat: bool = False) -> DataFrame:
     """seq_id, start, end, raw_start, raw_end, refined: spans with new ends where both were found, and as they were elsewhere."""
+    if isinstance(seqs, DataFrame):
+        return _refined_whole(spans, seqs, window, k, compat)
     keys = ["seq_id", "start", "end"]
     size = F.col("end") - F.col("start")
     w = F.when(size >= 4 * window, window).otherwise(F.greatest(F.lit(1), F.expr("(end - start) div 4"))).cast("bigint")
@@ -126,6 +130,77 @@ def refined(spans: DataFrame, seqs: DataFrame, window: int, k: int, compat: bool
     return spans.select(*keys).join(found, keys, "left").select("seq_id", F.coalesce("new_start", "start").alias("start"), F.coalesce("new_end", "end").alias("end"), F.col("start").alias("raw_start"), F.col("end").alias("raw_end"), F.col("new_start").isNotNull().alias("refined"))
 
 
+def _refined_whole(spans: DataFrame, seqs: DataFrame, window: int, k: int, compat: bool) -> DataFrame:
+    """The same where sequences are rows: spans go to their sequence, and no k-mer is shuffled."""
+    kind = spans.schema["seq_id"].dataType.simpleString()
+    none, long = F.lit(None), lambda c: c.cast("bigint")
+    given = spans.select("seq_id", F.lit(True).alias("asked"), long(F.col("start")).alias("start"), long(F.col("end")).alias("end"), none.cast("binary").alias("seq"))
+    bases = seqs.select(F.col("seq_id").cast(kind).alias("seq_id"), F.lit(False).alias("asked"), long(none).alias("start"), long(none).alias("end"), F.col("seq").cast("binary").alias("seq"))
+    rows = bases.unionByName(given).repartition("seq_id").sortWithinPartitions("seq_id", "asked", "start", "end")
+
+    def run(batches):
+        now, held, last, got = None, [], None, None
+        for b in batches:
+            out = []
+            for x, (seq_id, asked, start, end, seq) in enumerate(zip(*(b.column(c).to_pylist() for c in ("seq_id", "asked", "start", "end", "seq")), strict=True)):
+                if seq_id != now:
+                    now, held, last = seq_id, [], None
+                if not asked:
+                    if seq is not None and seq_id is not None:
+                        held.append(_Bases(seq, k))
+                    continue
+                if (start, end) != last:
+                    last, got = (start, end), None if start is None or end is None else _new_ends(held, start, end, window, k, compat)
+                out.append((x, *(got or last), *last, got is not None))
+            if out:
+                at, *columns = zip(*out, strict=True)
+                types = [pa.int64()] * 4 + [pa.bool_()]
+                yield from table(b.column("seq_id"), np.array(at), **{name: pa.array(c, t) for name, c, t in zip(("start", "end", "raw_start", "raw_end", "refined"), columns, types, strict=True)})
+
+    return rows.mapInArrow(run, f"seq_id {kind}, start bigint, end bigint, raw_start bigint, raw_end bigint, refined boolean")
+
+
+class _Bases:
+    """k-mers of parts of a sequence. One of a piece or less is hashed once."""
+
+    def __init__(self, seq: bytes, k: int):
+        self.seq, self.k, self.values = seq, k, None
+
+    def hashed(self, a: int, z: int) -> np.ndarray:
+        """Those that lie whole in [a, z), where a is 0 or more."""
+        if len(self.seq) > PIECE:
+            return canonical(self.seq[a : max(a, z)], self.k)
+        if self.values is None:
+            self.values = canonical(self.seq, self.k)
+        return self.values[a : max(a, z - self.k + 1)]
+
+
+def _new_ends(held: list[_Bases], start: int, end: int, window: int, k: int, compat: bool) -> tuple[int, int] | None:
+    """A span's ends from the rows of its sequence. The core is gone through piece by piece."""
+    size = end - start
+    w = window if size >= 4 * window else max(1, size // 4)
+    at = zones(start, end, w, -(-w // 2))
+    kmers_of, first, core = {}, {}, at.pop("core")
+    for name, (a, z) in at.items():
+        a = max(a, 0)
+        found = [(np.arange(a, a + len(v)), v) for v in (x.hashed(a, z) for x in held) if z - a >= k and len(v)]
+        if found:
+            pos, values = map(np.concatenate, zip(*found, strict=True))
+            if len(found) > 1:
+                order = np.argsort(pos, kind="stable")
+                pos, values = pos[order], values[order]
+            first[name], kmers_of[name] = int(pos[0]), values
+    inside = {name: np.zeros(len(values), bool) for name, values in kmers_of.items()}
+    a, z = max(core[0], 0), core[1]
+    for x in held if z - a >= k else []:
+        for low in range(a, min(z, len(x.seq)) - k + 1, PIECE):
+            known = distinct(x.hashed(low, min(z, low + PIECE + k - 1)))
+            for name, values in kmers_of.items():
+                inside[name] |= member(values, known)
+    parts = {name: (first[name], values, np.unique(values[inside[name] & (compat | (values != 0))])) for name, values in kmers_of.items()}
+    return ends(parts, k, compat)
+
+
 def shared_counts(zone_kmers: DataFrame, core: DataFrame, length: int = CHUNK) -> DataFrame:
     """seq_id, chunk, shared: the distinct core k-mers of each chunk of `length` positions."""
     held = zone_kmers.where("kmer <> 0").join(core.select("seq_id", "kmer").distinct(), ["seq_id", "kmer"], "left_semi")

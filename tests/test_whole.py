@@ -9,6 +9,7 @@ import __spark_entry__ as entry
 from tandemlake.functions import kmers as K
 from tandemlake.operators import ani, boundaries, classify, whole
 from tandemlake.plans.params import Params
+from tandemlake.sources.indexed import stored
 
 from .conftest import rows
 
@@ -51,7 +52,7 @@ def sets(seqs):
     return ani.window_sets(K.kmers(seqs, P.k, sketched=True).where("seq_id is not null"), P)
 
 
-QUERIES = ["ani_cross_band", "ani_matrix", "kmer_extract_forward", "chunk_shared_bars", "chunk_shared_counts", "last_chunk_hit", "set_intersection_count", "canonical_kmer", "classify_best", "ani_matrix_dense", "hopping_window_sets", "classify_topk"]
+QUERIES = ["ani_cross_band", "ani_matrix", "kmer_extract_forward", "chunk_shared_bars", "chunk_shared_counts", "last_chunk_hit", "set_intersection_count", "canonical_kmer", "classify_best", "ani_matrix_dense", "hopping_window_sets", "classify_topk", "refined_spans"]
 
 
 @SHARES
@@ -152,6 +153,20 @@ def test_window_sums(spark, seqs, share, wide):
     assert rows(whole.window_sums(seqs, P, wide, share)) == rows(want) != []
 
 
+@pytest.mark.parametrize("compat", [False, True])
+def test_refined_rows_equal_refined_pieces(spark, compat):
+    r = random.Random(8)
+    repeat = lambda n: "".join(r.choice("ACGT") if r.random() < 0.03 else c for c in "ACCTGATTGCAGGTCATTGAC" * n)
+    noise = lambda n: "".join(r.choice("ACGT") for _ in range(n))
+    seqs = spark.createDataFrame([(str(i), noise(a) + repeat(n) + noise(b)) for i, (a, n, b) in enumerate([(900, 120, 800), (0, 200, 500), (700, 90, 0), (300, 30, 300), (50, 2, 50)])] + [("none", None), ("empty", "")], "seq_id string, seq string")
+    spans = [("0", 800, 3500), ("0", 900, 3420), ("0", 800, 3500), ("1", 0, 4000), ("2", 600, 2600), ("3", 250, 900), ("4", 40, 90), ("4", 10, 12), ("none", 5, 900), ("empty", 0, 400), ("away", 1, 500), (None, 0, 900)]
+    spans = spark.createDataFrame(spans, "seq_id string, start bigint, end bigint")
+    want = rows(boundaries.refined(spans, stored(seqs, 512), 200, 11, compat).distinct())
+    got = boundaries.refined(spans, seqs, 200, 11, compat)
+    assert rows(got.distinct()) == want and any(x[-1] for x in want) and not all(x[-1] for x in want)
+    assert got.count() == spans.count()
+
+
 @pytest.mark.parametrize("name", QUERIES)
 def test_bases_alone_are_shuffled(spark, name):
     """A byte a base and less; k-mers took 4 to 34 times the input."""
