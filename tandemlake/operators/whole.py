@@ -299,6 +299,38 @@ def _inside(ids, sequences, group, pos, values) -> np.ndarray:
     return _middle(pos, n[group]) & (values != 0) & np.asarray(ids.is_valid())[group]
 
 
+def last_in_core(seqs: DataFrame, k: int, within: int, share: int = LONG) -> DataFrame:
+    """seq_id, last_match: the last position below `within` whose k-mer the middle third holds; 0 without one, and where there are fewer positions."""
+
+    def long(rows: Rows) -> int:
+        n = max(map(len, rows)) - k + 1
+        group, pos, values = hashed([[s[: within + k - 1] for s in rows]], k)
+        held = np.zeros(len(pos), bool)
+        for first, piece in pieces(rows, k, min(CHUNK, share)):
+            if first < 2 * n // 3 and first + CHUNK > n // 3:
+                _, at, core = hashed([piece], k)
+                held |= member(values, distinct(core[_middle(at + first, n) & (core != 0)]))
+        return int(pos[held].max(initial=0))
+
+    def run(batches):
+        for ids, sequences in blocks(batches, min(BLOCK, share)):
+            n = np.array([sum(max(0, len(s) - k + 1) for s in rows) for rows in sequences])
+            if size_of(sequences) > share:
+                last = np.array([long(sequences[0]) if ids[0].is_valid else 0])
+            else:
+                group, pos, values = hashed(sequences, k)
+                inside = _inside(ids, sequences, group, pos, values)
+                near = np.nonzero((pos < within) & (values != 0))[0]
+                key = lambda at: group[at] << 32 | unsigned(values[at])
+                near = near[member(key(near), distinct(key(inside)))]
+                last = np.zeros(len(sequences), np.int64)
+                np.maximum.at(last, group[near], pos[near])
+            here = np.nonzero(n)[0]
+            yield from table(ids, here, last_match=np.where(n < within, 0, last)[here])
+
+    return by_sequence(seqs, run, "last_match bigint")
+
+
 # --- classes ---------------------------------------------------------------------------------------------------
 
 

@@ -52,7 +52,7 @@ def sets(seqs):
     return ani.window_sets(K.kmers(seqs, P.k, sketched=True).where("seq_id is not null"), P)
 
 
-QUERIES = ["ani_cross_band", "ani_matrix", "kmer_extract_forward", "chunk_shared_bars", "chunk_shared_counts", "last_chunk_hit", "set_intersection_count", "canonical_kmer", "classify_best", "ani_matrix_dense", "hopping_window_sets", "classify_topk", "refined_spans", "span_order"]
+QUERIES = ["ani_cross_band", "ani_matrix", "kmer_extract_forward", "chunk_shared_bars", "chunk_shared_counts", "last_chunk_hit", "set_intersection_count", "canonical_kmer", "classify_best", "ani_matrix_dense", "hopping_window_sets", "classify_topk", "refined_spans", "span_order", "last_matching_index"]
 
 
 @SHARES
@@ -167,6 +167,15 @@ def test_refined_rows_equal_refined_pieces(spark, compat):
     assert got.count() == spans.count()
 
 
+@SHARES
+def test_last_of_the_core(spark, seqs, share):
+    k = K.kmers(seqs, 5)
+    n = k.groupBy("seq_id").agg(F.count("*").alias("n"))
+    found = k.where("pos < 50").join(middle(k), ["seq_id", "kmer"], "left_semi").groupBy("seq_id").agg(F.max("pos").alias("pos"))
+    want = n.join(found, "seq_id", "left").select("seq_id", F.when(F.col("n") < 50, 0).otherwise(F.coalesce("pos", F.lit(0))))
+    assert rows(whole.last_in_core(seqs, 5, 50, share)) == rows(want)
+
+
 @pytest.mark.parametrize("name", QUERIES)
 def test_bases_alone_are_shuffled(spark, name):
     """A byte a base and less; k-mers took 4 to 34 times the input."""
