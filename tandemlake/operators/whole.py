@@ -229,6 +229,35 @@ def _spelled(codes: np.ndarray, letters: np.ndarray, k: int, width: int) -> list
     return [row.tobytes() for row in letters[codes[:, None] >> shift & ((1 << width) - 1)]]
 
 
+def hash_counts(seqs: DataFrame, k: int, share: int = LONG) -> DataFrame:
+    """seq_id, n, n_ambiguous, n_distinct of each sequence's canonical k-mers; 0, the ambiguous ones, isn't among the distinct."""
+
+    def long(rows: Rows) -> tuple[int, int, int]:
+        shares, n, zeros, sizes = -(-sum(map(len, rows)) // share), 0, 0, 0
+        for x in range(shares):
+            held = np.zeros(0, np.int32)
+            for _, piece in pieces(rows, k, min(CHUNK, share)):
+                values = hashed([piece], k)[2]
+                n, zeros = n + len(values) * (x == 0), zeros + int((values == 0).sum()) * (x == 0)
+                held = distinct(np.concatenate([held, values[(values != 0) & (values.view(np.uint32) % np.uint32(shares) == x)]]))
+            sizes += len(held)
+        return n, zeros, sizes
+
+    def run(batches):
+        for ids, sequences in blocks(batches, min(BLOCK, share)):
+            if size_of(sequences) > share:
+                n, zeros, sizes = (np.array([x]) for x in long(sequences[0]))
+            else:
+                group, _, values = hashed(sequences, k)
+                total = lambda g: np.bincount(g, minlength=len(sequences))
+                keep = values != 0
+                n, zeros, sizes = total(group), total(group[~keep]), total(distinct(group[keep] << 32 | unsigned(values[keep])) >> 32)
+            here = np.nonzero(n)[0]
+            yield from table(ids, here, n=n[here], n_ambiguous=zeros[here], n_distinct=sizes[here])
+
+    return by_sequence(seqs, run, "n bigint, n_ambiguous bigint, n_distinct bigint")
+
+
 # --- chunks and the core ---------------------------------------------------------------------------------------
 
 

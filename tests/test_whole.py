@@ -52,7 +52,7 @@ def sets(seqs):
     return ani.window_sets(K.kmers(seqs, P.k, sketched=True).where("seq_id is not null"), P)
 
 
-QUERIES = ["ani_cross_band", "ani_matrix", "kmer_extract_forward", "chunk_shared_bars", "chunk_shared_counts", "last_chunk_hit", "set_intersection_count", "canonical_kmer", "classify_best", "ani_matrix_dense", "hopping_window_sets", "classify_topk", "refined_spans", "span_order", "last_matching_index"]
+QUERIES = ["ani_cross_band", "ani_matrix", "kmer_extract_forward", "chunk_shared_bars", "chunk_shared_counts", "last_chunk_hit", "set_intersection_count", "canonical_kmer", "classify_best", "ani_matrix_dense", "hopping_window_sets", "classify_topk", "refined_spans", "span_order", "last_matching_index", "ambiguous_kmer_filter"]
 
 
 @SHARES
@@ -176,6 +176,14 @@ def test_last_of_the_core(spark, seqs, share):
     assert rows(whole.last_in_core(seqs, 5, 50, share)) == rows(want)
 
 
+@SHARES
+def test_hashes(spark, seqs, share):
+    k = K.kmers(seqs, 5)
+    want = k.groupBy("seq_id").agg(F.count("*"), F.count_if(F.col("kmer") == 0), F.countDistinct(F.when(F.col("kmer") != 0, F.col("kmer"))))
+    got = rows(whole.hash_counts(seqs, 5, share))
+    assert got == rows(want) and any(x[2] for x in got)
+
+
 @pytest.mark.parametrize("name", QUERIES)
 def test_bases_alone_are_shuffled(spark, name):
     """A byte a base and less; k-mers took 4 to 34 times the input."""
