@@ -52,7 +52,7 @@ def sets(seqs):
     return ani.window_sets(K.kmers(seqs, P.k, sketched=True).where("seq_id is not null"), P)
 
 
-QUERIES = ["ani_cross_band", "ani_matrix", "kmer_extract_forward", "chunk_shared_bars", "chunk_shared_counts", "last_chunk_hit", "set_intersection_count", "canonical_kmer", "classify_best", "ani_matrix_dense", "hopping_window_sets", "classify_topk", "refined_spans", "span_order", "last_matching_index", "ambiguous_kmer_filter"]
+QUERIES = ["ani_cross_band", "ani_matrix", "kmer_extract_forward", "chunk_shared_bars", "chunk_shared_counts", "last_chunk_hit", "set_intersection_count", "canonical_kmer", "classify_best", "ani_matrix_dense", "hopping_window_sets", "classify_topk", "refined_spans", "span_order", "last_matching_index", "ambiguous_kmer_filter", "diagonal_attached_cells"]
 
 
 @SHARES
