@@ -10,9 +10,9 @@ GROUP = ["seq_id", "band"]
 
 def mirrored(cells: DataFrame) -> DataFrame:
     """Both triangles of a matrix given by its upper one, as row i, other j, side and distance from the diagonal."""
-    up = cells.select(*GROUP, "i", "j", F.lit("right").alias("side"), (F.col("j") - F.col("i")).alias("dist"))
-    down = cells.select(*GROUP, F.col("j").alias("i"), F.col("i").alias("j"), F.lit("left").alias("side"), (F.col("j") - F.col("i")).alias("dist"))
-    return up.unionByName(down)
+    side = lambda i, j, name: F.struct(F.col(i).alias("i"), F.col(j).alias("j"), F.lit(name).alias("side"))
+    both = cells.select(*GROUP, (F.col("j") - F.col("i")).alias("dist"), F.explode(F.array(side("i", "j", "right"), side("j", "i", "left"))).alias("x"))
+    return both.select(*GROUP, "x.i", "x.j", "x.side", "dist")
 
 
 def reached(cells: DataFrame, tolerance: int) -> DataFrame:
